@@ -93,11 +93,25 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.phrase_dedup import remove_repeated
+
+    return remove_repeated(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.suffix_dedup import remove_repeated
+
+    return remove_repeated(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_curriculum_mixing": op4_curriculum_mixing,
     "op5_token_files": op5_token_files,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_phrase_dedup": op9_phrase_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES = {"op4_curriculum_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL}
