@@ -78,6 +78,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.exact_dedup import exact_dedup
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_curriculum_mixing": op4_curriculum_mixing,
     "op5_token_files": op5_token_files,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_phrase_dedup": op9_phrase_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
