@@ -23,6 +23,18 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, tokens=2048)
 
 
+def op2_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.neighbours import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op3_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix
 
@@ -78,6 +90,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.near_dedup import near_duplicates
 
@@ -113,8 +131,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_kmeans_tree_neighbours": op2_kmeans_tree_neighbours,
+    "op3_unigram_token_counts": op3_unigram_token_counts,
     "op4_curriculum_mixing": op4_curriculum_mixing,
     "op5_token_files": op5_token_files,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_phrase_dedup": op9_phrase_dedup,
