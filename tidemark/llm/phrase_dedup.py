@@ -39,12 +39,17 @@ def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return flat.filter(pa.array(some)).dictionary_encode(), ends
 
 
-def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    import xxhash
+def names_of(words: pa.DictionaryArray) -> np.ndarray:
+    """64-bit names of coded words."""
+    from xxhash import xxh3_64_intdigest
+
+    names = np.fromiter(map(xxh3_64_intdigest, words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
+    return names[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64)
 
+
+def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words, ends = words_of(texts)
-    names = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()), np.uint64, len(words.dictionary))
-    return names[words.indices.to_numpy()] if len(words) else np.zeros(0, np.uint64), ends
+    return names_of(words), ends
 
 
 def phrase_hits(numbers: np.ndarray, ends: np.ndarray, phrases: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +80,7 @@ def remove_repeated(
     def locate(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
         wanted = np.sort(rows["anchor"].to_numpy().view(np.uint64))
         coded, ends = words_of(table["text"].combine_chunks())
-        names, _ = word_symbols(table["text"].combine_chunks())
+        names = names_of(coded)
         number = coded.indices.to_numpy().astype(np.int64) + 1
         runs = grown(names, 1, k)
         confirmed = np.flatnonzero(np.isin(runs, wanted)) if len(wanted) else np.zeros(0, np.int64)

@@ -168,8 +168,11 @@ def segment_table(block: int, table: pa.Table, names: np.ndarray, ends: np.ndarr
     )
 
 
-def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``doc0, at0``: the first place of each key, by document and then place. Combines map-side."""
+def first_of(rows: DataFrame, keys: list[str], same_doc: bool) -> DataFrame:
+    """``doc0`` and, if places within a document count, ``at0``: the first place of each key, by
+    document and then place. Combines map-side."""
+    if not same_doc:
+        return rows.groupBy(*keys).agg(F.min("doc").alias("doc0"))
     return (
         rows.groupBy(*keys, "doc").agg(F.min("at").alias("at"))
         .groupBy(*keys).agg(F.min("doc").alias("doc0"), F.min_by("at", "doc").alias("at0"))
@@ -183,14 +186,16 @@ def covered(blocks: DataFrame, located: DataFrame, folder: str, symbols: Symbols
     smaller id.
     """
     key = ["anchor", "h0", "h1", "n"]
-    classes = stage(first_of(located, key), "classes")
-    mixed = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
+    classes = first_of(located, key, same_doc)
+    kinds = stage(classes, "classes")
+    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     earlier = F.col("doc") > F.col("doc0")
     if same_doc:
         earlier = earlier | ((F.col("doc") == F.col("doc0")) & (F.col("at") > F.col("at0")))
-    judged = located.join(classes, key)
-    whole = judged.where(earlier).select("block", "row", "at", "n")
-    open_ = judged.where(~earlier).join(mixed, "anchor", "left_semi").select("block", "row", "at", "n")
+    judged = located.join(kinds.join(mixed, "anchor", "left"), key).select("block", "row", "at", "n", earlier.alias("gone"), "kinds")
+    judged = stage(judged.where("gone OR kinds IS NOT NULL").drop("kinds"), "judged")
+    whole = judged.where("gone").drop("gone")
+    open_ = judged.where("NOT gone").drop("gone")
 
     def windows(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("row", "ascending"), ("at", "ascending")])
@@ -225,7 +230,7 @@ def covered(blocks: DataFrame, located: DataFrame, folder: str, symbols: Symbols
         )
 
     pairs = stage(by_block(blocks, open_, folder, windows, ["row", "at", "n"], WINDOWS), "windows")
-    single = pairs.join(first_of(pairs, ["h0", "h1"]), ["h0", "h1"]).where(earlier)
+    single = pairs.join(first_of(pairs, ["h0", "h1"], same_doc), ["h0", "h1"]).where(earlier)
     return stage(whole.unionByName(single.select("block", "row", "at", F.lit(1).alias("n"))), "covered")
 
 
