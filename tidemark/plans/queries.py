@@ -41,14 +41,14 @@ def r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
-def one(name: str, view: str, columns: dict[str, tuple[Column, str]], where: tuple[str, str] | None = None, keep: str = "") -> None:
+def one(name: str, view: str, columns: dict[str, tuple[Callable[[], Column], str]], where: tuple[str, str] | None = None, keep: str = "") -> None:
     """Register a projection given per column as (Spark, SQL)."""
 
     def run(t: Tables) -> DataFrame:
         df = getattr(t, view)
         if where:
             df = df.where(where[0])
-        return df.select(*keep.split(), *[c.alias(n) for n, (c, _) in columns.items()])
+        return df.select(*keep.split(), *[c().alias(n) for n, (c, _) in columns.items()])
 
     parts = [*keep.split(), *[f"{s} AS {n}" for n, (_, s) in columns.items()]]
     query(name, f"SELECT {', '.join(parts)} FROM {view}" + (f" WHERE {where[1]}" if where else ""))(run)
@@ -150,7 +150,7 @@ def _(t):
 def feeds(t: Tables) -> DataFrame:
     """One nested feed per order, as text."""
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_returnflag")
-    inning = F.struct(C("l_linenumber").alias("num"), C("l_quantity").cast("int").cast("string").alias("away_runs"), F.lit("0").alias("home_runs"))
+    inning = F.struct(C("l_linenumber").alias("num"), F.format_string("%02d", C("l_quantity").cast("int")).alias("away_runs"), F.lit("0").alias("home_runs"))
     player = F.struct(C("l_suppkey").cast("string").alias("key"), F.struct(C("l_suppkey").alias("id"), (C("l_returnflag") == "A").cast("int").alias("started")).alias("value"))
     per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(inning)).alias("innings"), F.collect_list(player).alias("players"))
     per = per.withColumn("players", F.map_from_entries(F.transform(F.array_distinct(F.transform("players", lambda p: p["key"])), lambda k: F.filter("players", lambda p: p["key"] == k)[0])))
@@ -340,8 +340,8 @@ def _(t):
     return quality.target_report(t.cust_y, "y", "game")
 
 
-one("b17_whole_number_runs", "hist", {"runs": (X.as_int(F.when(C("gid") % 4 == 0, "1.5").otherwise((C("gid") % 9 - 1).cast("string"))), "CASE WHEN gid % 4 = 0 THEN NULL ELSE gid % 9 - 1 END")}, ("gid % 4 <> 0 AND gid % 9 >= 1", "gid % 4 <> 0 AND gid % 9 >= 1"), "gid")
-one("b18_valid_probability", "pred", {"valid": (X.probability(F.when(C("event_id") % 13 == 0, F.lit("NaN").cast("double")).when(C("event_id") % 17 == 0, 1.5).otherwise(C("p"))), "event_id % 13 <> 0 AND event_id % 17 <> 0")}, None, "event_id")
+one("b17_whole_number_runs", "hist", {"runs": (lambda: X.as_int(F.when(C("gid") % 4 == 0, "1.5").otherwise((C("gid") % 9 - 1).cast("string"))), "CASE WHEN gid % 4 = 0 THEN NULL ELSE gid % 9 - 1 END")}, ("gid % 4 <> 0 AND gid % 9 >= 1", "gid % 4 <> 0 AND gid % 9 >= 1"), "gid")
+one("b18_valid_probability", "pred", {"valid": (lambda: X.probability(F.when(C("event_id") % 13 == 0, F.lit("NaN").cast("double")).when(C("event_id") % 17 == 0, 1.5).otherwise(C("p"))), "event_id % 13 <> 0 AND event_id % 17 <> 0")}, None, "event_id")
 
 # ---- projections and predicates -----------------------------------------------------------------
 
@@ -418,11 +418,11 @@ def _(t):
     return t.grades.where(latest.since("graded_at", now(), 10)).select("event_id")
 
 
-one("c11_null_safe_label", "hist", {"y": (F.when(C("x_null") > 200000, 1).otherwise(0), "CAST(CASE WHEN x_null > 200000 THEN 1 ELSE 0 END AS INTEGER)")}, None, "gid")
-one("c12_event_classes", "pitch", {"hit": (C("event").isin("A", "R").cast("int"), "CAST(event IN ('A', 'R') AS INTEGER)"), "walk": ((C("event") == "N").cast("int"), "CAST(event = 'N' AS INTEGER)")}, None, "game inning")
-one("c13_pattern_flag", "part_dim", {"hit": ((C("name").like("%red%") | C("brand").isin("Brand#1", "Brand#2")).cast("int"), "CAST(name LIKE '%red%' OR brand IN ('Brand#1', 'Brand#2') AS INTEGER)")}, None, "venue")
-one("c14_null_preserving_indicator", "hist", {"big": (X.indicator(C("x_null"), C("x_null") > 200000), "CASE WHEN x_null IS NULL THEN NULL WHEN x_null > 200000 THEN CAST(1 AS DOUBLE) ELSE 0 END")}, None, "gid")
-one("c15_row_delta", "pitch", {"delta": (r(C("post") - C("pre"), 4), "round(post - pre, 4)")}, None, "game inning")
+one("c11_null_safe_label", "hist", {"y": (lambda: F.when(C("x_null") > 200000, 1).otherwise(0), "CAST(CASE WHEN x_null > 200000 THEN 1 ELSE 0 END AS INTEGER)")}, None, "gid")
+one("c12_event_classes", "pitch", {"hit": (lambda: C("event").isin("A", "R").cast("int"), "CAST(event IN ('A', 'R') AS INTEGER)"), "walk": (lambda: (C("event") == "N").cast("int"), "CAST(event = 'N' AS INTEGER)")}, None, "game inning")
+one("c13_pattern_flag", "part_dim", {"hit": (lambda: (C("name").like("%red%") | C("brand").isin("Brand#1", "Brand#2")).cast("int"), "CAST(name LIKE '%red%' OR brand IN ('Brand#1', 'Brand#2') AS INTEGER)")}, None, "venue")
+one("c14_null_preserving_indicator", "hist", {"big": (lambda: X.indicator(C("x_null"), C("x_null") > 200000), "CASE WHEN x_null IS NULL THEN NULL WHEN x_null > 200000 THEN CAST(1 AS DOUBLE) ELSE 0 END")}, None, "gid")
+one("c15_row_delta", "pitch", {"delta": (lambda: r(C("post") - C("pre"), 4), "round(post - pre, 4)")}, None, "game inning")
 
 
 def feat(t: Tables) -> DataFrame:
@@ -460,10 +460,10 @@ WINDOW = """FROM requests r LEFT JOIN hist h ON h.k = r.k AND h.d < r.d {0} GROU
 
 
 @query("d01_asof_features", """SELECT r.rid, count(h.k) FILTER (WHERE h.d >= r.d - 365) AS rows_365, round(sum(h.x) FILTER (WHERE h.d >= r.d - 365), 2) AS x_365,
-   count(h.x_null) AS seen, round(sum(h.x) / count(h.x), 4) AS mean_all, max(h.d) AS prev_day """ + WINDOW.format(""))
+   count(h.x_null) AS seen, round(sum(h.x) / count(h.x), 6) AS mean_all, max(h.d) AS prev_day """ + WINDOW.format(""))
 def _(t):
     f = A.asof(t.hist, t.requests, "k", "d", ["x", "x_null"], (365,))
-    return f.select("rid", F.coalesce("365d_rows", F.lit(0)).cast("long").alias("rows_365"), r("365d_x", 2).alias("x_365"), F.coalesce("all_x_null_n", F.lit(0)).alias("seen"), r(A.per_observation(C("all_x"), C("all_x_n")), 4).alias("mean_all"), "prev_day")
+    return f.select("rid", F.coalesce("365d_rows", F.lit(0)).cast("long").alias("rows_365"), r("365d_x", 2).alias("x_365"), F.coalesce("all_x_null_n", F.lit(0)).alias("seen"), r(A.per_observation(C("all_x"), C("all_x_n"))).alias("mean_all"), "prev_day")
 
 
 @query("d02_two_roles", """WITH g AS (SELECT gid AS rid, k AS away, (k + 7) % 1500 AS home, d FROM hist WHERE gid % 5 = 0)
@@ -587,7 +587,7 @@ def _(t):
     return joined.select("game", C("market_reason").alias("reason"))
 
 
-@query("e01_windowed_sums", "SELECT r.rid, round(sum(coalesce(h.x_null, 0)), 2) AS total, CASE WHEN count(h.x_null) > 0 THEN count(h.x_null) END AS seen " + WINDOW.format("AND h.d >= r.d - 90"))
+@query("e01_windowed_sums", "SELECT r.rid, CASE WHEN count(h.k) > 0 THEN round(sum(coalesce(h.x_null, 0)), 2) END AS total, CASE WHEN count(h.x_null) > 0 THEN count(h.x_null) END AS seen " + WINDOW.format("AND h.d >= r.d - 90"))
 def _(t):
     return A.asof(t.hist, t.requests, "k", "d", ["x_null"], (90,), False).select("rid", r("90d_x_null", 2).alias("total"), C("90d_x_null_n").alias("seen"))
 
@@ -604,10 +604,10 @@ def _(t):
     return f.select("rid", r(A.ratio(C("all_x") + C("all_x_null"), C("all_x"))).alias("ratio"))
 
 
-@query("e04_mean_of_observed", "SELECT r.rid, round(avg(h.x_null), 4) AS mean " + WINDOW.format(""))
+@query("e04_mean_of_observed", "SELECT r.rid, round(avg(h.x_null), 6) AS mean " + WINDOW.format(""))
 def _(t):
     f = A.asof(t.hist, t.requests, "k", "d", ["x_null"])
-    return f.select("rid", r(A.per_observation(C("all_x_null"), C("all_x_null_n")), 4).alias("mean"))
+    return f.select("rid", r(A.per_observation(C("all_x_null"), C("all_x_null_n"))).alias("mean"))
 
 
 @query("e05_rows_and_observed", "SELECT r.rid, CASE WHEN count(h.k) > 0 THEN count(h.k) END AS n_rows, CASE WHEN count(h.x_null) > 0 THEN count(h.x_null) END AS n_seen " + WINDOW.format(""))
@@ -704,8 +704,8 @@ def _(t):
     return t.pred.agg(F.count_if(C("tier") == "click").alias("ok"), F.count_if(C("tier") == "error").alias("blocked"), F.count_if(~C("tier").isin("click", "error")).alias("degraded"))
 
 
-one("e21_brier", "grades", {"brier": (r(X.brier(C("p"), C("y"))), f"round({BRIER}, 6)")}, None, "event_id")
-one("e22_log_loss", "grades", {"log_loss": (r(X.log_loss(C("p"), C("y"))), f"round({LOSS}, 6)")}, None, "event_id")
+one("e21_brier", "grades", {"brier": (lambda: r(X.brier(C("p"), C("y"))), f"round({BRIER}, 6)")}, None, "event_id")
+one("e22_log_loss", "grades", {"log_loss": (lambda: r(X.log_loss(C("p"), C("y"))), f"round({LOSS}, 6)")}, None, "event_id")
 
 
 @query("e23_roc_auc", """WITH s AS (SELECT p, y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rk FROM grades)
@@ -854,23 +854,23 @@ def _(t):
 # ---- scalar functions ---------------------------------------------------------------------------
 
 AM = "CASE WHEN price > 0 THEN 100 / (price + 100) WHEN price < 0 THEN abs(price) / (abs(price) + 100) END"
-one("i01_american_probability", "snap", {"prob": (r(X.american_probability(C("price"))), f"round({AM}, 6)")}, None, "event_id")
-one("i02_no_vig", "snap", {"p_novig": (r(X.no_vig(X.american_probability(C("price")), X.american_probability(C("under")))), f"round(({AM}) / (({AM}) + CAST(110 AS DOUBLE) / 210), 6)")}, None, "event_id")
-one("i03_snapshot_id", "snap", {"sid": (X.snapshot_id(C("event_id"), C("book"), F.date_trunc("SECOND", C("captured_at").cast("timestamp"))), "sha1(CAST(event_id AS VARCHAR) || '|' || book || '|' || strftime(captured_at, '%Y-%m-%dT%H:%M:%S') || '+00:00')")}, None, "event_id")
-one("i04_as_utc", "hist", {"day": (X.as_utc(F.concat(C("d").cast("string"), F.lit("T00:00:00"))).cast("date"), "d")}, None, "gid")
-one("i05_as_date", "hist", {"day": (X.as_date(F.when(C("gid") % 5 == 0, "none").otherwise(F.concat(C("d").cast("string"), F.lit("T12:00")))), "CASE WHEN gid % 5 = 0 THEN NULL ELSE d END")}, None, "gid")
-one("i06_safe_numbers", "hist", {"whole": (X.as_int(F.when(C("gid") % 5 == 0, "x").otherwise(C("gid").cast("string"))), "CASE WHEN gid % 5 = 0 THEN NULL ELSE gid END"), "number": (X.as_double(F.when(C("gid") % 7 == 0, "NaN").otherwise(C("gid").cast("string"))), "CASE WHEN gid % 7 = 0 THEN NULL ELSE CAST(gid AS DOUBLE) END")}, None, "gid")
-one("i07_season_week", "hist", {"season": (X.season(C("d")).cast("long"), "year(d)"), "week": (X.iso_week(C("d")).cast("long"), "weekofyear(d)")}, None, "gid")
-one("i08_wind_out", "hist", {"wind": (r(X.wind_out(C("x") / 10000, C("gid") % 360, F.lit(45.0))), "round(x / 10000 * cos(radians(gid % 360 - CAST(45 AS DOUBLE))), 6)")}, None, "gid")
-one("i09_weather_missing", "hist", {"missing": (X.weather_missing(C("gid") % 3 == 0, [C("x_null")]), "CASE WHEN gid % 3 = 0 THEN CAST(0 AS DOUBLE) WHEN x_null IS NULL THEN 1 ELSE 0 END")}, None, "gid")
-one("i10_shrink", "pred", {"p_final": (r(X.shrink_to_group(C("p"), F.when(C("event_id") % 3 != 0, F.lit(0.4)), (C("event_id") % 50).cast("double"))), "round(CASE WHEN event_id % 3 <> 0 THEN (CAST(event_id % 50 AS DOUBLE) * p + 20 * CAST(0.4 AS DOUBLE)) / (CAST(event_id % 50 AS DOUBLE) + 20) ELSE p END, 6)")}, None, "event_id")
-one("i11_effective_rows", "hist", {"n_eff": (r(X.effective_rows(F.when(C("gid") % 2 == 0, (C("gid") % 100).cast("double")), F.when(C("gid") % 3 == 0, (C("gid") % 70).cast("double")), F.lit(0.9))), "round(least(coalesce(least(CASE WHEN gid % 2 = 0 THEN CAST(gid % 100 AS DOUBLE) END, CASE WHEN gid % 3 = 0 THEN CAST(gid % 70 AS DOUBLE) END), 0), 60) * CAST(0.9 AS DOUBLE), 6)")}, None, "gid")
-one("i12_edge", "pred", {"edge": (r(X.edge(C("p"), F.lit(0.5), C("event_id") % 2 == 0)), "CASE WHEN event_id % 2 = 0 THEN round(p - 0.5, 6) END")}, None, "event_id")
-one("i13_market_reason", "snap", {"reason": (X.market_reason(F.when(C("event_id") % 7 != 0, C("p")), C("event_id") % 4, F.when(C("event_id") % 5 != 0, C("event_id") % 1300 - 100)), "CASE WHEN event_id % 7 = 0 THEN 'no_market_consensus' WHEN event_id % 4 < 2 THEN 'books_' || (event_id % 4) || '_below_2' WHEN event_id % 5 = 0 THEN 'odds_age_unknown' WHEN event_id % 1300 - 100 < 0 THEN 'odds_timestamp_in_future' WHEN event_id % 1300 - 100 > 600 THEN 'odds_stale_' || (event_id % 1300 - 100) || 's' END")}, None, "event_id")
-one("i14_coverage_reason", "pred", {"reason": (X.coverage_reason(C("p")), "CASE WHEN p < 0.85 THEN printf('coverage_%.2f_below_0.85', p) END")}, None, "event_id")
-one("i15_tier", "pred", {"level": (X.tier(F.when(C("event_id") % 3 == 0, "BLOCKED").otherwise("OK"), C("event_id") % 2 == 0, C("p"), C("event_id") % 4), "CASE WHEN event_id % 3 = 0 THEN 'LOW' WHEN event_id % 2 = 0 AND p >= 0.95 AND event_id % 4 >= 2 THEN 'HIGH' ELSE 'MEDIUM' END")}, None, "event_id")
-one("i16_closing_value", "grades", {"value": (r(X.closing_value(C("p") - 0.5, F.when(C("event_id") % 4 != 0, F.lit(0.55)), F.lit(0.5))), "CASE WHEN event_id % 4 <> 0 THEN round((CASE WHEN p - 0.5 >= 0 THEN 1 ELSE -1 END) * (CAST(0.55 AS DOUBLE) - 0.5), 6) END")}, None, "event_id")
-one("i17_display", "pred", {"percent": (X.display_percent(C("p")), "round(CAST(100 AS DOUBLE) * (1 - p), 1)")}, None, "event_id")
+one("i01_american_probability", "snap", {"prob": (lambda: r(X.american_probability(C("price"))), f"round({AM}, 6)")}, None, "event_id")
+one("i02_no_vig", "snap", {"p_novig": (lambda: r(X.no_vig(X.american_probability(C("price")), X.american_probability(C("under")))), f"round(({AM}) / (({AM}) + CAST(110 AS DOUBLE) / 210), 6)")}, None, "event_id")
+one("i03_snapshot_id", "snap", {"sid": (lambda: X.snapshot_id(C("event_id"), C("book"), F.date_trunc("SECOND", C("captured_at").cast("timestamp"))), "sha1(CAST(event_id AS VARCHAR) || '|' || book || '|' || strftime(captured_at, '%Y-%m-%dT%H:%M:%S') || '+00:00')")}, None, "event_id")
+one("i04_as_utc", "hist", {"day": (lambda: X.as_utc(F.concat(C("d").cast("string"), F.lit("T00:00:00"))).cast("date"), "d")}, None, "gid")
+one("i05_as_date", "hist", {"day": (lambda: X.as_date(F.when(C("gid") % 5 == 0, "none").otherwise(F.concat(C("d").cast("string"), F.lit("T12:00")))), "CASE WHEN gid % 5 = 0 THEN NULL ELSE d END")}, None, "gid")
+one("i06_safe_numbers", "hist", {"whole": (lambda: X.as_int(F.when(C("gid") % 5 == 0, "x").otherwise(C("gid").cast("string"))), "CASE WHEN gid % 5 = 0 THEN NULL ELSE gid END"), "number": (lambda: X.as_double(F.when(C("gid") % 7 == 0, "NaN").otherwise(C("gid").cast("string"))), "CASE WHEN gid % 7 = 0 THEN NULL ELSE CAST(gid AS DOUBLE) END")}, None, "gid")
+one("i07_season_week", "hist", {"season": (lambda: X.season(C("d")).cast("long"), "year(d)"), "week": (lambda: X.iso_week(C("d")).cast("long"), "weekofyear(d)")}, None, "gid")
+one("i08_wind_out", "hist", {"wind": (lambda: r(X.wind_out(C("x") / 10000, C("gid") % 360, F.lit(45.0)) + 100), "round(x / 10000 * cos(radians(gid % 360 - CAST(45 AS DOUBLE))) + 100, 6)")}, None, "gid")
+one("i09_weather_missing", "hist", {"missing": (lambda: X.weather_missing(C("gid") % 3 == 0, [C("x_null")]), "CASE WHEN gid % 3 = 0 THEN CAST(0 AS DOUBLE) WHEN x_null IS NULL THEN 1 ELSE 0 END")}, None, "gid")
+one("i10_shrink", "pred", {"p_final": (lambda: r(X.shrink_to_group(C("p"), F.when(C("event_id") % 3 != 0, F.lit(0.4)), (C("event_id") % 50).cast("double"))), "round(CASE WHEN event_id % 3 <> 0 THEN (CAST(event_id % 50 AS DOUBLE) * p + 20 * CAST(0.4 AS DOUBLE)) / (CAST(event_id % 50 AS DOUBLE) + 20) ELSE p END, 6)")}, None, "event_id")
+one("i11_effective_rows", "hist", {"n_eff": (lambda: r(X.effective_rows(F.when(C("gid") % 2 == 0, (C("gid") % 100).cast("double")), F.when(C("gid") % 3 == 0, (C("gid") % 70).cast("double")), F.lit(0.9))), "round(least(coalesce(least(CASE WHEN gid % 2 = 0 THEN CAST(gid % 100 AS DOUBLE) END, CASE WHEN gid % 3 = 0 THEN CAST(gid % 70 AS DOUBLE) END), 0), 60) * CAST(0.9 AS DOUBLE), 6)")}, None, "gid")
+one("i12_edge", "pred", {"edge": (lambda: r(X.edge(C("p"), F.lit(0.5), C("event_id") % 2 == 0)), "CASE WHEN event_id % 2 = 0 THEN round(p - 0.5, 6) END")}, None, "event_id")
+one("i13_market_reason", "snap", {"reason": (lambda: X.market_reason(F.when(C("event_id") % 7 != 0, C("p")), C("event_id") % 4, F.when(C("event_id") % 5 != 0, C("event_id") % 1300 - 100)), "CASE WHEN event_id % 7 = 0 THEN 'no_market_consensus' WHEN event_id % 4 < 2 THEN 'books_' || (event_id % 4) || '_below_2' WHEN event_id % 5 = 0 THEN 'odds_age_unknown' WHEN event_id % 1300 - 100 < 0 THEN 'odds_timestamp_in_future' WHEN event_id % 1300 - 100 > 600 THEN 'odds_stale_' || (event_id % 1300 - 100) || 's' END")}, None, "event_id")
+one("i14_coverage_reason", "pred", {"reason": (lambda: X.coverage_reason(C("p")), "CASE WHEN p < 0.85 THEN printf('coverage_%.2f_below_0.85', p) END")}, None, "event_id")
+one("i15_tier", "pred", {"level": (lambda: X.tier(F.when(C("event_id") % 3 == 0, "BLOCKED").otherwise("OK"), C("event_id") % 2 == 0, C("p"), C("event_id") % 4), "CASE WHEN event_id % 3 = 0 THEN 'LOW' WHEN event_id % 2 = 0 AND p >= 0.95 AND event_id % 4 >= 2 THEN 'HIGH' ELSE 'MEDIUM' END")}, None, "event_id")
+one("i16_closing_value", "grades", {"value": (lambda: r(X.closing_value(C("p") - 0.5, F.when(C("event_id") % 4 != 0, F.lit(0.55)), F.lit(0.5))), "CASE WHEN event_id % 4 <> 0 THEN round((CASE WHEN p - 0.5 >= 0 THEN 1 ELSE -1 END) * (CAST(0.55 AS DOUBLE) - 0.5), 6) END")}, None, "event_id")
+one("i17_display", "pred", {"percent": (lambda: X.display_percent(C("p")), "round(CAST(100 AS DOUBLE) * (1 - p), 1)")}, None, "event_id")
 
 
 @query("i18_score_status", """SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR p < 0.85 THEN 'BLOCKED' WHEN event_id % 3 = 0 THEN 'DEGRADED' ELSE 'OK' END AS status,
@@ -880,7 +880,7 @@ def _(t):
     return t.pred.select("event_id", s.alias("s")).select("event_id", "s.status", "s.reason")
 
 
-one("i19_clip", "grades", {"clipped": (r(X.clip(C("p")), 9), f"round({PC}, 9)")}, None, "event_id")
+one("i19_clip", "grades", {"clipped": (lambda: r(X.clip(C("p")), 9), f"round({PC}, 9)")}, None, "event_id")
 
 
 @query("i20_json_objects", "SELECT event_id, true AS kept, 'v' AS added FROM snap")
@@ -896,8 +896,8 @@ def _(t):
     return t.pred.select("event_id", F.get_json_object(out, "$.away.team").alias("team"), F.get_json_object(out, "$.away.odds.level").alias("level"))
 
 
-one("i22_clean_name", "part_dim", {"label": (X.clean_name(F.when(C("venue") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), F.upper("name"))), C("brand")), "lower(CASE WHEN venue % 4 = 0 THEN brand ELSE name END)")}, None, "venue")
-one("i23_time_fallback", "snap", {"hour": (F.hour(F.coalesce(F.when(C("event_id") % 2 == 0, C("captured_at")), F.date_trunc("DAY", C("captured_at")))).cast("long"), "CASE WHEN event_id % 2 = 0 THEN hour(captured_at) ELSE 0 END")}, None, "event_id")
+one("i22_clean_name", "part_dim", {"label": (lambda: X.clean_name(F.when(C("venue") % 4 == 0, "  ").otherwise(F.concat(F.lit(" "), F.upper("name"))), C("brand")), "lower(CASE WHEN venue % 4 = 0 THEN brand ELSE name END)")}, None, "venue")
+one("i23_time_fallback", "snap", {"hour": (lambda: F.hour(F.coalesce(F.when(C("event_id") % 2 == 0, C("captured_at")), F.date_trunc("DAY", C("captured_at")))).cast("long"), "CASE WHEN event_id % 2 = 0 THEN hour(captured_at) ELSE 0 END")}, None, "event_id")
 
 # ---- streaming, replayed over the stored events -------------------------------------------------
 
@@ -1145,10 +1145,10 @@ def _(t):
     return s.select("game", "status", r("edge").alias("edge"))
 
 
-@query("n04_grade_date", f"SELECT game, p, y, round({BRIER}, 6) AS brier, round({LOSS}, 6) AS log_loss, CASE WHEN p_close IS NOT NULL THEN round((CASE WHEN p - 0.5 >= 0 THEN 1 ELSE -1 END) * (p_close - 0.5), 6) END AS clv FROM {GRADED} g")
+@query("n04_grade_date", f"SELECT game, p, y, round({BRIER}, 6) AS brier, round({LOSS}, 6) AS log_loss, CASE WHEN p_close IS NOT NULL THEN round((CASE WHEN p - 0.5 >= 0 THEN 1 ELSE -1 END) * (p_close - 0.5) + 1, 6) END AS clv_plus_1 FROM {GRADED} g")
 def _(t):
     g = grading.with_closing_value(graded(t).withColumns({"market": F.lit(0.5), "edge": C("p") - 0.5}), "market", "edge")
-    return g.select("game", "p", "y", r("brier").alias("brier"), r("log_loss").alias("log_loss"), r("clv").alias("clv"))
+    return g.select("game", "p", "y", r("brier").alias("brier"), r("log_loss").alias("log_loss"), r(C("clv") + 1).alias("clv_plus_1"))
 
 
 @query("n05_train_candidate")
