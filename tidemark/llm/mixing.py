@@ -49,7 +49,8 @@ def invert_demand(share: Column, knots: Knots) -> Column:
             continue
         c = share * F.lit(total) - F.lit(done)
         slope = (b - a) / (t1 - t0)
-        t = F.lit(t0) + F.lit(2.0) * c / (F.lit(a) + F.sqrt(F.lit(a * a) + F.lit(2.0 * slope) * c))
+        root = F.lit(a) + F.sqrt(F.greatest(F.lit(a * a) + F.lit(2.0 * slope) * c, F.lit(0.0)))
+        t = F.when(c > 0, F.lit(t0) + F.lit(2.0) * c / root).otherwise(F.lit(t0))
         done += part
         here = share * F.lit(total) <= F.lit(done)
         out = F.when(here, t) if out is None else out.when(here, t)
