@@ -52,26 +52,43 @@ def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return names_of(words), ends
 
 
-def phrase_hits(numbers: np.ndarray, ends: np.ndarray, phrases: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    """Start and phrase number of every occurrence of ``phrases`` in documents of word numbers."""
+#: Symbols that one place of a word's code may take. A node of the automaton searches its branches in
+#: turn, so words are spelt in few symbols rather than being one of very many.
+BASE = 128
+
+
+def spelt(numbers: np.ndarray, places: int) -> str:
+    """Word numbers as text: ``places`` characters each, from an alphabet of their own per place."""
+    digits = np.stack([numbers // BASE**i % BASE + BASE * i for i in range(places)], axis=1)
+    return digits.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def phrase_hits(numbers: np.ndarray, ends: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and phrase number of every occurrence of ``phrases`` (rows of word numbers) in documents."""
     import ahocorasick
 
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, phrase in enumerate(phrases):
-        automaton.add_word(phrase, i)
+    top = int(max(numbers.max(initial=0), phrases.max(initial=0)))
+    places = 1
+    while BASE**places <= top:
+        places += 1
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    width = phrases.shape[1] * places
+    text = spelt(phrases.ravel(), places)
+    for i in range(len(phrases)):
+        automaton.add_word(text[i * width : (i + 1) * width], i)
     automaton.make_automaton()
-    size, at, which, begin = len(phrases[0]), [], [], 0
+    at, which, begin = [], [], 0
     for end in ends.tolist():
-        if end - begin >= size:
-            for last, i in automaton.iter(tuple(numbers[begin:end].tolist())):
-                at.append(begin + last - size + 1)
+        if end - begin >= phrases.shape[1]:
+            for last, i in automaton.iter(spelt(numbers[begin:end], places)):
+                at.append(begin + (last + 1 - width) // places)
                 which.append(i)
         begin = end
     return np.array(at, np.int64), np.array(which, np.int64)
 
 
 def remove_repeated(
-    docs: DataFrame, words: int = 50, phrase: int = 16, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = 50, phrase: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_text, kept_sha256``."""
     k, w = phrase, words
@@ -81,7 +98,7 @@ def remove_repeated(
         wanted = np.sort(rows["anchor"].to_numpy().view(np.uint64))
         coded, ends = words_of(table["text"].combine_chunks())
         names = names_of(coded)
-        number = coded.indices.to_numpy().astype(np.int64) + 1
+        number = coded.indices.to_numpy().astype(np.int64)
         runs = grown(names, 1, k)
         confirmed = np.flatnonzero(np.isin(runs, wanted)) if len(wanted) else np.zeros(0, np.int64)
         doc = np.searchsorted(ends, confirmed, side="right")
@@ -89,7 +106,7 @@ def remove_repeated(
         if not len(confirmed):
             return segment_table(block, table, names[:0], np.zeros(len(ends), np.int64), k, w, None)
         phrases, example = np.unique(runs[confirmed], return_index=True)
-        at, which = phrase_hits(number, ends, [tuple(number[p : p + k].tolist()) for p in confirmed[example].tolist()])
+        at, which = phrase_hits(number, ends, number[confirmed[example][:, None] + np.arange(k)])
         hits = np.sort(at)
         hit_phrase = phrases[which[np.argsort(at, kind="stable")]]
 
