@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from statistics import median
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -25,7 +25,8 @@ from tidemark.operators import folds as fold_ops
 from tidemark.operators.metrics import baseline
 from tidemark.sources.io import ContractError
 
-Member = Callable[[Sequence[str], str], Estimator]
+#: ``member(features, label)``; boosted ones also take ``rounds`` for the refit on all rows.
+Member = Callable[..., Estimator]
 
 
 def _prepared(features: Sequence[str], *last) -> Pipeline:
@@ -42,8 +43,16 @@ def _prepared(features: Sequence[str], *last) -> Pipeline:
     ])
 
 
-def boosted_member(features: Sequence[str], label: str, rounds: int = 20) -> Estimator:
-    return _prepared(features, GBTClassifier(labelCol=label, featuresCol="_x", stepSize=0.05, maxDepth=6, maxIter=rounds, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42))
+def boosted_member(features: Sequence[str], label: str, rounds: int | None = None, most: int = 30) -> Estimator:
+    """Boosted trees. Without ``rounds`` a tenth of the rows, by hash, stops the boosting early."""
+    from pyspark.ml.feature import SQLTransformer
+
+    trees = GBTClassifier(labelCol=label, featuresCol="_x", stepSize=0.05, maxDepth=6, maxIter=rounds or most, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+    if rounds:
+        return _prepared(features, trees)
+    trees.setValidationIndicatorCol("_held").setParams(validationTol=1e-6)
+    held = SQLTransformer(statement=f"SELECT *, pmod(xxhash64({', '.join(features)}), 10) = 0 AS _held FROM __THIS__")
+    return _prepared(features, held, trees)
 
 
 def linear_member(features: Sequence[str], label: str, strength: float = 0.01) -> Estimator:
@@ -70,8 +79,17 @@ def observed(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [c for c in features if seen[c]]
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, key: str, members: dict[str, Member], config: EngineConfig = DEFAULT) -> DataFrame:
-    """``key, label, fold`` and one score column per member, for validation rows of every fold."""
+def rounds_of(model: PipelineModel) -> int | None:
+    """Trees of a boosted model, null for others."""
+    last = model.stages[-1]
+    return last.getNumTrees if isinstance(last, GBTClassificationModel) else None
+
+
+def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, key: str, members: dict[str, Member], config: EngineConfig = DEFAULT, rounds: dict[str, list[int]] | None = None) -> DataFrame:
+    """``key, label, fold`` and one score column per member, for validation rows of every fold.
+
+    ``rounds``, if given, gathers the boosting rounds of each member and fold.
+    """
     placed = fold_ops.positions(df, day, key)
     table = fold_ops.fold_table(placed, day, config).orderBy("fold").collect()  # one row per fold
     if not table:
@@ -85,7 +103,10 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
         names = observed(train, features)
         scored = check.select(key, label, F.lit(f["fold"]).alias("fold"))
         for name, member in members.items():
-            scored = scored.join(_scored(member(names, label).fit(train), check, [key], name), key)
+            model = member(names, label).fit(train)
+            if rounds is not None and rounds_of(model):
+                rounds.setdefault(name, []).append(rounds_of(model))
+            scored = scored.join(_scored(model, check, [key], name), key)
         train.unpersist()
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -113,7 +134,8 @@ def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str
     """Fit the stack; returns models, out-of-fold scores, report, kept members and the gate."""
     members = dict(members or MEMBERS)
     everyone = members | (candidates or {})
-    oof = out_of_fold(df, features, label, day, key, everyone, config).cache()
+    rounds: dict[str, list[int]] = {}
+    oof = out_of_fold(df, features, label, day, key, everyone, config, rounds).cache()
     kept = list(members)
 
     def loss(names: Sequence[str]) -> float:
@@ -131,9 +153,10 @@ def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str
     rows = report(scores, label, [*everyone, "stack"]).collect()
     figures = {r["member"]: r.asDict() for r in rows}
     names = observed(df, features)
-    full = {m: everyone[m](names, label).fit(df) for m in kept}
+    more = {m: {"rounds": best_rounds(rounds[m])} if m in rounds else {} for m in kept}
+    full = {m: everyone[m](names, label, **more[m]).fit(df) for m in kept}
     gate = figures["stack"]["log_loss"] < figures["constant"]["log_loss"]
-    return {"members": full, "meta": meta, "oof": scores, "report": figures, "kept": kept, "ablation": ablation, "gate": gate, "features": names}
+    return {"members": full, "meta": meta, "oof": scores, "report": figures, "kept": kept, "ablation": ablation, "gate": gate, "features": names, "rounds": rounds}
 
 
 def best_rounds(counts: Sequence[int], default: int = 200) -> int:

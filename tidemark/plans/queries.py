@@ -999,7 +999,7 @@ def _(t):
 
     b = bundle(t)
     trees = b["members"]["boosted"].stages[-1].getNumTrees
-    return t.spark.createDataFrame([(trees, model.best_rounds([trees, trees]), model.best_rounds([]))], "trees int, median_rounds int, default_rounds int")
+    return t.spark.createDataFrame([(trees, model.best_rounds(b["rounds"]["boosted"]), model.best_rounds([]))], "trees int, median_rounds int, default_rounds int")
 
 
 @query("l04_optional_member")
