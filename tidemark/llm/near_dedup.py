@@ -30,10 +30,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stage
 from tidemark.llm.components import components
 from tidemark.llm.phrase_dedup import word_symbols
+from tidemark.llm.tokens import release
 from tidemark.llm.windows import grown, mix
 
 LOWEST = -(1 << 63)
 ROWS, BANDS = 5, 32
+#: Shingles that are compared at a time, which bounds the bit rows of a group.
+CHUNK_SHINGLES = 1 << 14
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -109,27 +112,27 @@ def verified_pairs(left: tuple, right: tuple | None, threshold: float, tolerance
     if not len(i):
         return i, j
     size, size2 = (np.diff(np.concatenate([[0], s[2]])) for s in (left, other))
-    names, number = np.unique(left[1] if right is None else np.concatenate([left[1], other[1]]), return_inverse=True)
+    names = left[1] if right is None else np.concatenate([left[1], other[1]])
+    names, number = np.unique(names, return_inverse=True)
     times = np.bincount(number, minlength=len(names))
-    rank = np.cumsum(times > 1) - 1
-    width = -(-int((times > 1).sum()) // 64) or 1
-
-    def bits(numbers: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        row = np.searchsorted(ends, np.arange(len(numbers)), side="right")
-        some = times[numbers] > 1
-        row, place = row[some], rank[numbers[some]]
-        out = np.zeros((len(ends), width), np.uint64)
-        np.bitwise_or.at(out, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-        return out
-
-    own = bits(number[: len(left[1])], left[2])
-    theirs = own if right is None else bits(number[len(left[1]) :], other[2])
-    good = np.zeros(len(i), bool)
-    block = max(1, (4 << 20) // (8 * width))
-    for a in range(0, len(i), block):
-        x, y = i[a : a + block], j[a : a + block]
-        both = np.bitwise_count(own[x] & theirs[y]).sum(axis=1).astype(np.int64)
-        good[a : a + block] = both >= threshold * (size[x] + size2[y] - both) - 1e-9
+    place = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]  # shingles of one set match none
+    row = np.repeat(np.arange(len(size)), size)
+    sides = [(row[at >= 0], at[at >= 0]) for at in [place[: len(left[1])]]]
+    if right is not None:
+        row, at = np.repeat(np.arange(len(size2)), size2), place[len(left[1]) :]
+        sides.append((row[at >= 0], at[at >= 0]))
+    both = np.zeros(len(i), np.int64)
+    for begin in range(0, int((times > 1).sum()), CHUNK_SHINGLES):  # bit rows over some shingles at a time
+        bits = []
+        for (row, at), n in zip(sides, (len(size), len(size2))):
+            here = (at >= begin) & (at < begin + CHUNK_SHINGLES)
+            r, p = row[here], at[here] - begin
+            out = np.zeros((n, CHUNK_SHINGLES // 64), np.uint64)
+            np.bitwise_or.at(out, (r, p >> 6), np.uint64(1) << (p & 63).astype(np.uint64))
+            bits.append(out)
+        for a in range(0, len(i), 4096):
+            both[a : a + 4096] += np.bitwise_count(bits[0][i[a : a + 4096]] & bits[-1][j[a : a + 4096]]).sum(axis=1, dtype=np.int64)
+    good = both >= threshold * (size[i] + size2[j] - both) - 1e-9
     return i[good], j[good]
 
 
@@ -185,6 +188,7 @@ def near_duplicates(
                      pa.ListArray.from_arrays(offsets, keys)],
                     names=["doc_id", "size", "s0", "s1", "keys"],
                 )
+        release()
 
     rows = stage(base.mapInArrow(sketch, "doc_id long, size long, s0 long, s1 long, keys array<long>"), "sketches")
     same = ["size", "s0", "s1"]

@@ -59,6 +59,7 @@ def cut_pieces(
                      pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        encoder.rest()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, PIECES)
 

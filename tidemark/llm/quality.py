@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import stage
 from tidemark.llm.phrase_dedup import words_of
+from tidemark.llm.tokens import release
 
 BUCKETS, DIM, SEED = 4096, 32, 20240229
 #: Words whose vectors are summed at once.
@@ -61,7 +62,7 @@ def word_codes(words: list[str]) -> np.ndarray:
     return out
 
 
-def _chunks(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def _chunks(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     length = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     cuts = np.flatnonzero(np.diff((np.cumsum(length) - length) // size)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(texts)]):
@@ -103,6 +104,7 @@ def context_table(docs: DataFrame, text_col: str = "text", fan_in: int = 16) ->
                     for j in (0, 1):
                         _sum_by(table, part[:, j], near)
         yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()], pa.binary())], names=["table"])
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2 * BUCKETS, DIM), np.int64)
@@ -145,6 +147,7 @@ def pooled(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(ends)), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "vector"]
                 )
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, vector array<float>")
 

@@ -79,6 +79,7 @@ def write_tokens(
                 sizes.append(lengths + 1)
                 whole = np.insert(ids, np.cumsum(lengths), end_id)
                 out.write(whole.astype("<u4" if wide else "<u2").tobytes())
+        encoder.rest()
         if out is None:
             return
         ids_of, sizes = pa.chunked_array(ids_of).combine_chunks(), np.concatenate(sizes)

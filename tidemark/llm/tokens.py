@@ -14,7 +14,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split at a time, and words kept per process.
-CHUNK_BYTES, MEMO_WORDS = 8 << 20, 900_000
+CHUNK_BYTES, MEMO_WORDS = 4 << 20, 400_000
+
+
+
+def release() -> None:
+    """Give back what a finished task has freed: Python workers stay, idle, beside their executor."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
+
 
 #: Punctuation that no contraction begins with; after letters it starts a token of its own.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -112,6 +125,12 @@ class WordMemo:
                 yield a, *self._chunk(texts.slice(a, b - a))
 
 
+    def rest(self) -> None:
+        """At a task's end: forget all words and give the memory back."""
+        self._clear()
+        release()
+
+
 def memo(path: str, most: int = MEMO_WORDS) -> WordMemo:
     """The process's memo for a vocabulary file."""
     if (path, most) not in _memos:
