@@ -9,7 +9,9 @@ the share of them in visited leaves reaches ``recall``.
 
 Leaves and the queries that visit them are dealt into groups of bounded size, so a leaf with a
 third of all vectors is many groups. Each group compares its queries with its vectors by one matrix
-product, keeps what may be among the nearest, and scores that in double precision.
+product, keeps what may be among the nearest, and scores that in double precision. A query's first
+leaves give it a floor, the score of its k-th nearest there; from all later leaves only vectors
+that reach the floor are returned, so what a query gathers hardly grows with its visits.
 
 Results in odd cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows of null id; rows of the query's own id are no
@@ -105,13 +107,14 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return total
 
 
-def nearest_of(q_id: int, q: np.ndarray, rough: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the ``k`` nearest of ``x``, ties to the smaller id."""
+def nearest_of(q_id: int, q: np.ndarray, rough: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the ``k`` nearest of ``x`` that reach ``floor``, ties to the smaller id."""
     rough = np.where(ids == q_id, -np.inf, rough)
     edge = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
     slack = 1e-9 * max(1.0, float(np.abs(rough[np.isfinite(rough)]).max(initial=0.0)))
-    some = np.flatnonzero((rough >= edge - slack) & (ids != q_id))
+    some = np.flatnonzero((rough >= max(edge, floor) - slack) & (ids != q_id))
     score = exact_scores(q, x[some])
+    some, score = some[score >= floor], score[score >= floor]
     order = np.lexsort((ids[some], -score))[:k]
     return ids[some][order], score[order]
 
@@ -129,10 +132,11 @@ def _compare(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     if len(queries) and len(vectors):
         q_ids, q = queries["query_id"].to_numpy(), _matrix(queries["q"])
         ids, x = vectors["vec_id"].to_numpy(), _matrix(vectors["v"])
+        floors = queries["floor"].to_numpy() if "floor" in queries.column_names else np.full(len(q), -np.inf)
         for a in range(0, len(q), 256):
             rough = q[a : a + 256] @ x.T
             for i in range(len(rough)):
-                near, score = nearest_of(int(q_ids[a + i]), q[a + i], rough[i], ids, x, k)
+                near, score = nearest_of(int(q_ids[a + i]), q[a + i], rough[i], ids, x, k, floors[a + i])
                 out[0].append(np.full(len(near), q_ids[a + i]))
                 out[1].append(near)
                 out[2].append(score)
@@ -165,6 +169,7 @@ def nearest(
     branching: int = 8,
     most_leaves: int = 4096,
     group_rows: int = 4096,
+    first_leaves: int = 2,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for ids divisible by ``every``, the ``k`` nearest found."""
     good = stage(usable(vectors, id_col, vec_col), "vectors")
@@ -208,18 +213,26 @@ def nearest(
             seen = [tree.visits(q, visits) for q in _matrix(batch.column(1))]
             row = pa.array(np.repeat(np.arange(len(batch)), [len(s) for s in seen]))
             flat = pa.array(np.concatenate(seen) if seen else [], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), flat], names=["query_id", "q", "leaf"])
+            step = pa.array(np.concatenate([np.arange(len(s)) for s in seen]) if seen else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), flat, step], names=["query_id", "q", "leaf", "step"])
 
-    routed = stage(asked.mapInArrow(traverse, "query_id long, q array<float>, leaf int"), "visits")
+    routed = stage(asked.mapInArrow(traverse, "query_id long, q array<float>, leaf int, step int"), "visits")
     # groups of bounded size: one row per leaf here, at most ``most_leaves``
     counts = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("vs"))
     counts = counts.join(routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("qs")), "leaf")
     counts = F.broadcast(counts)
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = routed.join(counts, "leaf").withColumns({"b": F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int")}).withColumn("a", every_of("vs"))
-    right = filed.join(counts, "leaf").withColumns({"a": F.pmod(F.xxhash64("vec_id"), F.col("vs")).cast("int")}).withColumn("b", every_of("qs"))
+    right = filed.join(counts, "leaf").withColumn("a", F.pmod(F.xxhash64("vec_id"), F.col("vs")).cast("int")).withColumn("b", every_of("qs"))
     key = ["leaf", "a", "b"]
-    found = left.select(*key, "query_id", "q").groupBy(*key).cogroup(right.select(*key, "vec_id", "v").groupBy(*key)).applyInArrow(
-        lambda queries, rows: _compare(queries, rows, k), FOUND
-    )
-    return top(found, k)
+
+    def compared(visiting: DataFrame) -> DataFrame:
+        left = visiting.join(counts, "leaf").withColumn("b", F.pmod(F.xxhash64("query_id"), F.col("qs")).cast("int")).withColumn("a", every_of("vs"))
+        return left.select(*key, "query_id", "q", "floor").groupBy(*key).cogroup(right.select(*key, "vec_id", "v").groupBy(*key)).applyInArrow(
+            lambda queries, rows: _compare(queries, rows, k), FOUND
+        )
+
+    lowest = F.lit(float("-inf"))
+    near = stage(compared(routed.where(F.col("step") < first_leaves).withColumn("floor", lowest)), "first-leaves")
+    floors = top(near, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(lowest).alias("floor"))
+    later = compared(routed.where(F.col("step") >= first_leaves).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest)))
+    return top(near.unionByName(later), k)
