@@ -59,7 +59,7 @@ def entity_family(h: Histories, sides: DataFrame) -> tuple[DataFrame, list[str]]
     out3 = {
         "p_fi_ra9": per_observation(runs, n) * 9.0, "p_fi_runs_rate": per_observation(runs, n),
         "p_fi_whip": (F.col("all_first_inning_hits") + F.col("all_first_inning_walks")) / both,
-        "p_fi_nrfi_rate": per_observation(F.col("all_zero"), F.col("all_zero_n")), "p_fi_games": n.cast("double"),
+        "p_fi_zero_rate": per_observation(F.col("all_zero"), F.col("all_zero_n")), "p_fi_games": n.cast("double"),
     }
     part.append(f.select("rid", "role", *[c.alias(n) for n, c in out3.items()]))
     form = ["exit_velocity_sum", "barrels", "hard_hits", "whiffs", "swings", "batted_balls"]
