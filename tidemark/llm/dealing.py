@@ -1,0 +1,291 @@
+"""Repeated windows by rank pairs that Spark deals out in ranges, as packed arrays.
+
+As ``repeats``, for inputs where single windows are too many to be rows: every block of documents
+sends, per range of names, one packed array; a range's task sorts the names of all blocks and answers
+each block with one bit per name. Within a block only the first of equal names is sent, so a name
+that a third of all documents hold costs one entry per block. Blocks are files in the shared folder and
+recompute their names from the text in each round, which is cheaper than moving or keeping them.
+
+Rounds, each naming longer runs by pairing names at an offset:
+
+1. ``anchors``: names of ``k`` symbols at content-defined places; unique ones leave.
+2. ``classes``: pairs of the first and last window of a segment; a segment whose pair occurs before is
+   repeated as a whole. ``kinds``: whether an anchor has segments of several contents at all.
+3. ``windows``: pairs of half windows at the offset of half the length, for segments still undecided.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import new_path, partitions_for, stage
+from tidemark.llm.repeats import Symbols, order_of, parts_of, read_block, scan
+from tidemark.llm.token_files import _filesystem
+from tidemark.llm.tokens import release
+from tidemark.llm.windows import grown, mix, pair
+
+#: Bytes of text in a block: a task holds a 64-bit name for each.
+BLOCK_BYTES = 4 << 20
+
+SENT = "kind string, bucket int, block long, payload binary"
+Payloads = dict[str, list[bytes]]
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    from zstandard import ZstdCompressor
+
+    head = np.array([len(a) for a in arrays], "<i8").tobytes()
+    return ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    from zstandard import ZstdDecompressor
+
+    raw = ZstdDecompressor().decompress(data)
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, "<i8", len(kinds)).tolist(), kinds):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def ranges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Cuts of sorted 64-bit names into ``buckets`` ranges."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def sent(kind: str, block: int, keys: np.ndarray, buckets: int, more: tuple[np.ndarray, ...], whole: tuple[np.ndarray, ...] = ()) -> list[tuple]:
+    """One row per range: the names, what goes with each, and arrays that every range needs."""
+    cuts = ranges(keys, buckets)
+    return [
+        (kind, b, block, pack(keys[x:y], *[m[x:y] for m in more], *whole))
+        for b, (x, y) in enumerate(zip(cuts.tolist(), cuts[1:].tolist()))
+    ]
+
+
+def rows_of(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [(), (), (), ()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=["kind", "bucket", "block", "payload"])
+
+
+def _heads(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+def judge(table: pa.Table) -> pa.Table:
+    """Answer every block of one kind and range: a bit per name that it sent."""
+    kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
+    blocks, payloads = table["block"].to_pylist(), table["payload"].to_pylist()
+    if kind == "anchors":  # does the name occur twice?
+        got = [unpack(p, "<u8", "?") for p in payloads]
+        keys, again = (np.concatenate([g[i] for g in got]) for i in (0, 1))
+        order = np.argsort(keys, kind="stable")
+        heads = _heads(keys[order])
+        twice = (np.diff(np.append(heads, len(keys))) > 1) | (np.logical_or.reduceat(again[order], heads) if len(heads) else np.zeros(0, bool))
+    elif kind == "kinds":  # has the anchor segments of several contents?
+        got = [unpack(p, "<u8", "<u8", "?") for p in payloads]
+        keys, content, several = (np.concatenate([g[i] for g in got]) for i in (0, 1, 2))
+        order = np.argsort(keys, kind="stable")
+        heads = _heads(keys[order])
+        if len(heads):
+            content = content[order]
+            twice = (np.minimum.reduceat(content, heads) != np.maximum.reduceat(content, heads)) | np.logical_or.reduceat(several[order], heads)
+        else:
+            twice = np.zeros(0, bool)
+    else:  # is the name's place later than its first?
+        got = [unpack(p, "<u8", "<u4", "<i8", "<i8") for p in payloads]
+        keys = np.concatenate([g[0] for g in got])
+        doc, again = (np.concatenate([g[i] for g in got]) for i in (2, 3))
+        order = np.lexsort((again, doc))
+        new = np.append(True, (doc[order][1:] != doc[order][:-1]) | (again[order][1:] != again[order][:-1])) if len(order) else np.zeros(0, bool)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.cumsum(new)
+        base = np.cumsum([0, *[len(g[2]) for g in got]])
+        rank = np.concatenate([rank[b + g[1]] for b, g in zip(base, got)])
+        order = np.argsort(keys, kind="stable")
+        heads = _heads(keys[order])
+        least = np.minimum.reduceat(rank[order], heads) if len(heads) else heads
+        first = np.empty(len(keys), np.int64)
+        first[order] = np.repeat(least, np.diff(np.append(heads, len(keys))))
+        flags, twice = rank > first, None
+    if twice is not None:
+        flags = np.empty(len(keys), bool)
+        flags[order] = np.repeat(twice, np.diff(np.append(heads, len(keys))))
+    ends = np.cumsum([len(g[0]) for g in got])
+    bits = [np.packbits(part).tobytes() for part in np.split(flags, ends[:-1])]
+    return rows_of([(kind, bucket, b, np.int64(len(g[0])).tobytes() + x) for b, g, x in zip(blocks, got, bits)])
+
+
+def answers(table: pa.Table, kind: str) -> np.ndarray:
+    """A block's bits of one kind, over all ranges in order."""
+    mine = sorted((b, p) for k, b, p in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["payload"].to_pylist()) if k == kind)
+    parts = [np.unpackbits(np.frombuffer(p, np.uint8, -1, 8), count=int(np.frombuffer(p, "<i8", 1)[0])).astype(bool) for _, p in mine]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+class Firsts:
+    """The first of equal names in a block by (document, place), and each entry's relation to it."""
+
+    def __init__(self, keys: np.ndarray, doc: np.ndarray, at: np.ndarray):
+        order = np.lexsort((at, doc, keys))
+        heads = _heads(keys[order])
+        self.first = order[heads]
+        self.keys = keys[self.first]
+        self.group = np.empty(len(keys), np.int64)
+        self.group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(keys))))
+        lead = self.first[self.group]
+        self.later = (doc > doc[lead]) | ((doc == doc[lead]) & (at > at[lead]))
+
+    def gone(self, bits: np.ndarray) -> np.ndarray:
+        return self.later | bits[self.group] if len(self.group) else self.later
+
+
+class Block:
+    """What a block recomputes from its text, as far as the answers that it has allow."""
+
+    def __init__(self, table: pa.Table, symbols: Symbols, k: int, w: int):
+        self.k, self.w = k, w
+        self.names, self.ends = symbols(table["text"].combine_chunks())
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        self.doc_of, self.again = order_of(table)
+
+    def scan(self) -> Iterator[tuple[int, int, dict]]:
+        """Parts with their segments; anchors, the smallest names of many, are mixed to fill all ranges."""
+        for doc, a, s in scan(self.names, self.ends, self.k, self.w):
+            s["anchor"] = mix(s["anchor"])
+            yield doc, a, s
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        found = [s["anchor"] for _, _, s in self.scan()]
+        keys, times = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
+        return keys, times > 1
+
+    def segments(self, recurs: np.ndarray) -> None:
+        """Segments of recurring anchors; ``recurs`` has a bit per distinct anchor, in order."""
+        wanted, out = self.anchors()[0][recurs], [[] for _ in range(5)]
+        for _, a, s in self.scan():
+            if not len(wanted):
+                break
+            keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, s["anchor"]), len(wanted) - 1)] == s["anchor"])
+            win = grown(s["runs"], self.k, self.w)
+            first, last = s["first"][keep], s["last"][keep]
+            content = pair(pair(win[first], win[last]), s["anchor"][keep] + (last - first).astype(np.uint64))
+            for column, x in zip(out, (s["anchor"][keep], content, s["doc"][keep], first + a, last - first + 1)):
+                column.append(x)
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
+        self.anchor, self.content, self.row, self.begin, self.n = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, kinds))
+        self.at = self.again[self.row] + self.begin - self.starts[self.row]
+        self.classes = Firsts(self.content, self.doc_of[self.row], self.at)
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(self.anchor, kind="stable")
+        keys, content = self.anchor[order], self.content[order]
+        heads = _heads(keys)
+        if not len(heads):
+            return keys, content, np.zeros(0, bool)
+        low = np.minimum.reduceat(content, heads)
+        return keys[heads], low, low != np.maximum.reduceat(content, heads)
+
+    def windows(self, gone: np.ndarray, mixed: np.ndarray) -> None:
+        """Single windows of segments that are neither repeated nor alone with their anchor."""
+        self.whole = self.classes.gone(gone)
+        anchors = np.unique(self.anchor)[mixed] if len(self.anchor) else self.anchor
+        some = ~self.whole & np.isin(self.anchor, anchors)
+        order = np.argsort(self.begin[some], kind="stable")
+        begin, n, row = (x[some][order] for x in (self.begin, self.n, self.row))
+        half, out = (self.w + 1) // 2, [[], [], []]
+        for _, _, a, b in parts_of(self.ends, self.w):
+            lo, hi = np.searchsorted(begin, [a, b - self.w + 1])
+            if lo < hi:
+                runs = grown(self.names[a:b], 1, half)
+                count = n[lo:hi]
+                place = np.repeat(begin[lo:hi] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                inside = place + self.w <= b
+                place, which = place[inside], np.repeat(row[lo:hi], count)[inside]
+                for column, x in zip(out, (pair(runs[place - a], runs[place - a + self.w - half]), which, place)):
+                    column.append(x)
+        key, self.window_row, self.window = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.uint64, np.int64, np.int64)))
+        at = self.again[self.window_row] + self.window - self.starts[self.window_row]
+        self.singles = Firsts(key, self.doc_of[self.window_row], at)
+
+    def removed(self, gone: np.ndarray) -> np.ndarray:
+        """Which symbols repeated windows cover."""
+        total = int(self.ends[-1]) if len(self.ends) else 0
+        single = self.window[self.singles.gone(gone)]
+        begin = np.concatenate([self.begin[self.whole], single])
+        n = np.concatenate([self.n[self.whole], np.ones(len(single), np.int64)])
+        opened = np.bincount(begin, minlength=total + 1)
+        closed = np.bincount(begin + n + self.w - 1, minlength=total + 1)
+        return np.cumsum(opened - closed)[:-1] > 0
+
+
+def remove(
+    docs: DataFrame, symbols: Symbols, k: int, w: int, id_col: str, text_col: str,
+    finish: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, range_bytes: int = 32 << 20,
+) -> DataFrame:
+    """``finish(block's documents, which symbols are repeated)`` for every block."""
+    folder = new_path(docs.sparkSession, "blocks")
+    buckets = partitions_for(docs, text_col, range_bytes)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, at = _filesystem(folder)
+        filesystem.create_dir(at, recursive=True)
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            table = pa.table({"doc_id": batch.column(0), "text": batch.column(1).cast(pa.large_string())})
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // BLOCK_BYTES)) + 1).tolist(), len(table)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a < b:
+                    piece, block = table.slice(a, b - a).combine_chunks(), uuid.uuid4().int >> 66
+                    with filesystem.open_output_stream(f"{at}/{block:016x}.arrow") as out:
+                        with pa.ipc.new_file(out, piece.schema, options=options) as writer:
+                            writer.write_table(piece)
+                    keys, again = Block(piece, symbols, k, w).anchors()
+                    yield from rows_of(sent("anchors", block, keys, buckets, (again,))).to_batches()
+
+    def in_blocks(replies: DataFrame, work: Callable[[int, Block, pa.Table, pa.Table], pa.Table], out: str) -> DataFrame:
+        def run(group: pa.Table) -> pa.Table:
+            block = group["block"][0].as_py()
+            table = read_block(folder, block)
+            state = Block(table, symbols, k, w)
+            state.segments(answers(group, "anchors"))
+            out = work(block, state, table, group)
+            del state, table
+            release()
+            return out
+
+        return replies.repartition(2 * blocks, "block").groupBy("block").applyInArrow(run, out)
+
+    def classes(block: int, state: Block, table: pa.Table, group: pa.Table) -> pa.Table:
+        first = state.classes
+        rows = sent("classes", block, first.keys, buckets, (state.row[first.first].astype("<u4"),), (state.doc_of, state.again))
+        keys, content, several = state.kinds()
+        return rows_of(rows + sent("kinds", block, keys, buckets, (content, several)))
+
+    def windows(block: int, state: Block, table: pa.Table, group: pa.Table) -> pa.Table:
+        state.windows(answers(group, "classes"), answers(group, "kinds"))
+        first = state.singles
+        return rows_of(sent("windows", block, first.keys, buckets, (state.window_row[first.first].astype("<u4"),), (state.doc_of, state.again)))
+
+    def last(block: int, state: Block, table: pa.Table, group: pa.Table) -> pa.Table:
+        state.windows(answers(group, "classes"), answers(group, "kinds"))
+        return finish(table, state.removed(answers(group, "windows")))
+
+    def judged(rows: DataFrame, name: str) -> DataFrame:
+        dealt = rows.repartition(2 * buckets, "kind", "bucket").groupBy("kind", "bucket")
+        return stage(dealt.applyInArrow(judge, SENT), name)
+
+    named = stage(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(write, SENT), "block-anchors")
+    blocks = max(1, named.select("block").distinct().count())
+    replies = judged(named, "anchors")
+    replies = replies.unionByName(judged(in_blocks(replies, classes, SENT), "classes"))
+    replies = replies.unionByName(judged(in_blocks(replies, windows, SENT), "windows"))
+    return in_blocks(replies, last, schema)

@@ -2,12 +2,12 @@
 
 Prefix doubling ranks suffixes by their first 1, 2, 4, ... symbols: the rank at twice the length
 is the rank of the pair of ranks at an offset. Here the pairs up to ``seed`` bytes are named where
-the text is read, at content-defined positions (see ``windows``), and Spark groups the names:
-positions with a unique name leave. The rest are paired at the offset of their segment's last
-window and grouped again, which decides whole segments at once. What remains undecided is paired
-position by position at the offset of half the length and grouped a last time; past that length,
-``length`` bytes, ranks that still meet are repeats. Each round moves fewer rows than the one
-before; no suffix array is ever held in one place.
+the text is read, at content-defined positions (see ``windows``). Spark deals the names out by range
+and sorts them; positions with a unique name leave. The rest are paired at the offset of their
+segment's last window and sorted again, which decides whole segments at once. What remains undecided
+is paired position by position at the offset of half the length and sorted a last time; past that
+length, ``length`` bytes, ranks that still meet are repeats (see ``dealing``). No suffix array is ever
+held in one place.
 
 Results in odd cases: a null text counts as empty; texts shorter than ``length`` lose nothing; a
 null id counts as smaller than any other; rows that repeat an id are ordered by a checksum of
@@ -24,8 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import stage
-from tidemark.llm.repeats import SEGMENTS, by_block, covered, mask_of, order_of, recurring, segment_table, write_blocks
+from tidemark.llm import dealing
 from tidemark.llm.windows import mix
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -49,24 +48,9 @@ def remove_repeated(
     docs: DataFrame, length: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256``."""
-    k, w = seed, length
-    folder, blocks = write_blocks(docs, byte_symbols, k, w, id_col, text_col)
 
-    def locate(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
-        wanted = np.sort(rows["anchor"].to_numpy().view(np.uint64))
-        names, ends = byte_symbols(table["text"].combine_chunks())
-
-        def is_wanted(a: int, s: dict) -> np.ndarray:
-            if not len(wanted):
-                return np.zeros(len(s["anchor"]), bool)
-            return wanted[np.minimum(np.searchsorted(wanted, s["anchor"]), len(wanted) - 1)] == s["anchor"]
-
-        return segment_table(block, table, names, ends, k, w, is_wanted)
-
-    def remove(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
+    def finish(table: pa.Table, gone: np.ndarray) -> pa.Table:
         data, ends = _bytes(table["text"].combine_chunks())
-        _, again = order_of(table)
-        gone = mask_of(ends, again, rows, w)
         starts = np.concatenate([[0], ends[:-1]])
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -83,6 +67,4 @@ def remove_repeated(
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
         )
 
-    located = stage(by_block(blocks, recurring(blocks), folder, locate, ["anchor"], SEGMENTS), "segments")
-    gone = covered(blocks, located, folder, byte_symbols, k, w, same_doc=True)
-    return by_block(blocks, gone, folder, remove, ["row", "at", "n"], RESULT)
+    return dealing.remove(docs, byte_symbols, seed, length, id_col, text_col, finish, RESULT)
