@@ -337,6 +337,19 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
     few = neighbours.nearest(df.where("vec_id < 5"))
     assert few.count() == 4
+    fine = df.where("vec_id < 40").select("vec_id", F.transform("embedding", lambda c: c.cast("double") + 1e-12).alias("embedding"))
+    for r in neighbours.nearest(fine).collect():
+        assert r["score"] == pytest.approx(float((wide[r["query_id"]] + 1e-12) @ (wide[r["vec_id"]] + 1e-12)), abs=1e-14)
+
+
+def test_visits_hold_enough_vectors():
+    x = np.random.default_rng(8).normal(size=(400, 8))
+    tree = neighbours.Tree(x, 8, 4)
+    held = np.bincount(tree.file(x), minlength=tree.leaves)
+    for q in x[:20]:
+        seen = tree.visits(q, 1, held=held, least=41)
+        assert held[seen].sum() >= 41 and seen[:1] == tree.visits(q, 1)
+    assert len(tree.visits(x[0], 1, held=held, least=1000)) == tree.leaves
 
 
 def test_quality(spark):

@@ -15,7 +15,8 @@ that reach the floor are returned, so what a query gathers hardly grows with its
 
 Results in odd cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows of null id; rows of the query's own id are no
-candidates; a query with fewer candidates than ``k`` gets all that its visits find; an empty table
+candidates; visits go on until they hold more than ``k`` vectors, so a query with fewer candidates
+than ``k`` gets all of them; an empty table
 gives an empty result. Columns besides id and vector are not read.
 """
 
@@ -85,13 +86,15 @@ class Tree:
             todo += [(int(child), rows[of == c]) for c, child in enumerate(self.children[node]) if (of == c).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int, share: float = 0.5) -> list[int]:
-        """The first ``most`` leaves of a best-bin-first traversal for query ``q``."""
-        length, out, queue = float(np.linalg.norm(q)), [], [(0.0, 0)]
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, most: int, share: float = 0.5, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves of a best-bin-first traversal for query ``q``, and further ones
+        until they hold ``least`` vectors; ``held`` counts those of each leaf."""
+        length, out, queue, seen = float(np.linalg.norm(q)), [], [(0.0, 0)], 0
+        while queue and (len(out) < most or seen < least):
             _, node = heapq.heappop(queue)
             if self.children[node] is None:
                 out.append(self.leaf[node])
+                seen += int(held[self.leaf[node]]) if held is not None else 0
                 continue
             children = self.children[node]
             for child, dot in zip(children.tolist(), (self.centre[children] @ q).tolist()):
@@ -150,10 +153,11 @@ def top(found: DataFrame, k: int) -> DataFrame:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, v`` of the vectors that take part."""
+    """``vec_id, v`` of the vectors that take part; components keep their precision."""
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
     v = F.col(vec_col).cast("array<double>")
     fine = F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(v, lambda c: c != 0)
-    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("v"))
+    return vectors.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
 
 
 def nearest(
@@ -176,6 +180,7 @@ def nearest(
     n = good.count()
     if not n:
         return good.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = dict(good.dtypes)["v"]
     width = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()["n"]
     good = good.where(F.size("v") == width)
     hashed = good.orderBy(F.xxhash64("vec_id"), "vec_id")
@@ -189,11 +194,11 @@ def nearest(
                 [*batch.columns, pa.array(tree.file(_matrix(batch.column(1))), pa.int32())], names=["vec_id", "v", "leaf"]
             )
 
-    filed = stage(good.mapInArrow(file, "vec_id long, v array<float>, leaf int"), "filed")
+    filed = stage(good.mapInArrow(file, f"vec_id long, v {kind}, leaf int"), "filed")
     asked = filed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     # calibration: true neighbours of a bounded set of queries, against all vectors
     few = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(calibration).collect()
-    probes = pa.table({"query_id": pa.array([r["query_id"] for r in few], pa.int64()), "q": pa.array([r["q"] for r in few], pa.list_(pa.float32()))})
+    probes = pa.table({"query_id": pa.array([r["query_id"] for r in few], pa.int64()), "q": pa.array([r["q"] for r in few], pa.list_(pa.float64()))})
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,15 +213,19 @@ def nearest(
         if len(depth):
             visits = int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)]) + 1
 
+    held = np.zeros(tree.leaves, np.int64)
+    for row in filed.groupBy("leaf").count().collect():  # one row per leaf; the sample bounds the leaves
+        held[row["leaf"]] = row["count"]
+
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [tree.visits(q, visits) for q in _matrix(batch.column(1))]
+            seen = [tree.visits(q, visits, held=held, least=k + 1) for q in _matrix(batch.column(1))]
             row = pa.array(np.repeat(np.arange(len(batch)), [len(s) for s in seen]))
             flat = pa.array(np.concatenate(seen) if seen else [], pa.int32())
             step = pa.array(np.concatenate([np.arange(len(s)) for s in seen]) if seen else [], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), flat, step], names=["query_id", "q", "leaf", "step"])
 
-    routed = stage(asked.mapInArrow(traverse, "query_id long, q array<float>, leaf int, step int"), "visits")
+    routed = stage(asked.mapInArrow(traverse, f"query_id long, q {kind}, leaf int, step int"), "visits")
     # groups of bounded size: one row per leaf here, at most ``most_leaves``
     counts = filed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("vs"))
     counts = counts.join(routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("qs")), "leaf")
