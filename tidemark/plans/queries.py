@@ -1128,7 +1128,7 @@ def histories(t: Tables):
 def _(t):
     from tidemark.operators.features import build
 
-    req = baskets(t).join(t.orders.select(C("o_orderkey").alias("game"), C("o_custkey").alias("_c")), "game").where("game % 4 = 0").select(
+    req = baskets(t).join(t.orders.select(C("o_orderkey").alias("game"), C("o_custkey").alias("_c")), "game").select(
         C("game").alias("rid"), "d", (C("game") % 97).alias("away_pitcher"), F.when(C("game") % 8 == 0, C("game") % 89).alias("home_pitcher"), C("_c").alias("away_team"), ((C("_c") + 7) % 1500).alias("home_team"),
         (C("game") % 30).cast("int").alias("venue_id"), C("ids").alias("away_lineup"), F.slice("ids", 1, 2).alias("home_lineup"), (C("game") % 3 == 0).alias("is_dome"), F.lit(70.0).alias("temp_f"), F.lit(8.0).alias("wind_speed"), F.lit(90.0).alias("wind_dir"), F.lit(45.0).alias("azimuth"), F.lit(None).cast("double").alias("humidity"), F.lit(None).cast("boolean").alias("is_doubleheader"),
     )
