@@ -17,3 +17,16 @@ def test_catalogue_covers_every_order(spark):
     want = {r["rid"] for r in orders.join(filled, "rid", "left_semi").collect()}
     got = [r["rid"] for r in QUERIES["n02_feature_catalogue"](spark, FOLDER).select("rid").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("mode", ["append", "complete", "update"])
+def test_replayed_rows_are_files(spark, tmp_path, mode):
+    from tidemark.plans.queries import _replay
+    from tidemark.plans.views import Tables
+
+    t = Tables(spark, FOLDER)
+    make = (lambda s: s.select("event_id")) if mode == "append" else (lambda s: s.groupBy("user_id").count())
+    got = _replay(t, "whole", make, mode)
+    assert got.inputFiles()
+    want = t.events.select("event_id") if mode == "append" else t.events.groupBy("user_id").count()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

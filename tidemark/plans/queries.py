@@ -903,16 +903,11 @@ one("i23_time_fallback", "snap", {"hour": (lambda: F.hour(F.coalesce(F.when(C("e
 
 
 def _replay(t: Tables, name: str, make, mode: str) -> DataFrame:
-    """Run a stream over the events once and return what it wrote to a table in memory."""
-    import uuid
-
+    """Run a stream over the events once and read back the Parquet files that its batches wrote."""
     from tidemark.streaming import snapshots
 
-    table = f"{name}_{uuid.uuid4().hex}"
     stream = make(snapshots.events_stream(t.spark, f"{t.folder}/events.parquet*"))
-    run = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", _scratch(t, name)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.table(table)
+    return snapshots.replayed(stream, _scratch(t, f"{name}-rows"), _scratch(t, name), mode)
 
 
 @query("j01_stream_dedupe", "SELECT user_id AS matchup, count(*) AS n FROM events GROUP BY 1")

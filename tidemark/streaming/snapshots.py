@@ -78,6 +78,21 @@ def consensus_stream(stream: DataFrame, max_age: float = 600.0, least: int = 2)
     )
 
 
+def replayed(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
+    """Rows that ``stream`` puts out until its source is read through. Executors write each batch to its own
+    Parquet folder, so a batch that is run again changes nothing; in complete mode the last batch counts."""
+    folders: list[str] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(folder := f"{path}/{number}")
+        folders[:] = [folder] if mode == "complete" else [*dict.fromkeys([*folders, folder])]
+
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
+
+
 def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str):
     """Stream into a Parquet dataset, batch by batch; a batch that is run again changes nothing."""
 
