@@ -291,6 +291,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_word_memo_keeps_marks_with_punctuation(tokenizer):
+    texts = ["x\u0130.", "\u0130!", "\u0958.", "\u0130stanbul, \u0958\u0130?) caf\u00e9..."]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [(i.tolist(), n.tolist()) for _, i, n in tokens.WordMemo(tokenizer_path()).encode(pa.array(texts))]
+    assert [x for i, _ in got for x in i] == [x for w in want for x in w]
+    assert [x for _, n in got for x in n] == [len(w) for w in want]
+
+
 def test_unigram_counts():
     from tokenizers import Tokenizer, models, pre_tokenizers
 

@@ -36,9 +36,10 @@ _memos: dict[tuple[str, int], WordMemo] = {}
 
 
 def parts(word: str) -> tuple[str, str]:
-    """A word of letters with punctuation behind in two, any other word whole."""
+    """A word of ASCII letters with punctuation behind in two, any other word whole: normalising can put
+    a mark behind other letters, and a mark is one token with the punctuation after it."""
     core = word.rstrip(_MARKS)
-    return (core, word[len(core) :]) if core.isalpha() else (word, "")
+    return (core, word[len(core) :]) if core.isascii() and core.isalpha() else (word, "")
 
 
 def take(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
