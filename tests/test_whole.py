@@ -30,3 +30,33 @@ def test_replayed_rows_are_files(spark, tmp_path, mode):
     assert got.inputFiles()
     want = t.events.select("event_id") if mode == "append" else t.events.groupBy("user_id").count()
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_stack_uses_the_whole_protocol(spark, monkeypatch):
+    from tidemark.config import DEFAULT
+    from tidemark.plans import model, queries
+    from tidemark.plans.views import Tables
+
+    def seen(rows, *args, config=DEFAULT, **more):
+        assert config.folds == 5 and config.min_fold_rows == 200
+        return {"config": config}
+
+    monkeypatch.setattr(model, "train", seen)
+    monkeypatch.setattr(queries, "_bundles", {})
+    assert queries.bundle(Tables(spark, FOLDER))["config"] == DEFAULT
+
+
+def test_boosting_is_patient(spark):
+    import numpy as np
+
+    from tidemark.plans import model
+
+    assert model.best_round([3, 2, 2, 1, 5, 5], 2) == (4, True) and model.best_round([3, 2, 2, 2, 1], 2) == (2, True)
+    assert model.best_round([3, 2, 1], 2) == (3, False) and model.MOST_ROUNDS == 1000 and model.PATIENCE == 50
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 2))
+    rows = spark.createDataFrame([(float(a), float(b), int(a * b > 0)) for a, b in x], "a double, b double, y int").cache()
+    # a rule that can be learnt goes on gaining after the former cap
+    assert model.rounds_of(model.boosted_member(["a", "b"], "y", None, 60).fit(rows)) > 30
+    linear = model.linear_member(["a", "b"], "y").fit(rows).stages[-1]
+    assert linear.getRegParam() == pytest.approx(1 / 400)

@@ -43,23 +43,77 @@ def _prepared(features: Sequence[str], *last) -> Pipeline:
     ])
 
 
-def boosted_member(features: Sequence[str], label: str, rounds: int | None = None, most: int = 30) -> Estimator:
+#: Most boosting rounds, and rounds without gain on held rows after which boosting ends.
+MOST_ROUNDS, PATIENCE = 1000, 50
+
+
+def best_round(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Round of the smallest loss until ``patience`` rounds in turn brought no gain, and whether that ended it."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+class PatientTrees(Estimator):
+    """Boosted trees up to the best round on the rows marked ``_held``. Spark ML's own rule ends boosting at
+    the first round without gain, so trees are grown until the patience is spent, twice as many at a time
+    (trees of a seed are the same however many follow), and fitted anew up to the best."""
+
+    def __init__(self, trees: GBTClassifier, most: int, patience: int = PATIENCE):
+        super().__init__()
+        self.trees, self.most, self.patience = trees, most, patience
+
+    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
+        t = self.trees
+        rows = dataset.select(t.getLabelCol(), t.getFeaturesCol(), "_held").cache()
+        part, held = rows.where("NOT _held"), rows.where("_held")
+
+        def grown(n: int) -> GBTClassificationModel:
+            return t.copy({t.maxIter: n}).fit(part)
+
+        try:
+            if held.isEmpty():
+                return grown(min(best_rounds([]), self.most))
+            n, done = min(self.patience + 10, self.most), False
+            while True:
+                model = grown(n)
+                best, done = best_round(model.evaluateEachIteration(held), self.patience)
+                if done or n == self.most:
+                    return model if best == n else grown(best)
+                n = min(2 * n, self.most)
+        finally:
+            rows.unpersist()
+
+
+class WeightedPenalty(Estimator):
+    """Logistic regression with the penalty ``1 / (C n)``, for ``n`` rows."""
+
+    def __init__(self, logistic: LogisticRegression, c: float):
+        super().__init__()
+        self.logistic, self.c = logistic, c
+
+    def _fit(self, dataset: DataFrame):
+        return self.logistic.copy({self.logistic.regParam: 1.0 / (self.c * max(1, dataset.count()))}).fit(dataset)
+
+
+def boosted_member(features: Sequence[str], label: str, rounds: int | None = None, most: int = MOST_ROUNDS) -> Estimator:
     """Boosted trees. Without ``rounds`` a tenth of the rows, by hash, stops the boosting early."""
     from pyspark.ml.feature import SQLTransformer
 
     trees = GBTClassifier(labelCol=label, featuresCol="_x", stepSize=0.05, maxDepth=6, maxIter=rounds or most, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
     if rounds:
         return _prepared(features, trees)
-    trees.setValidationIndicatorCol("_held").setParams(validationTol=1e-6)
     held = SQLTransformer(statement=f"SELECT *, pmod(xxhash64({', '.join(features)}), 10) = 0 AS _held FROM __THIS__")
-    return _prepared(features, held, trees)
+    return _prepared(features, held, PatientTrees(trees, most))
 
 
-def linear_member(features: Sequence[str], label: str, strength: float = 0.01) -> Estimator:
-    return _prepared(
-        features, StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
-        LogisticRegression(labelCol=label, featuresCol="_z", elasticNetParam=0.5, regParam=strength, standardization=False),
-    )
+def linear_member(features: Sequence[str], label: str, c: float = 1.0) -> Estimator:
+    logistic = LogisticRegression(labelCol=label, featuresCol="_z", elasticNetParam=0.5, standardization=False)
+    return _prepared(features, StandardScaler(inputCol="_x", outputCol="_z", withMean=True), WeightedPenalty(logistic, c))
 
 
 def forest_member(features: Sequence[str], label: str) -> Estimator:

@@ -970,8 +970,7 @@ def bundle(t: Tables) -> dict:
     key = (id(t.spark), t.folder)
     if key not in _bundles:
         rows = feat(t).where(A.coverage(FEATS) >= 0.5)
-        config = replace(DEFAULT, folds=2, min_fold_rows=50)
-        _bundles[key] = model.train(rows, FEATS, "label", "d", "rid", candidates={"forest": model.forest_member}, config=config)
+        _bundles[key] = model.train(rows, FEATS, "label", "d", "rid", candidates={"forest": model.forest_member})
     return _bundles[key]
 
 
