@@ -271,6 +271,18 @@ def test_near_duplicates(spark, corpus):
     assert near_dedup.near_duplicates(docs_of(spark, EMPTY)).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    base = passage(9, 90).split()
+    change = lambda *at: " ".join("changed" if k in at else w for k, w in enumerate(base))
+    texts = [(1, change()), (1, change()), (2, change(4)), (None, change(80)), (None, change(40)), (None, change(40)), (3, passage(8, 30)), (4, passage(7, 30)), (4, change(4, 80)), (None, "")]
+    sets = [{tuple(w[a : a + 5]) for a in range(len(w) - 4)} for w in (t.split() for _, t in texts)]
+    near = lambda i, j: i != j and bool(sets[i]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    want = Counter((d, sum(near(i, j) for j in range(len(texts)))) for i, (d, _) in enumerate(texts))
+    for block in (384, 2):
+        got = near_dedup.near_duplicates(docs_of(spark, [(i, t, "s") for i, t in texts]), block_members=block).collect()
+        assert Counter((r["doc_id"], r["n_links"]) for r in got) == want
+
+
 def test_pruning_bound():
     for n in (16, 64, 160):
         m = near_dedup.least_matches(n, 0.8, 1e-6)

@@ -56,6 +56,15 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else names[:0]), np.cumsum(lengths)
 
 
+def set_sums(shingles: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of every set and two sums over its shingles, which together name its class."""
+    starts = np.concatenate([[0], ends[:-1]])
+    zero = np.zeros(1, np.uint64)  # a list would make the sums floats, which differ by place
+    total = np.concatenate([zero, np.cumsum(mix(shingles), dtype=np.uint64)])
+    other = np.concatenate([zero, np.cumsum(mix(shingles ^ np.uint64(0x5555)), dtype=np.uint64)])
+    return ends - starts, (total[ends] - total[starts]).view(np.int64), (other[ends] - other[starts]).view(np.int64)
+
+
 def signatures(shingles: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """MinHash values (documents x hashes) of non-empty sets; empty sets get the largest value."""
     starts = np.concatenate([[0], ends[:-1]])
@@ -176,15 +185,12 @@ def near_duplicates(
             for a in range(0, len(batch), 1000):
                 part = batch.slice(a, 1000)
                 shingles, ends = shingle_sets(part.column(1), words)
-                starts = np.concatenate([[0], ends[:-1]])
-                total = np.concatenate([[0], np.cumsum(mix(shingles))]).astype(np.uint64)
-                other = np.concatenate([[0], np.cumsum(mix(shingles ^ np.uint64(0x5555)))]).astype(np.uint64)
+                size, s0, s1 = set_sums(shingles, ends)
                 sig = signatures(shingles, ends)
                 offsets = pa.array(np.arange(len(part) + 1) * BANDS, pa.int32())
                 keys = pa.array(band_keys(sig).ravel().view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ends - starts, pa.int64()),
-                     pa.array((total[ends] - total[starts]).view(np.int64)), pa.array((other[ends] - other[starts]).view(np.int64)),
+                    [part.column(0), pa.array(size, pa.int64()), pa.array(s0), pa.array(s1),
                      pa.ListArray.from_arrays(offsets, keys)],
                     names=["doc_id", "size", "s0", "s1", "keys"],
                 )
@@ -199,11 +205,12 @@ def near_duplicates(
     stars = reps.groupBy("key").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "root")
     edges = reps.join(stars, "key").where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
     cluster = components(edges)
-    sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = stage(cluster.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), "copies", *same), "node"), "members")
+    members = cluster.join(classes.select(F.col("rep").alias("node"), "copies", *same), "node")
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    members = stage(members.join(sizes, "root"), "members")
     packs = max(1, -(-members.count() // block_members))
     blocks = F.ceil(F.col("m") / block_members).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node", "s0", "s1"), blocks).cast("int")
     members = members.withColumns({"blocks": blocks, "own": own})
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = members.withColumn("other", meets).select(
@@ -213,38 +220,44 @@ def near_duplicates(
         F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("own", "other")).alias("bj"),
         "own",
     )
-    # one text of each class: rows of one id may hold several
+    # one text of each class: rows of one id may hold several, and a text may stand in several rows
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                part = batch.slice(a, 1000)
+                sums = set_sums(*shingle_sets(part.column(1), words))
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa.int64()) for x in sums]], names=["node", "text", *same])
+        release()
+
     texts = base.join(
         rows.join(classes, same).where("doc_id = rep").select("doc_id").distinct()
         .join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id",
     )
-    held = members.join(texts.withColumnRenamed("doc_id", "node"), "node")
+    texts = texts.mapInArrow(named, "node long, text string, size long, s0 long, s1 long").dropDuplicates(["node", *same])
+    held = members.join(texts, ["node", *same])
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by([("node", "ascending")])
         node, copies = group["node"].to_numpy(), group["copies"].to_numpy()
         block, bi, bj = group["own"].to_numpy(), group["bi"][0].as_py(), group["bj"][0].as_py()
         side = _side(group, words)
-        size = np.diff(np.concatenate([[0], side[2]]))
-        wanted = size == group["size"].to_numpy()  # the text that the class has, of all texts of its id
         if bi == bj:
-            pick = np.flatnonzero(wanted)
-            i, j = verified_pairs(_pick(side, pick), None, threshold, tolerance)
-            i, j = pick[i], pick[j]
+            i, j = verified_pairs(side, None, threshold, tolerance)
         else:
-            left, right = np.flatnonzero(wanted & (block == bi)), np.flatnonzero(wanted & (block == bj))
+            left, right = np.flatnonzero(block == bi), np.flatnonzero(block == bj)
             i, j = verified_pairs(_pick(side, left), _pick(side, right), threshold, tolerance)
             i, j = left[i], right[j]
         links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
         some = np.flatnonzero(links > 0)
         root = star_of(len(node), i, j)
-        return pa.table({"node": node[some], "root": node[root[some]], "links": links[some].astype(np.int64)})
+        return pa.table({"node": node[some], "s0": group["s0"].to_numpy()[some], "s1": group["s1"].to_numpy()[some], "root": node[root[some]], "links": links[some].astype(np.int64)})
 
-    found = held.groupBy("pack", "bi", "bj").applyInArrow(compare, "node long, root long, links long")
+    found = held.groupBy("pack", "bi", "bj").applyInArrow(compare, "node long, s0 long, s1 long, root long, links long")
     found = stage(found, "links")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    links = found.groupBy("node", "s0", "s1").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    known = classes.join(links.withColumnRenamed("node", "rep"), ["rep", "s0", "s1"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select(*same, "rep", "copies", "links", "root")
     back = F.when(F.col("doc_id") != LOWEST, F.col("doc_id"))
     return (
