@@ -79,9 +79,10 @@ def wind_out(speed: Column, direction: Column, azimuth: Column) -> Column:
     return speed * F.cos(F.radians(direction - azimuth))
 
 
-def weather_missing(is_indoor: Column, values: Sequence[Column]) -> Column:
-    """1 where an outdoor event lacks every weather value, else 0."""
-    return F.when(F.coalesce(is_indoor, F.lit(False)), 0.0).when(F.coalesce(*values).isNull(), 1.0).otherwise(0.0)
+def weather_missing(is_indoor: Column, temperature: Column, wind_speed: Column) -> Column:
+    """1 where an outdoor event lacks its temperature or its wind speed, else 0."""
+    lacks = temperature.isNull() | F.isnan(temperature) | wind_speed.isNull() | F.isnan(wind_speed)
+    return F.when(F.coalesce(is_indoor, F.lit(False)), 0.0).when(lacks, 1.0).otherwise(0.0)
 
 
 def shrink_to_group(p: Column, rate: Column, n: Column, config: EngineConfig = DEFAULT) -> Column:
@@ -191,7 +192,8 @@ def unique_or_null(array: Column) -> Column:
 
 
 def json_put(text: Column, key: str, value: Column) -> Column:
-    """JSON object text with one key set; unreadable text counts as an empty object."""
-    known = F.coalesce(F.from_json(text, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    known = F.map_filter(known, lambda k, _: k != key)
-    return F.to_json(F.map_concat(known, F.create_map(F.lit(key), value.cast("string"))))
+    """JSON object text with one key set at its end; other members keep their types and order. Text that
+    is unreadable or no object counts as an empty object."""
+    known = F.when(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.from_json(text, "map<string,variant>"))
+    known = F.map_filter(F.coalesce(known, F.create_map().cast("map<string,variant>")), lambda k, _: k != key)
+    return F.to_json(F.map_concat(known, F.create_map(F.lit(key), value.cast("variant"))))

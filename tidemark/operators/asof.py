@@ -1,22 +1,28 @@
 """As-of features: what was known of an entity strictly before a date.
 
 History is summed to (key, day) first, which makes ties within a day harmless and shrinks the
-shuffle; request days join it as marked rows, so a request needs no history of its own day.
-Every frame ends the day before, over one window specification: one shuffle and one sort serve
-all of them. The last-N frame counts rows and goes by prefix sums and equi-joins.
+shuffle. Requests join it as marked rows that carry their own columns, and every frame ends the day
+before, over one window specification: one shuffle and one sort serve all frames, and nothing is
+joined back. A frame is the difference of two running sums. The last-N frame is a range over row numbers
+within the same partitioning.
 
 A sum over a window with rows counts nulls as 0; a window without rows gives null, and so do
-counts of nothing. Requests with a null key or day get nulls.
+counts of nothing. Requests with a null key or day get nulls; they are dealt over many tasks. Columns of
+the requests may have any names but those that the result adds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Tasks over which requests without a key or day are dealt.
+KEYLESS = 1024
+
 
 def day_number(day: Column) -> Column:
     return F.datediff(day.cast("date"), F.lit("1970-01-01").cast("date"))
@@ -32,6 +38,77 @@ def per_observation(total: Column, observed: Column) -> Column:
     return total / F.nullif(observed, F.lit(0))
 
 
+@dataclass(frozen=True)
+class History:
+    """Rows of one history: its columns come out as ``{name}{frame}_{value}``."""
+
+    rows: DataFrame
+    key: str
+    day: str
+    values: Sequence[str]
+    days: Sequence[int] = ()
+    career: bool = True
+    name: str = ""
+
+    def frames(self) -> dict[str, int | None]:
+        return {f"{n}d": n for n in self.days} | ({"all": None} if self.career else {})
+
+    def daily(self) -> DataFrame:
+        """Sums and counts per key and day, under names of this history's own."""
+        known = self.rows.where(F.col(self.key).isNotNull() & F.col(self.day).isNotNull())
+        daily = known.groupBy(F.col(self.key).alias("_k"), day_number(F.col(self.day)).alias("_d"))
+        sums = [f"sum(coalesce(CAST(`{v}` AS DOUBLE), 0D)) AS `_s_{self.name}_{v}`" for v in self.values]
+        counts = [f"count(`{v}`) AS `_c_{self.name}_{v}`" for v in self.values]
+        return daily.agg(*[F.expr(e) for e in (f"count(1) AS `_rows_{self.name}`", *sums, *counts)])
+
+
+def _marked(requests: DataFrame, key: str, day: str) -> DataFrame:
+    """Requests as rows ``_k, _d, _salt, _asked``: the last holds the request itself."""
+    rows = requests.select(F.col(key).alias("_k"), day_number(F.col(day)).alias("_d"), F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("_asked"))
+    lacks = F.col("_k").isNull() | F.col("_d").isNull()
+    return rows.withColumn("_salt", F.when(lacks, F.pmod(F.xxhash64(F.to_json("_asked")), F.lit(KEYLESS)).cast("int")).otherwise(0))
+
+
+class Running:
+    """SQL of sums over the last rows up to one end, as differences of running sums: all frames grow from the
+    first row, so a row costs the same however many rows its frame has, and sums over equal rows cancel
+    exactly. Every running sum is computed once, as a column of its own."""
+
+    def __init__(self, order: str, end: str):
+        self.order, self.end, self.columns = order, end, {}
+
+    def over(self, call: str, end: str, name: str) -> str:
+        frame = f"PARTITION BY _k, _salt ORDER BY {self.order} RANGE BETWEEN UNBOUNDED PRECEDING AND {end}"
+        self.columns.setdefault(name, f"{call} OVER ({frame}) AS `{name}`")
+        return f"coalesce(`{name}`, 0)"
+
+    def within(self, column: str, below: str | None = None) -> str:
+        """Sum of ``column`` up to the end, without the rows up to ``below``."""
+        upper = self.over(f"sum(`{column}`)", self.end, f"_w_{column}")
+        return upper if below is None else f"({upper} - {self.over(f'sum(`{column}`)', below, f'_w_{below}_{column}')})"
+
+
+def asof_many(requests: DataFrame, key: str, day: str, histories: Sequence[History]) -> DataFrame:
+    """``requests`` with the frames of several histories of one kind of key, in one shuffle: per history and
+    frame ``w`` the columns ``w_v`` (sum), ``w_v_n`` (observed count) and ``w_rows`` (row count), each behind the
+    history's name, and ``prev_day``, the last earlier day of the first history."""
+    rows = _marked(requests, key, day)
+    for h in histories:
+        rows = rows.unionByName(h.daily().withColumn("_salt", F.lit(0)), allowMissingColumns=True)
+    run, out = Running("_d", "1 PRECEDING"), []
+    run.over(f"max(IF(`_rows_{histories[0].name}` IS NOT NULL, _d, NULL))", "1 PRECEDING", "_prev")
+    for h in histories:
+        for w, n in h.frames().items():
+            below = n and f"{n + 1} PRECEDING"
+            n_rows = run.within(f"_rows_{h.name}", below)
+            out.append(f"nullif({n_rows}, 0) AS `{h.name}{w}_rows`")
+            for v in h.values:
+                out.append(f"IF({n_rows} > 0, {run.within(f'_s_{h.name}_{v}', below)}, NULL) AS `{h.name}{w}_{v}`")
+                out.append(f"nullif({run.within(f'_c_{h.name}_{v}', below)}, 0) AS `{h.name}{w}_{v}_n`")
+    known = rows.selectExpr("_asked", *run.columns.values()).where("_asked IS NOT NULL")
+    return known.selectExpr("_asked.*", *out, "date_add(DATE'1970-01-01', _prev) AS prev_day")
+
+
 def asof(
     history: DataFrame,
     requests: DataFrame,
@@ -45,31 +122,7 @@ def asof(
 ) -> DataFrame:
     """``requests`` with, for each frame ``w`` (``7d``, ``all``) and value ``v``, the columns ``w_v`` (sum),
     ``w_v_n`` (observed count), ``w_rows`` (row count), and ``prev_day``, the last earlier day."""
-    rk, rd = request_key or key, request_day or day
-    daily = history.where(F.col(key).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(key).alias("_k"), day_number(F.col(day)).alias("_d"))
-    daily = daily.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).alias(f"_s_{v}") for v in values],
-        *[F.count(v).alias(f"_c_{v}") for v in values],
-    )
-    asked = requests.select(F.col(rk).alias("_k"), day_number(F.col(rd)).alias("_d")).where("_k IS NOT NULL AND _d IS NOT NULL").distinct()
-    rows = daily.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
-    order = Window.partitionBy("_k").orderBy("_d")
-    frames = {f"{n}d": order.rangeBetween(-n, -1) for n in days}
-    if career:
-        frames["all"] = order.rangeBetween(Window.unboundedPreceding, -1)
-    before = order.rangeBetween(Window.unboundedPreceding, -1)
-    out: list[Column] = [F.max(F.when(~F.col("_asked"), F.col("_d"))).over(before).alias("_prev")]
-    for name, frame in frames.items():
-        out.append(F.sum("_rows").over(frame).alias(f"{name}_rows"))
-        for v in values:
-            out.append(F.sum(f"_s_{v}").over(frame).alias(f"{name}_{v}"))
-            out.append(F.nullif(F.sum(f"_c_{v}").over(frame), F.lit(0)).alias(f"{name}_{v}_n"))
-    known = rows.select("_k", "_d", "_asked", *out).where("_asked").drop("_asked")
-    joined = requests.withColumns({"_rk": F.col(rk), "_rd": day_number(F.col(rd))}).join(
-        known, (F.col("_rk") == F.col("_k")) & (F.col("_rd") == F.col("_d")), "left"
-    )
-    return joined.withColumn("prev_day", F.date_add(F.lit("1970-01-01").cast("date"), F.col("_prev"))).drop("_rk", "_rd", "_k", "_d", "_prev")
+    return asof_many(requests, request_key or key, request_day or day, [History(history, key, day, values, days, career)])
 
 
 def last_n(
@@ -78,33 +131,22 @@ def last_n(
 ) -> DataFrame:
     """``requests`` with ``last_v`` and ``last_v_n`` over the last ``n`` rows before the request's day,
     rows being ordered by (day, ``tie``), and ``last_rows``."""
-    rk, rd = request_key or key, request_day or day
-    order = Window.partitionBy("_k").orderBy("_d", "_t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = history.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_k"), day_number(F.col(day)).alias("_d"), F.col(tie).alias("_t"), *values)
-    prefix = rows.select(
-        "_k", "_d", F.row_number().over(order.orderBy("_d", "_t")).alias("_rn"),
-        *[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).over(order).alias(f"_p_{v}") for v in values],
-        *[F.count(v).over(order).alias(f"_q_{v}") for v in values],
-    )
-    asked = requests.select(F.col(rk).alias("_k"), day_number(F.col(rd)).alias("_d")).where("_k IS NOT NULL AND _d IS NOT NULL").distinct()
-    marks = rows.groupBy("_k", "_d").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_asked", F.lit(False)).unionByName(
-        asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True
+    known = history.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(
+        F.col(key).alias("_k"), day_number(F.col(day)).alias("_d"), F.col(tie).alias("_t"), F.lit(0).alias("_salt"), F.lit(1).alias("_row"),
+        *[F.col(v).cast("double").alias(f"_v_{v}") for v in values],
     )
-    upto = Window.partitionBy("_k").orderBy("_d").rangeBetween(Window.unboundedPreceding, -1)
-    high = marks.select("_k", "_d", "_asked", F.sum("_rows").over(upto).alias("_high")).where("_asked AND _high IS NOT NULL").drop("_asked")
-    names = [f"_{c}_{v}" for v in values for c in "pq"]
-    at = high.join(prefix.select("_k", F.col("_rn").alias("_high"), *names), ["_k", "_high"]).withColumn("_low", F.col("_high") - n)
-    low = prefix.select("_k", F.col("_rn").alias("_low"), *[F.col(c).alias(f"{c}_low") for c in names])
-    at = at.join(low, ["_k", "_low"], "left")
-    cols = [F.least("_high", F.lit(n)).alias("last_rows")]
+    rows = _marked(requests, request_key or key, request_day or day).unionByName(known, allowMissingColumns=True)
+    # a request stands before the rows of its day; its number is that of the last row before it
+    order = Window.partitionBy("_k", "_salt").orderBy("_d", F.col("_row").asc_nulls_first(), "_t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_number", F.coalesce(F.sum("_row").over(order), F.lit(0)))
+    rows = rows.selectExpr("*", *[f"CAST(`_v_{v}` IS NOT NULL AS INT) AS `_q_{v}`" for v in values])
+    run, below = Running("_number", "CURRENT ROW"), f"{n} PRECEDING"
+    n_rows = run.within("_row", below)
+    out = [f"CAST(nullif({n_rows}, 0) AS INT) AS last_rows"]
     for v in values:
-        cols.append((F.col(f"_p_{v}") - F.coalesce(f"_p_{v}_low", F.lit(0.0))).alias(f"last_{v}"))
-        cols.append(F.nullif(F.col(f"_q_{v}") - F.coalesce(f"_q_{v}_low", F.lit(0)), F.lit(0)).alias(f"last_{v}_n"))
-    at = at.select("_k", "_d", *cols)
-    joined = requests.withColumns({"_rk": F.col(rk), "_rd": day_number(F.col(rd))}).join(
-        at, (F.col("_rk") == F.col("_k")) & (F.col("_rd") == F.col("_d")), "left"
-    )
-    return joined.drop("_rk", "_rd", "_k", "_d")
+        out += [f"IF({n_rows} > 0, {run.within(f'_v_{v}', below)}, NULL) AS `last_{v}`", f"nullif({run.within(f'_q_{v}', below)}, 0) AS `last_{v}_n`"]
+    asked = rows.selectExpr("_asked", *run.columns.values()).where("_asked IS NOT NULL")
+    return asked.selectExpr("_asked.*", *out)
 
 
 def two_sided(requests: DataFrame, id_col: str, roles: dict[str, str], keep: Sequence[str]) -> DataFrame:
@@ -116,9 +158,11 @@ def two_sided(requests: DataFrame, id_col: str, roles: dict[str, str], keep: Seq
 
 def by_role(features: DataFrame, id_col: str, roles: Sequence[str], values: Sequence[str]) -> DataFrame:
     """One row per request: ``role_value`` for each role and value."""
-    return features.groupBy(id_col).agg(
-        *[F.max(F.when(F.col("role") == r, F.col(v))).alias(f"{r}_{v}") for r in roles for v in values]
-    )
+    return features.groupBy(id_col).agg(*[F.expr(role_value(r, v)) for r in roles for v in values])
+
+
+def role_value(role: str, value: str) -> str:
+    return f"max(IF(role = '{role}', `{value}`, NULL)) AS `{role}_{value}`"
 
 
 def top_members_mean(
@@ -126,22 +170,37 @@ def top_members_mean(
     numerator: str, denominator: str, days: int, first: int = 3,
 ) -> DataFrame:
     """Mean as-of ratio of the first members of each array; null unless all of them have one."""
-    one = lineups.select(id_col, F.col(day).alias("_day"), F.explode_outer(F.slice(F.col(members), 1, first)).alias("_member"))
-    known = asof(history, one, key, history_day, [numerator, denominator], [days], False, "_member", "_day")
-    value = ratio(F.col(f"{days}d_{numerator}"), F.col(f"{days}d_{denominator}"))
-    return known.groupBy(id_col).agg(F.when(F.count(value) == first, F.avg(value)).alias("top_mean"))
+    return top_members_means(history, lineups, [id_col], members, day, key, history_day, {"top_mean": (numerator, denominator)}, days, first)
+
+
+def top_members_means(
+    history: DataFrame, lineups: DataFrame, ids: Sequence[str], members: str, day: str, key: str, history_day: str,
+    ratios: dict[str, tuple[str, str]], days: int, first: int = 3,
+) -> DataFrame:
+    """``ids`` and the mean of each as-of ratio over the first members of each array; all of them are
+    null unless every one of those members has every ratio."""
+    one = lineups.select(*ids, F.col(day).alias("_day"), F.explode_outer(F.slice(F.col(members), 1, first)).alias("_member"))
+    values = list(dict.fromkeys(v for pair in ratios.values() for v in pair))
+    known = asof(history, one, key, history_day, values, [days], False, "_member", "_day")
+    each = {name: ratio(F.col(f"{days}d_{a}"), F.col(f"{days}d_{b}")) for name, (a, b) in ratios.items()}
+    whole = reduce(lambda x, y: x & y, [F.count(c) == first for c in each.values()])
+    return known.groupBy(*ids).agg(*[F.when(whole, F.avg(c)).alias(name) for name, c in each.items()])
+
+
+def observed(columns: Sequence[str]) -> Column:
+    """How many of the columns are not null."""
+    return F.expr(" + ".join(f"CAST(`{c}` IS NOT NULL AS INT)" for c in columns))
 
 
 def coverage(columns: Sequence[str], applicable: Column | None = None) -> Column:
     """Share of observed columns among those that apply."""
-    seen = sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
-    return seen / F.nullif(applicable if applicable is not None else F.lit(len(columns)), F.lit(0))
+    return observed(columns) / F.nullif(applicable if applicable is not None else F.lit(len(columns)), F.lit(0))
 
 
 def family_missing(columns: Sequence[str]) -> Column:
     """1 where every column of a family is null."""
-    return F.when(F.coalesce(*[F.col(c) for c in columns]).isNull(), 1.0).otherwise(0.0)
+    return F.expr(f"IF(coalesce({', '.join(f'`{c}`' for c in columns)}) IS NULL, 1D, 0D)")
 
 
 def missing_count(columns: Sequence[str]) -> Column:
-    return sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))
+    return F.lit(len(columns)) - observed(columns)

@@ -1,19 +1,21 @@
 """The feature catalogue of a two-sided contest: formulas over as-of frames of named histories.
 
 Every side has entity, team and lineup families; venue, weather and calendar are shared. Missing
-stays null; a family whose entity is unknown does not apply and leaves the coverage denominator.
+stays null; a family whose entity is unknown does not apply and leaves the coverage denominator, and
+so does the weather of an indoor event, whose values are kept.
+
+Both sides of a request are rows that pass through one shuffle per kind of key (entity, team, lineup
+member) and meet again in one grouping by request: nothing is joined but lineups and venue.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import indicator, iso_week, season, weather_missing, wind_out
-from tidemark.operators.asof import asof, coverage, family_missing, last_n, missing_count, per_observation, ratio, top_members_mean
+from tidemark.operators.asof import History, asof_many, by_role, family_missing, last_n, observed, per_observation, ratio, role_value, top_members_means
 
 # Frames in days, and the rows of the last-N frame.
 ENTITY_DAYS, TEAM_DAYS, FORM_DAYS, LAST_STARTS = (7, 14, 30, 90, 365), (7, 14, 30, 365), 30, 30
@@ -32,113 +34,111 @@ class Histories:
     venue_factors: DataFrame
 
 
-def entity_family(h: Histories, sides: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``sides``: rows ``rid, role, entity, d``; adds the entity family's columns."""
-    games = ["earned_runs", "strikeouts", "walks", "hits", "innings_pitched"]
-    g = asof(h.pitcher_games, sides, "pitcher_id", "game_date", games, ENTITY_DAYS, True, "entity", "d")
-    era = lambda w: ratio(F.col(f"{w}_earned_runs"), F.col(f"{w}_innings_pitched"), 9.0)
-    whip = lambda w: ratio(F.col(f"{w}_hits") + F.col(f"{w}_walks"), F.col(f"{w}_innings_pitched"))
+def entity_columns() -> dict[str, Column]:
+    """The entity family over the frames of ``games``, ``first`` and ``form`` and the last-N frame."""
+    c = F.col
+    era = lambda w: ratio(c(f"g_{w}_earned_runs"), c(f"g_{w}_innings_pitched"), 9.0)
+    whip = lambda w: ratio(c(f"g_{w}_hits") + c(f"g_{w}_walks"), c(f"g_{w}_innings_pitched"))
     out: dict[str, Column] = {
-        "p_career_era": era("all"), "p_career_k9": ratio(F.col("all_strikeouts"), F.col("all_innings_pitched"), 9.0),
-        "p_career_bb9": ratio(F.col("all_walks"), F.col("all_innings_pitched"), 9.0), "p_career_whip": whip("all"),
-        "p_career_ip": F.col("all_innings_pitched"), "p_rest_days": F.datediff("d", "prev_day").cast("double"),
+        "p_career_era": era("all"), "p_career_k9": ratio(c("g_all_strikeouts"), c("g_all_innings_pitched"), 9.0),
+        "p_career_bb9": ratio(c("g_all_walks"), c("g_all_innings_pitched"), 9.0), "p_career_whip": whip("all"),
+        "p_career_ip": c("g_all_innings_pitched"), "p_rest_days": F.datediff("d", "prev_day").cast("double"),
     }
     for n in ENTITY_DAYS:
-        out |= {f"p_{n}d_era": era(f"{n}d"), f"p_{n}d_whip": whip(f"{n}d"), f"p_{n}d_starts": F.col(f"{n}d_rows").cast("double")}
-    part = [g.select("rid", "role", *[c.alias(n) for n, c in out.items()])]
-    last = last_n(h.pitcher_games, sides, "pitcher_id", "game_date", "game_id", ["earned_runs", "strikeouts", "innings_pitched"], LAST_STARTS, "entity", "d")
-    out2 = {
-        "p_30gs_era": ratio(F.col("last_earned_runs"), F.col("last_innings_pitched"), 9.0),
-        "p_30gs_k9": ratio(F.col("last_strikeouts"), F.col("last_innings_pitched"), 9.0),
-    }
-    part.append(last.select("rid", "role", *[c.alias(n) for n, c in out2.items()]))
-    first = h.pitcher_innings.where("inning = 1").withColumn("zero", indicator(F.col("first_inning_runs"), F.col("first_inning_runs") == 0))
-    f = asof(first, sides, "pitcher_id", "game_date", ["first_inning_runs", "first_inning_hits", "first_inning_walks", "zero"], (), True, "entity", "d")
-    runs, n = F.col("all_first_inning_runs"), F.col("all_first_inning_runs_n")
-    both = F.when((F.col("all_first_inning_hits_n") > 0) & (F.col("all_first_inning_walks_n") > 0), F.least("all_first_inning_hits_n", "all_first_inning_walks_n"))
-    out3 = {
+        out |= {f"p_{n}d_era": era(f"{n}d"), f"p_{n}d_whip": whip(f"{n}d"), f"p_{n}d_starts": c(f"g_{n}d_rows").cast("double")}
+    runs, n, f = c("f_all_first_inning_runs"), c("f_all_first_inning_runs_n"), "f_all_first_inning_"
+    both = F.when((c(f + "hits_n") > 0) & (c(f + "walks_n") > 0), F.least(f + "hits_n", f + "walks_n"))
+    w = f"s_{FORM_DAYS}d_"
+    return out | {
+        "p_30gs_era": ratio(c("last_earned_runs"), c("last_innings_pitched"), 9.0),
+        "p_30gs_k9": ratio(c("last_strikeouts"), c("last_innings_pitched"), 9.0),
         "p_fi_ra9": per_observation(runs, n) * 9.0, "p_fi_runs_rate": per_observation(runs, n),
-        "p_fi_whip": (F.col("all_first_inning_hits") + F.col("all_first_inning_walks")) / both,
-        "p_fi_zero_rate": per_observation(F.col("all_zero"), F.col("all_zero_n")), "p_fi_games": n.cast("double"),
+        "p_fi_whip": (c(f + "hits") + c(f + "walks")) / both,
+        "p_fi_zero_rate": per_observation(c("f_all_zero"), c("f_all_zero_n")), "p_fi_games": n.cast("double"),
+        "p_avg_exit_velo": ratio(c(w + "exit_velocity_sum"), c(w + "batted_balls")),
+        "p_barrel_pct": ratio(c(w + "barrels"), c(w + "batted_balls"), 100.0),
+        "p_hard_hit_pct": ratio(c(w + "hard_hits"), c(w + "batted_balls"), 100.0),
+        "p_whiff_pct": ratio(c(w + "whiffs"), c(w + "swings"), 100.0),
     }
-    part.append(f.select("rid", "role", *[c.alias(n) for n, c in out3.items()]))
-    form = ["exit_velocity_sum", "barrels", "hard_hits", "whiffs", "swings", "batted_balls"]
-    s = asof(h.statcast_daily, sides, "pitcher_id", "game_date", form, (FORM_DAYS,), False, "entity", "d")
-    w = f"{FORM_DAYS}d_"
-    out4 = {
-        "p_avg_exit_velo": ratio(F.col(w + "exit_velocity_sum"), F.col(w + "batted_balls")),
-        "p_barrel_pct": ratio(F.col(w + "barrels"), F.col(w + "batted_balls"), 100.0),
-        "p_hard_hit_pct": ratio(F.col(w + "hard_hits"), F.col(w + "batted_balls"), 100.0),
-        "p_whiff_pct": ratio(F.col(w + "whiffs"), F.col(w + "swings"), 100.0),
-    }
-    part.append(s.select("rid", "role", *[c.alias(n) for n, c in out4.items()]))
-    return reduce(lambda a, b: a.join(b, ["rid", "role"]), part), [*out, *out2, *out3, *out4]
-
-
-def team_family(h: Histories, sides: DataFrame) -> tuple[DataFrame, list[str]]:
-    values = ["runs", "hits", "at_bats", "total_bases", "times_on_base", "plate_appearances", "woba_num", "woba_den"]
-    g = asof(h.team_games, sides, "team", "game_date", values, TEAM_DAYS, False, "entity", "d")
+
+
+def team_columns() -> dict[str, Column]:
     c = F.col
     out = {
-        "t_season_avg": ratio(c("365d_hits"), c("365d_at_bats")), "t_season_obp": ratio(c("365d_times_on_base"), c("365d_plate_appearances")),
-        "t_season_slg": ratio(c("365d_total_bases"), c("365d_at_bats")), "t_season_woba": ratio(c("365d_woba_num"), c("365d_woba_den")),
-        "t_season_rpg": per_observation(c("365d_runs"), c("365d_runs_n")),
+        "t_season_avg": ratio(c("g_365d_hits"), c("g_365d_at_bats")), "t_season_obp": ratio(c("g_365d_times_on_base"), c("g_365d_plate_appearances")),
+        "t_season_slg": ratio(c("g_365d_total_bases"), c("g_365d_at_bats")), "t_season_woba": ratio(c("g_365d_woba_num"), c("g_365d_woba_den")),
+        "t_season_rpg": per_observation(c("g_365d_runs"), c("g_365d_runs_n")),
+        "t_fi_rpg": per_observation(c("f_365d_first_inning_runs"), c("f_365d_first_inning_runs_n")),
+        "t_fi_scoring_pct": per_observation(c("f_365d_any_run"), c("f_365d_any_run_n")),
     }
     for n in TEAM_DAYS[:-1]:
-        out |= {f"t_{n}d_rpg": per_observation(c(f"{n}d_runs"), c(f"{n}d_runs_n")), f"t_{n}d_woba": ratio(c(f"{n}d_woba_num"), c(f"{n}d_woba_den"))}
-    part = g.select("rid", "role", *[x.alias(n) for n, x in out.items()])
-    first = h.team_innings.where("inning = 1").withColumn("any_run", indicator(c("first_inning_runs"), c("first_inning_runs") > 0))
-    f = asof(first, sides, "team", "game_date", ["first_inning_runs", "any_run"], (365,), False, "entity", "d")
-    out2 = {
-        "t_fi_rpg": per_observation(c("365d_first_inning_runs"), c("365d_first_inning_runs_n")),
-        "t_fi_scoring_pct": per_observation(c("365d_any_run"), c("365d_any_run_n")),
-    }
-    return part.join(f.select("rid", "role", *[x.alias(n) for n, x in out2.items()]), ["rid", "role"]), [*out, *out2]
+        out |= {f"t_{n}d_rpg": per_observation(c(f"g_{n}d_runs"), c(f"g_{n}d_runs_n")), f"t_{n}d_woba": ratio(c(f"g_{n}d_woba_num"), c(f"g_{n}d_woba_den"))}
+    return out
+
+
+def with_families(h: Histories, sides: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    """``sides`` (rows ``rid, role, d, entity, team``) with the columns of the entity and the team family."""
+    first = h.pitcher_innings.where("inning = 1").withColumn("zero", indicator(F.col("first_inning_runs"), F.col("first_inning_runs") == 0))
+    scored = h.team_innings.where("inning = 1").withColumn("any_run", indicator(F.col("first_inning_runs"), F.col("first_inning_runs") > 0))
+    rows = asof_many(sides, "entity", "d", [
+        History(h.pitcher_games, "pitcher_id", "game_date", ["earned_runs", "strikeouts", "walks", "hits", "innings_pitched"], ENTITY_DAYS, True, "g_"),
+        History(first, "pitcher_id", "game_date", ["first_inning_runs", "first_inning_hits", "first_inning_walks", "zero"], (), True, "f_"),
+        History(h.statcast_daily, "pitcher_id", "game_date", ["exit_velocity_sum", "barrels", "hard_hits", "whiffs", "swings", "batted_balls"], (FORM_DAYS,), False, "s_"),
+    ])
+    rows = last_n(h.pitcher_games, rows, "pitcher_id", "game_date", "game_id", ["earned_runs", "strikeouts", "innings_pitched"], LAST_STARTS, "entity", "d")
+    entity, team = entity_columns(), team_columns()
+    rows = rows.select(*sides.columns, *[c.alias(n) for n, c in entity.items()])
+    values = ["runs", "hits", "at_bats", "total_bases", "times_on_base", "plate_appearances", "woba_num", "woba_den"]
+    rows = asof_many(rows, "team", "d", [
+        History(h.team_games, "team", "game_date", values, TEAM_DAYS, False, "g_"),
+        History(scored, "team", "game_date", ["first_inning_runs", "any_run"], (365,), False, "f_"),
+    ])
+    return rows.select(*sides.columns, *entity, *[c.alias(n) for n, c in team.items()]), list(entity), list(team)
 
 
 def build(h: Histories, requests: DataFrame) -> DataFrame:
     """One row per request (``rid, d, away_pitcher, home_pitcher, away_team, home_team, venue_id, away_lineup,
     home_lineup, is_dome, temp_f, wind_speed, wind_dir, azimuth, humidity, is_doubleheader``) with all
-    feature columns, ``coverage`` and ``missing_count``."""
-
-    def sides(suffix: str) -> DataFrame:
-        one = [requests.select("rid", F.lit(r).alias("role"), F.col(f"{r}_{suffix}").alias("entity"), "d") for r in ("away", "home")]
-        return one[0].unionByName(one[1])
-
-    out = requests
+    feature columns, ``coverage`` and ``missing_count``. ``rid`` names a request and is not repeated."""
+    roles = ("away", "home")
+    shared = F.struct(*[c for c in requests.columns if not c.endswith("_lineup")])
+    side = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"{r}_pitcher").alias("entity"), F.col(f"{r}_team").alias("team"), F.col(f"{r}_lineup").alias("members"))
+    both = requests.select("rid", "d", shared.alias("request"), F.explode(F.array(*[side(r) for r in roles])).alias("s"))
+    # the request itself rides with its first side only
+    sides = both.select("rid", "d", F.when(F.col("s.role") == "away", F.col("request")).alias("request"), "s.role", "s.entity", "s.team")
+    rows, entity, team = with_families(h, sides)
+    names = {"lineup_top3_woba": ("woba_num", "woba_den"), "lineup_top3_obp": ("times_on_base", "plate_appearances")}
+    lineups = top_members_means(h.batter_games, both.select("rid", "s.role", "d", "s.members"), ["rid", "role"], "members", "d", "batter_id", "game_date", names, FORM_DAYS)
+    values = [*entity, *team]
+    wide = rows.groupBy("rid").agg(
+        F.first("request", True).alias("request"), *[F.expr(role_value(r, v)) for r in roles for v in values]
+    )
+    wide = wide.join(by_role(lineups, "rid", roles, list(names)).withColumnRenamed("rid", "_lineup_rid"), F.col("rid") == F.col("_lineup_rid"), "left")
+    out = wide.select("request.*", *[f"{r}_{v}" for r in roles for v in (*values, *names)])
+    factors = h.venue_factors.select(F.col("venue_id").alias("_venue"), *[F.col(f"{x}_factor").alias(f"park_{x}_factor") for x in ("runs", "hr", "hits")])
+    out = out.join(factors, F.col("venue_id") == F.col("_venue"), "left").drop("_venue")
     families: list[tuple[list[str], Column]] = []
-    for suffix, family in (("pitcher", entity_family), ("team", team_family)):
-        rows, names = family(h, sides(suffix))
-        for r in ("away", "home"):
-            mine = rows.where(F.col("role") == r).select("rid", *[F.col(n).alias(f"{r}_{n}") for n in names])
-            out = out.join(mine, "rid", "left")
-            cols = [f"{r}_{n}" for n in names]
-            out = out.withColumn(f"{r}_{names[0][0]}_missing", family_missing(cols))
-            families.append((cols, F.col(f"{r}_{suffix}").isNotNull()))
-    for r in ("away", "home"):
-        for name, num, den in (("woba", "woba_num", "woba_den"), ("obp", "times_on_base", "plate_appearances")):
-            top = top_members_mean(h.batter_games, requests, "rid", f"{r}_lineup", "d", "batter_id", "game_date", num, den, FORM_DAYS)
-            out = out.join(top.withColumnRenamed("top_mean", f"{r}_lineup_top3_{name}"), "rid", "left")
-        cols = [f"{r}_lineup_top3_woba", f"{r}_lineup_top3_obp"]
-        out = out.withColumn(f"{r}_lineup_missing", family_missing(cols))
+    flags: dict[str, Column] = {}
+    for columns, source in ((entity, "pitcher"), (team, "team")):
+        for r in roles:
+            cols = [f"{r}_{n}" for n in columns]
+            flags[f"{r}_{columns[0][0]}_missing"] = family_missing(cols)
+            families.append((cols, F.col(f"{r}_{source}").isNotNull() & (F.col(f"{r}_{source}").cast("string") != "")))
+    for r in roles:
+        cols = [f"{r}_{n}" for n in names]
+        flags[f"{r}_lineup_missing"] = family_missing(cols)
         families.append((cols, F.lit(True)))
-    factors = h.venue_factors.select("venue_id", *[F.col(f"{x}_factor").alias(f"park_{x}_factor") for x in ("runs", "hr", "hits")])
-    out = out.join(factors, "venue_id", "left")
     park = ["park_runs_factor", "park_hr_factor", "park_hits_factor"]
-    out = out.withColumn("park_missing", family_missing(park))
     dome = F.coalesce("is_dome", F.lit(False))
-    raw = {"temp_f": F.col("temp_f"), "wind_speed": F.col("wind_speed"), "humidity": F.col("humidity"), "wind_out_component": wind_out(F.col("wind_speed"), F.col("wind_dir"), F.col("azimuth"))}
-    out = out.withColumns({n: F.when(~dome, c) for n, c in raw.items()})
-    out = out.withColumns({
-        "weather_missing": weather_missing(F.col("is_dome"), [F.col(n) for n in raw]), "season": season(F.col("d")).cast("double"),
+    weather = ["temp_f", "wind_speed", "humidity", "wind_out_component"]
+    out = out.withColumns(flags | {
+        "park_missing": family_missing(park), "wind_out_component": wind_out(F.col("wind_speed"), F.col("wind_dir"), F.col("azimuth")),
+        "weather_missing": weather_missing(F.col("is_dome"), F.col("temp_f"), F.col("wind_speed")), "season": season(F.col("d")).cast("double"),
         "season_week": iso_week(F.col("d")).cast("double"), "is_doubleheader": F.coalesce("is_doubleheader", F.lit(False)).cast("double"),
         "is_dome": dome.cast("double"),
     })
-    families += [(park, F.lit(True)), (list(raw), F.col("is_dome") == 0.0), (["season", "season_week", "is_doubleheader", "is_dome"], F.lit(True))]
-    names = [c for cols, _ in families for c in cols]
+    families += [(park, F.lit(True)), (weather, F.col("is_dome") == 0.0), (["season", "season_week", "is_doubleheader", "is_dome"], F.lit(True))]
+    count = [c for cols, _ in families for c in cols]
     applicable = sum((F.when(on, len(cols)).otherwise(0) for cols, on in families), F.lit(0))
-    seen = sum((F.when(on, sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))).otherwise(0) for cols, on in families), F.lit(0))
-    return out.withColumns({"coverage": seen / applicable, "missing_count": applicable - seen, "n_features": F.lit(len(names))})
-
-
-__all__ = ["Histories", "build", "coverage", "missing_count"]
+    seen = sum((F.when(on, observed(cols)).otherwise(0) for cols, on in families), F.lit(0))
+    return out.withColumns({"coverage": seen / applicable, "missing_count": applicable - seen, "n_features": F.lit(len(count))})

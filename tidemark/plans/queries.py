@@ -13,7 +13,7 @@ from tidemark.config import DEFAULT
 from tidemark.functions import exprs as X
 from tidemark.operators import asof as A
 from tidemark.operators import folds, latest, market, metrics, quality, vennabers
-from tidemark.plans import grading, registry
+from tidemark.plans import catalogue, grading, registry
 from tidemark.plans.views import NOW, Tables, with_views
 from tidemark.sources import io, nested
 
@@ -466,10 +466,11 @@ def _(t):
     return f.select("rid", F.coalesce("365d_rows", F.lit(0)).cast("long").alias("rows_365"), r("365d_x", 2).alias("x_365"), F.coalesce("all_x_null_n", F.lit(0)).alias("seen"), r(A.per_observation(C("all_x"), C("all_x_n"))).alias("mean_all"), "prev_day")
 
 
-@query("d02_two_roles", """WITH g AS (SELECT gid AS rid, k AS away, (k + 7) % 1500 AS home, d FROM hist WHERE gid % 5 = 0)
-  SELECT g.rid, (SELECT round(sum(h.x), 2) FROM hist h WHERE h.k = g.away AND h.d < g.d) AS away_sum, (SELECT round(sum(h.x), 2) FROM hist h WHERE h.k = g.home AND h.d < g.d) AS home_sum FROM g""")
+@query("d02_two_roles", """WITH g AS (SELECT gid AS rid, k AS away, (k + 7) % 1500 AS home, d FROM hist),
+  s AS (SELECT rid, away AS k, d, 'away' AS role FROM g UNION ALL SELECT rid, home, d, 'home' FROM g)
+  SELECT s.rid, round(sum(h.x) FILTER (WHERE role = 'away'), 2) AS away_sum, round(sum(h.x) FILTER (WHERE role = 'home'), 2) AS home_sum FROM s LEFT JOIN hist h ON h.k = s.k AND h.d < s.d GROUP BY s.rid""")
 def _(t):
-    games = t.hist.where("gid % 5 = 0").select(C("gid").alias("rid"), C("k").alias("away"), ((C("k") + 7) % 1500).alias("home"), "d")
+    games = t.hist.select(C("gid").alias("rid"), C("k").alias("away"), ((C("k") + 7) % 1500).alias("home"), "d")
     sides = A.two_sided(games, "rid", {"away": "away", "home": "home"}, ["d"])
     f = A.asof(t.hist, sides, "k", "d", ["x"], (), True, "entity", "d").withColumn("sum", r("all_x", 2))
     return A.by_role(f, "rid", ["away", "home"], ["sum"])
@@ -574,11 +575,26 @@ def _(t):
     return folds.members(rows, folds.fold_table(rows, "d"), "d").groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("d13_interval_lookup")
+def intervals_sql(pairs: str, calibrates: str = "true") -> str:
+    """Venn-ABERS by definition: the largest over left ends of the smallest over right ends of block means that
+    hold the test point. ``pairs``: rows ``model, event_id, p, y``."""
+    return f"""(WITH q AS ({pairs}), c AS (SELECT model, p AS s, count(*) AS n, sum(y) AS pos FROM q WHERE {calibrates} GROUP BY 1, 2),
+   ends AS (SELECT model, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(pos) OVER w AS cy FROM c WINDOW w AS (PARTITION BY model ORDER BY s) UNION ALL SELECT DISTINCT model, 0, 0, 0 FROM c),
+   pl AS (SELECT x.model, x.p, (SELECT count(*) FROM c WHERE c.model = x.model AND c.s < x.p) AS lo, (SELECT count(*) FROM c WHERE c.model = x.model AND c.s <= x.p) AS hi FROM (SELECT DISTINCT model, p FROM q) x),
+   v AS (SELECT pl.model, pl.p, a.i, min((b.cy - a.cy) / CAST(b.cn - a.cn + 1 AS DOUBLE)) AS m0, min((b.cy - a.cy + 1) / CAST(b.cn - a.cn + 1 AS DOUBLE)) AS m1
+     FROM pl JOIN ends a ON a.model = pl.model AND a.i <= pl.lo JOIN ends b ON b.model = pl.model AND b.i >= pl.hi GROUP BY 1, 2, 3),
+   z AS (SELECT model, p, max(m0) AS p0, max(m1) AS p1 FROM v GROUP BY 1, 2)
+   SELECT q.event_id, p0, p1 FROM q JOIN z ON z.model = q.model AND z.p = q.p)"""
+
+
+INTERVALS = "round(p0, 6) AS p0, round(p1, 6) AS p1, round(p1 / (1 - p0 + p1), 6) AS p_cal"
+
+
+@query("d13_interval_lookup", f"SELECT event_id, {INTERVALS} FROM " + intervals_sql("SELECT 'm' AS model, event_id, p, y FROM grades", "event_id % 2 = 0") + " x")
 def _(t):
     pairs = t.grades.withColumn("model", F.lit("m"))
-    table = vennabers.calibrate(pairs.where("event_id % 2 = 0"), "model", "p", "y")
-    return vennabers.apply(pairs.where("event_id % 2 = 1"), table, "model", "p").select("event_id", r("p0").alias("p0"), r("p1").alias("p1"), r("p_cal").alias("p_cal"))
+    table = vennabers.calibrate(pairs.where("event_id % 2 = 0"), "model", "p", "y")  # half calibrates, all are looked up
+    return vennabers.apply(pairs, table, "model", "p").select("event_id", r("p0").alias("p0"), r("p1").alias("p1"), r("p_cal").alias("p_cal"))
 
 
 @query("d14_games_without_market", f"SELECT c.game, CASE WHEN m.p_market IS NULL THEN 'no_market_consensus' END AS reason FROM cust_y c LEFT JOIN {CONSENSUS} m ON m.matchup = c.game")
@@ -862,7 +878,7 @@ one("i05_as_date", "hist", {"day": (lambda: X.as_date(F.when(C("gid") % 5 == 0,
 one("i06_safe_numbers", "hist", {"whole": (lambda: X.as_int(F.when(C("gid") % 5 == 0, "x").otherwise(C("gid").cast("string"))), "CASE WHEN gid % 5 = 0 THEN NULL ELSE gid END"), "number": (lambda: X.as_double(F.when(C("gid") % 7 == 0, "NaN").otherwise(C("gid").cast("string"))), "CASE WHEN gid % 7 = 0 THEN NULL ELSE CAST(gid AS DOUBLE) END")}, None, "gid")
 one("i07_season_week", "hist", {"season": (lambda: X.season(C("d")).cast("long"), "year(d)"), "week": (lambda: X.iso_week(C("d")).cast("long"), "weekofyear(d)")}, None, "gid")
 one("i08_wind_out", "hist", {"wind": (lambda: r(X.wind_out(C("x") / 10000, C("gid") % 360, F.lit(45.0)) + 100), "round(x / 10000 * cos(radians(gid % 360 - CAST(45 AS DOUBLE))) + 100, 6)")}, None, "gid")
-one("i09_weather_missing", "hist", {"missing": (lambda: X.weather_missing(C("gid") % 3 == 0, [C("x_null")]), "CASE WHEN gid % 3 = 0 THEN CAST(0 AS DOUBLE) WHEN x_null IS NULL THEN 1 ELSE 0 END")}, None, "gid")
+one("i09_weather_missing", "hist", {"missing": (lambda: X.weather_missing(C("gid") % 3 == 0, C("x_null"), F.when(C("priority") != "1-URGENT", C("x"))), "CASE WHEN gid % 3 = 0 THEN CAST(0 AS DOUBLE) WHEN x_null IS NULL OR priority = '1-URGENT' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END")}, None, "gid")
 one("i10_shrink", "pred", {"p_final": (lambda: r(X.shrink_to_group(C("p"), F.when(C("event_id") % 3 != 0, F.lit(0.4)), (C("event_id") % 50).cast("double"))), "round(CASE WHEN event_id % 3 <> 0 THEN (CAST(event_id % 50 AS DOUBLE) * p + 20 * CAST(0.4 AS DOUBLE)) / (CAST(event_id % 50 AS DOUBLE) + 20) ELSE p END, 6)")}, None, "event_id")
 one("i11_effective_rows", "hist", {"n_eff": (lambda: r(X.effective_rows(F.when(C("gid") % 2 == 0, (C("gid") % 100).cast("double")), F.when(C("gid") % 3 == 0, (C("gid") % 70).cast("double")), F.lit(0.9))), "round(least(coalesce(least(CASE WHEN gid % 2 = 0 THEN CAST(gid % 100 AS DOUBLE) END, CASE WHEN gid % 3 = 0 THEN CAST(gid % 70 AS DOUBLE) END), 0), 60) * CAST(0.9 AS DOUBLE), 6)")}, None, "gid")
 one("i12_edge", "pred", {"edge": (lambda: r(X.edge(C("p"), F.lit(0.5), C("event_id") % 2 == 0)), "CASE WHEN event_id % 2 = 0 THEN round(p - 0.5, 6) END")}, None, "event_id")
@@ -940,13 +956,13 @@ def _(t):
     return latest.latest(out, ["matchup"], "newest").select("matchup", "books_n", r("p_market").alias("p_market"))
 
 
-@query("j04_stream_upsert", "SELECT user_id AS matchup, event_id FROM events WHERE event_id % 2 = 0")
+@query("j04_stream_upsert", "SELECT user_id AS matchup, event_id FROM events")
 def _(t):
     from tidemark.streaming import snapshots
 
-    stream = snapshots.events_stream(t.spark, f"{t.folder}/events.parquet*").where("event_id % 2 = 0").select("event_id", C("user_id").alias("matchup"))
+    stream = snapshots.events_stream(t.spark, f"{t.folder}/events.parquet*").select("event_id", C("user_id").alias("matchup"), "captured_at")
     path = _scratch(t, "j04")
-    snapshots.upsert_stream(stream, path, ["event_id"], _scratch(t, "j04-checkpoint")).awaitTermination()
+    snapshots.upsert_stream(stream, path, ["event_id"], "captured_at", _scratch(t, "j04-checkpoint")).awaitTermination()
     return t.spark.read.parquet(path).select("matchup", "event_id")
 
 
@@ -1007,8 +1023,9 @@ def _calibrated(t: Tables) -> DataFrame:
     return vennabers.apply(pairs, vennabers.calibrate(pairs, "model", "p", "y"), "model", "p")
 
 
-query("l08_venn_abers")(lambda t: _calibrated(t).select("event_id", r("p0").alias("p0"), r("p1").alias("p1"), r("p_cal").alias("p_cal")))
-query("l09_interval_width")(lambda t: _calibrated(t).select("event_id", r("width").alias("width")))
+BY_VENUE = intervals_sql("SELECT CASE WHEN venue % 2 = 0 THEN 'a' ELSE 'b' END AS model, event_id, p, y FROM grades")
+query("l08_venn_abers", f"SELECT event_id, {INTERVALS} FROM {BY_VENUE} x")(lambda t: _calibrated(t).select("event_id", r("p0").alias("p0"), r("p1").alias("p1"), r("p_cal").alias("p_cal")))
+query("l09_interval_width", f"SELECT event_id, round(p1 - p0, 6) AS width FROM {BY_VENUE} x")(lambda t: _calibrated(t).select("event_id", r("width").alias("width")))
 
 
 @query("l10_scoring")
@@ -1100,33 +1117,7 @@ def _(t):
     return t.spark.read.parquet(path).select("d", "gid", "k", "x")
 
 
-def histories(t: Tables):
-    """The catalogue's histories from orders and line items: suppliers pitch, customers are teams."""
-    from tidemark.operators.features import Histories
-
-    li = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", C("l_linenumber").alias("inning"), "l_quantity", "l_discount", "l_tax", "l_extendedprice", C("l_shipdate").cast("date").alias("game_date"))
-    pg = li.groupBy(C("l_suppkey").alias("pitcher_id"), C("l_orderkey").alias("game_id")).agg(
-        F.min("game_date").alias("game_date"), F.sum("l_discount").alias("earned_runs"), F.sum("l_tax").alias("walks"), F.sum("inning").alias("hits"), F.count(F.lit(1)).alias("strikeouts"), F.sum("l_quantity").alias("innings_pitched")
-    )
-    pi = li.select(C("l_suppkey").alias("pitcher_id"), C("l_orderkey").alias("game_id"), "game_date", "inning", F.floor(C("l_quantity") % 3).alias("first_inning_runs"), C("l_tax").alias("first_inning_hits"), C("l_discount").alias("first_inning_walks"))
-    sc = li.groupBy(C("l_suppkey").alias("pitcher_id"), "game_date").agg(F.sum("l_quantity").alias("exit_velocity_sum"), F.sum("l_tax").alias("barrels"), F.sum("l_discount").alias("hard_hits"), F.sum("l_tax").alias("whiffs"), F.sum("inning").alias("swings"), F.count(F.lit(1)).alias("batted_balls"))
-    o = t.orders.select(C("o_custkey").alias("team"), C("o_orderkey").alias("game_id"), C("o_orderdate").cast("date").alias("game_date"), (C("o_totalprice") / 1e5).alias("v"))
-    tg = o.select("team", "game_id", "game_date", *[(C("v") * w).alias(c) for c, w in (("runs", 1), ("hits", 2), ("at_bats", 7), ("total_bases", 3), ("times_on_base", 3), ("plate_appearances", 8), ("woba_num", 2), ("woba_den", 6))])
-    ti = o.select("team", "game_id", "game_date", F.lit(1).alias("inning"), F.floor(C("v") % 2).alias("first_inning_runs"))
-    bg = li.select(C("l_partkey").alias("batter_id"), C("l_orderkey").alias("game_id"), "game_date", C("l_tax").alias("woba_num"), C("l_quantity").alias("woba_den"), C("l_discount").alias("times_on_base"), C("l_quantity").alias("plate_appearances"))
-    vf = t.nation.select(C("n_nationkey").alias("venue_id"), (C("n_nationkey") / 10 + 1).alias("runs_factor"), F.lit(1.0).alias("hr_factor"), F.lit(1.0).alias("hits_factor"))
-    return Histories(pg, pi, sc, tg, ti, bg, vf)
-
-
-@query("n02_feature_catalogue")
-def _(t):
-    from tidemark.operators.features import build
-
-    req = baskets(t).join(t.orders.select(C("o_orderkey").alias("game"), C("o_custkey").alias("_c")), "game").select(
-        C("game").alias("rid"), "d", (C("game") % 97).alias("away_pitcher"), F.when(C("game") % 8 == 0, C("game") % 89).alias("home_pitcher"), C("_c").alias("away_team"), ((C("_c") + 7) % 1500).alias("home_team"),
-        (C("game") % 30).cast("int").alias("venue_id"), C("ids").alias("away_lineup"), F.slice("ids", 1, 2).alias("home_lineup"), (C("game") % 3 == 0).alias("is_dome"), F.lit(70.0).alias("temp_f"), F.lit(8.0).alias("wind_speed"), F.lit(90.0).alias("wind_dir"), F.lit(45.0).alias("azimuth"), F.lit(None).cast("double").alias("humidity"), F.lit(None).cast("boolean").alias("is_doubleheader"),
-    )
-    return build(histories(t), req).drop("away_lineup", "home_lineup")
+query("n02_feature_catalogue", catalogue.CATALOGUE_SQL)(catalogue.catalogue)
 
 
 @query("n03_score_slate", f"""WITH m AS (SELECT * FROM {CONSENSUS} c), g AS (SELECT p.*, c.venue FROM (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY game ORDER BY predicted_at DESC, event_id DESC) = 1) p JOIN cust_y c ON p.game = c.game)

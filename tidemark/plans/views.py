@@ -11,7 +11,7 @@ VIEWS: dict[str, str] = {
         CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice END AS x_null,
         o_orderstatus AS status, o_orderpriority AS priority FROM {orders}""",
     "requests": """SELECT o_orderkey AS rid, o_custkey AS k, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS d
-        FROM {orders} WHERE o_orderkey % 3 = 0""",
+        FROM {orders}""",
     "pitch": """SELECT l_suppkey AS pitcher, l_orderkey AS game, l_linenumber AS inning, l_returnflag AS event,
         l_linestatus AS description, l_quantity AS launch, l_extendedprice AS pre, l_extendedprice + l_linenumber AS post,
         CAST(l_shipdate AS DATE) AS d FROM {lineitem}""",
