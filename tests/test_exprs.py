@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
-from tidemark.operators.vennabers import fast_values, hull_slopes
+from tidemark.operators.vennabers import fast_values
 
 
 def value(spark, column):
@@ -50,6 +50,24 @@ def test_unique_or_null(spark):
     assert one(5, 5, None) == 5 and one(5, 6) is None and one(None) is None
 
 
+def hull_slopes(n: np.ndarray, y: np.ndarray, label: int) -> np.ndarray:
+    """Isotonic value of one more point with ``label`` at each place among ``2m + 1`` (gap, knot, gap, ...).
+
+    The value at a place is the largest over left ends of the smallest over right ends of block means
+    that hold the place; running over places with a stack of blocks costs a scan for each.
+    """
+    m = len(n)
+    out = np.empty(2 * m + 1)
+    cn, cy = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(y)])
+    for place in range(2 * m + 1):
+        left_ends = np.arange(place // 2 + 1)
+        right_ends = np.arange((place + 1) // 2, m + 1)
+        num = cy[right_ends][None, :] - cy[left_ends][:, None] + label
+        den = cn[right_ends][None, :] - cn[left_ends][:, None] + 1
+        out[place] = (num / den).min(axis=1).max()
+    return out
+
+
 def test_calibration_table_equals_definition():
     rng = np.random.default_rng(7)
     for _ in range(100):

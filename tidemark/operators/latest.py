@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import RANGE_ROWS, in_ranges
+
 
 def latest(df: DataFrame, keys: Sequence[str], at: str, ties: Sequence[str] = (), cutoff: Column | None = None) -> DataFrame:
     """The row with the largest ``at`` per key, by falling ``ties`` where several have it.
@@ -34,7 +36,15 @@ def since(at: str, now: Column, days: int) -> Column:
     return F.col(at) >= now - F.make_interval(days=F.lit(days))
 
 
-def monotonic(df: DataFrame, position: str, day: str) -> DataFrame:
-    """One row: ``n_back``, how many rows have an earlier day than the row before them."""
-    w = Window.partitionBy(F.lit(0)).orderBy(position)
-    return df.select(F.col(day), F.lag(day).over(w).alias("_before")).agg(F.count_if(F.col(day) < F.col("_before")).alias("n_back"))
+def monotonic(df: DataFrame, position: str, day: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row: ``n_back``, how many rows have an earlier day than the row before them. Rows are compared
+    within ranges of positions, and the ranges by their first and last rows."""
+    rows = in_ranges(df.select(F.col(position).alias("_p"), F.col(day).alias("_d")), "_p", range_rows)
+    within = rows.select("_r", "_p", "_d", F.lag("_d").over(Window.partitionBy("_r").orderBy("_p")).alias("_before"))
+    ends = within.groupBy("_r").agg(
+        F.count_if(F.col("_d") < F.col("_before")).alias("_n"),
+        F.min(F.struct("_p", "_d"))["_d"].alias("_first"), F.max(F.struct("_p", "_d"))["_d"].alias("_last"),
+    )
+    over = Window.partitionBy(F.lit(0)).orderBy("_r")  # one row per range
+    ends = ends.select("_n", (F.col("_first") < F.lag("_last").over(over)).alias("_back"))
+    return ends.agg((F.coalesce(F.sum("_n"), F.lit(0)) + F.count_if("_back")).alias("n_back"))

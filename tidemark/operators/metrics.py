@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions.exprs import brier, clip, log_loss
 from tidemark.operators.latest import since, trailing
+from tidemark.operators.ranges import exact_median
 
 
 def summary(df: DataFrame, p: str, y: str, by: Sequence[str] = (), value: str | None = None) -> DataFrame:
     """Count, mean Brier score and log-loss, and mean and median of ``value``, per group."""
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(brier(F.col(p), F.col(y))).alias("brier"), F.avg(log_loss(F.col(p), F.col(y))).alias("log_loss")]
-    if value:
-        aggs += [F.avg(value).alias(f"mean_{value}"), F.median(value).alias(f"median_{value}")]
-    return df.groupBy(*by).agg(*aggs)
+    if value is None:
+        return df.groupBy(*by).agg(*aggs)
+    aggs.append(F.avg(value).alias(f"mean_{value}"))
+    if by:
+        return df.groupBy(*by).agg(*aggs, F.median(value).alias(f"median_{value}"))
+    return df.agg(*aggs).join(F.broadcast(exact_median(df, value).withColumnRenamed("median", f"median_{value}")))  # one row each
 
 
 def calibration(df: DataFrame, p: str, y: str) -> DataFrame:

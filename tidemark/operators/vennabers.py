@@ -25,24 +25,6 @@ _BLOCKS = "model string, _r int, _i int, n double, pos double, most double"
 _CARRY = "model string, _r int, before double, behind boolean, ln array<double>, ly array<double>, rn array<double>, ry array<double>"
 
 
-def hull_slopes(n: np.ndarray, y: np.ndarray, label: int) -> np.ndarray:
-    """Isotonic value of one more point with ``label`` at each place among ``2m + 1`` (gap, knot, gap, ...).
-
-    The value at a place is the largest over left ends of the smallest over right ends of block means
-    that hold the place; running over places with a stack of blocks costs a scan for each.
-    """
-    m = len(n)
-    out = np.empty(2 * m + 1)
-    cn, cy = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(y)])
-    for place in range(2 * m + 1):
-        left_ends = np.arange(place // 2 + 1)
-        right_ends = np.arange((place + 1) // 2, m + 1)
-        num = cy[right_ends][None, :] - cy[left_ends][:, None] + label
-        den = cn[right_ends][None, :] - cn[left_ends][:, None] + 1
-        out[place] = (num / den).min(axis=1).max()
-    return out
-
-
 def interval_table(pdf: pd.DataFrame, carry: pd.DataFrame | None = None) -> pd.DataFrame:
     """Knots and gaps of one model, or of one range with what it carries in. Values change only where the
     isotonic fits do, so neighbouring entries of equal values are kept apart only by their score."""
@@ -108,7 +90,7 @@ def carried(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fast_values(n: np.ndarray, y: np.ndarray, label: int, left: tuple = (), right: tuple = ()) -> np.ndarray:
-    """As ``hull_slopes`` in near-linear time: the point joins the pooled blocks to its left and right
+    """Isotonic value of one more point with ``label`` at each place among ``2m + 1`` (gap, knot, gap, ...), in near-linear time: the point joins the pooled blocks to its left and right
     while they violate the order. ``left`` and ``right`` are the blocks beyond both ends."""
     m = len(n)
     out = np.empty(2 * m + 1)
@@ -158,9 +140,9 @@ def in_ranges(df: DataFrame, model: str, score: str, most: int) -> DataFrame | N
 
 
 def calibrate(pairs: DataFrame, model: str, score: str, label: str, least: int = 50, digits: int | None = None, range_scores: int = RANGE_SCORES) -> DataFrame:
-    """Interval table of every model with at least ``least`` pairs."""
+    """Interval table of every model with at least ``least`` pairs. Null and NaN scores and null labels take no part."""
     s = F.round(F.col(score), digits) if digits is not None else F.col(score)
-    counts = pairs.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(model).alias("model"), s.cast("double").alias("s"))
+    counts = pairs.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull()).groupBy(F.col(model).alias("model"), s.cast("double").alias("s"))
     counts = counts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
     enough = counts.groupBy("model").agg(F.sum("n").alias("_n")).where(F.col("_n") >= least).select("model")
     counts = counts.join(F.broadcast(enough), "model", "left_semi")
@@ -177,12 +159,12 @@ def require_pairs(pairs: DataFrame, least: int = 50) -> None:
 
 
 def apply(scores: DataFrame, table: DataFrame, model: str, score: str, range_scores: int = RANGE_SCORES) -> DataFrame:
-    """``scores`` with ``p0, p1, p_cal`` and ``width``. Table rows and scores are laid in one order per
+    """``scores`` with ``p0, p1, p_cal`` and ``width``, null for scores that are null or NaN. Table rows and scores are laid in one order per
     model and range of scores; a score takes the knot at its place, or else the gap above the last
     knot, which is carried in from the ranges before where its own has none. Scores are not joined by range."""
     known = table.select(F.col("model").alias("_m"), F.col("lo").alias("_s"), F.when(F.col("knot"), 1).otherwise(2).alias("_o"), "p0", "p1", "hi")
     knots = known.where("_o = 1").select("_m", "_s", F.col("p0").alias("_k0"), F.col("p1").alias("_k1"))
-    distinct = scores.select(F.col(model).alias("_m"), F.col(score).cast("double").alias("_s")).where("_s IS NOT NULL").distinct()
+    distinct = scores.select(F.col(model).alias("_m"), F.col(score).cast("double").alias("_s")).where("_s IS NOT NULL AND NOT isnan(_s)").distinct()
     both = known.where("_o = 2 OR _s = double('-infinity')").select("_m", "_s", "p0", "p1", F.lit(0).alias("_ask")).unionByName(
         distinct.withColumns({"p0": F.lit(None).cast("double"), "p1": F.lit(None).cast("double"), "_ask": F.lit(1)})
     )

@@ -22,7 +22,11 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions.exprs import brier, log_loss
 from tidemark.operators import folds as fold_ops
-from tidemark.operators.metrics import baseline
+from tidemark.operators import vennabers
+from tidemark.operators.asof import coverage
+from tidemark.operators.metrics import baseline, group_rates
+from tidemark.operators.quality import require_target
+from tidemark.plans.registry import register
 from tidemark.sources.io import ContractError
 
 #: ``member(features, label)``; boosted ones also take ``rounds`` for the refit on all rows.
@@ -144,16 +148,17 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
 
     ``rounds``, if given, gathers the boosting rounds of each member and fold.
     """
-    placed = fold_ops.positions(df, day, key)
+    placed = fold_ops.positions(df.select(key, day, label, *features), day, key).persist()
     table = fold_ops.fold_table(placed, day, config).orderBy("fold").collect()  # one row per fold
     if not table:
         raise ContractError("no fold has enough training rows")
     out = None
     for f in table:
-        train = placed.where((F.col("position") < f["lo"]) & (F.col(day) <= f["cutoff"])).cache()
+        train = placed.where((F.col("position") < f["lo"]) & (F.col(day) <= f["cutoff"])).persist()
         check = placed.where((F.col("position") >= f["lo"]) & (F.col("position") < f["hi"]))
-        if train.agg(F.countDistinct(label)).first()[0] < 2:
-            raise ContractError(f"fold {f['fold']} has one class only")
+        for part, rows in (("training", train), ("validation", check)):
+            if rows.agg(F.countDistinct(label)).first()[0] < 2:
+                raise ContractError(f"fold {f['fold']}: its {part} rows have one class only")
         names = observed(train, features)
         scored = check.select(key, label, F.lit(f["fold"]).alias("fold"))
         for name, member in members.items():
@@ -189,7 +194,8 @@ def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str
     members = dict(members or MEMBERS)
     everyone = members | (candidates or {})
     rounds: dict[str, list[int]] = {}
-    oof = out_of_fold(df, features, label, day, key, everyone, config, rounds).cache()
+    df = df.select(key, day, label, *features).persist()
+    oof = out_of_fold(df, features, label, day, key, everyone, config, rounds).persist()
     kept = list(members)
 
     def loss(names: Sequence[str]) -> float:
@@ -213,6 +219,37 @@ def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str
     return {"members": full, "meta": meta, "oof": scores, "report": figures, "kept": kept, "ablation": ablation, "gate": gate, "features": names, "rounds": rounds}
 
 
+def train_candidate(
+    df: DataFrame, features: Sequence[str], label: str, day: str, key: str, group: str, registry: DataFrame, path: str, version: str, stamp: str,
+    members: dict[str, Member] | None = None, candidates: dict[str, Member] | None = None, config: EngineConfig = DEFAULT,
+) -> tuple[DataFrame, dict]:
+    """A training run from end to end: rows of the training period, target gate, coverage gate, stack, calibration
+    table, group rates, save, registration. Returns the registry with the new row, and the bundle.
+
+    A model whose gate fails is registered as rejected and not saved.
+    """
+    rows = df.where(F.col(day).between(F.lit(config.train_start), F.lit(config.train_end)))
+    require_target(rows, label, day, config.train_start, config.train_end, config.holdout_start)
+    covered = rows.where(coverage(features) >= config.min_coverage)
+    bundle = train(covered, features, label, day, key, members, candidates, config)
+    ends = covered.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count(F.lit(1)).alias("n")).first()
+    frozen = baseline(covered.select(F.col(label).cast("double").alias("y")), "y").first()
+    pairs = bundle["oof"].withColumn("model", F.lit(version))
+    bundle |= {
+        "training_end": ends["last"], "baseline_rate": frozen["rate"], "n": ends["n"],
+        "intervals": vennabers.calibrate(pairs, "model", "stack", label), "rates": group_rates(covered, group, label, config.min_group_rows),
+    }
+    if bundle["gate"]:
+        save(bundle, path, version, df.sparkSession)
+        bundle["intervals"].write.mode("overwrite").parquet(f"{path}/intervals")
+        bundle["rates"].write.mode("overwrite").parquet(f"{path}/rates")
+    report = {"members": bundle["report"], "kept": bundle["kept"], "ablation": bundle["ablation"], "gates_passed": bool(bundle["gate"]), "training_end": str(ends["last"]), "n": ends["n"]}
+    figures = bundle["report"]["stack"]
+    new = (version, stamp, f"{ends['first']}..{ends['last']}", float(figures["log_loss"]), float(figures["brier"]), bool(bundle["gate"]), json.dumps(report, default=float))
+    schema = "model_version string, trained_at string, train_range string, cv_log_loss double, cv_brier double, gates_passed boolean, gate_report string"
+    return register(registry, df.sparkSession.createDataFrame([new], schema)), bundle
+
+
 def best_rounds(counts: Sequence[int], default: int = 200) -> int:
     """Rounds of the full refit: the median of the folds' best."""
     return int(median(counts)) if counts else default
@@ -227,11 +264,14 @@ def score(bundle: dict, df: DataFrame, key: str) -> DataFrame:
 
 
 def save(bundle: dict, path: str, version: str, spark) -> None:
-    """Models and their feature contract under ``path``."""
+    """Models and their contract under ``path``; a model that failed its gate is refused."""
+    if not bundle["gate"]:
+        raise ContractError(f"{version} failed its gate and is not saved")
     for name, model in bundle["members"].items():
         model.write().overwrite().save(f"{path}/member-{name}")
     bundle["meta"].write().overwrite().save(f"{path}/meta")
     contract = {"version": version, "features": bundle["features"], "kept": bundle["kept"], "gate": bool(bundle["gate"])}
+    contract |= {"training_end": str(bundle.get("training_end")), "baseline_rate": bundle.get("baseline_rate")}
     spark.createDataFrame([(json.dumps(contract),)], "contract string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
 
 

@@ -63,7 +63,12 @@ def _scratch(t: Tables, name: str) -> str:
     import tempfile
     import uuid
 
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    context = t.spark.sparkContext
+    at = t.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -970,20 +975,20 @@ def _(t):
 def _(t):
     from tidemark.streaming import snapshots
 
-    w = snapshots.tumbling(t.events.select("ts", "value"), "ts", "value")
-    return w.select("start", "n", r("mean").alias("mean"))
+    make = lambda s: snapshots.tumbling(s.withWatermark("captured_at", "60 days"), "captured_at", "value")
+    return _replay(t, "j05", make, "complete").select(C("start").cast("timestamp_ntz").alias("start"), "n", r("mean").alias("mean"))
 
 
 # ---- models -------------------------------------------------------------------------------------
 
-_bundles: dict[tuple[int, str], dict] = {}
+_bundles: dict[tuple[str, str], dict] = {}
 
 
 def bundle(t: Tables) -> dict:
     """The stack trained on the training matrix, once per session and folder."""
     from tidemark.plans import model
 
-    key = (id(t.spark), t.folder)
+    key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _bundles:
         rows = feat(t).where(A.coverage(FEATS) >= 0.5)
         _bundles[key] = model.train(rows, FEATS, "label", "d", "rid", candidates={"forest": model.forest_member})
@@ -1043,20 +1048,34 @@ def _(t):
 def _(t):
     from tidemark.plans import model
 
-    path = _scratch(t, "l11")
-    b = bundle(t) | {"gate": True}
-    model.save(b, path, "v1", t.spark)
-    loaded = model.load(path, "v1", b["features"], t.spark)
     rows = feat(t).where(A.coverage(FEATS) >= 0.5)
+    # a target that the features tell, so that the gate passes
+    known = rows.withColumn("label", (F.coalesce("f3", F.lit(0.0)) > 150_000).cast("int"))
+    b = model.train(known, FEATS, "label", "d", "rid", members={"linear": model.linear_member})
+    try:
+        model.save(b | {"gate": False}, _scratch(t, "l11-refused"), "v1", t.spark)
+        refused = False
+    except io.ContractError:
+        refused = True
+    model.save(b, path := _scratch(t, "l11"), "v1", t.spark)
+    loaded = model.load(path, "v1", b["features"], t.spark)
     a = model.score(b, rows, "rid").join(model.score(loaded, rows, "rid").withColumnRenamed("raw", "again"), "rid")
-    return a.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(C("raw") - C("again"))).alias("largest_difference"))
+    return a.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(C("raw") - C("again"))).alias("largest_difference"), F.lit(refused).alias("failed_gate_refused"))
+
+
+HELD = f"(SELECT avg({LOSS}) AS loss, avg({BRIER}) AS brier, avg(-ln(0.5) + 0 * y) AS base_loss, avg(0.25 + 0 * y) AS base_brier, count(*) AS n FROM grades WHERE graded_at >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY)"
+HELD_PASSED = "(base_loss - loss >= 0.001 AND base_brier - brier >= 0.0005)"
 
 
-@query("l12_locked_holdout", f"SELECT model_version, CASE WHEN model_version = (SELECT min(model_version) FROM {REG} r WHERE gates_passed) THEN true END AS holdout_passed FROM {REG} q")
+@query("l12_locked_holdout", f"""SELECT model_version, CASE WHEN mine THEN CASE WHEN {HELD_PASSED} THEN 'candidate' ELSE 'rejected' END ELSE status END AS status, CASE WHEN mine THEN {HELD_PASSED} END AS holdout_passed,
+   CASE WHEN mine THEN n END AS holdout_n, CASE WHEN mine THEN round(loss, 6) END AS holdout_log_loss, CASE WHEN mine THEN round(brier, 6) END AS holdout_brier
+   FROM (SELECT *, model_version = (SELECT min(model_version) FROM {REG} r WHERE gates_passed) AS mine FROM {REG} q) x, {HELD} h""")
 def _(t):
-    rows = reg(t).withColumn("holdout_passed", F.lit(None).cast("boolean"))
+    rows = reg(t).withColumns({"holdout_passed": F.lit(None).cast("boolean"), "holdout_burned_rerun": F.lit(None).cast("boolean")})
     version = rows.where("gates_passed").agg(F.min("model_version")).first()[0]
-    return registry.record_holdout(rows, version, True).select("model_version", "holdout_passed")
+    held = t.grades.where(latest.since("graded_at", now(), 10))
+    out = registry.evaluate_holdout(rows, version, {"training_end": date(2024, 11, 30), "baseline_rate": 0.5}, held, "p", "y", NOW)
+    return out.select("model_version", "status", "holdout_passed", "holdout_n", r("holdout_log_loss").alias("holdout_log_loss"), r("holdout_brier").alias("holdout_brier"))
 
 
 @query("m01_register", f"SELECT model_version, status FROM {REG} r UNION ALL SELECT -1, 'candidate'")
@@ -1072,9 +1091,10 @@ CANDIDATE = f"(SELECT min(model_version) FROM {REG} r WHERE status = 'candidate'
 
 @query("m03_promote", f"SELECT model_version, CASE WHEN model_version = {CANDIDATE} THEN 'production' WHEN status = 'production' THEN 'retired' ELSE status END AS status FROM {REG} q")
 def _(t):
-    rows = reg(t)
-    version = rows.where("status = 'candidate' AND gates_passed AND holdout_passed AND NOT coalesce(holdout_burned_rerun, false)").agg(F.min("model_version")).first()[0]
-    return registry.promote(rows, version, NOW).select("model_version", "status")
+    reg(t).write.parquet(path := _scratch(t, "m03"))
+    known = t.spark.read.parquet(path)
+    version = known.where("status = 'candidate' AND gates_passed AND holdout_passed AND NOT coalesce(holdout_burned_rerun, false)").agg(F.min("model_version")).first()[0]
+    return registry.promote_table(t.spark, path, version, NOW).select("model_version", "status")
 
 
 @query("m04_prediction_rows", "SELECT event_id, game, CASE WHEN p >= 0.85 THEN 'OK' ELSE 'BLOCKED' END AS status FROM pred")
@@ -1120,14 +1140,30 @@ def _(t):
 query("n02_feature_catalogue", catalogue.CATALOGUE_SQL)(catalogue.catalogue)
 
 
-@query("n03_score_slate", f"""WITH m AS (SELECT * FROM {CONSENSUS} c), g AS (SELECT p.*, c.venue FROM (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY game ORDER BY predicted_at DESC, event_id DESC) = 1) p JOIN cust_y c ON p.game = c.game)
-  SELECT g.game, CASE WHEN m.p_market IS NULL OR m.age_s > 43200 THEN 'DEGRADED' ELSE 'OK' END AS status, CASE WHEN m.p_market IS NOT NULL AND m.age_s <= 43200 THEN round(g.p - m.p_market, 6) END AS edge FROM g LEFT JOIN m ON m.matchup = g.game""")
+SLATE = f"""WITH g AS (SELECT p.event_id, p.game, p.p AS raw, c.venue, CAST(p.predicted_at AS DATE) AS d FROM (SELECT * FROM pred QUALIFY row_number() OVER (PARTITION BY game ORDER BY predicted_at DESC, event_id DESC) = 1) p JOIN cust_y c ON p.game = c.game),
+  h AS (SELECT g.game, nullif(count(x.x), 0) AS na, nullif(count(x.x_null), 0) AS nb, CAST(max(x.d) IS NOT NULL AS INT) AS rest FROM g LEFT JOIN hist x ON x.k = g.game AND x.d < g.d GROUP BY 1),
+  rates AS (SELECT venue, avg(CAST(y AS DOUBLE)) AS rate FROM cust_y WHERE y IS NOT NULL AND venue IS NOT NULL GROUP BY 1 HAVING count(*) >= 50),
+  z AS {intervals_sql("SELECT 'm' AS model, p.event_id, p.p, c.y FROM pred p LEFT JOIN cust_y c ON p.game = c.game", "y IS NOT NULL")},
+  s AS (SELECT g.*, (2 * CAST(na IS NOT NULL AS INT) + CAST(nb IS NOT NULL AS INT) + rest) / CAST(4 AS DOUBLE) AS coverage, least(coalesce(least(na, nb), 0), 60) AS n_least, p1 / (1 - p0 + p1) AS p_cal, rate, m.*
+    FROM g JOIN h USING (game) LEFT JOIN rates USING (venue) JOIN z ON z.event_id = g.event_id LEFT JOIN {CONSENSUS} m ON m.matchup = g.game),
+  f AS (SELECT *, CASE WHEN rate IS NULL THEN p_cal ELSE (n_least * coverage * p_cal + 20 * rate) / (n_least * coverage + 20) END AS p_shrunk,
+    CASE WHEN coverage < 0.85 THEN printf('coverage_%.2f_below_0.85', coverage) END AS block,
+    CASE WHEN p_market IS NULL THEN 'no_market_consensus' WHEN age_s > 43200 THEN 'odds_stale_' || age_s || 's' END AS market FROM s)
+  SELECT game, CASE WHEN block IS NOT NULL THEN 'BLOCKED' WHEN market IS NOT NULL THEN 'DEGRADED' ELSE 'OK' END AS status, coalesce(block, market) AS reason, CASE WHEN block IS NULL THEN round(p_shrunk, 6) END AS p_final,
+    CASE WHEN block IS NULL AND market IS NULL THEN round(p_shrunk - p_market, 6) END AS edge,
+    CASE WHEN block IS NOT NULL OR market IS NOT NULL THEN 'LOW' WHEN game % 2 = 0 AND coverage >= 0.95 AND books_n >= 2 THEN 'HIGH' ELSE 'MEDIUM' END AS tier FROM f"""
+
+
+@query("n03_score_slate", SLATE)
 def _(t):
-    games = latest.latest(t.pred, ["game"], "predicted_at", ["event_id"]).join(t.cust_y.select("game", "venue"), "game")
-    games = games.withColumns({"coverage": F.lit(0.9), "n_a": F.lit(30.0), "n_b": F.lit(None).cast("double")})
-    rates = t.cust_y.select("venue", F.lit(None).cast("double").alias("rate")).distinct()
-    s = grading.score_slate(games, consensus(t).withColumnRenamed("matchup", "game"), ["game"], rates, "venue", ["game"], "p", ("n_a", "n_b"), F.lit(False), F.lit(None).cast("string"), DAY)
-    return s.select("game", "status", r("edge").alias("edge"))
+    games = latest.latest(t.pred, ["game"], "predicted_at", ["event_id"]).join(t.cust_y.select("game", "venue"), "game").withColumn("d", C("predicted_at").cast("date"))
+    f = A.asof(t.hist, games.withColumnRenamed("p", "raw"), "k", "d", ["x", "x_null"], (), True, "game", "d")
+    f = f.withColumns({"mean_x": A.per_observation(C("all_x"), C("all_x_n")), "mean_null": A.per_observation(C("all_x_null"), C("all_x_null_n")), "rest": F.datediff("d", "prev_day")})
+    f = f.withColumns({"coverage": A.coverage(["mean_x", "mean_null", "rest", "all_rows"]), "model": F.lit("m")})
+    scored = vennabers.apply(f, vennabers.calibrate(t.grades.withColumn("model", F.lit("m")), "model", "p", "y"), "model", "raw")
+    rates = metrics.group_rates(t.cust_y, "venue", "y")
+    s = grading.score_slate(scored, consensus(t).withColumnRenamed("matchup", "game"), ["game"], rates, "venue", ["game"], "p_cal", ("all_x_n", "all_x_null_n"), C("game") % 2 == 0, F.lit(None).cast("string"), DAY)
+    return s.select("game", "status", "reason", r("p_final").alias("p_final"), r("edge").alias("edge"), "tier")
 
 
 @query("n04_grade_date", f"SELECT game, p, y, round({BRIER}, 6) AS brier, round({LOSS}, 6) AS log_loss, CASE WHEN p_close IS NOT NULL THEN round((CASE WHEN p - 0.5 >= 0 THEN 1 ELSE -1 END) * (p_close - 0.5) + 1, 6) END AS clv_plus_1 FROM {GRADED} g")
@@ -1138,8 +1174,13 @@ def _(t):
 
 @query("n05_train_candidate")
 def _(t):
-    b = bundle(t)
-    return t.spark.createDataFrame([("v1", "candidate" if b["gate"] else "rejected", bool(b["gate"]), ",".join(b["kept"]))], "model_version string, status string, gates_passed boolean, members string")
+    from tidemark.plans import model
+
+    # the orders' days stand for the training period, their customers for venues
+    config = replace(DEFAULT, train_start=date(1995, 1, 1), train_end=date(2001, 12, 31))
+    empty = t.spark.createDataFrame([], "model_version string, trained_at string, train_range string, cv_log_loss double, cv_brier double, gates_passed boolean, gate_report string, status string")
+    rows, _ = model.train_candidate(feat(t), FEATS, "label", "d", "rid", "k", empty, _scratch(t, "n05"), "v1", NOW, members={"linear": model.linear_member}, config=config)
+    return rows.select("model_version", "status", "train_range", r("cv_log_loss").alias("cv_log_loss"), r("cv_brier").alias("cv_brier"), "gates_passed", C("gate_report").isNotNull().alias("reported"))
 
 
 @query("n06_monitoring", f"SELECT 'summary' AS kind, count(*) AS n, round(avg({BRIER}), 6) AS value FROM grades UNION ALL SELECT 'alerts', count(*), NULL FROM (SELECT floor(p * 10) FROM {TAIL} g WHERE p < 1 AND (SELECT count(*) FROM {TAIL} z) >= 100 GROUP BY 1 HAVING count(*) >= 20 AND abs(avg(p) - avg(CAST(y AS DOUBLE))) > 0.07) a")

@@ -67,39 +67,89 @@ def check_keys(source: DataFrame, keys: Sequence[str]) -> None:
         raise ContractError(f"repeated keys: {[tuple(r)[:-1] for r in repeated]}")
 
 
-def merged(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def merged(target: DataFrame, source: DataFrame, keys: Sequence[str], newer: str | None = None) -> DataFrame:
     """``target`` after an upsert of ``source``: matched rows take the source's columns and keep
-    the others, new rows are added. One full outer join on the keys."""
+    the others, new rows are added. With ``newer``, a source row that is older by that column than the
+    row it meets changes nothing. One full outer join on the keys."""
     values = [c for c in target.columns if c not in keys]
     mine = source.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_s_{c}") for c in values if c in source.columns])
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     joined = target.join(mine, on, "full_outer")
     is_new = F.col(f"_k_{keys[0]}").isNotNull()
+    if newer:
+        is_new = is_new & ~F.coalesce(F.col(newer) > F.col(f"_s_{newer}"), F.lit(False))
     out = {k: F.coalesce(F.col(k), F.col(f"_k_{k}")) for k in keys}
     out |= {c: F.when(is_new, F.col(f"_s_{c}")).otherwise(F.col(c)) for c in values if c in source.columns}
     return joined.select(*[out.get(c, F.col(c)).alias(c) for c in target.columns])
 
 
-def upsert(source: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Upsert into a Parquet dataset. The result is written aside and renamed into place, so a job
-    never reads what it overwrites and a failed one leaves the old data."""
+class Swap:
+    """A Parquet dataset that is replaced whole: the new one is written aside, and two renames put it in place.
+
+    A job that dies between the renames leaves the path empty beside the complete new dataset; the next
+    one (``recover``) finishes or undoes the swap before it reads anything.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self.at = lambda suffix="": jvm.org.apache.hadoop.fs.Path(self.path + suffix)
+        self.fs = self.at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self, suffix: str = "") -> bool:
+        return self.fs.exists(self.at(suffix))
+
+    def _rename(self, source: str, to: str) -> None:
+        if not self.fs.rename(self.at(source), self.at(to)):
+            raise OSError(f"cannot rename {self.path}{source} to {self.path}{to}")
+
+    def recover(self) -> None:
+        if not self.exists():
+            if self.exists("__new/_SUCCESS"):
+                self._rename("__new", "")
+            elif self.exists("__old"):
+                self._rename("__old", "")
+        if self.exists():
+            for suffix in ("__new", "__old"):
+                self.fs.delete(self.at(suffix), True)
+
+    def replace(self, df: DataFrame) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}__new")
+        if self.exists():
+            self.fs.delete(self.at("__old"), True)
+            self._rename("", "__old")
+        self._rename("__new", "")
+        self.fs.delete(self.at("__old"), True)
+        self.spark.catalog.refreshByPath(self.path)
+
+
+def upsert(source: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = (), newer: str | None = None) -> None:
+    """Upsert into a Parquet dataset; a failed run leaves the old data, and running again changes nothing.
+
+    Where the dataset is partitioned by some of the keys (``partition_by``), only partitions that the source
+    touches are read and overwritten; otherwise the whole is replaced (see ``Swap``).
+    """
     spark = source.sparkSession
     check_keys(source, keys)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(conf)
-    new, old = f"{path.rstrip('/')}__new", f"{path.rstrip('/')}__old"
-    if not fs.exists(at(path)):
-        source.write.parquet(path)
+    swap = Swap(spark, path)
+    swap.recover()
+    if not swap.exists():
+        if partition_by:
+            source.write.partitionBy(*partition_by).parquet(path)
+        else:
+            swap.replace(source)
         return
     target = spark.read.parquet(path)
     if extra := sorted(set(source.columns) - set(target.columns)):
         target = target.withColumns({c: F.lit(None).cast(source.schema[c].dataType) for c in extra})
-    merged(target, source, keys).write.mode("overwrite").parquet(new)
-    fs.delete(at(old), True)
-    fs.rename(at(path), at(old))
-    fs.rename(at(new), at(path))
-    fs.delete(at(old), True)
+    if not partition_by:
+        swap.replace(merged(target, source, keys, newer))
+        return
+    if set(partition_by) - set(keys):
+        raise ContractError(f"partition columns must be keys: {sorted(set(partition_by) - set(keys))}")
+    touched = target.join(source.select(*partition_by).distinct(), list(partition_by), "left_semi").select(*target.columns)
+    out = merged(touched, source, keys, newer).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*partition_by).parquet(path)
     spark.catalog.refreshByPath(path)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemark.operators.latest import latest
 from tidemark.sources.io import upsert
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -93,12 +94,13 @@ def replayed(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFr
     return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], checkpoint: str):
-    """Stream into a Parquet dataset, batch by batch; a batch that is run again changes nothing."""
+def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], at: str, checkpoint: str, partition_by: Sequence[str] = ()):
+    """Stream into a Parquet dataset, batch by batch. Of rows with one key the newest by ``at`` stays, within a batch
+    (ties by all columns) and against what is stored, so a batch that is run again changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = batch.dropDuplicates(list(keys))
+        rows = latest(batch, keys, at, [c for c in batch.columns if c not in (*keys, at)])
         if not rows.isEmpty():
-            upsert(rows, path, keys)
+            upsert(rows, path, keys, partition_by, newer=at)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
