@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 from statistics import median
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -47,6 +49,8 @@ def _prepared(features: Sequence[str], *last) -> Pipeline:
     ])
 
 
+#: Fits that run at once.
+PARALLEL = 5
 #: Most boosting rounds, and rounds without gain on held rows after which boosting ends.
 MOST_ROUNDS, PATIENCE = 1000, 50
 
@@ -152,17 +156,27 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
     table = fold_ops.fold_table(placed, day, config).orderBy("fold").collect()  # one row per fold
     if not table:
         raise ContractError("no fold has enough training rows")
-    out = None
+    parts: dict[int, tuple[DataFrame, DataFrame, list[str]]] = {}
     for f in table:
         train = placed.where((F.col("position") < f["lo"]) & (F.col(day) <= f["cutoff"])).persist()
         check = placed.where((F.col("position") >= f["lo"]) & (F.col("position") < f["hi"]))
         for part, rows in (("training", train), ("validation", check)):
             if rows.agg(F.countDistinct(label)).first()[0] < 2:
                 raise ContractError(f"fold {f['fold']}: its {part} rows have one class only")
-        names = observed(train, features)
-        scored = check.select(key, label, F.lit(f["fold"]).alias("fold"))
-        for name, member in members.items():
-            model = member(names, label).fit(train)
+        parts[f["fold"]] = train, check, observed(train, features)
+    fits = [(fold, name) for fold in parts for name in members]
+
+    def fit(task: tuple[int, str]) -> PipelineModel:
+        train, _, names = parts[task[0]]
+        return members[task[1]](names, label).fit(train)
+
+    with ThreadPool(PARALLEL) as pool:  # fits of small folds wait on job latency more than on cores
+        models = dict(zip(fits, pool.map(inheritable_thread_target(df.sparkSession)(fit), fits)))
+    out = None
+    for fold, (train, check, _) in parts.items():
+        scored = check.select(key, label, F.lit(fold).alias("fold"))
+        for name in members:
+            model = models[fold, name]
             if rounds is not None and rounds_of(model):
                 rounds.setdefault(name, []).append(rounds_of(model))
             scored = scored.join(_scored(model, check, [key], name), key)
