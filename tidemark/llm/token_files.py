@@ -131,13 +131,14 @@ class Shard:
         """Ids of the i-th document, found by two selects."""
         return self.ids(self.bounds.select(i), self.bounds.select(i + 1))
 
-    def doc_ids(self) -> list[int | None]:
-        base, nulls = self.footer["base"], self.footer["nulls"]
-        return [None] * nulls + (self.names.all() + base).tolist()
+    def doc_id(self, i: int) -> int | None:
+        """Id of the i-th document; null ids come first."""
+        nulls = self.footer["nulls"]
+        return None if i < nulls else self.names.select(i - nulls) + self.footer["base"]
 
 
 def read_tokens(manifest: DataFrame, docs_at_once: int = 2000) -> DataFrame:
-    """One row per document of the files: ``doc_id, start, n_tokens, ids_crc32``."""
+    """One row per document of the files: ``doc_id, start, n_tokens, ids_crc32``, places and ids found by select."""
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -145,15 +146,15 @@ def read_tokens(manifest: DataFrame, docs_at_once: int = 2000) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["path"])
-                bounds, names = shard.bounds.all(), shard.doc_ids()
                 for a in range(0, len(shard), docs_at_once):
                     b = min(a + docs_at_once, len(shard))
-                    ids = shard.ids(int(bounds[a]), int(bounds[b])).astype("<u4")
-                    at = (bounds[a : b + 1] - bounds[a]).tolist()
+                    bounds = np.array([shard.bounds.select(i) for i in range(a, b + 1)])  # no table of the whole
+                    ids = shard.ids(int(bounds[0]), int(bounds[-1])).astype("<u4")
+                    at = (bounds - bounds[0]).tolist()
                     crc = [zlib.crc32(ids[x:y]) for x, y in zip(at, at[1:])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(names[a:b], pa.int64()), pa.array(bounds[a:b] + row["base"], pa.int64()),
-                         pa.array(np.diff(bounds[a : b + 1]), pa.int64()), pa.array(crc, pa.int64())],
+                        [pa.array([shard.doc_id(i) for i in range(a, b)], pa.int64()), pa.array(bounds[:-1] + row["base"], pa.int64()),
+                         pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 

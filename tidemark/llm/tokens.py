@@ -29,19 +29,9 @@ def release() -> None:
         trim.malloc_trim(0)
 
 
-#: Punctuation that no contraction begins with; after letters it starts a token of its own.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
 _memos: dict[tuple[str, int], WordMemo] = {}
 
 
-def parts(word: str) -> tuple[str, str]:
-    """A word of ASCII letters with punctuation behind in two, any other word whole: normalising can put
-    a mark behind other letters, and a mark is one token with the punctuation after it."""
-    core = word.rstrip(_MARKS)
-    return (core, word[len(core) :]) if core.isascii() and core.isalpha() else (word, "")
-
-
 def take(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of ``ids`` at ``starts``, end to end."""
     ends = np.cumsum(lengths)
@@ -85,12 +75,12 @@ class WordMemo:
         word = np.searchsorted(start, place, side="right") - 1
         return np.array(got.ids, np.uint32), np.bincount(word, minlength=len(words))
 
-    def _rows(self, distinct: list[str], words: list[str]) -> np.ndarray:
-        """Row of each word among ``starts``; new ones of the distinct words are encoded."""
-        if len(self.known) + len(distinct) > self.most and self.known:
+    def _rows(self, words: list[str]) -> np.ndarray:
+        """Row of each of the distinct words among ``starts``; new ones are encoded."""
+        if len(self.known) + len(words) > self.most and self.known:
             self._forget()
         known = self.known
-        new = [w for w in distinct if w not in known]
+        new = [w for w in words if w not in known]
         if new:
             ids, each = self._encode(new)
             known.update(zip(new, range(len(known), len(known) + len(new))))
@@ -98,19 +88,17 @@ class WordMemo:
             self.ids = np.concatenate([self.ids, ids])
             self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
         rows = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        self.met[np.unique(rows)] += 1
+        self.met[rows] += 1
         return rows
 
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
         words = flat.dictionary.to_pylist()
-        halves = [parts(w) for w in words]
-        rows = self._rows(list({h: None for pair in halves for h in pair}), [h for pair in halves for h in pair])
-        ids, length = take(self.ids, self.starts[rows], self.starts[rows + 1] - self.starts[rows])
-        length = length.reshape(-1, 2).sum(axis=1)
+        rows = self._rows(words)
+        length = self.starts[rows + 1] - self.starts[rows]
         word = flat.indices.to_numpy()
-        ids, length = take(ids, (np.cumsum(length) - length)[word], length[word])
+        ids, length = take(self.ids, self.starts[rows][word], length[word])
         per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         upto = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(per)]).astype(np.int64)]
         return ids, np.diff(upto)
