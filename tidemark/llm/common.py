@@ -19,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the driver and all executors need a folder that they share")
         at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -46,6 +48,25 @@ def partitions_for(df: DataFrame, text_col: str, target_bytes: int) -> int:
     return max(1, -(-int(total) // target_bytes))
 
 
+#: Keys with more than this share of all rows are salted, so at most its inverse of them are broadcast.
+HOT_SHARE, HOT_LEAST = 1e-3, 1000
+
+
+def salted_join(rows: DataFrame, known: DataFrame, keys: list[str], size: str, spread: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``known``, which has each key once and how many of ``rows`` hold it (``size``).
+
+    Rows of a hot key are dealt over as many tasks as they need by a hash of ``spread``, and the key's one row of
+    ``known`` is repeated for each. Hot keys are at most ``1 / HOT_SHARE``, so their table is broadcast.
+    """
+    total = known.agg(F.sum(size)).first()[0] or 0
+    limit = max(HOT_LEAST, int(total * HOT_SHARE))
+    salts = F.ceil(F.col(size) / limit).cast("int")
+    hot = known.where(F.col(size) > limit).select(*keys, salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    each = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.join(each, [*keys, "_salt"]).drop("_salt")
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is the same where a text has nothing but ASCII, and faster."""
     up = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every round reads a written table and writes the next one, so lineage stays short and a lost
-executor costs one round. Hubs are met by partial aggregation and by joins that adaptive
-execution may split; no neighbourhood is ever collected.
+executor costs one round. Hubs are met by partial aggregation and by salted joins; no neighbourhood is
+ever collected.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import salted_join, stage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -26,11 +26,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         print_of = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        least = stage(least, "large-least")
+        large = salted_join(both, least, ["u"], "n", ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = stage(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "small-least")
+        small = salted_join(large, least, ["u"], "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         now = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

@@ -1,12 +1,14 @@
 """Substring dedup by repeated-phrase automata.
 
-Every 50-word window holds a content-defined phrase (its anchor). Phrases that occur again anywhere
-in the corpus are confirmed by counting. Each block of documents is one shard: the confirmed
-phrases that concern it are compiled into a pyahocorasick automaton over word numbers, through
-which all its documents are streamed to locate every occurrence, word for word. Runs of windows
-around the occurrences are then compared across documents (see ``repeats``), and every word that a
-window repeated from a document of a smaller id covers is removed. An automaton holds phrases of
-its own block only, so its size is bounded by the block and the work grows with the corpus.
+Every 50-word window holds a content-defined phrase (its anchor). Phrases that occur again anywhere in the
+corpus are confirmed by counting, and one block speaks for each: it spells its words, the only thing that is
+matched from there on. The confirmed phrases are dealt into shards, each with the phrases that may occur
+in one block of documents; a shard's phrases are compiled into a pyahocorasick automaton over word
+numbers, through which all documents of the block are streamed to locate every occurrence, word for word. So
+all documents pass an automaton of every phrase that they may hold, and the work grows with the corpus; every document
+through every shard would be quadratic. Only located occurrences go on: runs of windows around them are
+compared across documents (see ``repeats``), and every word that a window repeated from a document of a
+smaller id covers is removed.
 
 Results in odd cases: a null text has no words; texts of fewer words than the window lose none;
 a null id counts as smaller than any other; rows that repeat an id never remove each other's
@@ -23,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tidemark.llm.repeats import SEGMENTS, by_block, covered, mask_of, order_of, recurring, segment_table, write_blocks
-from tidemark.llm.common import stage
+from tidemark.llm.common import salted_join, stage
+from tidemark.llm.tokens import release
 from tidemark.llm.windows import grown
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
@@ -94,27 +97,38 @@ def remove_repeated(
     k, w = phrase, words
     folder, blocks = write_blocks(docs, word_symbols, k, w, id_col, text_col)
 
-    def locate(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
+    def spell(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
+        """The words of every phrase that this block speaks for, as it holds them."""
         wanted = np.sort(rows["anchor"].to_numpy().view(np.uint64))
         coded, ends = words_of(table["text"].combine_chunks())
-        names = names_of(coded)
-        number = coded.indices.to_numpy().astype(np.int64)
-        runs = grown(names, 1, k)
-        confirmed = np.flatnonzero(np.isin(runs, wanted)) if len(wanted) else np.zeros(0, np.int64)
-        doc = np.searchsorted(ends, confirmed, side="right")
-        confirmed = confirmed[confirmed + k <= ends[doc]] if len(confirmed) else confirmed
-        if not len(confirmed):
-            return segment_table(block, table, names[:0], np.zeros(len(ends), np.int64), k, w, None)
-        phrases, example = np.unique(runs[confirmed], return_index=True)
-        at, which = phrase_hits(number, ends, number[confirmed[example][:, None] + np.arange(k)])
-        hits = np.sort(at)
-        hit_phrase = phrases[which[np.argsort(at, kind="stable")]]
+        runs = grown(names_of(coded), 1, k)
+        at = np.flatnonzero(np.isin(runs, wanted)) if len(wanted) else np.zeros(0, np.int64)
+        at = at[at + k <= ends[np.searchsorted(ends, at, side="right")]] if len(at) else at
+        numbers = coded.indices.to_numpy().astype(np.int64)[at[:, None] + np.arange(k)] if len(at) else np.zeros((0, k), np.int64)
+        numbers, example = np.unique(numbers, axis=0, return_index=True)  # by words: two phrases of one name are two
+        said = coded.dictionary.cast(pa.string()).take(pa.array(numbers.ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(numbers) + 1) * k, pa.int32()), said)
+        return pa.table([pa.array(runs[at[example]].view(np.int64) if len(at) else [], pa.int64()), lists], names=["anchor", "words"])
+
+    def locate(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
+        """Occurrences of confirmed phrases, as the shard's automaton finds them word for word."""
+        coded, ends = words_of(table["text"].combine_chunks())
+        number, phrases = coded.indices.to_numpy().astype(np.int64), rows["words"].combine_chunks()
+        numbers = pc.index_in(phrases.flatten(), value_set=coded.dictionary.cast(pa.string()))
+        numbers = pc.fill_null(numbers, -1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, k)
+        here = (numbers >= 0).all(axis=1)  # a phrase with a word that no document of the shard has
+        numbers, anchor = numbers[here], rows["anchor"].to_numpy().view(np.uint64)[here]
+        at, which = phrase_hits(number, ends, numbers) if len(numbers) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        order = np.argsort(at, kind="stable")
+        hits, hit_phrase = at[order], anchor[which[order]]
 
         def is_hit(a: int, s: dict) -> np.ndarray:
             i = np.minimum(np.searchsorted(hits, s["place"] + a), max(0, len(hits) - 1))
             return (hits[i] == s["place"] + a) & (hit_phrase[i] == s["anchor"]) if len(hits) else np.zeros(len(s["place"]), bool)
 
-        return segment_table(block, table, names, ends, k, w, is_hit)
+        out = segment_table(block, table, names_of(coded) if len(hits) else np.zeros(0, np.uint64), ends if len(hits) else ends * 0, k, w, is_hit)
+        release()
+        return out
 
     def remove(block: int, table: pa.Table, rows: pa.Table) -> pa.Table:
         coded, ends = words_of(table["text"].combine_chunks())
@@ -131,6 +145,11 @@ def remove_repeated(
             names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
         )
 
-    located = stage(by_block(blocks, recurring(blocks), folder, locate, ["anchor"], SEGMENTS), "segments")
+    again = stage(recurring(blocks), "recurring")
+    spoken = by_block(blocks, again.where("block = home"), folder, spell, ["anchor"], "anchor long, words array<string>")
+    homes = again.where("block = home").select("anchor", "blocks")
+    phrases = stage(spoken.join(homes, "anchor"), "phrases")
+    shards = salted_join(again.select("block", "anchor"), phrases, ["anchor"], "blocks", ["block"])
+    located = stage(by_block(blocks, shards, folder, locate, ["anchor", "words"], SEGMENTS), "segments")
     gone = covered(blocks, located, folder, word_symbols, k, w, same_doc=False)
     return by_block(blocks, gone, folder, remove, ["row", "at", "n"], RESULT)

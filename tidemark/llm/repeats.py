@@ -29,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, stage
+from tidemark.llm.common import new_path, salted_join, stage
 from tidemark.llm.token_files import _filesystem
 from tidemark.llm.windows import grown, segments
 
 #: Bytes of text in a block, and symbols that are hashed at once.
-BLOCK_BYTES, PART_SYMBOLS = 16 << 20, 1 << 18
+BLOCK_BYTES, PART_SYMBOLS = 8 << 20, 1 << 18
 
 LOWEST = -(1 << 63)
 SEGMENTS = "block long, row int, anchor long, h0 long, h1 long, n int, doc long, at long"
@@ -114,11 +114,13 @@ def write_blocks(
 
 
 def recurring(blocks: DataFrame) -> DataFrame:
-    """``block, anchor`` for the anchors of each block that occur anywhere else, or twice here."""
+    """``block, anchor, times, home`` for the anchors of each block that occur anywhere else, or twice here;
+    ``home`` is the block that speaks for the anchor. A block has an anchor once, however often it holds it."""
     each = blocks.select("block", F.explode(F.arrays_zip("anchors", "again")).alias("x"))
     each = each.select("block", F.col("x.anchors").alias("anchor"), F.col("x.again").cast("int").alias("again"))
-    times = F.sum(F.lit(1) + F.col("again")).over(Window.partitionBy("anchor"))
-    return each.withColumn("times", times).where("times > 1").select("block", "anchor")
+    own = Window.partitionBy("anchor")
+    marked = each.withColumns({"times": F.sum(F.lit(1) + F.col("again")).over(own), "home": F.min("block").over(own), "blocks": F.count(F.lit(1)).over(own)})
+    return marked.where("times > 1").select("block", "anchor", "times", "home", "blocks")
 
 
 def by_block(blocks: DataFrame, rows: DataFrame, folder: str, work, columns: list[str], schema: str) -> DataFrame:
@@ -170,12 +172,13 @@ def segment_table(block: int, table: pa.Table, names: np.ndarray, ends: np.ndarr
 
 def first_of(rows: DataFrame, keys: list[str], same_doc: bool) -> DataFrame:
     """``doc0`` and, if places within a document count, ``at0``: the first place of each key, by
-    document and then place. Combines map-side."""
+    document and then place, and ``size``, its rows. Combines map-side."""
+    size = F.count(F.lit(1)).alias("size")
     if not same_doc:
-        return rows.groupBy(*keys).agg(F.min("doc").alias("doc0"))
+        return rows.groupBy(*keys).agg(F.min("doc").alias("doc0"), size)
     return (
-        rows.groupBy(*keys, "doc").agg(F.min("at").alias("at"))
-        .groupBy(*keys).agg(F.min("doc").alias("doc0"), F.min_by("at", "doc").alias("at0"))
+        rows.groupBy(*keys, "doc").agg(F.min("at").alias("at"), size)
+        .groupBy(*keys).agg(F.min("doc").alias("doc0"), F.min_by("at", "doc").alias("at0"), F.sum("size").alias("size"))
     )
 
 
@@ -192,7 +195,8 @@ def covered(blocks: DataFrame, located: DataFrame, folder: str, symbols: Symbols
     earlier = F.col("doc") > F.col("doc0")
     if same_doc:
         earlier = earlier | ((F.col("doc") == F.col("doc0")) & (F.col("at") > F.col("at0")))
-    judged = located.join(kinds.join(mixed, "anchor", "left"), key).select("block", "row", "at", "n", earlier.alias("gone"), "kinds")
+    classes = stage(kinds.join(mixed, "anchor", "left"), "kinds")
+    judged = salted_join(located, classes, key, "size", ["block", "row", "at"]).select("block", "row", "at", "n", earlier.alias("gone"), "kinds")
     judged = stage(judged.where("gone OR kinds IS NOT NULL").drop("kinds"), "judged")
     whole = judged.where("gone").drop("gone")
     open_ = judged.where("NOT gone").drop("gone")
@@ -230,7 +234,8 @@ def covered(blocks: DataFrame, located: DataFrame, folder: str, symbols: Symbols
         )
 
     pairs = stage(by_block(blocks, open_, folder, windows, ["row", "at", "n"], WINDOWS), "windows")
-    single = pairs.join(first_of(pairs, ["h0", "h1"], same_doc), ["h0", "h1"]).where(earlier)
+    firsts = stage(first_of(pairs, ["h0", "h1"], same_doc), "window-firsts")
+    single = salted_join(pairs, firsts, ["h0", "h1"], "size", ["block", "row", "at"]).where(earlier)
     return stage(whole.unionByName(single.select("block", "row", "at", F.lit(1).alias("n"))), "covered")
 
 
