@@ -11,10 +11,13 @@ links, so what leaves a group grows with its members and not with its pairs.
 
 With 32 bands of 5 values a pair of similarity 0.8 goes unnoticed with probability 3e-6.
 
+Classes, not ids, are the nodes of all graphs, so rows without id and rows that repeat an id are compared like
+any others.
+
 Results in odd cases: texts without words have no set, hence no links, and are classes of their own;
-texts of one to four words are one shingle; rows of one id and different texts are compared like any
-others but share their row; a null id takes part as the lowest number; an empty table gives an
-empty result. Columns besides id and text are not read.
+texts of one to four words are one shingle; a row of null id has links like any other and its class is named by the
+smallest id in it, null if no row of the class has one; an empty table gives an empty result. Columns besides id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stage
+from tidemark.llm.common import salted_join, stage
 from tidemark.llm.components import components
+from tidemark.llm.exact_dedup import BROADCAST_ROWS
 from tidemark.llm.phrase_dedup import word_symbols
 from tidemark.llm.tokens import release
 from tidemark.llm.windows import grown, mix
 
-LOWEST = -(1 << 63)
 ROWS, BANDS = 5, 32
 #: Shingles that are compared at a time, which bounds the bit rows of a group.
 CHUNK_SHINGLES = 1 << 14
@@ -171,71 +174,67 @@ def near_duplicates(
     threshold: float = 0.8,
     tolerance: float = 1e-6,
     block_members: int = 384,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """One row per document id and distinct text: ``doc_id, class_id, text_class, n_links``.
+    """One row per row of ``docs``: ``doc_id, class_id, text_class, n_links, text_key, kept``.
 
     ``class_id`` is the smallest id of the connected component; ``text_class`` the smallest id among
     texts of the same shingle set; ``n_links`` the number of other rows of similarity at least
-    ``threshold``.
+    ``threshold``; ``text_key`` a hash of the text, which with the id names the row; ``kept`` whether the row is the
+    component's first by (id, hash), null ids last.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc_id"), F.col(text_col).alias("text"))
+    key = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 1000):
                 part = batch.slice(a, 1000)
-                shingles, ends = shingle_sets(part.column(1), words)
+                shingles, ends = shingle_sets(part.column(2), words)
                 size, s0, s1 = set_sums(shingles, ends)
                 sig = signatures(shingles, ends)
                 offsets = pa.array(np.arange(len(part) + 1) * BANDS, pa.int32())
                 keys = pa.array(band_keys(sig).ravel().view(np.int64), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(s0), pa.array(s1),
+                    [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(s0), pa.array(s1),
                      pa.ListArray.from_arrays(offsets, keys)],
-                    names=["doc_id", "size", "s0", "s1", "keys"],
+                    names=["doc_id", "key", "size", "s0", "s1", "keys"],
                 )
         release()
 
-    rows = stage(base.mapInArrow(sketch, "doc_id long, size long, s0 long, s1 long, keys array<long>"), "sketches")
+    rows = stage(base.mapInArrow(sketch, "doc_id long, key long, size long, s0 long, s1 long, keys array<long>"), "sketches")
     same = ["size", "s0", "s1"]
-    classes = rows.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = stage(classes, "text-classes")
-    # band keys of one row of each class
-    reps = rows.where("size > 0").join(classes, same).where("doc_id = rep").select("rep", F.explode("keys").alias("key")).distinct()
-    stars = reps.groupBy("key").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "root")
-    edges = reps.join(stars, "key").where("rep != root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
+    # of a class: its rows, its first row by (id, hash), null ids last, and one set of band keys (they are all alike)
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    texts_of = rows.where("size > 0").groupBy(*same).agg(F.min(first).alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"))
+    classes = stage(texts_of.withColumn("node", F.monotonically_increasing_id()), "text-classes")  # numbers are fixed when written
+    reps = classes.select("node", F.explode("keys").alias("key")).distinct()
+    stars = reps.groupBy("key").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stars = stage(stars, "band-stars")
+    edges = salted_join(reps, stars, ["key"], "n", ["node"]).where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     cluster = components(edges)
-    members = cluster.join(classes.select(F.col("rep").alias("node"), "copies", *same), "node")
+    members = cluster.join(classes.select("node", "copies", "lead"), "node")
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    members = stage(members.join(sizes, "root"), "members")
-    packs = max(1, -(-members.count() // block_members))
+    members = stage(salted_join(members, sizes, ["root"], "m", ["node"]), "members")
+    wanted = members.select("node", F.col("lead.doc_id").alias("doc_id"), F.col("lead.key").alias("key"))
+    n_members = members.count()
+    packs = max(1, -(-n_members // block_members))
     blocks = F.ceil(F.col("m") / block_members).cast("int")
-    own = F.pmod(F.xxhash64("node", "s0", "s1"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     members = members.withColumns({"blocks": blocks, "own": own})
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     members = members.withColumn("other", meets).select(
-        "node", "copies", *same,
+        "node", "copies",
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(packs))).otherwise(F.col("root")).alias("pack"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.least("own", "other")).alias("bi"),
         F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("own", "other")).alias("bj"),
         "own",
     )
-    # one text of each class: rows of one id may hold several, and a text may stand in several rows
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch.slice(a, 1000)
-                sums = set_sums(*shingle_sets(part.column(1), words))
-                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x, pa.int64()) for x in sums]], names=["node", "text", *same])
-        release()
-
-    texts = base.join(
-        rows.join(classes, same).where("doc_id = rep").select("doc_id").distinct()
-        .join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "doc_id",
-    )
-    texts = texts.mapInArrow(named, "node long, text string, size long, s0 long, s1 long").dropDuplicates(["node", *same])
-    held = members.join(texts, ["node", *same])
+    # one text of each class that is compared, by its first row; rows that repeat id and text are one text
+    side = F.broadcast(wanted) if n_members <= broadcast_rows else wanted
+    pick = base.alias("b").join(side.alias("w"), F.col("b.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("b.key") == F.col("w.key")))
+    texts = stage(pick.select("w.node", "b.text").dropDuplicates(["node"]), "class-texts")
+    held = members.join(texts, "node")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by([("node", "ascending")])
@@ -251,23 +250,25 @@ def near_duplicates(
         links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
         some = np.flatnonzero(links > 0)
         root = star_of(len(node), i, j)
-        return pa.table({"node": node[some], "s0": group["s0"].to_numpy()[some], "s1": group["s1"].to_numpy()[some], "root": node[root[some]], "links": links[some].astype(np.int64)})
+        return pa.table({"node": node[some], "root": node[root[some]], "links": links[some].astype(np.int64)})
 
-    found = held.groupBy("pack", "bi", "bj").applyInArrow(compare, "node long, s0 long, s1 long, root long, links long")
-    found = stage(found, "links")
-    links = found.groupBy("node", "s0", "s1").agg(F.sum("links").alias("links"))
+    found = stage(held.groupBy("pack", "bi", "bj").applyInArrow(compare, "node long, root long, links long"), "links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = classes.join(links.withColumnRenamed("node", "rep"), ["rep", "s0", "s1"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select(*same, "rep", "copies", "links", "root")
-    back = F.when(F.col("doc_id") != LOWEST, F.col("doc_id"))
-    return (
-        rows.select("doc_id", *same).join(known, same, "left")
-        .select(
-            back.alias("doc_id"),
-            F.coalesce("root", "rep", "doc_id").alias("class_id"),
-            F.coalesce("rep", "doc_id").alias("text_class"),
-            (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
-        )
+    linked = classes.drop("keys").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    leads = linked.groupBy("root").agg(F.min("lead").alias("first"), F.count(F.lit(1)).alias("m"))
+    known = salted_join(linked, stage(leads, "leads"), ["root"], "m", ["node"]).select(*same, "copies", "links", "lead", "first")
+    n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
+    alone = F.col("copies").isNull()  # no words, hence no set
+    sized = stage(known.withColumn("n", F.col("copies")), "classes-known")
+    some = salted_join(rows.where("size > 0").drop("keys"), sized, same, "n", ["doc_id", "key"])
+    both = some.unionByName(rows.where("size = 0").drop("keys"), allowMissingColumns=True)
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return both.select(
+        "doc_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("text_class"),
+        n_links.alias("n_links"), F.col("key").alias("text_key"), (alone | kept).alias("kept"),
     )
 
 
@@ -279,8 +280,11 @@ def _pick(side: tuple, rows: np.ndarray) -> tuple:
     return signature[rows], (np.concatenate(parts) if parts else shingles[:0]), np.cumsum(lengths)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` without those of another document's group: the smallest id of each stays."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("doc_id != class_id")
-    gone = gone.select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone_id"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """Rows of ``docs`` without those of another row's group: the first of each by (id, hash of the text) stays, null ids
+    last. Rows that repeat id and text share their fate. Names of the columns of ``docs`` may be any."""
+    gone = stage(near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select("doc_id", "text_key").distinct(), "near-gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
+    key = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), key.alias("key"))
+    return rows.join(side, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left_anti").select("row.*")
