@@ -225,22 +225,42 @@ def test_phrase_dedup(spark, corpus):
     assert phrase_dedup.remove_repeated(docs_of(spark, EMPTY)).count() == 0
 
 
-def test_suffix_dedup(spark, corpus):
-    rows = [r for r in corpus if r[0] != 70]
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.remove_repeated(docs_of(spark, rows)).collect()}
-    seen, want = set(), {}
-    for i, t, _ in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
-        b = (t or "").encode()
+def brute_bytes(rows):
+    """Rows in the order of id and text checksum; rows that repeat both are one document."""
+    order = lambda r: (-1 if r[0] is None else r[0], zlib.crc32((r[1] or "").encode()) >> 1)
+    first, out = {}, []
+    for r in rows:
+        b = (r[1] or "").encode()
+        for a in range(len(b) - 99):
+            key = (*order(r), a)
+            first[b[a : a + 100]] = min(first.get(b[a : a + 100], key), key)
+    for r in rows:
+        b = (r[1] or "").encode()
         gone = bytearray(len(b))
         for a in range(len(b) - 99):
-            if b[a : a + 100] in seen:
+            if first[b[a : a + 100]] < (*order(r), a):
                 gone[a : a + 100] = b"\1" * 100
-            seen.add(b[a : a + 100])
-        want[i] = (len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g))
-    assert got == want
+        out.append((r[0], len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g)))
+    return Counter(out)
+
+
+def test_suffix_dedup(spark, corpus):
+    got = suffix_dedup.remove_repeated(docs_of(spark, corpus)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == brute_bytes(corpus)
+    assert all(r["kept_sha256"] == hashlib.sha256(bytes(r["kept"])).hexdigest() for r in got)
     assert suffix_dedup.remove_repeated(docs_of(spark, EMPTY)).count() == 0
 
 
+def test_suffix_dedup_over_blocks_and_ranges(spark, corpus):
+    """Blocks of few documents, many ranges, one long text that repeats itself and others across parts."""
+    rng = np.random.default_rng(11)
+    pool = [passage(500 + i, 25) for i in range(40)]
+    rows = corpus + [(200 + i, " ".join(rng.choice(pool, 6)), "s") for i in range(30)]
+    rows += [(300, " ".join(rng.choice(pool, 400)) + passage(7, 50_000) + pool[3] * 3, "s"), (210, passage(3, 300), "s")]
+    got = suffix_dedup.remove_repeated(docs_of(spark, rows, 5), block_bytes=4000, range_bytes=60_000).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == brute_bytes(rows)
+
+
 def test_near_duplicates(spark, corpus):
     rows = [r for r in corpus if r[0] is not None and r[0] != 70]
     sets = {}

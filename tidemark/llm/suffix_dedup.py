@@ -2,12 +2,10 @@
 
 Prefix doubling ranks suffixes by their first 1, 2, 4, ... symbols: the rank at twice the length
 is the rank of the pair of ranks at an offset. Here the pairs up to ``seed`` bytes are named where
-the text is read, at content-defined positions (see ``windows``). Spark deals the names out by range
-and sorts them; positions with a unique name leave. The rest are paired at the offset of their
-segment's last window and sorted again, which decides whole segments at once. What remains undecided
-is paired position by position at the offset of half the length and sorted a last time; past that
-length, ``length`` bytes, ranks that still meet are repeats (see ``dealing``). No suffix array is ever
-held in one place.
+the text is read, at content-defined positions (see ``windows``). From there on Spark sorts the pairs of every
+round, at 32, 64 and 100 bytes: equal pairs share a rank, positions with a unique pair leave, and the others
+go on at the next offset (see ``doubling``). Past ``length`` bytes, ranks that still meet are repeats. No suffix
+array is ever held in one place.
 
 Results in odd cases: a null text counts as empty; texts shorter than ``length`` lose nothing; a
 null id counts as smaller than any other; rows that repeat an id are ordered by a checksum of
@@ -24,11 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm import dealing
-from tidemark.llm.windows import mix
+from tidemark.llm import doubling
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
-_NAMES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,15 +35,10 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
 
-def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    data, ends = _bytes(texts)
-    return _NAMES[data], ends
-
-
 def remove_repeated(
-    docs: DataFrame, length: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, length: int = 100, seed: int = 32, id_col: str = "doc_id", text_col: str = "text", **sizes: int
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256``."""
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256``; ``sizes`` as for ``doubling.remove``."""
 
     def finish(table: pa.Table, gone: np.ndarray) -> pa.Table:
         data, ends = _bytes(table["text"].combine_chunks())
@@ -67,4 +58,4 @@ def remove_repeated(
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
         )
 
-    return dealing.remove(docs, byte_symbols, seed, length, id_col, text_col, finish, RESULT)
+    return doubling.remove(docs, _bytes, seed, length, id_col, text_col, finish, RESULT, **sizes)
