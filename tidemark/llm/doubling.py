@@ -5,10 +5,11 @@ longer runs are paired. A rank is a pair's place in the sorted order, equal pair
 rounds, for windows of ``w`` symbols and first names of ``k`` (w = 100 and k = 32, say):
 
 1. ``k`` symbols, at content-defined positions (anchors, see ``windows``). A window lies around one anchor.
-2. ``2 k`` symbols: an anchor's rank paired with the name at the offset ``k`` behind it, and in front of it. A
+2. runs of windows with one anchor (segments): the anchor's rank paired with the names of the first and last window.
+   A segment whose pair occurs before is repeated whole; an anchor with one segment content only is done. The first
+   segment of each other content goes on for all its copies.
+3. ``2 k`` symbols: an anchor's rank paired with the name at the offset ``k`` behind it, and in front of it. A
    window holds one of the two at least, so one whose half is unique is unique.
-3. runs of windows with one anchor (segments): the anchor's rank paired with the names of the first and last window.
-   A segment whose pair occurs before is repeated whole; an anchor with one segment content only is done.
 4. ``w`` symbols: for segments that are still undecided, the rank paired with two names of each window.
 
 Past that length, rows that still meet are repeats; ``later`` ones are removed. Windows and segments are compared by two
@@ -40,7 +41,7 @@ from tidemark.llm.windows import grown, mix, pair, segments
 #: Bytes of text in a block: a task holds 64-bit names for each.
 BLOCK_BYTES = 4 << 20
 
-ANCHOR, RIGHT, LEFT, SEGMENT, WINDOW = range(5)
+FILE, TWICE, ANCHOR, RIGHT, LEFT, SEGMENT, WINDOW = range(7)
 LATER, MIXED = 1, 2
 #: What a block sends: a pair (rank, name), a second name, the first place in the block, and whether it is there twice.
 SENT = "kind int, block long, idx int, r long, a long, b long, doc long, at long, again boolean"
@@ -203,7 +204,7 @@ class Block:
         self.k, self.w = k, w
         self.data, self.ends = symbols(table["text"].combine_chunks())
         self.starts = np.concatenate([[0], self.ends[:-1]])
-        self.doc_of, self.again = order_of(table)
+        self.table = table
 
     def scan(self) -> Iterator[tuple[int, int, dict]]:
         """``(first symbol, symbols' end, segments)`` of each part; anchors, the smallest names of many, are mixed."""
@@ -220,6 +221,8 @@ class Block:
 
     def segments(self, known: Answers) -> None:
         """Segments of the anchors that have stayed, with the names of their ends and halves."""
+        self.doc_of, again = order_of(self.table)
+        self.again = np.where(known.marked(TWICE, len(again)), again, 0)  # only rows that repeat an id need an order among them
         keys, _ = self.anchors()
         ranks = known.ranks(len(keys))
         keys, ranks = keys[ranks >= 0], ranks[ranks >= 0]
@@ -248,33 +251,37 @@ class Block:
         self.at = self.again[self.row] + self.first - self.starts[self.row]
         self.content, self.other = both
         self.classes = Firsts(self.content, self.other, self.doc_of[self.row], self.at)
-        # halves of the first segment of each content; windows hold the right one from 2k - w before the anchor on, the left one up to k before it
-        lead = self.classes.first
-        self.has_right = lead[self.last[lead] >= self.place[lead] + 2 * k - w]
-        self.has_left = lead[self.first[lead] <= self.place[lead] - k]
-
-    def halves(self) -> list[tuple[int, np.ndarray, np.ndarray, tuple]]:
-        return [(kind, at, names, distinct(names[at])) for kind, at, names in ((RIGHT, self.has_right, self.right), (LEFT, self.has_left, self.left))]
 
     def first_round(self, block: int) -> Iterator[pa.RecordBatch]:
         keys, again = self.anchors()
         yield sent(ANCHOR, block, None, keys, again=again)
 
     def second_round(self, block: int) -> Iterator[pa.RecordBatch]:
-        for kind, at, names, (first, again, _) in self.halves():
-            yield sent(kind, block, self.rank[at[first]], names[at[first]], again=again)
         lead = self.classes.first
         yield sent(SEGMENT, block, self.rank[lead], self.content[lead], self.other[lead], self.doc_of[self.row[lead]], self.at[lead])
 
+    def undecided(self, known: Answers) -> None:
+        """Segments that are the first of their content in the corpus, where their anchor has others; and their halves: windows
+        hold the right one from 2k - w before the anchor on, the left one up to k before it."""
+        m, k, w = len(self.classes.first), self.k, self.w
+        gone = known.marked(SEGMENT, m)
+        self.whole = self.classes.later | gone[self.classes.group] if m else self.classes.later
+        self.open = self.classes.first[known.marked(SEGMENT, m, MIXED) & ~gone]
+        right = self.open[self.last[self.open] >= self.place[self.open] + 2 * k - w]
+        left = self.open[self.first[self.open] <= self.place[self.open] - k]
+        self.halves = [(kind, at, names, distinct(names[at])) for kind, at, names in ((RIGHT, right, self.right), (LEFT, left, self.left))]
+
+    def third_round(self, block: int) -> Iterator[pa.RecordBatch]:
+        for kind, at, names, (first, again, _) in self.halves:
+            yield sent(kind, block, self.rank[at[first]], names[at[first]], again=again)
+
     def windows(self, known: Answers) -> None:
         """Single windows of segments that are neither repeated nor alone with their anchor, if their half recurs."""
-        k, w, m = self.k, self.w, len(self.classes.first)
-        gone = known.marked(SEGMENT, m)
-        self.whole = self.classes.later | gone[self.classes.group]
+        k, w = self.k, self.w
         open_ = np.zeros(len(self.rank), bool)
-        open_[self.classes.first] = known.marked(SEGMENT, m, MIXED) & ~gone
+        open_[self.open] = True
         recurs = {}
-        for kind, at, _, (first, _, number) in self.halves():
+        for kind, at, _, (first, _, number) in self.halves:
             recurs[kind] = np.zeros(len(self.rank), bool)
             recurs[kind][at] = known.marked(kind, len(first))[number] if len(at) else False
         # windows that start in [lowest, highest): without a recurring left half none up to k before the anchor, without a right one none later
@@ -299,12 +306,12 @@ class Block:
         kinds = (np.int64, np.uint64, np.uint64, np.int64, np.int64)
         self.window_rank, one, two, self.window_row, self.window = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, kinds))
         self.window_at = self.again[self.window_row] + self.window - self.starts[self.window_row]
-        self.one, self.two = one, two
-        self.singles = Firsts(one, two, self.doc_of[self.window_row], self.window_at)
+        self.one, self.two = pair(self.window_rank.view(np.uint64), one), two
+        self.singles = Firsts(self.one, two, self.doc_of[self.window_row], self.window_at)
 
-    def third_round(self, block: int) -> Iterator[pa.RecordBatch]:
+    def fourth_round(self, block: int) -> Iterator[pa.RecordBatch]:
         lead = self.singles.first
-        yield sent(WINDOW, block, self.window_rank[lead], self.one[lead], self.two[lead], self.doc_of[self.window_row[lead]], self.window_at[lead])
+        yield sent(WINDOW, block, None, self.one[lead], self.two[lead], self.doc_of[self.window_row[lead]], self.window_at[lead])
 
     def removed(self, known: Answers) -> np.ndarray:
         """Which symbols repeated windows cover."""
@@ -329,30 +336,32 @@ def remove(
     parts = partitions_for(docs, text_col, range_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Block files, and a row for each document: the block's number, its file's name and the id."""
         filesystem, at = _filesystem(folder)
         filesystem.create_dir(at, recursive=True)
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options, number = pa.ipc.IpcWriteOptions(compression="zstd"), TaskContext.get().partitionId() << 20
         for batch in batches:
             table = pa.table({"doc_id": batch.column(0), "text": batch.column(1).cast(pa.large_string())})
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(size) - size) // block_bytes)) + 1).tolist(), len(table)]
             for a, b in zip(cuts, cuts[1:]):
                 if a < b:
-                    piece, block = table.slice(a, b - a).combine_chunks(), uuid.uuid4().int >> 66
-                    with filesystem.open_output_stream(f"{at}/{block:016x}.arrow") as out:
+                    piece, file = table.slice(a, b - a).combine_chunks(), uuid.uuid4().int >> 66
+                    with filesystem.open_output_stream(f"{at}/{file:016x}.arrow") as out:
                         with pa.ipc.new_file(out, piece.schema, options=options) as writer:
                             writer.write_table(piece)
-                    yield sent(ANCHOR, block, None, np.zeros(0, np.uint64))
-                    yield from Block(piece, symbols, k, w).first_round(block)
-                    # the block itself, for blocks without anchors
-                    yield sent(-1, block, None, np.zeros(1, np.uint64))
+                    n = b - a
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(n, number), pa.int64()), pa.array(np.full(n, file), pa.int64()), pa.array(np.arange(n), pa.int32()), piece["doc_id"].combine_chunks()],
+                        names=["block", "file", "idx", "doc"],
+                    )
+                    number += 1
 
     def in_blocks(answers: DataFrame, work: Callable[[int, Block, pa.Table, Answers], pa.Table], out: str) -> DataFrame:
         def run(group: pa.Table) -> pa.Table:
-            block = group["block"][0].as_py()
-            table, known = read_block(folder, block), Answers(group)
+            block, known = group["block"][0].as_py(), Answers(group)
+            table = read_block(folder, int(known.rank[known.kind == FILE][0]))
             state = Block(table, symbols, k, w)
-            state.segments(known)
             got = work(block, state, table, known)
             del state, table
             release()
@@ -360,30 +369,50 @@ def remove(
 
         return answers.repartition(2 * blocks, "block").groupBy("block").applyInArrow(run, out)
 
+    def first(block: int, state: Block, table: pa.Table, known: Answers) -> pa.Table:
+        return pa.Table.from_batches(state.first_round(block))
+
     def second(block: int, state: Block, table: pa.Table, known: Answers) -> pa.Table:
+        state.segments(known)
         return pa.Table.from_batches(state.second_round(block))
 
     def third(block: int, state: Block, table: pa.Table, known: Answers) -> pa.Table:
-        state.windows(known)
+        state.segments(known)
+        state.undecided(known)
         return pa.Table.from_batches(state.third_round(block))
 
+    def fourth(block: int, state: Block, table: pa.Table, known: Answers) -> pa.Table:
+        state.segments(known)
+        state.undecided(known)
+        state.windows(known)
+        return pa.Table.from_batches(state.fourth_round(block))
+
     def last(block: int, state: Block, table: pa.Table, known: Answers) -> pa.Table:
+        state.segments(known)
+        state.undecided(known)
         state.windows(known)
         return finish(table, state.removed(known))
 
-    def ranked(rows: DataFrame, keys: list[str], within: list[str], work, name: str) -> DataFrame:
-        """Rows sorted by their pair in ranges of pairs, and answered in that order."""
-        dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, *within)
-        return stage(dealt.mapInArrow(work, ANSWER), name)
-
-    named = stage(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(write, SENT), "anchors")
-    marks = named.where("kind = -1").select("kind", "block", "idx", F.lit(0).alias("flag"), F.lit(0).cast("long").alias("rank"))
-    blocks = max(1, marks.count())
-    pairs, places = ["kind", "r", "a"], ["doc", "at"]
-    known = marks.unionByName(ranked(named.where(F.col("kind") == ANCHOR), pairs, [], recurring, "ranks"))
+    def ranked(rows: DataFrame, order: list[str], work, name: str, by: list[str] | None = None) -> DataFrame:
+        """Rows sorted by their pair and answered in that order. Names are uniform, so ranges of them are cut by their first
+        bits; pairs ``by`` a rank are cut into ranges by Spark's sampling."""
+        if by:
+            dealt = rows.repartitionByRange(parts, *by)
+        else:
+            bits = F.shiftrightunsigned("a", 40).cast("long") * parts
+            dealt = rows.repartitionById(parts, F.shiftright(bits, 24).cast("int"))
+        return stage(dealt.sortWithinPartitions(*order).mapInArrow(work, ANSWER), name)
+
+    named = stage(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(write, "block long, file long, idx int, doc long"), "block-files")
+    files = named.groupBy("block").agg(F.first("file").alias("rank")).select(F.lit(FILE).alias("kind"), "block", F.lit(0).alias("idx"), F.lit(0).alias("flag"), "rank")
+    ids = named.groupBy(F.col("doc").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = named.join(ids, F.col("doc").eqNullSafe(F.col("d")), "left_semi").select(F.lit(TWICE).alias("kind"), "block", "idx", F.lit(LATER).alias("flag"), F.lit(0).cast("long").alias("rank"))
+    known = stage(files.unionByName(twice), "block-marks")
+    blocks = max(1, known.where(F.col("kind") == FILE).count())
+    pair_order, place_order = ["kind", "r", "a"], ["kind", "r", "a", "b", "doc", "at"]
+    known = known.unionByName(ranked(in_blocks(known, first, SENT), pair_order, recurring, "ranks"))
     rows = stage(in_blocks(known, second, SENT), "pairs")
-    known = known.unionByName(ranked(rows.where(F.col("kind") != SEGMENT), pairs, [], recurring, "halves"))
-    known = known.unionByName(ranked(rows.where(F.col("kind") == SEGMENT), ["r", "a"], ["b", *places], judged, "segments"))
-    rows = stage(in_blocks(known, third, SENT), "windows")
-    known = known.unionByName(ranked(rows, ["r", "a", "b"], places, judged, "repeats"))
+    known = known.unionByName(ranked(rows, place_order, judged, "segments", ["r", "a"]))
+    known = known.unionByName(ranked(in_blocks(known, third, SENT), pair_order, recurring, "halves"))
+    known = known.unionByName(ranked(in_blocks(known, fourth, SENT), place_order, judged, "repeats"))
     return in_blocks(known, last, schema)
