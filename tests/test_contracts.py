@@ -95,3 +95,50 @@ def test_target_rules(spark):
     with pytest.raises(io.ContractError, match="holdout"):
         quality.require_target(df, "y", "d", date(2024, 1, 1), date(2025, 6, 1), date(2025, 1, 1))
     quality.require_target(df.withColumn("y", F.when(F.dayofmonth("d") == 1, 0).otherwise(1)), "y", "d", date(2024, 1, 1), date(2024, 6, 1), date(2025, 1, 1))
+
+
+def test_upsert_survives_a_crash_between_renames(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    io.upsert(spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, x double"), path, ["k"])
+    swap = io.Swap(spark, path)
+    spark.createDataFrame([(1, 1.0), (2, 9.0)], "k int, x double").write.parquet(f"{path}__new")
+    swap._rename("", "__old")  # the job dies here
+    io.upsert(spark.createDataFrame([(3, 3.0)], "k int, x double"), path, ["k"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 1.0), (2, 9.0), (3, 3.0)]
+    assert not swap.exists("__old") and not swap.exists("__new")
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0)], "k int, p string, x double")
+    io.upsert(rows, path, ["k", "p"], ["p"])
+    untouched = {p.name for p in tmp_path.glob("t/p=b/*.parquet")}
+    for _ in range(2):
+        io.upsert(spark.createDataFrame([(2, "a", 9.0), (4, "a", 4.0)], rows.schema), path, ["k", "p"], ["p"])
+    got = spark.read.parquet(path).select("k", "p", "x").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 1.0), (2, "a", 9.0), (3, "b", 3.0), (4, "a", 4.0)]
+    assert {p.name for p in tmp_path.glob("t/p=b/*.parquet")} == untouched
+
+
+def test_older_rows_change_nothing(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    io.upsert(spark.createDataFrame([(1, 5, "new")], "k int, at int, s string"), path, ["k"], newer="at")
+    io.upsert(spark.createDataFrame([(1, 4, "old"), (2, 1, "b")], "k int, at int, s string"), path, ["k"], newer="at")
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, 5, "new"), (2, 1, "b")]
+
+
+def test_holdout_is_opened_once(spark):
+    rows = spark.createDataFrame([("v1", "candidate", True, '{"a":{"b":1},"n":2.5}'), ("bad", "rejected", False, None)], "model_version string, status string, gates_passed boolean, gate_report string")
+    scored = spark.createDataFrame([(0.9, 1), (0.2, 0), (0.8, 1), (0.1, 0)], "p double, y int")
+    contract = {"training_end": date(2024, 11, 30), "baseline_rate": 0.5}
+    run = lambda r, v="v1", c=contract, **more: registry.evaluate_holdout(r, v, c, scored, "p", "y", "now", **more)
+    after = run(rows).cache()
+    row = after.where("model_version = 'v1'").first()
+    assert (row["status"], row["holdout_passed"], row["holdout_n"], row["holdout_burned_rerun"]) == ("candidate", True, 4, False)
+    assert row["holdout_brier"] == pytest.approx(0.025) and row["gate_report"].startswith('{"a":{"b":1},"n":2.5,"locked_holdout":{')
+    with pytest.raises(io.ContractError, match="spent"):
+        run(after)
+    assert run(after, acknowledge_burn=True).where("model_version = 'v1'").first()["holdout_burned_rerun"]
+    for version, change, message in (("none", {}, "registered"), ("bad", {}, "gates"), ("v1", {"training_end": date(2025, 3, 1)}, "overlaps"), ("v1", {"baseline_rate": 1.0}, "between")):
+        with pytest.raises(io.ContractError, match=message):
+            run(rows, version, contract | change)

@@ -76,3 +76,15 @@ def test_calibration_table_equals_definition():
         p0, p1 = fast_values(n, y, 0), fast_values(n, y, 1)
         assert np.allclose(p0, hull_slopes(n, y, 0)) and np.allclose(p1, hull_slopes(n, y, 1))
         assert (p0 <= p1 + 1e-12).all() and (np.diff(p0) >= -1e-12).all() and (np.diff(p1) >= -1e-12).all()
+
+
+def test_json_put_keeps_types(spark):
+    text = '{"a":{"b":1},"n":2.5}'
+    assert value(spark, X.json_put(F.lit(text), "s", F.lit("x"))) == '{"a":{"b":1},"n":2.5,"s":"x"}'
+    assert value(spark, X.json_put(F.lit("[1]"), "s", F.lit("x"))) == '{"s":"x"}' == value(spark, X.json_put(F.lit(None).cast("string"), "s", F.lit("x")))
+
+
+def test_weather_missing(spark):
+    lit = lambda x: F.lit(x).cast("double")
+    gone = lambda dome, t, w: value(spark, X.weather_missing(F.lit(dome), lit(t), lit(w)))
+    assert (gone(False, 70, None), gone(False, None, 8), gone(False, 70, 8), gone(True, None, None), gone(None, 70, None)) == (1.0, 1.0, 0.0, 0.0, 1.0)

@@ -34,3 +34,29 @@ def test_ranges_equal_whole_models(spark, pairs):
     asked = asked.union(spark.range(300).selectExpr("'c'", "2D + id")).distinct()
     one, many = (sorted(vennabers.apply(asked, whole, "model", "p", n).collect(), key=str) for n in (1 << 20, 50))
     assert one == many
+
+
+def test_nan_takes_no_part(spark, pairs):
+    df = spark.createDataFrame([p for p in pairs if p[0] == "c"], "model string, p double, y int")
+    odd = df.union(spark.createDataFrame([("c", float("nan"), 1), ("c", None, 1)], df.schema))
+    table = vennabers.calibrate(odd, "model", "p", "y")
+    pd.testing.assert_frame_equal(columns(table), columns(vennabers.calibrate(df, "model", "p", "y")))
+    got = vennabers.apply(odd.where("p IS NULL OR isnan(p)"), table, "model", "p").collect()
+    assert len(got) == 2 and all(r["p0"] is None and r["p_cal"] is None for r in got)
+
+
+def test_orders_in_ranges(spark):
+    from tidemark.operators import latest
+    from tidemark.operators.ranges import exact_median, in_ranges
+
+    rng = np.random.default_rng(3)
+    days = np.sort(rng.integers(0, 500, 400))
+    days[[50, 51, 200]] = days[[51, 50, 0]]
+    rows = spark.createDataFrame([(i, int(d)) for i, d in enumerate(days)], "p int, d int").repartition(5)
+    want = int((np.diff(days) < 0).sum())
+    assert [latest.monotonic(rows, "p", "d", n).first()["n_back"] for n in (7, 1 << 20)] == [want, want]
+    assert in_ranges(rows, "p", 50).select("_r").distinct().count() == 8
+    for values in ([1.0], [1.0, 2.0], [3.0, 1.0, 2.0, 2.0, 9.0, None], list(map(float, days))):
+        known = [v for v in values if v is not None]
+        got = exact_median(spark.createDataFrame([(v,) for v in values], "x double"), "x").first()["median"]
+        assert got == pytest.approx(float(np.median(known)))
