@@ -412,3 +412,21 @@ def test_quality(spark):
     flat = quality.score_quality(docs_of(spark, rows[:5]), lab.limit(0)).collect()
     assert {r["score"] for r in flat} == {0.5}
     assert quality.score_quality(docs_of(spark, EMPTY), lab).count() == 0
+
+
+def test_exact_dedup_without_broadcast(spark, corpus):
+    one = Counter(map(tuple, exact_dedup(docs_of(spark, corpus)).collect()))
+    assert one == Counter(map(tuple, exact_dedup(docs_of(spark, corpus), broadcast_digests=0, salt_rows=2).collect()))
+    kept = keep_exact(docs_of(spark, corpus), broadcast_rows=0)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, keep_exact(docs_of(spark, corpus)).collect()))
+
+
+def test_near_duplicates_without_ids(spark):
+    a, b = passage(21, 60), passage(22, 60)
+    rows = [(None, a, "s"), (None, b, "s"), (5, a, "s"), (6, b, "s"), (None, passage(23, 60), "s"), (7, passage(24, 30), "s"), (7, a + " more", "s")]
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in got) == Counter(
+        [(None, 5, 2, False), (None, 6, 1, False), (5, 5, 2, True), (6, 6, 1, True), (None, None, 0, True), (7, 7, 0, True), (7, 5, 2, False)]
+    )
+    stay = near_dedup.keep_one(docs_of(spark, rows)).collect()
+    assert sorted(r["text"] for r in stay) == sorted([a, b, rows[4][1], rows[5][1]])
