@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a
 DataFrame that ``run`` writes as Parquet and reads again for the next.
+
+Results in odd cases: null texts count as empty; rows that repeat id and text are one document and stay once at
+most; rows of null id pass like any other; an empty table gives an empty result; columns of any name are kept up to the
+last stage.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id."""
+    """Of each group of near copies, the document with the smallest id (null ids last)."""
     return keep_one(docs)
 
 
@@ -54,7 +58,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: The classifier has no SQL form; the tests compare with a brute-force version.
+#: The classifier has no SQL form. The tests hold every stage against the operator that it calls, and the operators but
+#: the classifier against brute force; a brute-force version of the whole does not exist yet.
 ORACLE_SQL: str | None = None
 
 
