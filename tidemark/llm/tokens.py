@@ -13,9 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are split at a time, and words kept per process.
-CHUNK_BYTES, MEMO_WORDS = 4 << 20, 400_000
-
+#: Bytes of text that are split at a time, words kept per process, and new words encoded in one call.
+CHUNK_BYTES, MEMO_WORDS, CALL_WORDS = 4 << 20, 200_000, 8192
 
 
 def release() -> None:
@@ -82,7 +81,9 @@ class WordMemo:
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            ids, each = self._encode(new)
+            # the library holds about 100 bytes a token of a call: its size is what bounds them
+            parts = [self._encode(new[a : a + CALL_WORDS]) for a in range(0, len(new), CALL_WORDS)]
+            ids, each = (np.concatenate(p) for p in zip(*parts))
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(each)])
             self.ids = np.concatenate([self.ids, ids])
