@@ -375,6 +375,11 @@ def test_neighbours(spark):
         assert found == sorted(found, key=lambda p: (-p[1], p[0]))
     assert hit >= 0.9 * 20 * len(got)
     assert neighbours.nearest(df.limit(0)).count() == 0
+    seen = neighbours.nearest(df, leaf_rows=16, group_rows=100, first_leaves=2).groupBy("query_id").agg(F.max("n_compared").alias("n")).agg(F.avg("n")).first()[0]
+    assert seen < 0.5 * 1500  # clustered vectors: most leaves are left out by order or by bound
+    pair = df.where("vec_id < 60").unionByName(spark.createDataFrame([(i, [float(i), 1.0], 0) for i in range(100, 145)] + [(100, [100.0, 1.0], 0)], df.schema))
+    short = [r["vec_id"] for r in neighbours.nearest(pair).where("query_id = 100").orderBy("rank").collect()]
+    assert short == list(range(144, 124, -1))  # own length only; a repeated query asks once
     few = neighbours.nearest(df.where("vec_id < 5"))
     assert few.count() == 4
     fine = df.where("vec_id < 40").select("vec_id", F.transform("embedding", lambda c: c.cast("double") + 1e-12).alias("embedding"))
