@@ -93,16 +93,16 @@ class Tree:
     def visits(self, q: np.ndarray, most: int, share: float = 0.5, held: np.ndarray | None = None, least: int = 0) -> list[int]:
         """The first ``most`` leaves of a best-bin-first traversal for query ``q``, and further ones
         until they hold ``least`` vectors; ``held`` counts those of each leaf."""
-        length, out, queue, seen = float(np.linalg.norm(q)), [], [(0.0, 0)], 0
+        rank = (-(self.centre @ q + share * float(np.linalg.norm(q)) * np.array(self.radius))).tolist()
+        out, queue, seen = [], [(0.0, 0)], 0
         while queue and (len(out) < most or seen < least):
             _, node = heapq.heappop(queue)
             if self.children[node] is None:
                 out.append(self.leaf[node])
                 seen += int(held[self.leaf[node]]) if held is not None else 0
                 continue
-            children = self.children[node]
-            for child, dot in zip(children.tolist(), (self.centre[children] @ q).tolist()):
-                heapq.heappush(queue, (-(dot + share * length * self.radius[child]), child))
+            for child in self.children[node].tolist():
+                heapq.heappush(queue, (rank[child], child))
         return out
 
 
@@ -267,7 +267,7 @@ def _nearest(
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, packs, early, lists, bounds = [], [], [], [], []
+            rows, packs, early, lists, bounds = [], [], [], [], []  # per row: the leaves of one pack, their bounds, and their vectors
             for i, q in enumerate(_matrix(batch.column(1))):
                 seen = np.array(tree.visits(q, visits, held=held, least=k + 1), np.int64)
                 bound = tree.leaf_centre[seen] @ q + np.linalg.norm(q) * reach[seen] + 1e-6 * np.linalg.norm(q)
@@ -284,23 +284,27 @@ def _nearest(
                             bounds.append(high[at])
             offsets = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
             flat = [np.concatenate(c) if c else np.zeros(0) for c in (lists, bounds)]
+            leaf = flat[0].astype(np.int32)
             row = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(row), batch.column(1).take(row), pa.array(packs, pa.int32()), pa.array(early, pa.bool_()),
-                 pa.ListArray.from_arrays(offsets, pa.array(flat[0].astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(flat[1].astype(np.float64)))],
-                names=["query_id", "q", "pack", "early", "leaves", "bounds"],
+                 *(pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (leaf, flat[1].astype(np.float64), held[leaf]))],
+                names=["query_id", "q", "pack", "early", "leaves", "bounds", "held"],
             )
 
-    routed = stage(asked.mapInArrow(traverse, f"query_id long, q {kind}, pack int, early boolean, leaves array<int>, bounds array<double>"), "visits")
+    # the walk through the tree is slow for its input's size, so its tasks are cut by queries
+    walks = asked.repartition(max(1, min(8192, -(-asked.count() // 256))), "query_id")
+    visited = f"query_id long, q {kind}, pack int, early boolean, leaves array<int>, bounds array<double>, held array<long>"
+    routed = stage(walks.mapInArrow(traverse, visited), "visits")
     # groups of bounded size: at most one row per leaf here, which ``most_leaves`` bounds
     pieces = lambda rows: F.ceil(rows / group_rows).cast("int")
     spark = good.sparkSession
-    of_leaf = F.broadcast(spark.createDataFrame(list(zip(range(tree.leaves), pack.tolist(), held.tolist())), "leaf int, pack int, held long"))
+    of_leaf = F.broadcast(spark.createDataFrame(list(zip(range(tree.leaves), pack.tolist())), "leaf int, pack int"))
     sizes = spark.createDataFrame([(int(p), int(h)) for p, h in enumerate(np.bincount(pack, held))], "pack int, rows long")
     counts = routed.groupBy("pack").agg(pieces(F.count(F.lit(1))).alias("qs")).join(F.broadcast(sizes), "pack").withColumn("vs", pieces(F.col("rows")))
     counts = F.broadcast(counts.where("vs > 0").select("pack", "vs", "qs"))
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    packed = filed.select("vec_id", "v", "leaf").join(of_leaf.select("leaf", "pack"), "leaf").join(counts, "pack")
+    packed = filed.select("vec_id", "v", "leaf").join(of_leaf, "leaf").join(counts, "pack")
     right = packed.withColumn("a", F.pmod(F.xxhash64("vec_id"), F.col("vs")).cast("int")).withColumn("b", every_of("qs"))
     key = ["pack", "a", "b"]
 
@@ -315,8 +319,9 @@ def _nearest(
     near = stage(compared(first), "first-leaves")
     floors = top(near, k).groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(lowest).alias("floor"))
     later = routed.where("NOT early").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", lowest))
-    within = F.filter(F.arrays_zip("leaves", "bounds"), lambda z: z["bounds"] >= F.col("floor"))
-    later = stage(later.withColumn("leaves", within["leaves"]).where(F.size("leaves") > 0), "later-visits")
-    looked = first.unionByName(later).select("query_id", F.explode("leaves").alias("leaf")).join(of_leaf.select("leaf", "held"), "leaf")
-    looked = looked.groupBy("query_id").agg(F.sum("held").alias("n_compared"))
+    within = F.filter(F.arrays_zip("leaves", "bounds", "held"), lambda z: z["bounds"] >= F.col("floor"))
+    later = later.withColumns({"leaves": within["leaves"], "held": within["held"]}).where(F.size("leaves") > 0)
+    later = stage(later.select("query_id", "q", "pack", "leaves", "held", "floor"), "later-visits")
+    compared_with = F.aggregate("held", F.lit(0).cast("long"), lambda total, n: total + n)
+    looked = first.select("query_id", "held").unionByName(later.select("query_id", "held")).groupBy("query_id").agg(F.sum(compared_with).alias("n_compared"))
     return top(near.unionByName(compared(later)), k).join(looked, "query_id").select("query_id", "rank", "vec_id", "score", "n_compared")
