@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import WORD
+
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Place of a public tokenizer file on this machine."""
@@ -117,6 +119,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+
 def op9_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.phrase_dedup import remove_repeated
 
@@ -129,6 +132,72 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+
+def _planted(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: in a tenth of the documents, by a hash of the id, words repeat with a period from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    n = F.size("w")
+    spots = chosen.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", F.floor((n - F.col("a")) / (3 + F.col("g") % 8)) + 1)
+    a, p, n = F.col("a").cast("int"), F.col("p").cast("int"), F.size("w")
+    unit = F.slice("w", a + 1, p)
+    rest = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return spots.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(F.slice("w", F.lit(1), a), rest), " ")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.word_runs import greatest, listed, word_runs
+
+    found = word_runs(_planted(_table(spark, sf_dir, "documents")), least=12).withColumn("top", greatest(F.col("runs")))
+    top = F.col("top")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-top["back"]).alias("start"), top["length"].alias("length"), (-top["short"]).alias("period"),
+        F.floor(1000 * top["length"] / -top["short"]).cast("long").alias("exponent_milli"),
+        F.sha2(listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.secret_scan import RULES, listed, scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in RULES]
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in kinds], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fill_middle import fill_in_middle, restored
+
+    out = fill_in_middle(_table(spark, sf_dir, "documents"), seed=42)
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+k AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS k1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS k2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (
+  SELECT doc_id, t, n, form, array_to_string(u[1:least(k1, k2)], '') AS p, array_to_string(u[least(k1, k2) + 1:greatest(k1, k2)], '') AS m,
+         array_to_string(u[greatest(k1, k2) + 1:], '') AS s
+  FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_kmeans_tree_neighbours": op2_kmeans_tree_neighbours,
@@ -140,6 +209,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_phrase_dedup": op9_phrase_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
-ORACLES = {"op4_curriculum_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op4_curriculum_mixing": OP4_SQL, "op8_exact_dedup": OP8_SQL, "op13_fill_in_middle": OP13_SQL}
