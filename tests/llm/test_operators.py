@@ -132,6 +132,29 @@ def test_word_memo_equals_tokenizer(tokenizer):
             assert np.concatenate(ids).tolist() == [x for w in want for x in w]
 
 
+def test_word_memo_on_random_texts(tokenizer):
+    """Letters in either case, marks that compose with them, punctuation, contractions and special tokens, in any order."""
+    rng = np.random.default_rng(11)
+    pieces = ["A", "i", "I", "K", "\u0130", "\u0131", "\u0307", "\u0331", "H", "\u0301", "\u0327", "\u00df", "\u03a3", "\u0958", "'", "'s", "'RE", ".", "...", "-", "_", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "7", " ", "\n", "\x1c", "\u00a0", "Word", "\U0001f600"]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(1, 14)))) for _ in range(4000)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (50, 100_000):
+        encoder, ids, lengths = tokens.WordMemo(tokenizer_path(), most), [], []
+        for a in range(0, len(texts), 500):
+            for _, i, n in encoder.encode(pa.array(texts[a : a + 500])):
+                ids += i.tolist()
+                lengths += n.tolist()
+            encoder.rest()
+        assert lengths == [len(w) for w in want] and ids == [x for w in want for x in w]
+
+
+def test_packing_deals_null_ids(spark):
+    """Pieces of null id spread over blocks as any others."""
+    rows = spark.range(3000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "0 AS piece", "0L AS start", "9L AS length", "1L AS ids_crc32")
+    got = packing.pack(rows, block_pieces=100).selectExpr("sequence_id div 2147483648 AS block").groupBy("block").count().collect()
+    assert len(got) == 30 and max(r["count"] for r in got) < 200
+
+
 def test_packing(spark, corpus, tokenizer):
     rows = corpus + [(80, passage(9, 3000), "s0")]
     got = packing.pack_documents(docs_of(spark, rows), tokenizer_path(), tokens=256, block_pieces=64).collect()
@@ -171,6 +194,9 @@ def test_elias_fano():
         coded = elias_fano.EliasFano(elias_fano.encode(np.array(values, np.int64)))
         assert coded.all().tolist() == list(values)
         assert [coded.select(i) for i in range(len(values))] == list(values)
+        n = len(values)
+        for a, b in {(0, n), (n // 2, n), (0, n // 3), (n // 3, n // 2), (max(n - 1, 0), n), (min(255, n), min(258, n)), (n, n)}:
+            assert coded.span(a, b).tolist() == list(values[a:b])
     assert len(elias_fano.encode(np.arange(0, 3_000_000, 300))) < 10_000 * 2
     with pytest.raises(IndexError):
         coded.select(2)

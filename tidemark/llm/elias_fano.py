@@ -2,7 +2,7 @@
 
 A value is cut into low bits, stored as they are, and a high part, stored in unary: bit
 ``(v >> low) + i`` is set for the i-th value. ``select(i)`` finds the i-th set bit from a sample
-of every 256th and popcounts of the words behind it.
+of every 256th and popcounts of the words behind it; ``span`` does so once for a row of values.
 """
 
 from __future__ import annotations
@@ -63,6 +63,27 @@ class EliasFano:
         place = word * 64 + (now & -now).bit_length() - 1
         return (place - i) << self.low | self._low(i)
 
+    def span(self, a: int, b: int) -> np.ndarray:
+        """The values from the a-th to before the b-th, as int64: one select by the sample before ``a``, then the unary
+        bits behind it, word by word in numpy."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, np.int64)
+        first = a // SAMPLE * SAMPLE
+        word = int(self.samples[a // SAMPLE]) // 64
+        skip = int(self.samples[a // SAMPLE]) % 64
+        # bits up to the sample behind b, or to the end
+        last = (b - 1) // SAMPLE + 1
+        end = int(self.samples[last]) // 64 + 1 if last < len(self.samples) else len(self.words)
+        ones = np.flatnonzero(np.unpackbits(self.words[word:end].view(np.uint8), bitorder="little")[skip:]) + word * 64 + skip
+        high = ones[a - first : b - first] - np.arange(a, b)
+        if not self.low:
+            return high
+        at = a * self.low
+        bits = np.unpackbits(self.lows[at // 8 : -(-b * self.low // 8)], bitorder="little")[at % 8 :][: (b - a) * self.low]
+        return (high << self.low) + bits.reshape(b - a, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64))
+
     def all(self) -> np.ndarray:
         """Every value, as int64."""
         bits = np.unpackbits(self.words.view(np.uint8), bitorder="little")

@@ -6,8 +6,8 @@ capacities admit a piece under every constraint, the one with the smallest weigh
 would remain (rule ``norm``) or the largest weighted dot product of residual and demand (rule
 ``dot``) takes it; if none admits it, a new one opens.
 
-Documents are tokenised and cut where they are read. Pieces, a few numbers each, are dealt by
-hash into blocks of about ``block_pieces``; every block is packed by itself, so work and memory
+Documents are tokenised and cut where they are read. Pieces, a few numbers each, are dealt
+by the place of a row into blocks of about ``block_pieces``; every block is packed by itself, so work and memory
 of a task are bounded and a hot source or document spreads over all blocks. A block wastes at
 most its last sequences, a fraction of a percent.
 
@@ -125,7 +125,8 @@ def pack(
             sequence_id=pdf["block"].to_numpy() * (1 << 31) + bins, offset=offset
         )
 
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    # dealt by the place of a row, so rows that repeat an id, a null one too, spread like any others
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     return dealt.groupBy("block").applyInPandas(run, PACKED)
 
 

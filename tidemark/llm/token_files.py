@@ -136,6 +136,12 @@ class Shard:
         nulls = self.footer["nulls"]
         return None if i < nulls else self.names.select(i - nulls) + self.footer["base"]
 
+    def doc_ids(self, a: int, b: int) -> pa.Array:
+        """Ids of the documents from the a-th to before the b-th."""
+        nulls = min(max(self.footer["nulls"] - a, 0), b - a)
+        known = self.names.span(a + nulls - self.footer["nulls"], b - self.footer["nulls"]) if nulls < b - a else np.zeros(0, np.int64)
+        return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(known + self.footer["base"], pa.int64())])
+
 
 def read_tokens(manifest: DataFrame, docs_at_once: int = 2000) -> DataFrame:
     """One row per document of the files: ``doc_id, start, n_tokens, ids_crc32``, places and ids found by select."""
@@ -148,12 +154,12 @@ def read_tokens(manifest: DataFrame, docs_at_once: int = 2000) -> DataFrame:
                 shard = Shard(row["path"])
                 for a in range(0, len(shard), docs_at_once):
                     b = min(a + docs_at_once, len(shard))
-                    bounds = np.array([shard.bounds.select(i) for i in range(a, b + 1)])  # no table of the whole
+                    bounds = shard.bounds.span(a, b + 1)  # no table of the whole
                     ids = shard.ids(int(bounds[0]), int(bounds[-1])).astype("<u4")
                     at = (bounds - bounds[0]).tolist()
                     crc = [zlib.crc32(ids[x:y]) for x, y in zip(at, at[1:])]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard.doc_id(i) for i in range(a, b)], pa.int64()), pa.array(bounds[:-1] + row["base"], pa.int64()),
+                        [shard.doc_ids(a, b), pa.array(bounds[:-1] + row["base"], pa.int64()),
                          pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )

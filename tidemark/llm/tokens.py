@@ -2,19 +2,30 @@
 
 The vocabulary file's pre-tokenizer drops white space and never joins across it, so the ids of
 a text are the ids of its white-space separated words in turn. ``WordMemo`` keeps the ids of
-words that the process has met, up to a bound, and gathers ids of a batch with numpy.
+words that the process has met, up to a bound, and gathers ids of a batch with numpy. Words that recur
+stay from task to task.
+
+Two steps make words meet more often and change no id. Words of ASCII are lowered, as the vocabulary's normaliser does, but
+for those with ``<|``, which may spell a special token in exact case. And a word of ASCII letters with ASCII
+punctuation behind it is cut between the two: its pre-tokenizer cuts there as well, and nothing composes across the cut. The
+apostrophe doesn't count as such punctuation, since it may start a contraction.
 """
 
 from __future__ import annotations
 
 import os
+import string
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split at a time, words kept per process, and new words encoded in one call.
-CHUNK_BYTES, MEMO_WORDS, CALL_WORDS = 4 << 20, 200_000, 8192
+CHUNK_BYTES, MEMO_WORDS, CALL_WORDS = 4 << 20, 300_000, 8192
+#: Letters, and punctuation that may be cut off behind them.
+LETTERS = string.ascii_letters
+PUNCTUATION = string.punctuation.replace("'", "")
 
 
 def release() -> None:
@@ -54,15 +65,15 @@ class WordMemo:
         self.met = np.zeros(0, np.int32)
 
     def _forget(self) -> None:
-        """Keep the words that at least two chunks had, if those are few enough; else none."""
+        """Keep the words that at least two chunks had, the more frequent ones if those are over half of the bound."""
         keep = np.flatnonzero(self.met > 1)
-        if len(keep) > self.most // 2:
-            return self._clear()
+        if len(keep) > (half := self.most // 2):
+            keep = np.sort(keep[np.argpartition(-self.met[keep], half)[:half]])
         words = list(self.known)
         self.ids, size = take(self.ids, self.starts[keep], np.diff(self.starts)[keep])
         self.starts = np.concatenate([[0], np.cumsum(size)])
         self.known = {words[k]: i for i, k in enumerate(keep.tolist())}
-        self.met = np.ones(len(keep), np.int32)
+        self.met = np.maximum(self.met[keep] // 2, 1)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in turn, and how many each has. Words go through in one call; the
@@ -70,12 +81,12 @@ class WordMemo:
         got = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
         size = np.fromiter(map(len, words), np.int64, len(words))
         start = np.cumsum(size + 1) - (size + 1)
-        place = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+        place = np.fromiter(chain.from_iterable(got.offsets), np.int64, 2 * len(got.ids))[::2]
         word = np.searchsorted(start, place, side="right") - 1
         return np.array(got.ids, np.uint32), np.bincount(word, minlength=len(words))
 
     def _rows(self, words: list[str]) -> np.ndarray:
-        """Row of each of the distinct words among ``starts``; new ones are encoded."""
+        """Row of each word among ``starts``; new ones are encoded. Hardly any stands twice."""
         if len(self.known) + len(words) > self.most and self.known:
             self._forget()
         known = self.known
@@ -92,14 +103,27 @@ class WordMemo:
         self.met[rows] += 1
         return rows
 
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words end to end, where those of each start, and how many it has."""
+        plain = pc.and_not(pc.string_is_ascii(words), pc.match_substring(words, "<|"))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        core = pc.ascii_rtrim(words, PUNCTUATION)
+        cut = pc.and_(plain, pc.ascii_is_alpha(core))
+        core = pc.if_else(cut, core, words).dictionary_encode()
+        tail = pc.if_else(cut, pc.ascii_ltrim(words, LETTERS), "").dictionary_encode()
+        rows = self._rows(core.dictionary.to_pylist() + tail.dictionary.to_pylist())
+        n = len(core.dictionary)
+        at = np.stack([rows[:n][core.indices.to_numpy()], rows[n:][tail.indices.to_numpy()]], 1).ravel()
+        ids, size = take(self.ids, self.starts[at], self.starts[at + 1] - self.starts[at])
+        size = size[::2] + size[1::2]
+        return ids, np.cumsum(size) - size, size
+
     def _chunk(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(texts)
         flat = lists.flatten().dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        rows = self._rows(words)
-        length = self.starts[rows + 1] - self.starts[rows]
+        ids, starts, size = self._words(flat.dictionary)
         word = flat.indices.to_numpy()
-        ids, length = take(self.ids, self.starts[rows][word], length[word])
+        ids, length = take(ids, starts[word], size[word])
         per = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         upto = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(per)]).astype(np.int64)]
         return ids, np.diff(upto)
@@ -114,10 +138,9 @@ class WordMemo:
             if a < b:
                 yield a, *self._chunk(texts.slice(a, b - a))
 
-
     def rest(self) -> None:
-        """At a task's end: forget all words and give the memory back."""
-        self._clear()
+        """At a task's end: forget the words that one chunk had, and give the memory back."""
+        self._forget()
         release()
 
 
