@@ -1,6 +1,8 @@
 """As-of features on literal rows, and the rule that nothing of the day or later leaks in."""
 
-from datetime import date
+import math
+import random
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,3 +58,95 @@ def test_top_members_need_all_three(spark):
     lineups = spark.createDataFrame([("a", date(2024, 5, 2), [1, 2, 3, 4]), ("b", date(2024, 5, 2), [1, 2, 9]), ("c", date(2024, 5, 2), [])], "rid string, d date, ids array<int>")
     rows = {r["rid"]: r["top_mean"] for r in A.top_members_mean(h, lineups, "rid", "ids", "d", "b", "d", "n", "m", 30).collect()}
     assert rows["a"] == pytest.approx(1.0) and rows["b"] is None and rows["c"] is None
+
+
+DAY = date(2024, 1, 1)
+
+
+def history_of(spark, rows):
+    return spark.createDataFrame([(1, date(*d), x) for d, x in rows], "k int, d date, x double")
+
+
+@pytest.mark.parametrize(
+    ("early", "week", "all_"),
+    [(float("nan"), (3.0, 2), (3.0, 2)), (1e17, (3.0, 2), (1e17 + 3.0, 3)), (float("inf"), (3.0, 2), (math.inf, 3)), (float("-inf"), (3.0, 2), (-math.inf, 3)), (1e-12, (3.0, 2), (3.0 + 1e-12, 3)), (-3e28, (3.0, 2), (-3e28, 3))],
+)
+def test_old_values_leave_no_trace(spark, early, week, all_):
+    """A NaN, infinite, huge or tiny value long before a frame changes nothing in it."""
+    h = history_of(spark, [((2024, 1, 1), early), ((2024, 3, 1), 1.0), ((2024, 3, 2), 2.0)])
+    ask = spark.createDataFrame([(1, date(2024, 3, 5))], "k int, d date")
+    r = A.asof(h, ask, "k", "d", ["x"], (7, 365)).first()
+    assert (r["7d_x"], r["7d_x_n"], r["7d_rows"]) == (*week, 2)
+    assert (r["all_x"], r["all_x_n"], r["all_rows"]) == (*all_, 3) and r["365d_x"] == r["all_x"]
+    last = A.last_n(h.withColumn("t", F.lit("t")), ask, "k", "d", "t", ["x"], 2).first()
+    assert (last["last_x"], last["last_x_n"], last["last_rows"]) == (3.0, 2, 2)
+
+
+def test_both_infinities_make_nan(spark):
+    h = history_of(spark, [((2024, 3, 1), math.inf), ((2024, 3, 2), -math.inf), ((2024, 3, 3), 5.0)])
+    ask = spark.createDataFrame([(1, date(2024, 3, 4)), (1, date(2024, 3, 3))], "k int, d date")
+    rows = sorted(A.asof(h, ask, "k", "d", ["x"], (1, 2)).collect(), key=lambda r: r["d"])
+    assert math.isnan(rows[1]["all_x"]) and rows[1]["1d_x"] == 5.0 and rows[1]["2d_x"] == -math.inf and math.isnan(rows[0]["2d_x"])
+
+
+def slow_frames(rows, key, day, frames):
+    """Every frame by its definition, summed exactly."""
+    out = []
+    for n in frames:
+        got = [x for k, d, _, x in rows if k == key and d is not None and d < day and (n is None or d >= day - timedelta(n))] if key is not None and day is not None else []
+        seen = [x for x in got if x is not None and not math.isnan(x)]
+        out.append((len(got) or None, math.fsum(seen) if got else None, len(seen) or None))
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [0, 7, 1_000_000])
+def test_frames_against_their_definition(spark, hot_rows):
+    """Random rows with one key in a third of them, null keys, days and values, ties and repeated requests."""
+    rng = random.Random(5)
+    key = lambda: rng.choice([1, 1, 1, 2, 3, 4, 5, 6, None])
+    value = lambda: rng.choice([None, float("nan"), 1e15, 0.1, -2.5, rng.random() * 1e6, 1e-9])
+    day = lambda: rng.choice([None, *[DAY + timedelta(rng.randrange(60)) for _ in range(9)]])
+    rows = [(key(), day(), i, value()) for i in range(400)]
+    asked = [(i, key(), day()) for i in range(250)]
+    h = spark.createDataFrame(rows, "k int, d date, t int, x double")
+    ask = spark.createDataFrame(asked + asked[:40], "rid int, kk int, dd date")  # some requests twice
+    frames = {"3d": 3, "20d": 20, "all": None}
+    same = lambda x, y: x is y is None or None not in (x, y) and math.isclose(x, y, rel_tol=1e-14, abs_tol=1e-20)
+    close = lambda a, b: all((n, c) == (m, e) and same(x, y) for (n, x, c), (m, y, e) in zip(a, b, strict=True))
+
+    got = A.asof(h, ask, "k", "d", ["x"], (3, 20), True, "kk", "dd", hot_rows).collect()
+    assert sorted(r["rid"] for r in got) == sorted([*range(250), *range(40)])
+    for r in got:
+        _, k, d = asked[r["rid"]]
+        assert (r["kk"], r["dd"]) == (k, d)
+        assert close([(r[f"{w}_rows"], r[f"{w}_x"], r[f"{w}_x_n"]) for w in frames], slow_frames(rows, k, d, frames.values()))
+    for n in (1, 4):
+        got = A.last_n(h, ask, "k", "d", "t", ["x"], n, "kk", "dd", hot_rows).collect()
+        assert len(got) == 290
+        for r in got:
+            _, k, d = asked[r["rid"]]
+            mine = sorted((x for x in rows if x[0] == k and x[1] is not None and x[1] < d), key=lambda x: (x[1], x[2]))[-n:] if k is not None and d is not None else []
+            seen = [x for *_, x in mine if x is not None and not math.isnan(x)]
+            assert close([(r["last_rows"], r["last_x"], r["last_x_n"])], [(len(mine) or None, math.fsum(seen) if mine else None, len(seen) or None)])
+
+
+def test_hot_key_takes_many_tasks(spark):
+    """One key with a third of all requests is dealt over many tasks."""
+    h = spark.range(3000).select((F.col("id") % 3).alias("k"), F.expr("date_add(DATE'2024-01-01', CAST(id % 50 AS INT))").alias("d"), F.lit(1.0).alias("x"), "id")
+    ask = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit(DAY + timedelta(40)).alias("d"))
+    found = A._before(ask, "k", "d", [A.History(h, "k", "d", ["x"], (7,))], 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        per_task = found.where("_asked.k = 0 AND `_at__0`.rows > 0").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in per_task) == 1000 and len(per_task) == 4  # all of the test session's shuffle partitions
+    salts, hot = A._dealt(A._marked(ask, "k", "d"), 50)
+    assert [tuple(r) for r in hot.collect()] == [(0, 20)] and max(r["count"] for r in salts.groupBy("_k", "_salt").count().collect()) < 90
+
+
+def test_whole_numbers_and_words_of_any_name(spark):
+    h = spark.createDataFrame([(1, DAY, 2**30, True), (1, DAY + timedelta(1), 2**30, None), (1, DAY + timedelta(2), 5, False)], "k int, d date, `a b` int, _x0 boolean")
+    ask = spark.createDataFrame([(1, DAY + timedelta(3), "s")], "k int, d date, _salt string")
+    r = A.asof(h.withColumn("_x0", F.col("_x0").cast("int")), ask, "k", "d", ["a b", "_x0"], (1,)).first()
+    assert (r["all_a b"], r["all__x0"], r["all__x0_n"], r["1d_a b"], r["_salt"]) == (2.0**31 + 5, 1.0, 2, 5.0, "s")

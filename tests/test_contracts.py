@@ -58,7 +58,7 @@ def test_readers_refuse(spark):
     with pytest.raises(io.ContractError):
         io.bulk_read(spark, "/nowhere", "avro", "k int")
     with pytest.raises(io.ContractError):
-        io.backfill(spark.range(1), "/nowhere", "id", 2, 1)
+        io.backfill(spark.range(1), None, "id", 2, 1)
 
 
 def test_tables_of_every_spec(spark):
@@ -108,18 +108,6 @@ def test_upsert_survives_a_crash_between_renames(spark, tmp_path):
     assert not swap.exists("__old") and not swap.exists("__new")
 
 
-def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
-    path = f"{tmp_path}/t"
-    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "b", 3.0)], "k int, p string, x double")
-    io.upsert(rows, path, ["k", "p"], ["p"])
-    untouched = {p.name for p in tmp_path.glob("t/p=b/*.parquet")}
-    for _ in range(2):
-        io.upsert(spark.createDataFrame([(2, "a", 9.0), (4, "a", 4.0)], rows.schema), path, ["k", "p"], ["p"])
-    got = spark.read.parquet(path).select("k", "p", "x").collect()
-    assert sorted(map(tuple, got)) == [(1, "a", 1.0), (2, "a", 9.0), (3, "b", 3.0), (4, "a", 4.0)]
-    assert {p.name for p in tmp_path.glob("t/p=b/*.parquet")} == untouched
-
-
 def test_older_rows_change_nothing(spark, tmp_path):
     path = f"{tmp_path}/t"
     io.upsert(spark.createDataFrame([(1, 5, "new")], "k int, at int, s string"), path, ["k"], newer="at")

@@ -1,14 +1,21 @@
 """As-of features: what was known of an entity strictly before a date.
 
-History is summed to (key, day) first, which makes ties within a day harmless and shrinks the
-shuffle. Requests join it as marked rows that carry their own columns, and every frame ends the day
-before, over one window specification: one shuffle and one sort serve all frames, and nothing is
-joined back. A frame is the difference of two running sums. The last-N frame is a range over row numbers
-within the same partitioning.
-
-A sum over a window with rows counts nulls as 0; a window without rows gives null, and so do
-counts of nothing. Requests with a null key or day get nulls; they are dealt over many tasks. Columns of
-the requests may have any names but those that the result adds.
+History is summed to (key, day) first, which makes ties within a day harmless and leaves a key at most one row a
+day. Requests join it as marked rows that carry their own columns. Over one window specification, so in one
+shuffle and one sort, a running total of everything is kept per history (``_before``), and each frame looks up the
+total at its end and at its start: a frame is the difference of the two, whatever its length.
+
+Running totals are exact. A value is split into parts on fixed grids (``GRIDS``), whose sums as doubles lose no bit up
+to 2**97; only what is below the finest grid is summed with rounding, by less than 2**-70 a row. So a huge value
+long before a frame leaves no trace in it. NaN counts as missing. Infinite values are counted, and a frame that holds any is
+infinite, or NaN if it holds both.
+
+``last_n`` keeps, instead of totals, the sums over the last rows up to each day, which are summed afresh for each day.
+
+A sum over a window with rows counts missing values as 0; a window without rows gives null, and so do
+counts of nothing. Requests with a null key or day get nulls; they are dealt over many tasks, and so are
+requests of a key that has more than ``HOT_ROWS`` of them: each of those tasks gets the key's history, a row a
+day. Columns of the requests may have any names but those that the result adds.
 """
 
 from __future__ import annotations
@@ -22,6 +29,10 @@ from pyspark.sql import functions as F
 
 #: Tasks over which requests without a key or day are dealt.
 KEYLESS = 1024
+#: Requests of one key for one task. Keys with more are at most the number of requests divided by this: they are broadcast.
+HOT_ROWS = 1_000_000
+#: Parts of a value are multiples of these.
+GRIDS = (2.0**44, 2.0**12, 2.0**-20)
 
 
 def day_number(day: Column) -> Column:
@@ -38,6 +49,15 @@ def per_observation(total: Column, observed: Column) -> Column:
     return total / F.nullif(observed, F.lit(0))
 
 
+def observed_value(column: str) -> str:
+    """SQL of a number as a double, null where it is missing or NaN."""
+    return f"nanvl(CAST(`{column}` AS DOUBLE), NULL)"
+
+
+def _over(end: str) -> str:
+    return f"OVER (PARTITION BY _k, _salt ORDER BY _d RANGE BETWEEN UNBOUNDED PRECEDING AND {end})"
+
+
 @dataclass(frozen=True)
 class History:
     """Rows of one history: its columns come out as ``{name}{frame}_{value}``."""
@@ -53,60 +73,162 @@ class History:
     def frames(self) -> dict[str, int | None]:
         return {f"{n}d": n for n in self.days} | ({"all": None} if self.career else {})
 
+    def starts(self) -> set[int]:
+        return set(self.days)
+
+    def whole(self, value: str) -> bool:
+        """Small integers need no parts: their sums are exact as they are."""
+        return self.rows.schema[value].dataType.typeName() in ("byte", "short", "integer")
+
+    def totals(self) -> dict[str, str]:
+        """SQL aggregates over prepared rows, by name: rows, and per value its parts, observations and infinities."""
+        out = {"rows": "count(1)"}
+        for i, v in enumerate(self.values):
+            if self.whole(v):
+                out[f"p{i}_0"] = f"coalesce(sum(CAST(`{v}` AS BIGINT)), 0L)"
+                out[f"c{i}"] = f"count(`{v}`)"
+                continue
+            for j in range(len(GRIDS) + 1):
+                out[f"p{i}_{j}"] = f"coalesce(sum(_p{i}_{j}), 0D)"
+            out[f"c{i}"] = f"count(_x{i})"
+            # infinities of either sign in one number
+            out[f"o{i}"] = f"count_if(_x{i} = double('inf')) + count_if(_x{i} = double('-inf')) * 4294967296L"
+        return out
+
     def daily(self) -> DataFrame:
-        """Sums and counts per key and day, under names of this history's own."""
+        """Totals per key and day, under names of this history's own."""
         known = self.rows.where(F.col(self.key).isNotNull() & F.col(self.day).isNotNull())
-        daily = known.groupBy(F.col(self.key).alias("_k"), day_number(F.col(self.day)).alias("_d"))
-        sums = [f"sum(coalesce(CAST(`{v}` AS DOUBLE), 0D)) AS `_s_{self.name}_{v}`" for v in self.values]
-        counts = [f"count(`{v}`) AS `_c_{self.name}_{v}`" for v in self.values]
-        return daily.agg(*[F.expr(e) for e in (f"count(1) AS `_rows_{self.name}`", *sums, *counts)])
+        known = known.select(F.col(self.key).alias("_k"), day_number(F.col(self.day)).alias("_d"), *[F.col(f"`{v}`") for v in self.values])
+        split = [(i, v) for i, v in enumerate(self.values) if not self.whole(v)]
+        known = known.selectExpr("*", *[f"{observed_value(v)} AS _x{i}" for i, v in split])
+        known = known.selectExpr("*", *[f"IF(abs(_x{i}) < double('inf'), _x{i}, NULL) AS _rest{i}_0" for i, _ in split])
+        for j, grid in enumerate(GRIDS):
+            known = known.selectExpr("*", *[f"rint(_rest{i}_{j} / {grid!r}D) * {grid!r}D AS _p{i}_{j}" for i, _ in split])
+            known = known.selectExpr("*", *[f"_rest{i}_{j} - _p{i}_{j} AS _rest{i}_{j + 1}" for i, _ in split])
+        known = known.withColumnsRenamed({f"_rest{i}_{len(GRIDS)}": f"_p{i}_{len(GRIDS)}" for i, _ in split})
+        return known.groupBy("_k", "_d").agg(*[F.expr(e).alias(f"_{self.name}_{n}") for n, e in self.totals().items()])
+
+    def running(self) -> list[str]:
+        """SQL of the totals up to each row of this history."""
+        return [f"sum(`_{self.name}_{n}`) {_over('CURRENT ROW')} AS `_{self.name}_{n}`" for n in self.totals()]
+
+    def state(self) -> str:
+        """SQL of what a lookup finds."""
+        fields = ", ".join(f"'{n}', `_{self.name}_{n}`" for n in self.totals())
+        return f"named_struct('day', _d, {fields})"
+
+    def mark(self) -> str:
+        return f"_{self.name}_rows"
+
+    def outputs(self) -> list[str]:
+        """SQL of the columns of all frames, from the states found at ends and starts."""
+        out, end = [], f"_at_{self.name}_0"
+        for w, n in self.frames().items():
+            start = n and f"_at_{self.name}_{n}"
+            since = lambda field: f"{end}.{field}" if start is None else f"({end}.{field} - coalesce({start}.{field}, 0))"  # noqa: E731, B023
+            n_rows = since("rows")
+            out.append(f"nullif({n_rows}, 0) AS `{self.name}{w}_rows`")
+            for i, v in enumerate(self.values):
+                if self.whole(v):
+                    total = f"CAST({since(f'p{i}_0')} AS DOUBLE)"
+                else:
+                    total, odd = " + ".join(since(f"p{i}_{j}") for j in range(len(GRIDS) + 1)), since(f"o{i}")
+                    beyond = f"IF({odd} % 4294967296 = 0, double('-inf'), IF({odd} < 4294967296, double('inf'), double('nan')))"
+                    total = f"IF({odd} = 0, {total}, {beyond})"
+                out.append(f"IF({n_rows} > 0, {total}, NULL) AS `{self.name}{w}_{v}`")
+                out.append(f"nullif({since(f'c{i}')}, 0) AS `{self.name}{w}_{v}_n`")
+        return out
 
 
-def _marked(requests: DataFrame, key: str, day: str) -> DataFrame:
-    """Requests as rows ``_k, _d, _salt, _asked``: the last holds the request itself."""
-    rows = requests.select(F.col(key).alias("_k"), day_number(F.col(day)).alias("_d"), F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("_asked"))
-    lacks = F.col("_k").isNull() | F.col("_d").isNull()
-    return rows.withColumn("_salt", F.when(lacks, F.pmod(F.xxhash64(F.to_json("_asked")), F.lit(KEYLESS)).cast("int")).otherwise(0))
+@dataclass(frozen=True)
+class LastRows:
+    """The last ``n`` rows of one history, in the order (day, ``tie``): columns ``{name}_{value}``, ``_n`` and ``{name}_rows``."""
+
+    rows: DataFrame
+    key: str
+    day: str
+    tie: str
+    values: Sequence[str]
+    n: int
+    name: str = "last"
+
+    def starts(self) -> set[int]:
+        return set()
+
+    def daily(self) -> DataFrame:
+        """Sums over the last rows up to the end of each day, per key and day.
+
+        Of a day only its last ``n`` rows can count. That limit is taken per (key, day) before and after a shuffle, so a key
+        or day that has a third of all rows comes to ``n`` rows a day.
+        """
+        known = self.rows.where(F.col(self.key).isNotNull() & F.col(self.day).isNotNull())
+        known = known.select(F.col(self.key).alias("_k"), day_number(F.col(self.day)).alias("_d"), F.col(f"`{self.tie}`").alias("_t"), *[F.expr(observed_value(v)).alias(f"_x{i}") for i, v in enumerate(self.values)])
+        back = Window.partitionBy("_k", "_d").orderBy(F.desc_nulls_last("_t"))
+        known = known.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= self.n)
+        frame = f"OVER (PARTITION BY _k ORDER BY _d, _back DESC ROWS BETWEEN {self.n - 1} PRECEDING AND CURRENT ROW)"
+        sums = [f"coalesce(sum(_x{i}) {frame}, 0D) AS `_{self.name}_s{i}`" for i in range(len(self.values))]
+        counts = [f"count(_x{i}) {frame} AS `_{self.name}_c{i}`" for i in range(len(self.values))]
+        return known.selectExpr("_k", "_d", "_back", f"CAST(count(1) {frame} AS INT) AS `{self.mark()}`", *sums, *counts).where("_back = 1").drop("_back")
 
+    def running(self) -> list[str]:
+        return [f"`{self.mark()}`", *[f"`_{self.name}_{c}{i}`" for i in range(len(self.values)) for c in "sc"]]
 
-class Running:
-    """SQL of sums over the last rows up to one end, as differences of running sums: all frames grow from the
-    first row, so a row costs the same however many rows its frame has, and sums over equal rows cancel
-    exactly. Every running sum is computed once, as a column of its own."""
+    def state(self) -> str:
+        fields = ", ".join(f"'{c}{i}', `_{self.name}_{c}{i}`" for i in range(len(self.values)) for c in "sc")
+        return f"named_struct('rows', `{self.mark()}`, {fields})"
 
-    def __init__(self, order: str, end: str):
-        self.order, self.end, self.columns = order, end, {}
+    def mark(self) -> str:
+        return f"_{self.name}_rows"
 
-    def over(self, call: str, end: str, name: str) -> str:
-        frame = f"PARTITION BY _k, _salt ORDER BY {self.order} RANGE BETWEEN UNBOUNDED PRECEDING AND {end}"
-        self.columns.setdefault(name, f"{call} OVER ({frame}) AS `{name}`")
-        return f"coalesce(`{name}`, 0)"
+    def outputs(self) -> list[str]:
+        at = f"_at_{self.name}_0"
+        values = [(f"{at}.s{i} AS `{self.name}_{v}`", f"nullif({at}.c{i}, 0) AS `{self.name}_{v}_n`") for i, v in enumerate(self.values)]
+        return [f"{at}.rows AS `{self.name}_rows`", *[e for pair in values for e in pair]]
 
-    def within(self, column: str, below: str | None = None) -> str:
-        """Sum of ``column`` up to the end, without the rows up to ``below``."""
-        upper = self.over(f"sum(`{column}`)", self.end, f"_w_{column}")
-        return upper if below is None else f"({upper} - {self.over(f'sum(`{column}`)', below, f'_w_{below}_{column}')})"
+
+def _marked(requests: DataFrame, key: str, day: str) -> DataFrame:
+    """Requests as rows ``_k, _d, _asked``: the last holds the request itself."""
+    return requests.select(F.col(key).alias("_k"), day_number(F.col(day)).alias("_d"), F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("_asked"))
 
 
-def asof_many(requests: DataFrame, key: str, day: str, histories: Sequence[History]) -> DataFrame:
+def _dealt(asked: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """``asked`` with ``_salt``, and the keys whose rows have several salts."""
+    lacks = F.col("_k").isNull() | F.col("_d").isNull()
+    spread = F.xxhash64(F.to_json("_asked"))
+    keyless = F.when(lacks, F.pmod(spread, F.lit(KEYLESS)))
+    if not hot_rows:
+        return asked.withColumn("_salt", F.coalesce(keyless, F.lit(0)).cast("int")), None
+    counts = asked.where(~lacks).groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = counts.select("_k", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
+    asked = asked.join(F.broadcast(hot), "_k", "left")
+    return asked.withColumn("_salt", F.coalesce(keyless, F.pmod(spread, F.col("_salts")), F.lit(0)).cast("int")).drop("_salts"), hot
+
+
+def _before(requests: DataFrame, key: str, day: str, histories: Sequence[History | LastRows], hot_rows: int) -> DataFrame:
+    """``_asked`` and, per history, its state at the day before (``_at_name_0``) and before each frame (``_at_name_n``)."""
+    asked, hot = _dealt(_marked(requests, key, day), hot_rows)
+    rows = asked
+    for h in histories:
+        daily = h.daily()
+        if hot is None:
+            daily = daily.withColumn("_salt", F.lit(0))
+        else:
+            daily = daily.join(F.broadcast(hot), "_k", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        rows = rows.unionByName(daily, allowMissingColumns=True)
+    rows = rows.selectExpr("_k", "_d", "_salt", "_asked", *[f"`{h.mark()}` IS NOT NULL AS `_is_{h.name}`" for h in histories], *[e for h in histories for e in h.running()])
+    rows = rows.selectExpr("_k", "_d", "_salt", "_asked", *[f"IF(`_is_{h.name}`, {h.state()}, NULL) AS `_of_{h.name}`" for h in histories])
+    found = [f"last(`_of_{h.name}`, true) {_over(f'{n + 1} PRECEDING')} AS `_at_{h.name}_{n}`" for h in histories for n in sorted({0, *h.starts()})]
+    return rows.selectExpr("_asked", *found).where("_asked IS NOT NULL")
+
+
+def asof_many(requests: DataFrame, key: str, day: str, histories: Sequence[History | LastRows], hot_rows: int = HOT_ROWS) -> DataFrame:
     """``requests`` with the frames of several histories of one kind of key, in one shuffle: per history and
     frame ``w`` the columns ``w_v`` (sum), ``w_v_n`` (observed count) and ``w_rows`` (row count), each behind the
-    history's name, and ``prev_day``, the last earlier day of the first history."""
-    rows = _marked(requests, key, day)
-    for h in histories:
-        rows = rows.unionByName(h.daily().withColumn("_salt", F.lit(0)), allowMissingColumns=True)
-    run, out = Running("_d", "1 PRECEDING"), []
-    run.over(f"max(IF(`_rows_{histories[0].name}` IS NOT NULL, _d, NULL))", "1 PRECEDING", "_prev")
-    for h in histories:
-        for w, n in h.frames().items():
-            below = n and f"{n + 1} PRECEDING"
-            n_rows = run.within(f"_rows_{h.name}", below)
-            out.append(f"nullif({n_rows}, 0) AS `{h.name}{w}_rows`")
-            for v in h.values:
-                out.append(f"IF({n_rows} > 0, {run.within(f'_s_{h.name}_{v}', below)}, NULL) AS `{h.name}{w}_{v}`")
-                out.append(f"nullif({run.within(f'_c_{h.name}_{v}', below)}, 0) AS `{h.name}{w}_{v}_n`")
-    known = rows.selectExpr("_asked", *run.columns.values()).where("_asked IS NOT NULL")
-    return known.selectExpr("_asked.*", *out, "date_add(DATE'1970-01-01', _prev) AS prev_day")
+    history's name, and ``prev_day``, the last earlier day of the first history. ``hot_rows`` = 0 deals no key over several
+    tasks and counts none."""
+    found = _before(requests, key, day, histories, hot_rows)
+    prev = [f"date_add(DATE'1970-01-01', `_at_{histories[0].name}_0`.day) AS prev_day"] if isinstance(histories[0], History) else []
+    return found.selectExpr("_asked.*", *[e for h in histories for e in h.outputs()], *prev)
 
 
 def asof(
@@ -119,34 +241,20 @@ def asof(
     career: bool = True,
     request_key: str | None = None,
     request_day: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``requests`` with, for each frame ``w`` (``7d``, ``all``) and value ``v``, the columns ``w_v`` (sum),
     ``w_v_n`` (observed count), ``w_rows`` (row count), and ``prev_day``, the last earlier day."""
-    return asof_many(requests, request_key or key, request_day or day, [History(history, key, day, values, days, career)])
+    return asof_many(requests, request_key or key, request_day or day, [History(history, key, day, values, days, career)], hot_rows)
 
 
 def last_n(
     history: DataFrame, requests: DataFrame, key: str, day: str, tie: str, values: Sequence[str], n: int,
-    request_key: str | None = None, request_day: str | None = None,
+    request_key: str | None = None, request_day: str | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``requests`` with ``last_v`` and ``last_v_n`` over the last ``n`` rows before the request's day,
     rows being ordered by (day, ``tie``), and ``last_rows``."""
-    known = history.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(
-        F.col(key).alias("_k"), day_number(F.col(day)).alias("_d"), F.col(tie).alias("_t"), F.lit(0).alias("_salt"), F.lit(1).alias("_row"),
-        *[F.col(v).cast("double").alias(f"_v_{v}") for v in values],
-    )
-    rows = _marked(requests, request_key or key, request_day or day).unionByName(known, allowMissingColumns=True)
-    # a request stands before the rows of its day; its number is that of the last row before it
-    order = Window.partitionBy("_k", "_salt").orderBy("_d", F.col("_row").asc_nulls_first(), "_t").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_number", F.coalesce(F.sum("_row").over(order), F.lit(0)))
-    rows = rows.selectExpr("*", *[f"CAST(`_v_{v}` IS NOT NULL AS INT) AS `_q_{v}`" for v in values])
-    run, below = Running("_number", "CURRENT ROW"), f"{n} PRECEDING"
-    n_rows = run.within("_row", below)
-    out = [f"CAST(nullif({n_rows}, 0) AS INT) AS last_rows"]
-    for v in values:
-        out += [f"IF({n_rows} > 0, {run.within(f'_v_{v}', below)}, NULL) AS `last_{v}`", f"nullif({run.within(f'_q_{v}', below)}, 0) AS `last_{v}_n`"]
-    asked = rows.selectExpr("_asked", *run.columns.values()).where("_asked IS NOT NULL")
-    return asked.selectExpr("_asked.*", *out)
+    return asof_many(requests, request_key or key, request_day or day, [LastRows(history, key, day, tie, values, n)], hot_rows)
 
 
 def two_sided(requests: DataFrame, id_col: str, roles: dict[str, str], keep: Sequence[str]) -> DataFrame:

@@ -4,18 +4,18 @@ Every side has entity, team and lineup families; venue, weather and calendar are
 stays null; a family whose entity is unknown does not apply and leaves the coverage denominator, and
 so does the weather of an indoor event, whose values are kept.
 
-Both sides of a request are rows that pass through one shuffle per kind of key (entity, team, lineup
-member) and meet again in one grouping by request: nothing is joined but lineups and venue.
+Both sides of a request are narrow rows that pass through one shuffle per kind of key (entity, team, lineup
+member) and meet again as neighbours by request, where the request's own columns join them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import indicator, iso_week, season, weather_missing, wind_out
-from tidemark.operators.asof import History, asof_many, by_role, family_missing, last_n, observed, per_observation, ratio, role_value, top_members_means
+from tidemark.operators.asof import History, LastRows, asof_many, by_role, family_missing, observed, per_observation, ratio, top_members_means
 
 # Frames in days, and the rows of the last-N frame.
 ENTITY_DAYS, TEAM_DAYS, FORM_DAYS, LAST_STARTS = (7, 14, 30, 90, 365), (7, 14, 30, 365), 30, 30
@@ -84,8 +84,8 @@ def with_families(h: Histories, sides: DataFrame) -> tuple[DataFrame, list[str],
         History(h.pitcher_games, "pitcher_id", "game_date", ["earned_runs", "strikeouts", "walks", "hits", "innings_pitched"], ENTITY_DAYS, True, "g_"),
         History(first, "pitcher_id", "game_date", ["first_inning_runs", "first_inning_hits", "first_inning_walks", "zero"], (), True, "f_"),
         History(h.statcast_daily, "pitcher_id", "game_date", ["exit_velocity_sum", "barrels", "hard_hits", "whiffs", "swings", "batted_balls"], (FORM_DAYS,), False, "s_"),
+        LastRows(h.pitcher_games, "pitcher_id", "game_date", "game_id", ["earned_runs", "strikeouts", "innings_pitched"], LAST_STARTS),
     ])
-    rows = last_n(h.pitcher_games, rows, "pitcher_id", "game_date", "game_id", ["earned_runs", "strikeouts", "innings_pitched"], LAST_STARTS, "entity", "d")
     entity, team = entity_columns(), team_columns()
     rows = rows.select(*sides.columns, *[c.alias(n) for n, c in entity.items()])
     values = ["runs", "hits", "at_bats", "total_bases", "times_on_base", "plate_appearances", "woba_num", "woba_den"]
@@ -101,20 +101,19 @@ def build(h: Histories, requests: DataFrame) -> DataFrame:
     home_lineup, is_dome, temp_f, wind_speed, wind_dir, azimuth, humidity, is_doubleheader``) with all
     feature columns, ``coverage`` and ``missing_count``. ``rid`` names a request and is not repeated."""
     roles = ("away", "home")
-    shared = F.struct(*[c for c in requests.columns if not c.endswith("_lineup")])
     side = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"{r}_pitcher").alias("entity"), F.col(f"{r}_team").alias("team"), F.col(f"{r}_lineup").alias("members"))
-    both = requests.select("rid", "d", shared.alias("request"), F.explode(F.array(*[side(r) for r in roles])).alias("s"))
-    # the request itself rides with its first side only
-    sides = both.select("rid", "d", F.when(F.col("s.role") == "away", F.col("request")).alias("request"), "s.role", "s.entity", "s.team")
-    rows, entity, team = with_families(h, sides)
+    both = requests.select("rid", "d", F.explode(F.array(*[side(r) for r in roles])).alias("s"))
+    rows, entity, team = with_families(h, both.select("rid", "d", "s.role", "s.entity", "s.team"))
     names = {"lineup_top3_woba": ("woba_num", "woba_den"), "lineup_top3_obp": ("times_on_base", "plate_appearances")}
     lineups = top_members_means(h.batter_games, both.select("rid", "s.role", "d", "s.members"), ["rid", "role"], "members", "d", "batter_id", "game_date", names, FORM_DAYS)
     values = [*entity, *team]
-    wide = rows.groupBy("rid").agg(
-        F.first("request", True).alias("request"), *[F.expr(role_value(r, v)) for r in roles for v in values]
-    )
+    # both sides of a request meet as neighbours, and the request itself joins them once
+    sides = rows.select(F.col("rid").alias("_rid"), "role", F.struct(*values).alias("away"))
+    sides = sides.withColumn("home", F.lead("away").over(Window.partitionBy("_rid").orderBy("role"))).where("role = 'away'")
+    wide = requests.drop(*[f"{r}_lineup" for r in roles]).join(sides.drop("role"), F.col("rid") == F.col("_rid"))
     wide = wide.join(by_role(lineups, "rid", roles, list(names)).withColumnRenamed("rid", "_lineup_rid"), F.col("rid") == F.col("_lineup_rid"), "left")
-    out = wide.select("request.*", *[f"{r}_{v}" for r in roles for v in (*values, *names)])
+    kept = [c for c in requests.columns if not c.endswith("_lineup")]
+    out = wide.select(*kept, *[F.col(f"{r}.{v}").alias(f"{r}_{v}") for r in roles for v in values], *[f"{r}_{v}" for r in roles for v in names])
     factors = h.venue_factors.select(F.col("venue_id").alias("_venue"), *[F.col(f"{x}_factor").alias(f"park_{x}_factor") for x in ("runs", "hr", "hits")])
     out = out.join(factors, F.col("venue_id") == F.col("_venue"), "left").drop("_venue")
     families: list[tuple[list[str], Column]] = []

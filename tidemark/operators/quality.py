@@ -27,6 +27,13 @@ def check_columns(columns: Sequence[str], spec: DatasetSpec) -> None:
         raise ContractError(f"{spec.name}: unknown columns {unknown}")
 
 
+def catalog(df: DataFrame) -> DataFrame:
+    """One row per column: ``column_name`` in lower case, its ``place`` from 0, and how many rows have a value."""
+    seen = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    rows = F.array(*[F.struct(F.lit(c.lower()).alias("column_name"), F.lit(i).alias("place"), F.col(f"c{i}").alias("observed")) for i, c in enumerate(df.columns)])
+    return seen.select(F.inline(rows))
+
+
 def strict_date(c: Column) -> tuple[Column, Column]:
     """UTC date of a value, and whether the value is there but is no date."""
     day = F.try_to_timestamp(c.cast("string")).cast("date")

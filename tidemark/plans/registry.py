@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions.exprs import json_put
 from tidemark.operators.metrics import roc_auc, skill
-from tidemark.sources.io import ContractError, Swap, merged
+from tidemark.sources.io import ContractError, merged
+from tidemark.sources.tables import KeyedTable
 
 
 def register(registry: DataFrame, row: DataFrame) -> DataFrame:
@@ -54,13 +55,13 @@ def promote(registry: DataFrame, version: str, stamp: str) -> DataFrame:
     return registry.withColumns({"status": status, "gate_report": F.when(mine, json_put(F.col("gate_report"), "promoted_at", F.lit(stamp))).otherwise(F.col("gate_report"))})
 
 
-def promote_table(spark: SparkSession, path: str, version: str, stamp: str) -> DataFrame:
-    """Promote ``version`` in the registry stored at ``path``, swap the table in whole, read it again and verify that
-    ``version`` alone is in production; returns the verified registry."""
-    swap = Swap(spark, path)
-    swap.recover()
-    swap.replace(promote(spark.read.parquet(path), version, stamp))
-    after = spark.read.parquet(path)
+def promote_table(table: KeyedTable, version: str, stamp: str) -> DataFrame:
+    """Promote ``version`` in a stored registry: the rows that change (it and those in production) are upserted in one
+    commit. The registry is then read again and verified to have ``version`` alone in production; returns it."""
+    before = table.read()
+    changed = promote(before, version, stamp).where((F.col("model_version") == version) | (F.col("status") == "retired"))
+    table.upsert(changed)
+    after = table.read()
     live = [r["model_version"] for r in after.where("status = 'production'").select("model_version").limit(2).collect()]
     if live != [version]:
         raise ContractError(f"after the promotion of {version}, production is {live}")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from tidemark.sources.tables import KeyedTable
+
 
 class ContractError(ValueError):
     """Input that breaks its declared contract."""
@@ -123,42 +127,31 @@ class Swap:
         self.spark.catalog.refreshByPath(self.path)
 
 
-def upsert(source: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = (), newer: str | None = None) -> None:
-    """Upsert into a Parquet dataset; a failed run leaves the old data, and running again changes nothing.
-
-    Where the dataset is partitioned by some of the keys (``partition_by``), only partitions that the source
-    touches are read and overwritten; otherwise the whole is replaced (see ``Swap``).
-    """
+def upsert(source: DataFrame, path: str, keys: Sequence[str], newer: str | None = None) -> None:
+    """Upsert into a plain Parquet dataset that is replaced whole (see ``Swap``); a failed run leaves the old data, and
+    running again changes nothing. ``tables.KeyedTable`` rewrites only what an upsert touches."""
     spark = source.sparkSession
     check_keys(source, keys)
     swap = Swap(spark, path)
     swap.recover()
     if not swap.exists():
-        if partition_by:
-            source.write.partitionBy(*partition_by).parquet(path)
-        else:
-            swap.replace(source)
+        swap.replace(source)
         return
     target = spark.read.parquet(path)
     if extra := sorted(set(source.columns) - set(target.columns)):
         target = target.withColumns({c: F.lit(None).cast(source.schema[c].dataType) for c in extra})
-    if not partition_by:
-        swap.replace(merged(target, source, keys, newer))
-        return
-    if set(partition_by) - set(keys):
-        raise ContractError(f"partition columns must be keys: {sorted(set(partition_by) - set(keys))}")
-    touched = target.join(source.select(*partition_by).distinct(), list(partition_by), "left_semi").select(*target.columns)
-    out = merged(touched, source, keys, newer).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    out.partitionBy(*partition_by).parquet(path)
-    spark.catalog.refreshByPath(path)
+    swap.replace(merged(target, source, keys, newer))
 
 
-def backfill(source: DataFrame, path: str, day: str, start, end) -> None:
-    """Replace the days from ``start`` to ``end`` of a dataset partitioned by day."""
+def backfill(source: DataFrame, table: KeyedTable, day: str, start, end) -> int | None:
+    """Upsert the days from ``start`` to ``end`` into a table that is partitioned by ``day``: rows of these days that the
+    source lacks stay, and so do all other days. Returns the version, or null where the source has no row of the range."""
     if start > end:
         raise ContractError(f"range is inverted: {start} > {end}")
+    if list(table.partition_by) != [day]:
+        raise ContractError(f"the table is partitioned by {table.partition_by}, not by {day}")
     part = source.where(F.col(day).between(F.lit(start), F.lit(end)))
-    part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    return None if part.isEmpty() else table.upsert(part)
 
 
 def feature_rows(df: DataFrame, keys: Sequence[str], names: Sequence[str], version: str, as_of) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.latest import latest
-from tidemark.sources.io import upsert
+from tidemark.sources.tables import Folder, KeyedTable
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -39,68 +40,90 @@ def tumbling(stream: DataFrame, at: str, value: str, width: str = "10 minutes")
 
 
 class ConsensusProcessor(StatefulProcessor):
-    """Newest quote per book of one matchup, with the books' median; a quote that is older than the one
-    held never replaces it, and books whose quote is too old leave."""
+    """Newest quote per book of one matchup, with the books' median; a quote that is older than the one held never
+    replaces it, and books whose quote is too old leave.
+
+    A quote is too old once the matchup's newest quote, or the stream's watermark, is ``max_age`` past it. A timer
+    stands at the time when the oldest held quote gets so old, so books leave while only time passes. Once
+    the last has left, the matchup has no state.
+    """
 
     def __init__(self, max_age: float, least: int):
         self.max_age, self.least = max_age, least
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.books = handle.getMapState("books", T.StructType().add("book", "string"), T.StructType().add("at", "double").add("p", "double"))
 
+    def _settled(self, key, timers) -> pd.DataFrame:
+        """Drop what is too old, set the timer, and tell what is left."""
+        held = [(k[0], v[0], v[1]) for k, v in self.books.iterator()]
+        now = max([timers.getCurrentWatermarkInMs() / 1000, *[at for _, at, _ in held]])
+        fresh = [q for q in held if now - q[1] <= self.max_age]
+        for book, at, _ in held:
+            if now - at > self.max_age:
+                self.books.removeKey((book,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if fresh:
+            self.handle.registerTimer(math.floor((min(at for _, at, _ in fresh) + self.max_age) * 1000) + 1)
+        median = float(pd.Series([p for _, _, p in fresh]).median()) if len(fresh) >= self.least else None
+        return pd.DataFrame({"matchup": [key[0]], "as_of": [now], "books_n": [len(fresh)], "p_market": [median]})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = float("-inf")
         for pdf in rows:
             for book, at, p in zip(pdf["book"], pdf["at"], pdf["p"]):
                 held = self.books.getValue((book,)) if self.books.exists() and self.books.containsKey((book,)) else None
                 if held is None or at > held[0]:
                     self.books.updateValue((book,), (float(at), float(p)))
-        held = [(k[0], v[0], v[1]) for k, v in self.books.iterator()]
-        newest = max((at for _, at, _ in held), default=newest)
-        fresh = []
-        for book, at, p in held:
-            if newest - at <= self.max_age:
-                fresh.append(p)
-            else:
-                self.books.removeKey((book,))
-        median = float(pd.Series(fresh).median()) if len(fresh) >= self.least else None
-        yield pd.DataFrame({"matchup": [key[0]], "newest": [newest], "books_n": [len(fresh)], "p_market": [median]})
+        yield self._settled(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settled(key, timerValues)
 
     def close(self) -> None:
         pass
 
 
-def consensus_stream(stream: DataFrame, max_age: float = 600.0, least: int = 2) -> DataFrame:
-    """``matchup, newest, books_n, p_market`` after every batch, from rows ``matchup, book, at, p`` (seconds).
-    State holds one quote per matchup and book."""
-    out = T.StructType().add("matchup", "long").add("newest", "double").add("books_n", "long").add("p_market", "double")
-    return stream.groupBy("matchup").transformWithStateInPandas(
-        statefulProcessor=ConsensusProcessor(max_age, least), outputStructType=out, outputMode="Update", timeMode="None"
+def consensus_stream(stream: DataFrame, max_age: float = 600.0, least: int = 2, late: str = "10 minutes") -> DataFrame:
+    """``matchup, as_of, books_n, p_market`` from rows ``matchup, book, captured_at, p``: after every batch with rows of a matchup,
+    and when its books leave because time has passed. Of the rows of a matchup the one with the largest ``as_of``
+    (seconds) holds. State holds one quote per matchup and book; the watermark is ``late`` behind the newest row."""
+    out = T.StructType().add("matchup", "long").add("as_of", "double").add("books_n", "long").add("p_market", "double")
+    rows = stream.withWatermark("captured_at", late).select("matchup", "book", "captured_at", (F.unix_micros("captured_at") / 1e6).alias("at"), "p")
+    return rows.groupBy("matchup").transformWithStateInPandas(
+        statefulProcessor=ConsensusProcessor(max_age, least), outputStructType=out, outputMode="Update", timeMode="EventTime"
     )
 
 
 def replayed(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
-    """Rows that ``stream`` puts out until its source is read through. Executors write each batch to its own
-    Parquet folder, so a batch that is run again changes nothing; in complete mode the last batch counts."""
-    folders: list[str] = []
+    """Rows that ``stream`` puts out until its source is read through, those of earlier runs from one checkpoint too. Executors
+    write each batch to its own Parquet folder, so a batch that is run again changes nothing; the folders are
+    found by listing ``path``. A column ``batch`` tells a row's batch; in complete mode the last batch counts."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(folder := f"{path}/{number}")
-        folders[:] = [folder] if mode == "complete" else [*dict.fromkeys([*folders, folder])]
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
-    spark = stream.sparkSession
-    return spark.read.schema(stream.schema).parquet(*folders) if folders else spark.createDataFrame([], stream.schema)
+    spark, names = stream.sparkSession, Folder(stream.sparkSession, path).names("")
+    if not names:
+        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+    return rows.where(F.col("batch") == max(int(n.partition("=")[2]) for n in names)) if mode == "complete" else rows
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], at: str, checkpoint: str, partition_by: Sequence[str] = ()):
-    """Stream into a Parquet dataset, batch by batch. Of rows with one key the newest by ``at`` stays, within a batch
-    (ties by all columns) and against what is stored, so a batch that is run again changes nothing."""
+def upsert_stream(stream: DataFrame, table: KeyedTable, at: str, checkpoint: str):
+    """Stream into a keyed table, batch by batch; a batch rewrites the slots that it touches. Of rows with one key the newest
+    by ``at`` stays, within a batch (ties by all columns) and against what is stored, so a batch that is run again
+    changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        rows = latest(batch, keys, at, [c for c in batch.columns if c not in (*keys, at)])
-        if not rows.isEmpty():
-            upsert(rows, path, keys, partition_by, newer=at)
+        rows = latest(batch, table.keys, at, [c for c in batch.columns if c not in (*table.keys, at)]).persist()
+        try:
+            if not rows.isEmpty():
+                table.upsert(rows, newer=at)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
