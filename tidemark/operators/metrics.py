@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, EngineConfig
 from tidemark.functions.exprs import brier, clip, log_loss
 from tidemark.operators.latest import since, trailing
-from tidemark.operators.ranges import exact_median
+from tidemark.operators.ranges import exact_median, with_medians
 
 
 def summary(df: DataFrame, p: str, y: str, by: Sequence[str] = (), value: str | None = None) -> DataFrame:
@@ -20,7 +20,7 @@ def summary(df: DataFrame, p: str, y: str, by: Sequence[str] = (), value: str |
         return df.groupBy(*by).agg(*aggs)
     aggs.append(F.avg(value).alias(f"mean_{value}"))
     if by:
-        return df.groupBy(*by).agg(*aggs, F.median(value).alias(f"median_{value}"))
+        return with_medians(df, by, aggs, {f"median_{value}": value})
     return df.agg(*aggs).join(F.broadcast(exact_median(df, value).withColumnRenamed("median", f"median_{value}")))  # one row each
 
 

@@ -5,12 +5,16 @@ every score and in every gap between scores, the isotonic value of a test point
 and 1 (``p1``) (Vovk, Petej and Fedorova 2015). Scoring is a lookup.
 
 A model of many scores is cut into ranges of scores. Each range is pooled (PAVA) in a task of its own;
-the pooled blocks of a model, few beside its scores, are merged from both ends, and each range builds its
-part of the table with the blocks before and behind it. Pooling in parts gives the blocks of the whole.
+the pooled blocks of a model are merged from both ends, and each range builds its part of the table with the blocks
+before and behind it that can matter to it: those that a point in the range, with all that it may pool, can reach
+(``reached``). Pooling in parts gives the blocks of the whole. Merging takes 24 bytes a pooled block and side, once per model; a
+model whose rates rise strictly with its scores, which pools nothing, still hands each range a few blocks.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -52,40 +56,92 @@ def stacked(n, y) -> tuple:
     return node
 
 
-def pooled(blocks: list[list[float]], rows, back: bool = False) -> list[list[float]]:
-    """``blocks``, a list of ``[n, pos]``, with ``rows`` put behind (or, ``back``, in front of them as the list's
-    end) and pooled while they violate the order."""
-    for a, b in rows:
-        while blocks and ((b * blocks[-1][0] >= blocks[-1][1] * a) if back else (blocks[-1][1] * a >= b * blocks[-1][0])):
-            c, d = blocks.pop()
-            a, b = a + c, b + d
-        blocks.append([a, b])
-    return blocks
+class Blocks:
+    """Stacks of pooled blocks that share their lower parts. A stack is the number of its top block, -1 where it is empty;
+    a push leaves the stack that it starts from as it was.
+
+    ``up`` is 1 for blocks from the left, whose rates rise towards the top, and -1 for blocks from the right, whose rates fall.
+    """
+
+    def __init__(self, up: int):
+        self.up, self.n, self.y, self.below = up, array("d"), array("d"), array("q")
+
+    def pushed(self, top: int, rows) -> int:
+        """The stack with ``rows`` of ``(n, positives)`` on it, pooled while they violate the order."""
+        n, y, below, up = self.n, self.y, self.below, self.up
+        for a, b in rows:
+            while top >= 0 and up * (y[top] * a - b * n[top]) >= 0:
+                a, b, top = a + n[top], b + y[top], below[top]
+            n.append(a)
+            y.append(b)
+            below.append(top)
+            top = len(n) - 1
+        return top
+
+
+def reached(side: Blocks, top: int, other: Blocks, facing: int) -> tuple[list[float], list[float]]:
+    """Sizes and positives of the blocks of a stack, the nearest last, that a point on its other side can pool with, where
+    the stack ``facing`` of ``other`` has the fit of all rows there.
+
+    The point and rows from the other side pool with a block of rate m only if, taken from the border, their sum of
+    (positives - m * size) reaches it. That sum is most extreme for the point's own label 0 (towards the left) or 1 (towards
+    the right) and for the blocks of the facing fit whose rates lie beyond m; nothing deeper than the first block which even
+    that doesn't reach can matter.
+    """
+    if top < 0:
+        return [], []
+    up, label = side.up, 0.0 if side.up > 0 else 1.0
+    ahead = [(0.0, 0.0)]  # sizes and positives of the facing blocks that lie beyond the nearest rate, summed from the border
+    rates = []
+    while facing >= 0 and up * (side.y[top] * other.n[facing] - other.y[facing] * side.n[top]) > 0:
+        a, b = ahead[-1]
+        ahead.append((a + other.n[facing], b + other.y[facing]))
+        rates.append(facing)
+        facing = other.below[facing]
+    n, y, a, b = [], [], 1.0, label
+    while top >= 0:
+        while rates and up * (side.y[top] * other.n[rates[-1]] - other.y[rates[-1]] * side.n[top]) <= 0:
+            rates.pop()
+        c, d = ahead[len(rates)]
+        if up * (side.y[top] * (a + c) - (b + d) * side.n[top]) < 0:
+            break
+        n.append(side.n[top])
+        y.append(side.y[top])
+        a, b, top = a + side.n[top], b + side.y[top], side.below[top]
+    return n[::-1], y[::-1]
 
 
 def range_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """Pooled blocks of one range in order, with the range's largest score."""
     pdf = pdf.sort_values("s")
-    blocks = np.array(pooled([], zip(pdf["n"].to_numpy(np.float64).tolist(), pdf["pos"].to_numpy(np.float64).tolist())))
+    blocks = Blocks(1)
+    top, chain = blocks.pushed(-1, zip(pdf["n"].to_numpy(np.float64).tolist(), pdf["pos"].to_numpy(np.float64).tolist())), []
+    while top >= 0:
+        chain.append((blocks.n[top], blocks.y[top]))
+        top = blocks.below[top]
+    blocks = np.array(chain[::-1])
     return pd.DataFrame({"model": pdf["model"].iloc[0], "_r": pdf["_r"].iloc[0], "_i": np.arange(len(blocks)), "n": blocks[:, 0], "pos": blocks[:, 1], "most": pdf["s"].iloc[-1]})
 
 
 def carried(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For every range of a model: the pooled blocks before it and behind it, each nearest last."""
-    parts = [(r, g["most"].iloc[0], list(zip(g["n"], g["pos"]))) for r, g in pdf.sort_values(["_r", "_i"]).groupby("_r")]
-    sides, columns = [], lambda blocks: ([a for a, _ in blocks], [b for _, b in blocks])
-    left: list[list[float]] = []
-    for _, _, rows in parts:
-        sides.append(columns(left))
-        left = pooled(left, rows)
-    right: list[list[float]] = []
-    behind = []
-    for _, _, rows in reversed(parts):
-        behind.append(columns(right))
-        right = pooled(right, reversed(rows), True)
+    """For every range of a model: the blocks before it and behind it that it can reach, each nearest last."""
+    pdf = pdf.sort_values(["_r", "_i"])
+    r, most = pdf["_r"].to_numpy(), pdf["most"].to_numpy(np.float64)
+    n, y = pdf["n"].to_numpy(np.float64), pdf["pos"].to_numpy(np.float64)
+    cuts = np.flatnonzero(np.diff(r)) + 1
+    spans = list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(r)]))
+    left, right = Blocks(1), Blocks(-1)
+    before, behind = [-1], [-1]  # stacks at the borders of ranges, from either end
+    for a, b in spans:
+        before.append(left.pushed(before[-1], zip(n[a:b].tolist(), y[a:b].tolist())))
+    for a, b in reversed(spans):
+        behind.append(right.pushed(behind[-1], zip(n[a:b][::-1].tolist(), y[a:b][::-1].tolist())))
+    behind.reverse()
     out = []
-    for i, ((r, _, _), (ln, ly), (rn, ry)) in enumerate(zip(parts, sides, reversed(behind))):
-        out.append((pdf["model"].iloc[0], r, parts[i - 1][1] if i else -np.inf, i + 1 < len(parts), ln, ly, rn, ry))
+    for i, (a, b) in enumerate(spans):
+        ln, ly = reached(left, before[i], right, behind[i])
+        rn, ry = reached(right, behind[i + 1], left, before[i + 1])
+        out.append((pdf["model"].iloc[0], r[a], most[a - 1] if i else -np.inf, i + 1 < len(spans), ln, ly, rn, ry))
     return pd.DataFrame(out, columns=["model", "_r", "before", "behind", "ln", "ly", "rn", "ry"])
 
 
