@@ -150,3 +150,51 @@ def test_whole_numbers_and_words_of_any_name(spark):
     ask = spark.createDataFrame([(1, DAY + timedelta(3), "s")], "k int, d date, _salt string")
     r = A.asof(h.withColumn("_x0", F.col("_x0").cast("int")), ask, "k", "d", ["a b", "_x0"], (1,)).first()
     assert (r["all_a b"], r["all__x0"], r["all__x0_n"], r["1d_a b"], r["_salt"]) == (2.0**31 + 5, 1.0, 2, 5.0, "s")
+
+
+def test_stored_state_equals_a_full_build(spark, tmp_path):
+    """Built from a part, extended by days, a day replaced and old days corrected: always what the full history gives."""
+    from tidemark.operators.feature_state import FeatureState
+
+    rng = random.Random(6)
+    value = lambda: rng.choice([None, float("nan"), 1e17, 0.1, -2.5, rng.random()])
+    rows = [(rng.choice([1, 1, 2, 3, None]), DAY + timedelta(rng.randrange(200)), value(), rng.randrange(9)) for _ in range(500)]
+    schema = "k int, d date, x double, n int"
+    ask = spark.createDataFrame([(i, rng.choice([1, 2, 3, 4, None]), rng.choice([None, *[DAY + timedelta(rng.randrange(-5, 300)) for _ in range(9)]])) for i in range(120)] * 2, "rid int, k int, d date")
+    of = lambda some: A.History(spark.createDataFrame(some, schema), "k", "d", ["x", "n"], (7, 45, 365), True, "h_")
+    state = FeatureState(spark, f"{tmp_path}/state", of(rows[:1]))
+
+    def check(some):
+        plain = lambda df: sorted((str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.select(*sorted(df.columns)).collect()))
+        assert plain(state.read(ask, "k", "d")) == plain(A.asof_many(ask, "k", "d", [of(some)]))
+
+    with pytest.raises(Exception, match="empty"):
+        state.read(ask, "k", "d")
+    split = DAY + timedelta(120)
+    early, late = [r for r in rows if r[1] < split], [r for r in rows if r[1] >= split]
+    state.extend(spark.createDataFrame(early, schema))
+    check(early)
+    for _ in range(2):  # again: nothing changes
+        state.extend(spark.createDataFrame(late, schema))
+    check(rows)
+    day = min(r[1] for r in rows)
+    mended = [(k, d, 50.0, 1) if d == day else (k, d, x, n) for k, d, x, n in rows]
+    state.extend(spark.createDataFrame([r for r in mended if r[1] == day], schema))
+    check(mended)
+
+
+def test_a_slate_reads_the_slices_of_its_frames(spark, tmp_path):
+    from tidemark.operators.feature_state import FeatureState
+
+    rows = spark.range(0, 3000).select((F.col("id") % 5).cast("int").alias("k"), F.expr("date_add(DATE'2020-01-01', CAST(id % 1500 AS INT))").alias("d"), F.lit(1.0).alias("x")).cache()
+    state = FeatureState(spark, f"{tmp_path}/state", A.History(rows, "k", "d", ["x"], (7, 365), True))
+    state.extend(rows.where("d < DATE'2023-11-20'"))
+    before = [t.manifest()["slots"] for t in (state.daily, state.carried)]
+    state.extend(rows.where("d = DATE'2023-11-20'"))
+    after = [t.manifest()["slots"] for t in (state.daily, state.carried)]
+    assert [sum(b.get(s) != p for s, p in a.items()) for a, b in zip(after, before)] == [1, 1] and len(after[0]) > 40
+    slate = spark.createDataFrame([(1, date(2023, 11, 21)), (3, date(2023, 11, 21))], "k int, d date")
+    got = state.read(slate, "k", "d")
+    slots = {f.split("_slot=")[1].split("/")[0] for f in got.inputFiles()}
+    assert len(slots) == 2  # of the month of the day and its week before, and of the month a year before
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, A.asof(rows.where("d < DATE'2023-11-21'"), slate, "k", "d", ["x"], (7, 365)).collect()))

@@ -59,3 +59,34 @@ def test_boosting_stops_early(rows):
     rounds = {}
     model.out_of_fold(rows, ["a", "b"], "y", "d", "id", {"boosted": lambda f, y, rounds=None: model.boosted_member(f, y, rounds, 12)}, replace(CONFIG, folds=1), rounds)
     assert 1 <= rounds["boosted"][0] <= 12 and model.best_rounds([3, 9, 5]) == 5
+
+
+def test_the_validation_slice_stops_the_boosting(spark, rows, tmp_path):
+    """Held rows that agree with the rule let it grow, held rows that contradict it end it at once; nothing grows twice."""
+    from pyspark.sql import functions as F
+
+    part = rows.select("id", "a", "b", "y", (F.col("id") % 4 == 0).alias("_held"))
+    against = part.withColumn("y", F.when(F.col("_held"), 1 - F.col("y")).otherwise(F.col("y")))
+    fitted = {}
+    for name, data in (("with", part), ("against", against)):
+        member = model.BoostedTrees(["a", "b"], "y", most=40, patience=5)
+        fitted[name] = member.fit(data)
+        best, _ = model.best_round(member.losses, 5)
+        assert model.rounds_of(fitted[name]) == best and len(member.losses) == min(best + 5, 40)
+    assert model.rounds_of(fitted["against"]) == 1 < model.rounds_of(fitted["with"])
+    # the ensemble that is cut back scores as its rounds did, and after a reload
+    loss = model._scored(fitted["with"], part.where("_held"), ["y"], "p").agg(F.avg(F.when(F.col("y") == 1, -F.log("p")).otherwise(-F.log(1 - F.col("p"))))).first()[0]
+    member = model.BoostedTrees(["a", "b"], "y", most=model.rounds_of(fitted["with"]), patience=5)
+    member.fit(part)
+    assert loss == pytest.approx(min(member.losses))
+    fitted["with"].write().save(f"{tmp_path}/m")
+    again = model.PipelineModel.load(f"{tmp_path}/m")
+    score = lambda m: [r["p"] for r in model._scored(m, part, ["id"], "p").orderBy("id").collect()]
+    assert score(again) == pytest.approx(score(fitted["with"]))
+
+
+def test_chained_scores_equal_single_ones(spark, rows):
+    fits = {"one": model.linear_member(["a", "b"], "y").fit(rows), "two": model.linear_member(["c"], "y").fit(rows)}
+    got = {r["id"]: (r["one"], r["two"]) for r in model.chained(fits, rows, ["id"]).collect()}
+    for k, name in enumerate(fits):
+        assert {i: v[k] for i, v in got.items()} == pytest.approx({r["id"]: r[name] for r in model._scored(fits[name], rows, ["id"], name).collect()})

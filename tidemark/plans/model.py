@@ -9,15 +9,17 @@ and loss figures reach the driver.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 from statistics import median
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ from tidemark.operators.metrics import baseline, group_rates
 from tidemark.operators.quality import require_target
 from tidemark.plans.registry import register
 from tidemark.sources.io import ContractError
+from tidemark.sources.scratch import shared_dir
 
 #: ``member(features, label)``; boosted ones also take ``rounds`` for the refit on all rows.
 Member = Callable[..., Estimator]
@@ -66,35 +69,69 @@ def best_round(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int,
     return best + 1, False
 
 
-class PatientTrees(Estimator):
-    """Boosted trees up to the best round on the rows marked ``_held``. Spark ML's own rule ends boosting at
-    the first round without gain, so trees are grown until the patience is spent, twice as many at a time
-    (trees of a seed are the same however many follow), and fitted anew up to the best."""
+def _marked(dataset: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``dataset`` with ``_held``: as it is marked, or else a tenth of the rows by hash."""
+    return dataset if "_held" in dataset.columns else dataset.withColumn("_held", F.pmod(F.xxhash64(*features), F.lit(10)) == 0)
 
-    def __init__(self, trees: GBTClassifier, most: int, patience: int = PATIENCE):
+
+class BoostedTrees(Estimator):
+    """Boosted trees for the logistic loss, as many as serve the rows marked ``_held`` best.
+
+    Trees grow once, one a round: each learns the gradient at the scores so far on a sample of the rows that are not held, and
+    the loss on held rows is taken after it. Growth ends once ``patience`` rounds in turn brought no gain, and the
+    ensemble is cut back to its best round. Scores of a round are kept with the rows, and checkpointed every tenth round, so that a
+    lost executor costs ten rounds at most. ``rounds`` fixes the number of trees, and no row is held.
+    """
+
+    #: Callers hand such a member its validation rows, marked ``_held``.
+    stops_on_held = True
+
+    def __init__(self, features: Sequence[str], label: str, rounds: int | None = None, most: int = MOST_ROUNDS, patience: int = PATIENCE, step: float = 0.05):
         super().__init__()
-        self.trees, self.most, self.patience = trees, most, patience
-
-    def _fit(self, dataset: DataFrame) -> GBTClassificationModel:
-        t = self.trees
-        rows = dataset.select(t.getLabelCol(), t.getFeaturesCol(), "_held").cache()
-        part, held = rows.where("NOT _held"), rows.where("_held")
-
-        def grown(n: int) -> GBTClassificationModel:
-            return t.copy({t.maxIter: n}).fit(part)
-
-        try:
-            if held.isEmpty():
-                return grown(min(best_rounds([]), self.most))
-            n, done = min(self.patience + 10, self.most), False
-            while True:
-                model = grown(n)
-                best, done = best_round(model.evaluateEachIteration(held), self.patience)
-                if done or n == self.most:
-                    return model if best == n else grown(best)
-                n = min(2 * n, self.most)
-        finally:
+        self.features, self.label, self.rounds, self.most, self.patience, self.step = list(features), label, rounds, most, patience, step
+        self.losses: list[float] = []
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        if self.rounds:
+            trees = GBTClassifier(labelCol=self.label, featuresCol="_x", stepSize=self.step, maxDepth=6, maxIter=self.rounds, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
+            return _prepared(self.features, trees).fit(dataset)
+        marked = _marked(dataset, self.features)
+        ready = _prepared(self.features).fit(marked.where("NOT _held"))
+        y, f = F.col("_y"), F.col("_f")
+        rows = ready.transform(marked).select("_x", (2.0 * F.col(self.label) - 1.0).alias("_y"), "_held", F.lit(0.0).alias("_f")).persist()
+        if rows.where("_held").isEmpty():
+            rows.unpersist()
+            return BoostedTrees(self.features, self.label, min(best_rounds([]), self.most))._fit(dataset)
+        shared_dir(dataset.sparkSession)  # where checkpoints go
+        trees: list = []
+        self.losses = []
+        for i in range(self.most):
+            gradient = y if i == 0 else 4.0 * y / (1.0 + F.exp(2.0 * y * f))
+            tree = RandomForestRegressor(labelCol="_t", featuresCol="_x", predictionCol="_p", numTrees=1, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8", bootstrap=False, seed=42 + i)
+            model = tree.fit(rows.where("NOT _held").withColumn("_t", gradient))
+            after = model.transform(rows).select("_x", "_y", "_held", (f + (self.step if i else 1.0) * F.col("_p")).alias("_f"))
+            after = after.checkpoint() if i % 10 == 9 else after.persist()
+            trees.append(model.trees[0])
+            self.losses.append(after.where("_held").agg(F.avg(F.log1p(F.exp(-2.0 * y * f)))).first()[0])
             rows.unpersist()
+            rows = after
+            best, done = best_round(self.losses, self.patience)
+            if done:
+                break
+        rows.unpersist()
+        return PipelineModel([*ready.stages, _ensemble(trees[:best], self.step)])
+
+
+def _ensemble(trees: Sequence, step: float) -> GBTClassificationModel:
+    """A model of the first tree and, at ``step``, the others."""
+    context = SparkContext.getOrCreate()
+    jvm, gateway = context._jvm, context._gateway
+    parts = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        parts[i], weights[i] = tree._java_obj, step if i else 1.0
+    model = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"GBTClassifier_{uuid.uuid4().hex[:12]}", parts, weights))
+    return model.setFeaturesCol("_x")
 
 
 class WeightedPenalty(Estimator):
@@ -109,14 +146,8 @@ class WeightedPenalty(Estimator):
 
 
 def boosted_member(features: Sequence[str], label: str, rounds: int | None = None, most: int = MOST_ROUNDS) -> Estimator:
-    """Boosted trees. Without ``rounds`` a tenth of the rows, by hash, stops the boosting early."""
-    from pyspark.ml.feature import SQLTransformer
-
-    trees = GBTClassifier(labelCol=label, featuresCol="_x", stepSize=0.05, maxDepth=6, maxIter=rounds or most, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-    if rounds:
-        return _prepared(features, trees)
-    held = SQLTransformer(statement=f"SELECT *, pmod(xxhash64({', '.join(features)}), 10) = 0 AS _held FROM __THIS__")
-    return _prepared(features, held, PatientTrees(trees, most))
+    """Boosted trees; without ``rounds`` the rows marked ``_held`` end the boosting, or where none are, a tenth by hash."""
+    return BoostedTrees(features, label, rounds, most)
 
 
 def linear_member(features: Sequence[str], label: str, c: float = 1.0) -> Estimator:
@@ -135,6 +166,16 @@ def _scored(model: PipelineModel, df: DataFrame, keep: Sequence[str], name: str)
     return model.transform(df).select(*keep, vector_to_array("probability")[1].alias(name))
 
 
+def chained(models: dict[str, PipelineModel], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and one score column per model: the models transform the same rows in turn, and nothing is joined."""
+    rows = df.select(F.struct(*keep).alias("_keep"), F.struct(*df.columns).alias("_row"))
+    for name, model in models.items():
+        held = [c for c in rows.columns if c != "_row"]
+        rows = model.transform(rows.select("_row.*", *[F.col(c).alias(f"_kept_{c}") for c in held]))
+        rows = rows.select(*[F.col(f"_kept_{c}").alias(c) for c in held], F.struct(*df.columns).alias("_row"), vector_to_array("probability")[1].alias(f"_p_{name}"))
+    return rows.select("_keep.*", *[F.col(f"_p_{name}").alias(name) for name in models])
+
+
 def observed(df: DataFrame, features: Sequence[str]) -> list[str]:
     """Features with any observed value; the imputer refuses the others."""
     seen = df.agg(*[F.count(c).alias(c) for c in features]).first().asDict()
@@ -167,19 +208,21 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
     fits = [(fold, name) for fold in parts for name in members]
 
     def fit(task: tuple[int, str]) -> PipelineModel:
-        train, _, names = parts[task[0]]
-        return members[task[1]](names, label).fit(train)
+        train, check, names = parts[task[0]]
+        member = members[task[1]](names, label)
+        if getattr(member, "stops_on_held", False):  # the fold's validation slice decides when to stop
+            train = train.withColumn("_held", F.lit(False)).unionByName(check.withColumn("_held", F.lit(True)))
+        return member.fit(train)
 
     with ThreadPool(PARALLEL) as pool:  # fits of small folds wait on job latency more than on cores
         models = dict(zip(fits, pool.map(inheritable_thread_target(df.sparkSession)(fit), fits)))
     out = None
     for fold, (train, check, _) in parts.items():
-        scored = check.select(key, label, F.lit(fold).alias("fold"))
         for name in members:
-            model = models[fold, name]
-            if rounds is not None and rounds_of(model):
-                rounds.setdefault(name, []).append(rounds_of(model))
-            scored = scored.join(_scored(model, check, [key], name), key)
+            if rounds is not None and rounds_of(models[fold, name]):
+                rounds.setdefault(name, []).append(rounds_of(models[fold, name]))
+        scored = chained({name: models[fold, name] for name in members}, check, [key, label]).withColumn("fold", F.lit(fold))
+        scored = scored.select(key, label, "fold", *members)
         train.unpersist()
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -271,9 +314,7 @@ def best_rounds(counts: Sequence[int], default: int = 200) -> int:
 
 def score(bundle: dict, df: DataFrame, key: str) -> DataFrame:
     """``key, raw``: the stack's probability."""
-    scored = df.select(key)
-    for name, model in bundle["members"].items():
-        scored = scored.join(_scored(model, df, [key], name), key)
+    scored = chained(bundle["members"], df.select(*dict.fromkeys([key, *bundle["features"]])), [key])
     return _scored(bundle["meta"], scored, [key], "raw")
 
 

@@ -14,9 +14,11 @@ from tidemark.config import DEFAULT
 from tidemark.functions import exprs as X
 from tidemark.operators import asof as A
 from tidemark.operators import folds, latest, market, metrics, quality, vennabers
+from tidemark.operators.feature_state import FeatureState
 from tidemark.plans import catalogue, grading, registry
 from tidemark.plans.views import NOW, Tables, with_views
 from tidemark.sources import io, nested
+from tidemark.sources.scratch import new_path
 from tidemark.sources.tables import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,16 +64,7 @@ C = F.col
 
 
 def _scratch(t: Tables, name: str) -> str:
-    import tempfile
-    import uuid
-
-    context = t.spark.sparkContext
-    at = t.spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not at:
-        if not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
-        at = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return new_path(t.spark, name)
 
 
 HIST = "k bigint, gid bigint, d date, x double, x_null double, status string, priority string"
@@ -820,12 +813,27 @@ def _(t):
 FRAMES = (7, 14, 30, 90, 365)
 
 
-@query("f03_day_frames", "SELECT r.rid, " + ", ".join(f"CASE WHEN count(h.k) FILTER (WHERE h.d >= r.d - {n}) > 0 THEN count(h.k) FILTER (WHERE h.d >= r.d - {n}) END AS n_{n}, round(sum(h.x) FILTER (WHERE h.d >= r.d - {n}), 2) AS x_{n}" for n in FRAMES) + " " + WINDOW.format(""))
-def _(t):
-    f = A.asof(t.hist, t.requests, "k", "d", ["x"], FRAMES, False)
+F03_SQL = "SELECT r.rid, " + ", ".join(f"CASE WHEN count(h.k) FILTER (WHERE h.d >= r.d - {n}) > 0 THEN count(h.k) FILTER (WHERE h.d >= r.d - {n}) END AS n_{n}, round(sum(h.x) FILTER (WHERE h.d >= r.d - {n}), 2) AS x_{n}" for n in FRAMES) + " " + WINDOW.format("")
+
+
+def _frames(f: DataFrame) -> DataFrame:
     return f.select("rid", *[c for n in FRAMES for c in (C(f"{n}d_rows").alias(f"n_{n}"), r(f"{n}d_x", 2).alias(f"x_{n}"))])
 
 
+@query("f03_day_frames", F03_SQL)
+def _(t):
+    return _frames(A.asof(t.hist, t.requests, "k", "d", ["x"], FRAMES, False))
+
+
+@query("f03_stored_frames", F03_SQL)
+def _(t):
+    """The frames from stored totals: built from the days up to a date, extended by the later ones."""
+    state = FeatureState(t.spark, _scratch(t, "f03-state"), A.History(t.hist, "k", "d", ["x"], FRAMES, False))
+    for part in ("d < DATE'2000-01-01'", "d >= DATE'2000-01-01'"):
+        state.extend(t.hist.where(part))
+    return _frames(state.read(t.requests, "k", "d"))
+
+
 @query("f04_last_n_rows", """WITH j AS (SELECT r.rid, h.x, h.x_null, row_number() OVER (PARTITION BY r.rid ORDER BY h.d DESC, h.gid DESC) AS back FROM requests r JOIN hist h ON h.k = r.k AND h.d < r.d)
   SELECT r.rid, count(j.x) FILTER (WHERE back <= 5) AS last_rows, round(sum(j.x) FILTER (WHERE back <= 5), 2) AS last_x, count(j.x_null) FILTER (WHERE back <= 5) AS seen FROM requests r LEFT JOIN j ON j.rid = r.rid GROUP BY r.rid""")
 def _(t):
