@@ -41,3 +41,22 @@ def test_stages(spark):
     for r in packed:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 2048 and {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed.collect()}
+
+
+def test_columns_of_any_name(spark):
+    """Extra columns that are named like internal ones pass through every stage, with nulls, repeats and an empty table."""
+    from pyspark.sql import functions as F
+
+    names = ["_mix_at", "_mix_id", "_bad_id", "row", "id", "at", "key", "size", "text_key", "text_sha256", "a.b"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    odd = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    odd = odd.unionByName(odd.limit(3)).unionByName(odd.limit(2).withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string"), "source": F.lit(None).cast("string")}))
+    steps = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "exact", "near", "mixing"):
+        got = steps[name](spark, odd, FOLDER)
+        assert got.columns == odd.columns and got.count() > 0
+        rows = got.select(*[F.col(f"`{n}`") for n in names]).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(names)]
+        assert steps[name](spark, odd.limit(0), FOLDER).count() == 0
+    packed = steps["packing"](spark, odd, FOLDER)
+    assert packed.select("doc_id").distinct().count() == odd.select("doc_id").distinct().count()

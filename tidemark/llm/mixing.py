@@ -170,6 +170,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFr
     reads = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5).cast("int")
     plan = plan.groupBy("_mix_id").agg(F.max(F.slice("_mix_at", F.lit(1), reads)).alias("_mix_at"))
     plan = stage(plan.where(F.size("_mix_at") > 0), "mix-plan")
-    read = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id"))).drop("_mix_id")
-    read = read.withColumn("_mix_at", F.explode("_mix_at"))
-    return read.orderBy("_mix_at", id_col).drop("_mix_at")
+    # rows ride packed, so their columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    read = rows.join(plan, F.col("id").eqNullSafe(F.col("_mix_id"))).select("row", "id", F.explode("_mix_at").alias("at"))
+    return read.orderBy("at", "id").select("row.*")

@@ -234,7 +234,8 @@ def score_quality(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with all their columns."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns, whose names may be any."""
     bad = score_quality(docs, labels, id_col, **options).where("predicted = 0")
-    bad = stage(bad.select(F.col("doc_id").alias("_bad_id")).distinct(), "rejected")
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad_id")), "left_anti")
+    bad = stage(bad.select("doc_id").distinct(), "rejected")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("doc_id")), "left_anti").select("row.*")
