@@ -33,17 +33,18 @@ def test_replayed_rows_are_files(spark, tmp_path, mode):
 
 
 def test_stack_uses_the_whole_protocol(spark, monkeypatch):
-    from tidemark.config import DEFAULT
     from tidemark.plans import model, queries
     from tidemark.plans.views import Tables
 
-    def seen(rows, *args, config=DEFAULT, **more):
-        assert config.folds == 5 and config.min_fold_rows == 200
-        return {"config": config}
+    def seen(rows, *args, config, members=None, candidates=None, **more):
+        assert config.folds == 5 and config.min_fold_rows == 200 and set(members or model.MEMBERS) == {"boosted", "linear"}
+        raise InterruptedError
 
-    monkeypatch.setattr(model, "train", seen)
+    monkeypatch.setattr(model, "train", lambda df, f, y, d, k, members, candidates, config: seen(df, members=members, candidates=candidates, config=config))
     monkeypatch.setattr(queries, "_bundles", {})
-    assert queries.bundle(Tables(spark, FOLDER))["config"] == DEFAULT
+    for version in queries.TARGETS:
+        with pytest.raises(InterruptedError):
+            queries.bundle(Tables(spark, FOLDER), version)
 
 
 def test_boosting_is_patient(spark):

@@ -1,9 +1,9 @@
 """As-of features: what was known of an entity strictly before a date.
 
 History is summed to (key, day) first, which makes ties within a day harmless and leaves a key at most one row a
-day. Requests join it as marked rows that carry their own columns. Over one window specification, so in one
-shuffle and one sort, a running total of everything is kept per history (``_before``), and each frame looks up the
-total at its end and at its start: a frame is the difference of the two, whatever its length.
+day, and from these to running totals. Requests join the totals as marked rows that carry their own columns (``_before``), in
+one shuffle and one sort for several histories, and each frame looks up the total at its end and at its start: a frame is the
+difference of the two, whatever its length.
 
 Running totals are exact. A value is split into parts on fixed grids (``GRIDS``), whose sums as doubles lose no bit up
 to 2**97; only what is below the finest grid is summed with rounding, by less than 2**-70 a row. So a huge value
@@ -96,7 +96,7 @@ class History:
         return out
 
     def daily(self) -> DataFrame:
-        """Totals per key and day, under names of this history's own."""
+        """Totals per key and day."""
         known = self.rows.where(F.col(self.key).isNotNull() & F.col(self.day).isNotNull())
         known = known.select(F.col(self.key).alias("_k"), day_number(F.col(self.day)).alias("_d"), *[F.col(f"`{v}`") for v in self.values])
         split = [(i, v) for i, v in enumerate(self.values) if not self.whole(v)]
@@ -106,19 +106,13 @@ class History:
             known = known.selectExpr("*", *[f"rint(_rest{i}_{j} / {grid!r}D) * {grid!r}D AS _p{i}_{j}" for i, _ in split])
             known = known.selectExpr("*", *[f"_rest{i}_{j} - _p{i}_{j} AS _rest{i}_{j + 1}" for i, _ in split])
         known = known.withColumnsRenamed({f"_rest{i}_{len(GRIDS)}": f"_p{i}_{len(GRIDS)}" for i, _ in split})
-        return known.groupBy("_k", "_d").agg(*[F.expr(e).alias(f"_{self.name}_{n}") for n, e in self.totals().items()])
+        return known.groupBy("_k", "_d").agg(*[F.expr(e).alias(n) for n, e in self.totals().items()])
 
-    def running(self) -> list[str]:
-        """SQL of the totals up to each row of this history."""
-        return [f"sum(`_{self.name}_{n}`) {_over('CURRENT ROW')} AS `_{self.name}_{n}`" for n in self.totals()]
-
-    def state(self) -> str:
-        """SQL of what a lookup finds."""
-        fields = ", ".join(f"'{n}', `_{self.name}_{n}`" for n in self.totals())
-        return f"named_struct('day', _d, {fields})"
-
-    def mark(self) -> str:
-        return f"_{self.name}_rows"
+    def states(self) -> DataFrame:
+        """``_k, _d`` and, packed, what a lookup finds from that day on: the totals up to it, and the day."""
+        upto = "OVER (PARTITION BY _k ORDER BY _d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        running = self.daily().selectExpr("_k", "_d", *[f"sum({n}) {upto} AS {n}" for n in self.totals()])
+        return running.select("_k", "_d", F.struct(F.col("_d").alias("day"), *self.totals()).alias(f"_of_{self.name}"))
 
     def outputs(self) -> list[str]:
         """SQL of the columns of all frames, from the states found at ends and starts."""
@@ -155,8 +149,8 @@ class LastRows:
     def starts(self) -> set[int]:
         return set()
 
-    def daily(self) -> DataFrame:
-        """Sums over the last rows up to the end of each day, per key and day.
+    def states(self) -> DataFrame:
+        """``_k, _d`` and, packed, sums over the last rows up to the end of that day.
 
         Of a day only its last ``n`` rows can count. That limit is taken per (key, day) before and after a shuffle, so a key
         or day that has a third of all rows comes to ``n`` rows a day.
@@ -166,19 +160,10 @@ class LastRows:
         back = Window.partitionBy("_k", "_d").orderBy(F.desc_nulls_last("_t"))
         known = known.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= self.n)
         frame = f"OVER (PARTITION BY _k ORDER BY _d, _back DESC ROWS BETWEEN {self.n - 1} PRECEDING AND CURRENT ROW)"
-        sums = [f"coalesce(sum(_x{i}) {frame}, 0D) AS `_{self.name}_s{i}`" for i in range(len(self.values))]
-        counts = [f"count(_x{i}) {frame} AS `_{self.name}_c{i}`" for i in range(len(self.values))]
-        return known.selectExpr("_k", "_d", "_back", f"CAST(count(1) {frame} AS INT) AS `{self.mark()}`", *sums, *counts).where("_back = 1").drop("_back")
-
-    def running(self) -> list[str]:
-        return [f"`{self.mark()}`", *[f"`_{self.name}_{c}{i}`" for i in range(len(self.values)) for c in "sc"]]
-
-    def state(self) -> str:
-        fields = ", ".join(f"'{c}{i}', `_{self.name}_{c}{i}`" for i in range(len(self.values)) for c in "sc")
-        return f"named_struct('rows', `{self.mark()}`, {fields})"
-
-    def mark(self) -> str:
-        return f"_{self.name}_rows"
+        sums = [f"coalesce(sum(_x{i}) {frame}, 0D) AS s{i}" for i in range(len(self.values))]
+        counts = [f"count(_x{i}) {frame} AS c{i}" for i in range(len(self.values))]
+        last = known.selectExpr("_k", "_d", "_back", f"CAST(count(1) {frame} AS INT) AS rows", *sums, *counts).where("_back = 1")
+        return last.select("_k", "_d", F.struct("rows", *[f"{c}{i}" for i in range(len(self.values)) for c in "sc"]).alias(f"_of_{self.name}"))
 
     def outputs(self) -> list[str]:
         at = f"_at_{self.name}_0"
@@ -209,14 +194,12 @@ def _before(requests: DataFrame, key: str, day: str, histories: Sequence[History
     asked, hot = _dealt(_marked(requests, key, day), hot_rows)
     rows = asked
     for h in histories:
-        daily = h.daily()
+        states = h.states()
         if hot is None:
-            daily = daily.withColumn("_salt", F.lit(0))
+            states = states.withColumn("_salt", F.lit(0))
         else:
-            daily = daily.join(F.broadcast(hot), "_k", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
-        rows = rows.unionByName(daily, allowMissingColumns=True)
-    rows = rows.selectExpr("_k", "_d", "_salt", "_asked", *[f"`{h.mark()}` IS NOT NULL AS `_is_{h.name}`" for h in histories], *[e for h in histories for e in h.running()])
-    rows = rows.selectExpr("_k", "_d", "_salt", "_asked", *[f"IF(`_is_{h.name}`, {h.state()}, NULL) AS `_of_{h.name}`" for h in histories])
+            states = states.join(F.broadcast(hot), "_k", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+        rows = rows.unionByName(states, allowMissingColumns=True)
     found = [f"last(`_of_{h.name}`, true) {_over(f'{n + 1} PRECEDING')} AS `_at_{h.name}_{n}`" for h in histories for n in sorted({0, *h.starts()})]
     return rows.selectExpr("_asked", *found).where("_asked IS NOT NULL")
 
@@ -283,13 +266,13 @@ def top_members_mean(
 
 def top_members_means(
     history: DataFrame, lineups: DataFrame, ids: Sequence[str], members: str, day: str, key: str, history_day: str,
-    ratios: dict[str, tuple[str, str]], days: int, first: int = 3,
+    ratios: dict[str, tuple[str, str]], days: int, first: int = 3, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``ids`` and the mean of each as-of ratio over the first members of each array; all of them are
     null unless every one of those members has every ratio."""
     one = lineups.select(*ids, F.col(day).alias("_day"), F.explode_outer(F.slice(F.col(members), 1, first)).alias("_member"))
     values = list(dict.fromkeys(v for pair in ratios.values() for v in pair))
-    known = asof(history, one, key, history_day, values, [days], False, "_member", "_day")
+    known = asof(history, one, key, history_day, values, [days], False, "_member", "_day", hot_rows)
     each = {name: ratio(F.col(f"{days}d_{a}"), F.col(f"{days}d_{b}")) for name, (a, b) in ratios.items()}
     whole = reduce(lambda x, y: x & y, [F.count(c) == first for c in each.values()])
     return known.groupBy(*ids).agg(*[F.when(whole, F.avg(c)).alias(name) for name, c in each.items()])

@@ -38,7 +38,7 @@ class FeatureState:
         self.spark, self.history = spark, history
         self.daily = KeyedTable(spark, f"{path}/daily", ["_k", "_d", "_slice"], ["_slice"])
         self.carried = KeyedTable(spark, f"{path}/carried", ["_k", "_slice"], ["_slice"])
-        self.fields = [f"_{history.name}_{n}" for n in history.totals()]
+        self.fields = list(history.totals())
 
     def _last_slice(self) -> int | None:
         """The last slice into which totals are carried: one after the last that has days."""
@@ -58,12 +58,12 @@ class FeatureState:
         days = self._slices(self.daily, range(first, last)).withColumnRenamed("_d", "_last")
         # what is carried into the first slice stands for all before it
         before = self._slices(self.carried, [first]).withColumn("_slice", F.lit(first - 1))
-        sums = [F.max("_last").alias("_last"), *[F.sum(f"`{f}`").alias(f) for f in self.fields]]
+        sums = [F.max("_last").alias("_last"), *[F.sum(f).alias(f) for f in self.fields]]
         each = days.unionByName(before).groupBy("_k", "_slice").agg(*sums)
         order = Window.partitionBy("_k").orderBy("_slice")  # one row per key and slice
         upto = order.rowsBetween(Window.unboundedPreceding, 0)
         until = F.coalesce(F.lead("_slice").over(order), F.lit(last))
-        running = each.select("_k", F.max("_last").over(upto).alias("_last"), *[F.sum(f"`{f}`").over(upto).alias(f) for f in self.fields], (F.col("_slice") + 1).alias("_from"), until.alias("_until"))
+        running = each.select("_k", F.max("_last").over(upto).alias("_last"), *[F.sum(f).over(upto).alias(f) for f in self.fields], (F.col("_slice") + 1).alias("_from"), until.alias("_until"))
         later = running.withColumn("_slice", F.explode(F.sequence("_from", "_until"))).where(F.col("_slice") > first).drop("_from", "_until")
         self.carried.upsert(later)
 
@@ -71,7 +71,7 @@ class FeatureState:
         """Rows of some slices: only their files are read."""
         if table.manifest() is None:  # no slice has been carried into yet
             source = self.daily.read().limit(0)
-            return source.select("_k", F.col("_d").alias("_last"), *[F.col(f"`{f}`") for f in self.fields], "_slice")
+            return source.select("_k", F.col("_d").alias("_last"), *[F.col(f) for f in self.fields], "_slice")
         wanted = self.spark.createDataFrame([(s,) for s in slices], "_slice int")
         return table.read(wanted).where(F.col("_slice").isin(list(slices)))
 
@@ -88,11 +88,10 @@ class FeatureState:
         looks = looks.withColumn("_slice", F.least(slice_of(F.col("_border")), F.lit(last)))
         slices = [r[0] for r in looks.select("_slice").distinct().collect()]  # a few for a day's slate, months of history at most
         inside = looks.alias("l").join(self._slices(self.daily, slices).alias("t"), (F.col("l._k") == F.col("t._k")) & (F.col("l._slice") == F.col("t._slice")) & (F.col("t._d") < F.col("l._border")))
-        parts = inside.select("l._k", "l._at", "l._n", F.col("t._d").alias("_last"), *[F.col(f"t.`{f}`") for f in self.fields])
-        before = looks.join(self._slices(self.carried, slices), ["_k", "_slice"]).select("_k", "_at", "_n", "_last", *[F.col(f"`{f}`") for f in self.fields])
-        totals = parts.unionByName(before).groupBy("_k", "_at", "_n").agg(F.max("_last").alias("_last"), *[F.sum(f"`{f}`").alias(f) for f in self.fields])
-        prefix = len(f"_{h.name}_")
-        state = F.struct(F.col("_last").alias("day"), *[F.col(f"`{f}`").alias(f[prefix:]) for f in self.fields])
+        parts = inside.select("l._k", "l._at", "l._n", F.col("t._d").alias("_last"), *[F.col(f"t.{f}") for f in self.fields])
+        before = looks.join(self._slices(self.carried, slices), ["_k", "_slice"]).select("_k", "_at", "_n", "_last", *[F.col(f) for f in self.fields])
+        totals = parts.unionByName(before).groupBy("_k", "_at", "_n").agg(F.max("_last").alias("_last"), *[F.sum(f).alias(f) for f in self.fields])
+        state = F.struct(F.col("_last").alias("day"), *self.fields)
         found = totals.groupBy("_k", "_at").agg(F.map_from_entries(F.collect_list(F.struct("_n", state.alias("s")))).alias("_found"))  # one per frame border
         joined = asked.join(found, ["_k", "_at"], "left").select("_asked", *[F.col("_found")[n].alias(f"_at_{h.name}_{n}") for n in borders])
         return joined.selectExpr("_asked.*", *h.outputs(), f"date_add(DATE'1970-01-01', `_at_{h.name}_0`.day) AS prev_day")

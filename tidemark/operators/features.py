@@ -4,18 +4,20 @@ Every side has entity, team and lineup families; venue, weather and calendar are
 stays null; a family whose entity is unknown does not apply and leaves the coverage denominator, and
 so does the weather of an indoor event, whose values are kept.
 
-Both sides of a request are narrow rows that pass through one shuffle per kind of key (entity, team, lineup
-member) and meet again as neighbours by request, where the request's own columns join them.
+For each kind of key (entity, team, lineup member) the two sides of a request are narrow rows of their own, which pass
+through one shuffle by that key and meet as neighbours by request, where the request's own columns join them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import indicator, iso_week, season, weather_missing, wind_out
-from tidemark.operators.asof import History, LastRows, asof_many, by_role, family_missing, observed, per_observation, ratio, top_members_means
+from tidemark.operators.asof import HOT_ROWS, History, LastRows, asof_many, family_missing, observed, per_observation, ratio, top_members_means
 
 # Frames in days, and the rows of the last-N frame.
 ENTITY_DAYS, TEAM_DAYS, FORM_DAYS, LAST_STARTS = (7, 14, 30, 90, 365), (7, 14, 30, 365), 30, 30
@@ -76,44 +78,55 @@ def team_columns() -> dict[str, Column]:
     return out
 
 
-def with_families(h: Histories, sides: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
-    """``sides`` (rows ``rid, role, d, entity, team``) with the columns of the entity and the team family."""
+def entity_family(h: Histories, sides: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, list[str]]:
+    """``rid, role`` of ``sides`` (rows ``rid, role, d, entity``) with the columns of the entity family, and their names."""
     first = h.pitcher_innings.where("inning = 1").withColumn("zero", indicator(F.col("first_inning_runs"), F.col("first_inning_runs") == 0))
-    scored = h.team_innings.where("inning = 1").withColumn("any_run", indicator(F.col("first_inning_runs"), F.col("first_inning_runs") > 0))
     rows = asof_many(sides, "entity", "d", [
         History(h.pitcher_games, "pitcher_id", "game_date", ["earned_runs", "strikeouts", "walks", "hits", "innings_pitched"], ENTITY_DAYS, True, "g_"),
         History(first, "pitcher_id", "game_date", ["first_inning_runs", "first_inning_hits", "first_inning_walks", "zero"], (), True, "f_"),
         History(h.statcast_daily, "pitcher_id", "game_date", ["exit_velocity_sum", "barrels", "hard_hits", "whiffs", "swings", "batted_balls"], (FORM_DAYS,), False, "s_"),
         LastRows(h.pitcher_games, "pitcher_id", "game_date", "game_id", ["earned_runs", "strikeouts", "innings_pitched"], LAST_STARTS),
-    ])
-    entity, team = entity_columns(), team_columns()
-    rows = rows.select(*sides.columns, *[c.alias(n) for n, c in entity.items()])
+    ], hot_rows)
+    columns = entity_columns()
+    return rows.select("rid", "role", *[c.alias(n) for n, c in columns.items()]), list(columns)
+
+
+def team_family(h: Histories, sides: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, list[str]]:
+    """As ``entity_family``, for rows ``rid, role, d, team``."""
+    scored = h.team_innings.where("inning = 1").withColumn("any_run", indicator(F.col("first_inning_runs"), F.col("first_inning_runs") > 0))
     values = ["runs", "hits", "at_bats", "total_bases", "times_on_base", "plate_appearances", "woba_num", "woba_den"]
-    rows = asof_many(rows, "team", "d", [
+    rows = asof_many(sides, "team", "d", [
         History(h.team_games, "team", "game_date", values, TEAM_DAYS, False, "g_"),
         History(scored, "team", "game_date", ["first_inning_runs", "any_run"], (365,), False, "f_"),
-    ])
-    return rows.select(*sides.columns, *entity, *[c.alias(n) for n, c in team.items()]), list(entity), list(team)
+    ], hot_rows)
+    columns = team_columns()
+    return rows.select("rid", "role", *[c.alias(n) for n, c in columns.items()]), list(columns)
 
 
-def build(h: Histories, requests: DataFrame) -> DataFrame:
+def paired(rows: DataFrame, values: Sequence[str]) -> DataFrame:
+    """``_rid`` and the columns ``away_v``, ``home_v`` of the two rows of each request, which meet as neighbours."""
+    sides = rows.select(F.col("rid").alias("_rid"), "role", F.struct(*values).alias("away"))
+    sides = sides.withColumn("home", F.lead("away").over(Window.partitionBy("_rid").orderBy("role"))).where("role = 'away'")
+    return sides.select("_rid", *[F.col(f"{r}.{v}").alias(f"{r}_{v}") for r in ("away", "home") for v in values])
+
+
+def build(h: Histories, requests: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per request (``rid, d, away_pitcher, home_pitcher, away_team, home_team, venue_id, away_lineup,
     home_lineup, is_dome, temp_f, wind_speed, wind_dir, azimuth, humidity, is_doubleheader``) with all
-    feature columns, ``coverage`` and ``missing_count``. ``rid`` names a request and is not repeated."""
+    feature columns, ``coverage`` and ``missing_count``. ``rid`` names a request and is not repeated. ``requests`` is read several
+    times: give a table, not a long derivation."""
     roles = ("away", "home")
-    side = lambda r: F.struct(F.lit(r).alias("role"), F.col(f"{r}_pitcher").alias("entity"), F.col(f"{r}_team").alias("team"), F.col(f"{r}_lineup").alias("members"))
-    both = requests.select("rid", "d", F.explode(F.array(*[side(r) for r in roles])).alias("s"))
-    rows, entity, team = with_families(h, both.select("rid", "d", "s.role", "s.entity", "s.team"))
+    side = lambda r, c, name: requests.select("rid", "d", F.lit(r).alias("role"), F.col(f"{r}_{c}").alias(name))
+    sides = lambda c, name: side("away", c, name).unionByName(side("home", c, name))
     names = {"lineup_top3_woba": ("woba_num", "woba_den"), "lineup_top3_obp": ("times_on_base", "plate_appearances")}
-    lineups = top_members_means(h.batter_games, both.select("rid", "s.role", "d", "s.members"), ["rid", "role"], "members", "d", "batter_id", "game_date", names, FORM_DAYS)
-    values = [*entity, *team]
-    # both sides of a request meet as neighbours, and the request itself joins them once
-    sides = rows.select(F.col("rid").alias("_rid"), "role", F.struct(*values).alias("away"))
-    sides = sides.withColumn("home", F.lead("away").over(Window.partitionBy("_rid").orderBy("role"))).where("role = 'away'")
-    wide = requests.drop(*[f"{r}_lineup" for r in roles]).join(sides.drop("role"), F.col("rid") == F.col("_rid"))
-    wide = wide.join(by_role(lineups, "rid", roles, list(names)).withColumnRenamed("rid", "_lineup_rid"), F.col("rid") == F.col("_lineup_rid"), "left")
+    by_entity, entity = entity_family(h, sides("pitcher", "entity"), hot_rows)
+    by_team, team = team_family(h, sides("team", "team"), hot_rows)
+    lineups = top_members_means(h.batter_games, sides("lineup", "members"), ["rid", "role"], "members", "d", "batter_id", "game_date", names, FORM_DAYS, hot_rows=hot_rows)
     kept = [c for c in requests.columns if not c.endswith("_lineup")]
-    out = wide.select(*kept, *[F.col(f"{r}.{v}").alias(f"{r}_{v}") for r in roles for v in values], *[f"{r}_{v}" for r in roles for v in names])
+    # families meet their request by its id: everything is dealt by it once
+    out = requests.select(*kept)
+    for i, (rows, values) in enumerate(((by_entity, entity), (by_team, team), (lineups, list(names)))):
+        out = out.join(paired(rows, values).withColumnRenamed("_rid", f"_rid{i}"), F.col("rid") == F.col(f"_rid{i}"), "left").drop(f"_rid{i}")
     factors = h.venue_factors.select(F.col("venue_id").alias("_venue"), *[F.col(f"{x}_factor").alias(f"park_{x}_factor") for x in ("runs", "hr", "hits")])
     out = out.join(factors, F.col("venue_id") == F.col("_venue"), "left").drop("_venue")
     families: list[tuple[list[str], Column]] = []

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.features import ENTITY_DAYS, FORM_DAYS, LAST_STARTS, TEAM_DAYS, Histories, build
 from tidemark.plans.views import Tables
+from tidemark.sources.scratch import stage
 
 C = F.col
 
@@ -54,9 +55,13 @@ SIDES = [f"{r}_{c}" for r in ("away", "home") for c in (*PITCHER, "p_missing", *
 FEATURES = [*SIDES, *PARK, "park_missing", *WEATHER, "weather_missing", *CALENDAR]
 
 
+def features(t: Tables) -> DataFrame:
+    """Every order's request columns and features. Requests are a table in use, so the derived ones are written first."""
+    return build(histories(t), stage(requests(t), "requests"))
+
+
 def catalogue(t: Tables) -> DataFrame:
-    out = build(histories(t), requests(t))
-    return out.selectExpr("rid", *[f"round({c}, 8) AS {c}" for c in FEATURES], "round(coverage, 6) AS coverage", "CAST(missing_count AS BIGINT) AS missing_count")
+    return features(t).selectExpr("rid", *[f"round({c}, 8) AS {c}" for c in FEATURES], "round(coverage, 6) AS coverage", "CAST(missing_count AS BIGINT) AS missing_count")
 
 
 def _sql() -> str:

@@ -20,7 +20,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, Log
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, EngineConfig
@@ -30,9 +30,10 @@ from tidemark.operators import vennabers
 from tidemark.operators.asof import coverage
 from tidemark.operators.metrics import baseline, group_rates
 from tidemark.operators.quality import require_target
+from tidemark.plans import grading
 from tidemark.plans.registry import register
-from tidemark.sources.io import ContractError
-from tidemark.sources.scratch import shared_dir
+from tidemark.sources.io import ContractError, append
+from tidemark.sources.scratch import shared_dir, stage
 
 #: ``member(features, label)``; boosted ones also take ``rounds`` for the refit on all rows.
 Member = Callable[..., Estimator]
@@ -193,13 +194,13 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
 
     ``rounds``, if given, gathers the boosting rounds of each member and fold.
     """
-    placed = fold_ops.positions(df.select(key, day, label, *features), day, key).persist()
+    placed = stage(fold_ops.positions(df.select(key, day, label, *features), day, key), "placed")
     table = fold_ops.fold_table(placed, day, config).orderBy("fold").collect()  # one row per fold
     if not table:
         raise ContractError("no fold has enough training rows")
     parts: dict[int, tuple[DataFrame, DataFrame, list[str]]] = {}
     for f in table:
-        train = placed.where((F.col("position") < f["lo"]) & (F.col(day) <= f["cutoff"])).persist()
+        train = placed.where((F.col("position") < f["lo"]) & (F.col(day) <= f["cutoff"]))
         check = placed.where((F.col("position") >= f["lo"]) & (F.col("position") < f["hi"]))
         for part, rows in (("training", train), ("validation", check)):
             if rows.agg(F.countDistinct(label)).first()[0] < 2:
@@ -217,13 +218,12 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
     with ThreadPool(PARALLEL) as pool:  # fits of small folds wait on job latency more than on cores
         models = dict(zip(fits, pool.map(inheritable_thread_target(df.sparkSession)(fit), fits)))
     out = None
-    for fold, (train, check, _) in parts.items():
+    for fold, (_, check, _) in parts.items():
         for name in members:
             if rounds is not None and rounds_of(models[fold, name]):
                 rounds.setdefault(name, []).append(rounds_of(models[fold, name]))
         scored = chained({name: models[fold, name] for name in members}, check, [key, label]).withColumn("fold", F.lit(fold))
         scored = scored.select(key, label, "fold", *members)
-        train.unpersist()
         out = scored if out is None else out.unionByName(scored)
     return out
 
@@ -251,8 +251,8 @@ def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str
     members = dict(members or MEMBERS)
     everyone = members | (candidates or {})
     rounds: dict[str, list[int]] = {}
-    df = df.select(key, day, label, *features).persist()
-    oof = out_of_fold(df, features, label, day, key, everyone, config, rounds).persist()
+    df = stage(df.select(key, day, label, *features), "training-matrix")
+    oof = stage(out_of_fold(df, features, label, day, key, everyone, config, rounds), "out-of-fold")
     kept = list(members)
 
     def loss(names: Sequence[str]) -> float:
@@ -294,12 +294,10 @@ def train_candidate(
     pairs = bundle["oof"].withColumn("model", F.lit(version))
     bundle |= {
         "training_end": ends["last"], "baseline_rate": frozen["rate"], "n": ends["n"],
-        "intervals": vennabers.calibrate(pairs, "model", "stack", label), "rates": group_rates(covered, group, label, config.min_group_rows),
+        "intervals": stage(vennabers.calibrate(pairs, "model", "stack", label), "intervals"), "rates": stage(group_rates(covered, group, label, config.min_group_rows), "rates"),
     }
     if bundle["gate"]:
         save(bundle, path, version, df.sparkSession)
-        bundle["intervals"].write.mode("overwrite").parquet(f"{path}/intervals")
-        bundle["rates"].write.mode("overwrite").parquet(f"{path}/rates")
     report = {"members": bundle["report"], "kept": bundle["kept"], "ablation": bundle["ablation"], "gates_passed": bool(bundle["gate"]), "training_end": str(ends["last"]), "n": ends["n"]}
     figures = bundle["report"]["stack"]
     new = (version, stamp, f"{ends['first']}..{ends['last']}", float(figures["log_loss"]), float(figures["brier"]), bool(bundle["gate"]), json.dumps(report, default=float))
@@ -318,14 +316,43 @@ def score(bundle: dict, df: DataFrame, key: str) -> DataFrame:
     return _scored(bundle["meta"], scored, [key], "raw")
 
 
+def score_slate(
+    bundle: dict, features: DataFrame, key: str, group: str, entities: Sequence[str], counts: tuple[str, str], market: DataFrame, market_keys: Sequence[str], confirmed: Column,
+    predictions: str, version: str, stamp: str, config: EngineConfig = DEFAULT,
+) -> DataFrame:
+    """A slate from its feature rows to stored predictions: members and stack, calibration, shrinkage to the group's rate, market,
+    status and tier, appended to ``predictions``; returns the rows that were appended.
+
+    Every row of ``features`` (with ``coverage``) gets one: a game without an entity, with too little coverage or without a valid
+    probability is stored as blocked.
+    """
+    spark = features.sparkSession
+    raw = score(bundle, features, key).withColumn("_model", F.lit(version))
+    calibrated = vennabers.apply(raw, bundle["intervals"], "_model", "raw").select(F.col(key).alias("_key"), "raw", "p_cal")
+    rows = features.join(calibrated, F.col(key) == F.col("_key"), "left").drop("_key")
+    rates = bundle["rates"].withColumnRenamed(group, "_group").withColumn("_group", F.col("_group").cast("string"))
+    rows = rows.withColumn("_group", F.col(group).cast("string"))
+    scored = grading.score_slate(rows, market, market_keys, rates, "_group", entities, "p_cal", counts, confirmed, F.lit(None).cast("string"), config)
+    known = lambda c: F.when(F.col("status") != "BLOCKED", F.col(c))
+    out = scored.select(
+        key, F.lit(version).alias("model_version"), F.lit(stamp).alias("predicted_at"), known("raw").alias("raw"), known("p_cal").alias("p_cal"), "p_final",
+        F.when(F.col("market_reason").isNull() & (F.col("status") == "OK"), F.col("p_market")).alias("p_market"), "edge", F.coalesce("books_n", F.lit(0)).cast("long").alias("books_n"), "age_s", "coverage", "status", "reason", "tier",
+    )
+    append(out, predictions)
+    return spark.read.schema(out.schema).parquet(predictions).where((F.col("model_version") == version) & (F.col("predicted_at") == stamp))
+
+
 def save(bundle: dict, path: str, version: str, spark) -> None:
-    """Models and their contract under ``path``; a model that failed its gate is refused."""
+    """Models, calibration and rate tables and their contract under ``path``; a model that failed its gate is refused."""
     if not bundle["gate"]:
         raise ContractError(f"{version} failed its gate and is not saved")
     for name, model in bundle["members"].items():
         model.write().overwrite().save(f"{path}/member-{name}")
     bundle["meta"].write().overwrite().save(f"{path}/meta")
-    contract = {"version": version, "features": bundle["features"], "kept": bundle["kept"], "gate": bool(bundle["gate"])}
+    tables = [n for n in ("intervals", "rates") if n in bundle]
+    for n in tables:
+        bundle[n].write.mode("overwrite").parquet(f"{path}/{n}")
+    contract = {"version": version, "features": bundle["features"], "kept": bundle["kept"], "gate": bool(bundle["gate"]), "tables": tables}
     contract |= {"training_end": str(bundle.get("training_end")), "baseline_rate": bundle.get("baseline_rate")}
     spark.createDataFrame([(json.dumps(contract),)], "contract string").coalesce(1).write.mode("overwrite").text(f"{path}/contract")
 
@@ -336,4 +363,5 @@ def load(path: str, version: str, features: Sequence[str], spark) -> dict:
     if contract["version"] != version or contract["features"] != list(features) or not contract["gate"]:
         raise ContractError(f"model {contract['version']} does not fit the contract of {version}")
     members = {m: PipelineModel.load(f"{path}/member-{m}") for m in contract["kept"]}
-    return {"members": members, "meta": PipelineModel.load(f"{path}/meta"), **contract}
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in contract["tables"]}
+    return {"members": members, "meta": PipelineModel.load(f"{path}/meta"), **tables, **contract}

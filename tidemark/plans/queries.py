@@ -18,7 +18,7 @@ from tidemark.operators.feature_state import FeatureState
 from tidemark.plans import catalogue, grading, registry
 from tidemark.plans.views import NOW, Tables, with_views
 from tidemark.sources import io, nested
-from tidemark.sources.scratch import new_path
+from tidemark.sources.scratch import new_path, stage
 from tidemark.sources.tables import KeyedTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1018,18 +1018,45 @@ def _(t):
 
 # ---- models -------------------------------------------------------------------------------------
 
-_bundles: dict[tuple[str, str], dict] = {}
+_bundles: dict[tuple, dict] = {}
 
+#: What the stack learns, of the columns of the feature catalogue.
+MODEL_FEATURES = [
+    "away_p_career_era", "away_p_career_whip", "away_p_30d_era", "away_p_fi_ra9", "home_p_career_era", "away_t_season_woba", "away_t_30d_rpg",
+    "home_t_season_woba", "home_t_30d_rpg", "park_runs_factor", "temp_f", "wind_out_component",
+]
+#: The orders' days stand for the training period; stand-ins lack many values, so that little coverage is asked of them.
+TRAINING = replace(DEFAULT, train_start=date(1995, 1, 1), train_end=date(2001, 12, 31), min_coverage=0.25)
+#: Targets by version: what an order comes to, which nothing tells in advance, and a rule on two features.
+TARGETS = {"order": "CAST(o_totalprice > 200000 AS INT)", "rule": "CAST(coalesce(park_runs_factor, 0) > 2.2 AND coalesce(temp_f, 0) < 75 AS INT)"}
+
+
+def slate(t: Tables) -> DataFrame:
+    """Every order with its features by the catalogue, its target by either version, and what scoring needs."""
+    built = catalogue.features(t).join(t.orders.select("o_orderkey", "o_totalprice", "o_custkey"), C("rid") == C("o_orderkey"))
+    counts = [F.coalesce(f"{side}_p_fi_games", F.lit(0.0)).alias(f"{side}_n") for side in ("away", "home")]
+    return built.select("rid", "d", "venue_id", "away_pitcher", "coverage", C("o_custkey").alias("matchup"), *MODEL_FEATURES, *counts, *[F.expr(e).alias(f"y_{v}") for v, e in TARGETS.items()])
 
-def bundle(t: Tables) -> dict:
-    """The stack trained on the training matrix, once per session and folder."""
+
+def bundle(t: Tables, version: str = "order") -> dict:
+    """A training run on the feature catalogue, from its gates to its registry row, once per folder and target. Only the last
+    folder's are kept."""
     from tidemark.plans import model
 
-    key = (t.spark.sparkContext.applicationId, t.folder)
-    if key not in _bundles:
-        rows = feat(t).where(A.coverage(FEATS) >= 0.5)
-        _bundles[key] = model.train(rows, FEATS, "label", "d", "rid", candidates={"forest": model.forest_member})
-    return _bundles[key]
+    folder = (t.spark.sparkContext.applicationId, t.folder)
+    for key in [k for k in _bundles if k[:2] != folder]:
+        del _bundles[key]
+    if (*folder, "slate") not in _bundles:
+        _bundles[*folder, "slate"] = {"rows": stage(slate(t), "slate")}
+    if (*folder, version) not in _bundles:
+        rows = _bundles[*folder, "slate"]["rows"]
+        empty = t.spark.createDataFrame([], "model_version string, trained_at string, train_range string, cv_log_loss double, cv_brier double, gates_passed boolean, gate_report string, status string")
+        # a rule can be learnt without end, so its boosting is cut
+        more = {"candidates": {"forest": model.forest_member}} if version == "order" else {"members": {"boosted": lambda f, y, rounds=None: model.boosted_member(f, y, rounds, 12), "linear": model.linear_member}}
+        path = _scratch(t, f"model-{version}")
+        registered, trained = model.train_candidate(rows, MODEL_FEATURES, f"y_{version}", "d", "rid", "venue_id", empty, path, version, NOW, config=TRAINING, **more)
+        _bundles[*folder, version] = trained | {"registry": stage(registered, "registry"), "path": path, "rows": rows}
+    return _bundles[*folder, version]
 
 
 def _figures(t: Tables, names) -> DataFrame:
@@ -1040,7 +1067,7 @@ def _figures(t: Tables, names) -> DataFrame:
 query("l01_boosted_member")(lambda t: bundle(t)["oof"].select("rid", "fold", "boosted"))
 query("l03_linear_member")(lambda t: bundle(t)["oof"].select("rid", "fold", "linear"))
 query("l05_out_of_fold")(lambda t: bundle(t)["oof"].drop("stack"))
-query("l06_stack")(lambda t: bundle(t)["oof"].select("rid", "label", "stack"))
+query("l06_stack")(lambda t: bundle(t)["oof"].select("rid", C("y_order").alias("label"), "stack"))
 query("l07_stack_report")(lambda t: _figures(t, ("boosted", "linear", "forest", "stack", "constant")))
 query("k01_pluggable_member")(lambda t: bundle(t)["oof"].select("rid", "forest"))
 
@@ -1072,32 +1099,36 @@ query("l09_interval_width", f"SELECT event_id, round(p1 - p0, 6) AS width FROM {
 
 @query("l10_scoring")
 def _(t):
+    """Every order's probability by the stack of the rule, calibrated by what it scored out of fold."""
     from tidemark.plans import model
 
-    rows = feat(t).where(A.coverage(FEATS) >= 0.5)
-    scored = model.score(bundle(t), rows, "rid").withColumn("model", F.lit("m"))
-    table = vennabers.calibrate(bundle(t)["oof"].withColumn("model", F.lit("m")), "model", "stack", "label")
-    out = vennabers.apply(scored, table, "model", "raw")
+    b = bundle(t, "rule")
+    out = vennabers.apply(model.score(b, b["rows"], "rid").withColumn("model", F.lit("rule")), b["intervals"], "model", "raw")
     return out.select("rid", "raw", "p_cal", X.probability(C("p_cal")).alias("valid"))
 
 
 @query("l11_save_load")
 def _(t):
+    """The whole stack of each target: what passed its gate is loaded and scores alike, what failed was not saved and is refused."""
     from tidemark.plans import model
 
-    rows = feat(t).where(A.coverage(FEATS) >= 0.5)
-    # a target that the features tell, so that the gate passes
-    known = rows.withColumn("label", (F.coalesce("f3", F.lit(0.0)) > 150_000).cast("int"))
-    b = model.train(known, FEATS, "label", "d", "rid", members={"linear": model.linear_member})
-    try:
-        model.save(b | {"gate": False}, _scratch(t, "l11-refused"), "v1", t.spark)
-        refused = False
-    except io.ContractError:
-        refused = True
-    model.save(b, path := _scratch(t, "l11"), "v1", t.spark)
-    loaded = model.load(path, "v1", b["features"], t.spark)
-    a = model.score(b, rows, "rid").join(model.score(loaded, rows, "rid").withColumnRenamed("raw", "again"), "rid")
-    return a.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(C("raw") - C("again"))).alias("largest_difference"), F.lit(refused).alias("failed_gate_refused"))
+    out = []
+    for version in TARGETS:
+        b = bundle(t, version)
+        refused, differs = None, F.lit(None).cast("double")
+        scored = model.score(b, b["rows"], "rid")
+        if b["gate"]:
+            loaded = model.load(b["path"], version, b["features"], t.spark)
+            scored = scored.join(model.score(loaded, b["rows"], "rid").withColumnRenamed("raw", "again"), "rid")
+            differs = F.max(F.abs(C("raw") - C("again")))
+        else:
+            try:
+                model.save(b, _scratch(t, "refused"), version, t.spark)
+                refused = False
+            except io.ContractError:
+                refused = True
+        out.append(scored.agg(F.count(F.lit(1)).alias("n"), differs.alias("largest_difference")).select(F.lit(version).alias("model_version"), F.lit(bool(b["gate"])).alias("gate"), F.lit(",".join(b["kept"])).alias("members"), "n", "largest_difference", F.lit(refused).cast("boolean").alias("refused")))
+    return reduce(DataFrame.unionByName, out)
 
 
 HELD = f"(SELECT avg({LOSS}) AS loss, avg({BRIER}) AS brier, avg(-ln(0.5) + 0 * y) AS base_loss, avg(0.25 + 0 * y) AS base_brier, count(*) AS n FROM grades WHERE graded_at >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY)"
@@ -1213,13 +1244,19 @@ def _(t):
 
 @query("n05_train_candidate")
 def _(t):
+    """Registry rows of the training runs on both targets: the whole stack, its gate passed or refused by its figures."""
+    rows = reduce(DataFrame.unionByName, [bundle(t, version)["registry"] for version in TARGETS])
+    return rows.select("model_version", "status", "train_range", r("cv_log_loss").alias("cv_log_loss"), r("cv_brier").alias("cv_brier"), "gates_passed", C("gate_report").isNotNull().alias("reported"))
+
+
+@query("n03_slate_end_to_end")
+def _(t):
+    """Every order as a slate: catalogue features, the stack, calibration, shrinkage, market and status, appended and read back."""
     from tidemark.plans import model
 
-    # the orders' days stand for the training period, their customers for venues
-    config = replace(DEFAULT, train_start=date(1995, 1, 1), train_end=date(2001, 12, 31))
-    empty = t.spark.createDataFrame([], "model_version string, trained_at string, train_range string, cv_log_loss double, cv_brier double, gates_passed boolean, gate_report string, status string")
-    rows, _ = model.train_candidate(feat(t), FEATS, "label", "d", "rid", "k", empty, _scratch(t, "n05"), "v1", NOW, members={"linear": model.linear_member}, config=config)
-    return rows.select("model_version", "status", "train_range", r("cv_log_loss").alias("cv_log_loss"), r("cv_brier").alias("cv_brier"), "gates_passed", C("gate_report").isNotNull().alias("reported"))
+    b = bundle(t, "rule")
+    rows = b["rows"].where("d IS NOT NULL")
+    return model.score_slate(b, rows, "rid", "venue_id", ["away_pitcher"], ("away_n", "home_n"), consensus(t), ["matchup"], C("rid") % 2 == 0, _scratch(t, "n03"), "rule", NOW, replace(DAY, min_coverage=0.3))
 
 
 @query("n06_monitoring", f"SELECT 'summary' AS kind, count(*) AS n, round(avg({BRIER}), 6) AS value FROM grades UNION ALL SELECT 'alerts', count(*), NULL FROM (SELECT floor(p * 10) FROM {TAIL} g WHERE p < 1 AND (SELECT count(*) FROM {TAIL} z) >= 100 GROUP BY 1 HAVING count(*) >= 20 AND abs(avg(p) - avg(CAST(y AS DOUBLE))) > 0.07) a")
