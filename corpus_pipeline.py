@@ -58,8 +58,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packing),
 ]
 
-#: The classifier has no SQL form. The tests hold every stage against the operator that it calls, and the operators but
-#: the classifier against brute force; a brute-force version of the whole does not exist yet.
+#: The classifier has no SQL form. The tests hold every stage against the operator that it calls, and the whole against a
+#: brute-force version on planted documents.
 ORACLE_SQL: str | None = None
 
 
