@@ -373,6 +373,17 @@ def test_unigram_counts():
         assert token_counts.PieceCounter(vocab).texts(pa.array(texts)).tolist() == want
 
 
+def test_long_words_keep_few_places(monkeypatch):
+    vocab = token_counts.sentencepiece_vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    counter = token_counts.PieceCounter(vocab)
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdeé日 ".replace(" ", "x")), n)) for n in (1, 90, 999, 1001, 5000)]
+    want = counter.counts(words).tolist()
+    monkeypatch.setattr(token_counts, "KEPT_PLACES", 10)
+    again = token_counts.PieceCounter(vocab)
+    assert again.counts(words).tolist() == want == [counter.count("▁" + w) for w in words] and set(again.known) == set(words[:3])
+
+
 def test_token_counts_odd_cases(spark, corpus):
     path = tokenizer_path("piece_bpe_32k.model")
     got = token_counts.token_counts(docs_of(spark, corpus), path).collect()

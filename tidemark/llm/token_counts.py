@@ -8,7 +8,8 @@ piece covers costs the lowest score less 10, and counts as its UTF-8 bytes under
 else once per run of such characters.
 
 Text is split as its metaspace pre-tokenizer splits it, at every blank, and each distinct word is
-counted once per process, up to a bound.
+counted once per process, up to a bound. A word of any length, such as a text without blanks, takes memory for the places that a
+piece can still reach back to.
 
 Results in odd cases: null and empty texts have 0 pieces; a null id is carried through; repeated
 rows are counted each; an empty table gives an empty result. Columns besides id and text are not
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 
 BLANK, UNKNOWN_PENALTY = "▁", 10.0
 CHUNK_BYTES, MEMO_WORDS = 8 << 20, 600_000
+#: Places of a word that are kept at a time, and characters of the longest word whose count is kept.
+KEPT_PLACES, MEMO_CHARS = 1 << 14, 1000
 
 
 def sentencepiece_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -52,41 +55,50 @@ class PieceCounter:
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(piece) for piece, _ in vocabulary), default=1)
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         self.byte_fallback, self.most, self.known = byte_fallback, most, {}
 
     def count(self, word: str) -> int:
         """Pieces of the best path through ``word``, whose blanks are already replaced."""
-        n = len(word)
-        best, pieces, dark = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        hits: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, hit in self.automaton.iter(word):
-            hits[end].append(hit)
+        n, base = len(word), 0
+        best, pieces, dark = [0.0], [0], [False]  # of the places from ``base`` on
+        hits = self.automaton.iter(word)
+        hit = next(hits, None)
         for end in range(1, n + 1):
+            here = []
+            while hit is not None and hit[0] < end:
+                here.append(hit[1])
+                hit = next(hits, None)
             found, single = None, False
-            for length, score in sorted(hits[end - 1], reverse=True):
-                start = end - length
+            for length, score in sorted(here, reverse=True) if len(here) > 1 else here:
+                start = end - length - base
                 single = single or length == 1
                 total = score + best[start]
                 if found is None or total > found:
                     found, count, unknown = total, pieces[start] + 1, False
             if not single:
-                start = end - 1
-                total = self.unknown + best[start]
+                total = self.unknown + best[-1]
                 if found is None or total > found:
-                    size = len(word[start].encode("utf-8", "surrogatepass")) if self.byte_fallback else 0 if dark[start] else 1
-                    found, count, unknown = total, pieces[start] + size, True
-            best[end], pieces[end], dark[end] = found, count, unknown
-        return pieces[n]
+                    size = len(word[end - 1].encode("utf-8", "surrogatepass")) if self.byte_fallback else 0 if dark[-1] else 1
+                    found, count, unknown = total, pieces[-1] + size, True
+            best.append(found)
+            pieces.append(count)
+            dark.append(unknown)
+            if len(best) > KEPT_PLACES and len(best) > 2 * self.longest:  # no piece starts further back than the longest
+                gone = len(best) - self.longest
+                del best[:gone], pieces[:gone], dark[:gone]
+                base += gone
+        return pieces[-1]
 
     def counts(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > self.most:
             known.clear()
         for word in words:
-            if word not in known:
+            if word not in known and len(word) <= MEMO_CHARS:
                 known[word] = self.count(BLANK + word)
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        return np.fromiter((known[w] if len(w) <= MEMO_CHARS else self.count(BLANK + w) for w in words), np.int64, len(words))
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         """Pieces of each text."""
