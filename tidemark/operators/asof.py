@@ -108,6 +108,11 @@ class History:
         known = known.withColumnsRenamed({f"_rest{i}_{len(GRIDS)}": f"_p{i}_{len(GRIDS)}" for i, _ in split})
         return known.groupBy("_k", "_d").agg(*[F.expr(e).alias(n) for n, e in self.totals().items()])
 
+    def zero(self) -> str:
+        """SQL of the state before the first row."""
+        zeros = {n: "0D" if n.startswith("p") and not self.whole(self.values[int(n[1:].partition("_")[0])]) else "0L" for n in self.totals()}
+        return "named_struct('day', 0, " + ", ".join(f"'{n}', {z}" for n, z in zeros.items()) + ")"
+
     def states(self) -> DataFrame:
         """``_k, _d`` and, packed, what a lookup finds from that day on: the totals up to it, and the day."""
         upto = "OVER (PARTITION BY _k ORDER BY _d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -115,20 +120,20 @@ class History:
         return running.select("_k", "_d", F.struct(F.col("_d").alias("day"), *self.totals()).alias(f"_of_{self.name}"))
 
     def outputs(self) -> list[str]:
-        """SQL of the columns of all frames, from the states found at ends and starts."""
+        """SQL of the columns of all frames, from the states found at ends (null where there is none) and at starts (``zero``)."""
         out, end = [], f"_at_{self.name}_0"
         for w, n in self.frames().items():
             start = n and f"_at_{self.name}_{n}"
-            since = lambda field: f"{end}.{field}" if start is None else f"({end}.{field} - coalesce({start}.{field}, 0))"  # noqa: E731, B023
+            since = lambda field: f"{end}.{field}" if start is None else f"({end}.{field} - {start}.{field})"  # noqa: E731, B023
             n_rows = since("rows")
             out.append(f"nullif({n_rows}, 0) AS `{self.name}{w}_rows`")
             for i, v in enumerate(self.values):
                 if self.whole(v):
                     total = f"CAST({since(f'p{i}_0')} AS DOUBLE)"
                 else:
-                    total, odd = " + ".join(since(f"p{i}_{j}") for j in range(len(GRIDS) + 1)), since(f"o{i}")
+                    odd = since(f"o{i}")
                     beyond = f"IF({odd} % 4294967296 = 0, double('-inf'), IF({odd} < 4294967296, double('inf'), double('nan')))"
-                    total = f"IF({odd} = 0, {total}, {beyond})"
+                    total = f"IF({odd} = 0, {' + '.join(since(f'p{i}_{j}') for j in range(len(GRIDS) + 1))}, {beyond})"
                 out.append(f"IF({n_rows} > 0, {total}, NULL) AS `{self.name}{w}_{v}`")
                 out.append(f"nullif({since(f'c{i}')}, 0) AS `{self.name}{w}_{v}_n`")
         return out
@@ -201,7 +206,13 @@ def _before(requests: DataFrame, key: str, day: str, histories: Sequence[History
             states = states.join(F.broadcast(hot), "_k", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
         rows = rows.unionByName(states, allowMissingColumns=True)
     found = [f"last(`_of_{h.name}`, true) {_over(f'{n + 1} PRECEDING')} AS `_at_{h.name}_{n}`" for h in histories for n in sorted({0, *h.starts()})]
-    return rows.selectExpr("_asked", *found).where("_asked IS NOT NULL")
+    return _from_zero(rows.selectExpr("_asked", *found).where("_asked IS NOT NULL"), histories)
+
+
+def _from_zero(found: DataFrame, histories: Sequence[History | LastRows]) -> DataFrame:
+    """``found`` with the state before the first row at starts that lie before a history."""
+    starts = {f"_at_{h.name}_{n}": F.expr(f"coalesce(`_at_{h.name}_{n}`, {h.zero()})") for h in histories for n in h.starts()}
+    return found.withColumns(starts) if starts else found
 
 
 def asof_many(requests: DataFrame, key: str, day: str, histories: Sequence[History | LastRows], hot_rows: int = HOT_ROWS) -> DataFrame:

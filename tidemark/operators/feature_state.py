@@ -20,7 +20,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import History, day_number
+from tidemark.operators.asof import History, _from_zero, day_number
 from tidemark.sources.io import ContractError
 from tidemark.sources.tables import KeyedTable
 
@@ -94,4 +94,4 @@ class FeatureState:
         state = F.struct(F.col("_last").alias("day"), *self.fields)
         found = totals.groupBy("_k", "_at").agg(F.map_from_entries(F.collect_list(F.struct("_n", state.alias("s")))).alias("_found"))  # one per frame border
         joined = asked.join(found, ["_k", "_at"], "left").select("_asked", *[F.col("_found")[n].alias(f"_at_{h.name}_{n}") for n in borders])
-        return joined.selectExpr("_asked.*", *h.outputs(), f"date_add(DATE'1970-01-01', `_at_{h.name}_0`.day) AS prev_day")
+        return _from_zero(joined, [h]).selectExpr("_asked.*", *h.outputs(), f"date_add(DATE'1970-01-01', `_at_{h.name}_0`.day) AS prev_day")
