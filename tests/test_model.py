@@ -90,3 +90,23 @@ def test_chained_scores_equal_single_ones(spark, rows):
     got = {r["id"]: (r["one"], r["two"]) for r in model.chained(fits, rows, ["id"]).collect()}
     for k, name in enumerate(fits):
         assert {i: v[k] for i, v in got.items()} == pytest.approx({r["id"]: r[name] for r in model._scored(fits[name], rows, ["id"], name).collect()})
+
+
+def test_a_failed_gate_is_registered_and_not_saved(spark, rows, tmp_path):
+    """A member that knows nothing leaves the stack at the constant's loss: the run ends as rejected, without files."""
+    from pyspark.sql import functions as F
+
+    data = rows.withColumns({"one": F.lit(1.0), "g": F.col("id") % 3})
+    config = replace(CONFIG, folds=1, train_start=date(2023, 1, 1), train_end=date(2024, 12, 31), min_coverage=0.5)
+    empty = spark.createDataFrame([], "model_version string, trained_at string, train_range string, cv_log_loss double, cv_brier double, gates_passed boolean, gate_report string, status string")
+    run = lambda features, path: model.train_candidate(data, features, "y", "d", "id", "g", empty, path, "v", "now", members={"linear": model.linear_member}, config=config)
+    registered, bundle = run(["one"], f"{tmp_path}/bad")
+    row = registered.first()
+    assert not bundle["gate"] and (row["status"], row["gates_passed"]) == ("rejected", False) and row["gate_report"] and not (tmp_path / "bad").exists()
+    with pytest.raises(ContractError):
+        model.save(bundle, f"{tmp_path}/bad", "v", spark)
+    registered, bundle = run(["a", "b"], f"{tmp_path}/good")
+    row = registered.first()
+    assert bundle["gate"] and (row["status"], row["gates_passed"]) == ("candidate", True)
+    loaded = model.load(f"{tmp_path}/good", "v", bundle["features"], spark)
+    assert loaded["intervals"].count() == bundle["intervals"].count() and loaded["rates"].count() == 3
