@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_path, salted_join, stage
@@ -114,13 +114,15 @@ def write_blocks(
 
 
 def recurring(blocks: DataFrame) -> DataFrame:
-    """``block, anchor, times, home`` for the anchors of each block that occur anywhere else, or twice here;
-    ``home`` is the block that speaks for the anchor. A block has an anchor once, however often it holds it."""
+    """``block, anchor, times, home, blocks`` for the anchors of each block that occur anywhere else, or twice here;
+    ``home`` is the block that speaks for the anchor, ``blocks`` the number that have it. A block has an anchor once, however
+    often it holds it. Anchors are counted map-side, and blocks find their counts by a join that deals out anchors of very many
+    blocks, so no task holds all blocks of one."""
     each = blocks.select("block", F.explode(F.arrays_zip("anchors", "again")).alias("x"))
     each = each.select("block", F.col("x.anchors").alias("anchor"), F.col("x.again").cast("int").alias("again"))
-    own = Window.partitionBy("anchor")
-    marked = each.withColumns({"times": F.sum(F.lit(1) + F.col("again")).over(own), "home": F.min("block").over(own), "blocks": F.count(F.lit(1)).over(own)})
-    return marked.where("times > 1").select("block", "anchor", "times", "home", "blocks")
+    counts = each.groupBy("anchor").agg(F.sum(F.lit(1) + F.col("again")).alias("times"), F.min("block").alias("home"), F.count(F.lit(1)).alias("blocks"))
+    counts = stage(counts.where("times > 1"), "anchor-counts")
+    return salted_join(each.select("block", "anchor"), counts, ["anchor"], "blocks", ["block"])
 
 
 def by_block(blocks: DataFrame, rows: DataFrame, folder: str, work, columns: list[str], schema: str) -> DataFrame:
