@@ -198,3 +198,15 @@ def test_a_slate_reads_the_slices_of_its_frames(spark, tmp_path):
     slots = {f.split("_slot=")[1].split("/")[0] for f in got.inputFiles()}
     assert len(slots) == 2  # of the month of the day and its week before, and of the month a year before
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, A.asof(rows.where("d < DATE'2023-11-21'"), slate, "k", "d", ["x"], (7, 365)).collect()))
+
+
+def test_stored_totals_are_not_broadcast(spark, tmp_path):
+    """Slices are small as files and large in memory: no join sends them through the driver."""
+    from tidemark.operators.feature_state import FeatureState
+
+    rows = spark.range(0, 400).select((F.col("id") % 50).cast("int").alias("k"), F.expr("date_add(DATE'2020-01-01', CAST(id % 90 AS INT))").alias("d"), F.lit(1.0).alias("x"))
+    state = FeatureState(spark, f"{tmp_path}/state", A.History(rows, "k", "d", ["x"], (7, 365), True))
+    state.extend(rows)
+    got = state.read(rows.select("k", "d"), "k", "d")
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
