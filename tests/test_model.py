@@ -110,3 +110,18 @@ def test_a_failed_gate_is_registered_and_not_saved(spark, rows, tmp_path):
     assert bundle["gate"] and (row["status"], row["gates_passed"]) == ("candidate", True)
     loaded = model.load(f"{tmp_path}/good", "v", bundle["features"], spark)
     assert loaded["intervals"].count() == bundle["intervals"].count() and loaded["rates"].count() == 3
+
+
+def test_a_round_of_boosting_costs_a_job_a_level(spark, rows):
+    """Rows are binned once, and dealt by their number: no round plans, scans or stores the rows anew."""
+    from pyspark.sql import functions as F
+
+    part = rows.select("a", "b", "y", (F.col("id") % 4 == 0).alias("_held")).repartition(16)
+    assert model._dealt(part).rdd.getNumPartitions() == 1
+    spark.sparkContext.setJobGroup("boosting", "20 rounds")
+    try:
+        member = model.BoostedTrees(["a", "b"], "y", most=20, patience=20)
+        member.fit(part)
+        assert len(member.losses) == 20 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("boosting")) <= 20 * 7 + 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
