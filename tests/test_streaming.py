@@ -91,3 +91,41 @@ def test_stream_upserts_touch_their_buckets(spark, feed):
     add((102, 3, 7, "b", 1))  # older than what is stored
     run()
     assert table.read().where("user_id = 7").first()["event_id"] == 100
+
+
+def test_the_state_is_asked_per_matchup_and_not_per_row():
+    """A thousand rows of two books cost one read of the state and two writes; a stored newer quote stays, one too old leaves."""
+    import pandas as pd
+
+    from tidemark.streaming.snapshots import ConsensusProcessor
+
+    class Books(dict):
+        calls = 0
+
+        def __getattribute__(self, name):
+            if name in ("exists", "iterator", "containsKey", "getValue", "updateValue", "removeKey"):
+                Books.calls += 1
+            return super().__getattribute__(name)
+
+        exists = dict.__len__
+        containsKey = dict.__contains__
+        getValue = dict.__getitem__
+        updateValue = dict.__setitem__
+        removeKey = dict.__delitem__
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Handle(set):
+        listTimers, registerTimer, deleteTimer = set.copy, set.add, set.remove
+
+    class Time:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    processor = ConsensusProcessor(100.0, 2)
+    processor.books, processor.handle = Books({("old",): (800.0, 0.9), ("b",): (1000.0, 0.4)}), Handle({900_001})
+    rows = pd.DataFrame({"book": ["a", "b"] * 500, "at": [500.0 + i / 2 for i in range(1000)], "p": [0.2, 0.8] * 500})
+    (got,) = processor.handleInputRows((7,), iter([rows[:600], rows[600:]]), Time)
+    assert got.iloc[0].tolist() == [7, 1000.0, 2, pytest.approx(0.3)]
+    assert dict(processor.books) == {("a",): (999.0, 0.2), ("b",): (1000.0, 0.4)} and set(processor.handle) == {1_099_001}
+    assert Books.calls <= 6

@@ -55,31 +55,43 @@ class ConsensusProcessor(StatefulProcessor):
         self.handle = handle
         self.books = handle.getMapState("books", T.StructType().add("book", "string"), T.StructType().add("at", "double").add("p", "double"))
 
-    def _settled(self, key, timers) -> pd.DataFrame:
-        """Drop what is too old, set the timer, and tell what is left."""
-        held = [(k[0], v[0], v[1]) for k, v in self.books.iterator()]
-        now = max([timers.getCurrentWatermarkInMs() / 1000, *[at for _, at, _ in held]])
-        fresh = [q for q in held if now - q[1] <= self.max_age]
-        for book, at, _ in held:
-            if now - at > self.max_age:
+    def _stored(self) -> dict[str, tuple[float, float]]:
+        """Quotes by book. The state is another process's: it is asked once for all of a matchup's books, not for each row."""
+        return {k[0]: (v[0], v[1]) for k, v in self.books.iterator()} if self.books.exists() else {}
+
+    def _settled(self, key, timers, stored: dict, held: dict) -> pd.DataFrame:
+        """Drop what is too old, store what has changed, set the timer, and tell what is left."""
+        now = max([timers.getCurrentWatermarkInMs() / 1000, *[at for at, _ in held.values()]])
+        fresh = {book: quote for book, quote in held.items() if now - quote[0] <= self.max_age}
+        for book in stored:
+            if book not in fresh:
                 self.books.removeKey((book,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if fresh:
-            self.handle.registerTimer(math.floor((min(at for _, at, _ in fresh) + self.max_age) * 1000) + 1)
-        median = float(pd.Series([p for _, _, p in fresh]).median()) if len(fresh) >= self.least else None
+        for book, quote in fresh.items():
+            if stored.get(book) is not quote:
+                self.books.updateValue((book,), quote)
+        wanted = [math.floor((min(at for at, _ in fresh.values()) + self.max_age) * 1000) + 1] if fresh else []
+        known = list(self.handle.listTimers())
+        for timer in known:
+            if timer not in wanted:
+                self.handle.deleteTimer(timer)
+        for timer in wanted:
+            if timer not in known:
+                self.handle.registerTimer(timer)
+        median = float(pd.Series([p for _, p in fresh.values()]).median()) if len(fresh) >= self.least else None
         return pd.DataFrame({"matchup": [key[0]], "as_of": [now], "books_n": [len(fresh)], "p_market": [median]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self._stored()
+        held = dict(stored)
         for pdf in rows:
             for book, at, p in zip(pdf["book"], pdf["at"], pdf["p"]):
-                held = self.books.getValue((book,)) if self.books.exists() and self.books.containsKey((book,)) else None
-                if held is None or at > held[0]:
-                    self.books.updateValue((book,), (float(at), float(p)))
-        yield self._settled(key, timerValues)
+                if book not in held or at > held[book][0]:
+                    held[book] = float(at), float(p)
+        yield self._settled(key, timerValues, stored, held)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settled(key, timerValues)
+        stored = self._stored()
+        yield self._settled(key, timerValues, stored, stored)
 
     def close(self) -> None:
         pass
