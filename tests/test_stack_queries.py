@@ -142,3 +142,34 @@ def test_a_slate_from_end_to_end(ask, bundles):
         else:
             assert r["status"] == "DEGRADED" and r["edge"] is None and r["tier"] == "LOW" and r["reason"].split("_")[0] in ("no", "books", "odds")
     assert {"BLOCKED", "DEGRADED"} <= seen
+
+
+def test_a_query_learns_what_it_returns(spark, ask, bundles, monkeypatch):
+    """L01 and L03 learn their member over the folds and score as the whole stack does; L05 then learns only what is missing."""
+    want = {name: {r["rid"]: r[column] for r in ask(name)} for name, column in (("l03_linear_member", "linear"), ("l01_boosted_member", "boosted"))}
+    counts: dict[str, int] = {}
+
+    def counted(name, make):
+        def member(*a, **b):
+            counts[name] = counts.get(name, 0) + 1
+            return make(*a, **b)
+
+        return member
+
+    every = {"boosted": counted("boosted", model.boosted_member), "linear": counted("linear", model.linear_member)}
+    monkeypatch.setattr(model, "MEMBERS", every)
+    monkeypatch.setattr(model, "forest_member", counted("forest", model.forest_member))
+    kept = dict(queries._bundles)
+    for key in [k for k in kept if k[-1] != "slate"]:
+        del queries._bundles[key]
+    try:
+        n = len({r["fold"] for r in ask("l05_out_of_fold")})
+        assert {r["rid"]: r["linear"] for r in QUERIES["l03_linear_member"](spark, FOLDER).collect()} == pytest.approx(want["l03_linear_member"])
+        assert counts == {"linear": n}
+        QUERIES["l01_boosted_member"](spark, FOLDER).collect()
+        assert counts == {"linear": n, "boosted": n}
+        QUERIES["l05_out_of_fold"](spark, FOLDER).collect()
+        assert counts == {"linear": n, "boosted": n, "forest": n}
+    finally:
+        queries._bundles.clear()
+        queries._bundles.update(kept)

@@ -36,6 +36,8 @@ from tidemark.sources.scratch import shared_dir, stage
 
 #: ``member(features, label)``; boosted ones also take ``rounds`` for the refit on all rows.
 Member = Callable[..., Estimator]
+#: Models by fold and member; fold 0 stands for all rows.
+Fits = dict[tuple[int, str], PipelineModel]
 
 
 def _prepared(features: Sequence[str], *last) -> Pipeline:
@@ -192,11 +194,13 @@ def rounds_of(model: PipelineModel) -> int | None:
     return last.getNumTrees if isinstance(last, GBTClassificationModel) else None
 
 
-def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, key: str, members: dict[str, Member], config: EngineConfig = DEFAULT, rounds: dict[str, list[int]] | None = None) -> DataFrame:
+def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, key: str, members: dict[str, Member], config: EngineConfig = DEFAULT, rounds: dict[str, list[int]] | None = None, fits: Fits | None = None) -> DataFrame:
     """``key, label, fold`` and one score column per member, for validation rows of every fold.
 
-    ``rounds``, if given, gathers the boosting rounds of each member and fold.
+    ``rounds``, if given, gathers the boosting rounds of each member and fold. ``fits``, if given, keeps the models: those of the same
+    rows that it holds are not learnt again.
     """
+    fits = {} if fits is None else fits
     placed = stage(fold_ops.positions(df.select(key, day, label, *features), day, key), "placed")
     table = fold_ops.fold_table(placed, day, config).orderBy("fold").collect()  # one row per fold
     if not table:
@@ -209,7 +213,7 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
             if rows.agg(F.countDistinct(label)).first()[0] < 2:
                 raise ContractError(f"fold {f['fold']}: its {part} rows have one class only")
         parts[f["fold"]] = train, check, observed(train, features)
-    fits = [(fold, name) for name in members for fold in reversed(parts)]  # the longest first: large folds, and members that boost
+    new = [(fold, name) for name in members for fold in reversed(parts) if (fold, name) not in fits]  # the longest first: large folds, and members that boost
 
     def fit(task: tuple[int, str]) -> PipelineModel:
         train, check, names = parts[task[0]]
@@ -219,13 +223,13 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
         return member.fit(train)
 
     with ThreadPool(PARALLEL) as pool:  # fits of small folds wait on job latency more than on cores
-        models = dict(zip(fits, pool.map(inheritable_thread_target(df.sparkSession)(fit), fits)))
+        fits.update(zip(new, pool.map(inheritable_thread_target(df.sparkSession)(fit), new)))
     out = None
     for fold, (_, check, _) in parts.items():
         for name in members:
-            if rounds is not None and rounds_of(models[fold, name]):
-                rounds.setdefault(name, []).append(rounds_of(models[fold, name]))
-        scored = chained({name: models[fold, name] for name in members}, check, [key, label]).withColumn("fold", F.lit(fold))
+            if rounds is not None and rounds_of(fits[fold, name]):
+                rounds.setdefault(name, []).append(rounds_of(fits[fold, name]))
+        scored = chained({name: fits[fold, name] for name in members}, check, [key, label]).withColumn("fold", F.lit(fold))
         scored = scored.select(key, label, "fold", *members)
         out = scored if out is None else out.unionByName(scored)
     return out
@@ -249,13 +253,24 @@ def report(scores: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     return rows.unionByName(constant)
 
 
-def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str, members: dict[str, Member] | None = None, candidates: dict[str, Member] | None = None, config: EngineConfig = DEFAULT) -> dict:
-    """Fit the stack; returns models, out-of-fold scores, report, kept members and the gate."""
+def refit(df: DataFrame, features: Sequence[str], label: str, name: str, member: Member, rounds: dict[str, list[int]], fits: Fits | None = None) -> PipelineModel:
+    """A member on all rows; one that boosts gets the median of the folds' best rounds."""
+    fits = {} if fits is None else fits
+    if (0, name) not in fits:
+        more = {"rounds": best_rounds(rounds[name])} if name in rounds else {}
+        fits[0, name] = member(features, label, **more).fit(df)
+    return fits[0, name]
+
+
+def evaluate(
+    df: DataFrame, features: Sequence[str], label: str, day: str, key: str, members: dict[str, Member] | None = None, candidates: dict[str, Member] | None = None, config: EngineConfig = DEFAULT, fits: Fits | None = None
+) -> dict:
+    """The stack over the folds, without members on all rows: out-of-fold scores, meta-model, report, kept members and the gate."""
     members = dict(members or MEMBERS)
     everyone = members | (candidates or {})
     rounds: dict[str, list[int]] = {}
     df = stage(df.select(key, day, label, *features), "training-matrix")
-    oof = stage(out_of_fold(df, features, label, day, key, everyone, config, rounds), "out-of-fold")
+    oof = stage(out_of_fold(df, features, label, day, key, everyone, config, rounds, fits), "out-of-fold")
     kept = list(members)
 
     def loss(names: Sequence[str]) -> float:
@@ -263,7 +278,7 @@ def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str
         return scored.agg(F.avg(log_loss(F.col("p"), F.col(label).cast("double")))).first()[0]
 
     ablation = {}
-    best = loss(kept)
+    best = loss(kept) if candidates else None
     for name in candidates or {}:
         ablation[name] = best - (new := loss([*kept, name]))
         if ablation[name] >= config.member_gain:
@@ -272,26 +287,39 @@ def train(df: DataFrame, features: Sequence[str], label: str, day: str, key: str
     scores = meta.transform(oof).withColumn("stack", vector_to_array("probability")[1]).select(*oof.columns, "stack")
     rows = report(scores, label, [*everyone, "stack"]).collect()
     figures = {r["member"]: r.asDict() for r in rows}
-    names = observed(df, features)
-    more = {m: {"rounds": best_rounds(rounds[m])} if m in rounds else {} for m in kept}
-    full = {m: everyone[m](names, label, **more[m]).fit(df) for m in kept}
     gate = figures["stack"]["log_loss"] < figures["constant"]["log_loss"]
-    return {"members": full, "meta": meta, "oof": scores, "report": figures, "kept": kept, "ablation": ablation, "gate": gate, "features": names, "rounds": rounds}
+    return {"meta": meta, "oof": scores, "report": figures, "kept": kept, "ablation": ablation, "gate": gate, "features": observed(df, features), "rounds": rounds, "matrix": df}
+
+
+def train(
+    df: DataFrame, features: Sequence[str], label: str, day: str, key: str, members: dict[str, Member] | None = None, candidates: dict[str, Member] | None = None, config: EngineConfig = DEFAULT,
+    fits: Fits | None = None, known: dict | None = None,
+) -> dict:
+    """Fit the stack; returns models, out-of-fold scores, report, kept members and the gate. ``known`` is what ``evaluate`` gave for
+    the same rows."""
+    everyone = dict(members or MEMBERS) | (candidates or {})
+    b = known or evaluate(df, features, label, day, key, members, candidates, config, fits)
+    return b | {"members": {m: refit(b["matrix"], b["features"], label, m, everyone[m], b["rounds"], fits) for m in b["kept"]}}
+
+
+def training_rows(df: DataFrame, features: Sequence[str], label: str, day: str, config: EngineConfig = DEFAULT) -> DataFrame:
+    """Rows of the training period that are covered well enough, past the target gate."""
+    rows = df.where(F.col(day).between(F.lit(config.train_start), F.lit(config.train_end)))
+    require_target(rows, label, day, config.train_start, config.train_end, config.holdout_start)
+    return rows.where(coverage(features) >= config.min_coverage)
 
 
 def train_candidate(
     df: DataFrame, features: Sequence[str], label: str, day: str, key: str, group: str, registry: DataFrame, path: str, version: str, stamp: str,
-    members: dict[str, Member] | None = None, candidates: dict[str, Member] | None = None, config: EngineConfig = DEFAULT,
+    members: dict[str, Member] | None = None, candidates: dict[str, Member] | None = None, config: EngineConfig = DEFAULT, fits: Fits | None = None, known: dict | None = None,
 ) -> tuple[DataFrame, dict]:
     """A training run from end to end: rows of the training period, target gate, coverage gate, stack, calibration
     table, group rates, save, registration. Returns the registry with the new row, and the bundle.
 
-    A model whose gate fails is registered as rejected and not saved.
+    A model whose gate fails is registered as rejected and not saved. ``fits`` and ``known`` are as for ``train``.
     """
-    rows = df.where(F.col(day).between(F.lit(config.train_start), F.lit(config.train_end)))
-    require_target(rows, label, day, config.train_start, config.train_end, config.holdout_start)
-    covered = rows.where(coverage(features) >= config.min_coverage)
-    bundle = train(covered, features, label, day, key, members, candidates, config)
+    covered = training_rows(df, features, label, day, config)
+    bundle = train(covered, features, label, day, key, members, candidates, config, fits, known)
     ends = covered.agg(F.min(day).alias("first"), F.max(day).alias("last"), F.count(F.lit(1)).alias("n")).first()
     frozen = baseline(covered.select(F.col(label).cast("double").alias("y")), "y").first()
     pairs = bundle["oof"].withColumn("model", F.lit(version))

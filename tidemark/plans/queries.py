@@ -1038,9 +1038,18 @@ def slate(t: Tables) -> DataFrame:
     return built.select("rid", "d", "venue_id", "away_pitcher", "coverage", C("o_custkey").alias("matchup"), *MODEL_FEATURES, *counts, *[F.expr(e).alias(f"y_{v}") for v, e in TARGETS.items()])
 
 
-def bundle(t: Tables, version: str = "order") -> dict:
-    """A training run on the feature catalogue, from its gates to its registry row, once per folder and target. Only the last
-    folder's are kept."""
+def members(version: str) -> dict[str, dict]:
+    """Members and candidates by target. A rule can be learnt without end, so its boosting is cut."""
+    from tidemark.plans import model
+
+    if version == "order":
+        return {"members": model.MEMBERS, "candidates": {"forest": model.forest_member}}
+    return {"members": {"boosted": lambda f, y, rounds=None: model.boosted_member(f, y, rounds, 12), "linear": model.linear_member}}
+
+
+def _run(t: Tables, version: str) -> dict:
+    """What is known of a target's training run on the feature catalogue: its rows (``rows``, and ``covered`` ones), the models
+    learnt so far (``fits``), and results by step. Each query learns what it returns and no more. Only the last folder's are kept."""
     from tidemark.plans import model
 
     folder = (t.spark.sparkContext.applicationId, t.folder)
@@ -1050,40 +1059,75 @@ def bundle(t: Tables, version: str = "order") -> dict:
         _bundles[*folder, "slate"] = {"rows": stage(slate(t), "slate")}
     if (*folder, version) not in _bundles:
         rows = _bundles[*folder, "slate"]["rows"]
+        _bundles[*folder, version] = {"rows": rows, "covered": model.training_rows(rows, MODEL_FEATURES, f"y_{version}", "d", TRAINING), "fits": {}, "scores": {}}
+    return _bundles[*folder, version]
+
+
+def member_scores(t: Tables, name: str, version: str = "order") -> tuple[DataFrame, list[int]]:
+    """Out-of-fold scores of one member, and its rounds by fold if it boosts."""
+    from tidemark.plans import model
+
+    run = _run(t, version)
+    if name not in run["scores"]:
+        rounds: dict[str, list[int]] = {}
+        everyone = reduce(dict.__or__, members(version).values())
+        scores = model.out_of_fold(run["covered"], MODEL_FEATURES, f"y_{version}", "d", "rid", {name: everyone[name]}, TRAINING, rounds, run["fits"])
+        run["scores"][name] = stage(scores, f"scores-{name}"), rounds.get(name, [])
+    return run["scores"][name]
+
+
+def evaluated(t: Tables, version: str = "order") -> dict:
+    """The stack over the folds, without members on all rows."""
+    from tidemark.plans import model
+
+    run = _run(t, version)
+    if "evaluated" not in run:
+        run["evaluated"] = model.evaluate(run["covered"], MODEL_FEATURES, f"y_{version}", "d", "rid", config=TRAINING, fits=run["fits"], **members(version))
+    return run["evaluated"]
+
+
+def bundle(t: Tables, version: str = "order") -> dict:
+    """A whole training run, from its gates to its registry row, once per folder and target."""
+    from tidemark.plans import model
+
+    run = _run(t, version)
+    if "trained" not in run:
         empty = t.spark.createDataFrame([], "model_version string, trained_at string, train_range string, cv_log_loss double, cv_brier double, gates_passed boolean, gate_report string, status string")
-        # a rule can be learnt without end, so its boosting is cut
-        more = {"candidates": {"forest": model.forest_member}} if version == "order" else {"members": {"boosted": lambda f, y, rounds=None: model.boosted_member(f, y, rounds, 12), "linear": model.linear_member}}
         path = _scratch(t, f"model-{version}")
-        registered, trained = model.train_candidate(rows, MODEL_FEATURES, f"y_{version}", "d", "rid", "venue_id", empty, path, version, NOW, config=TRAINING, **more)
-        _bundles[*folder, version] = trained | {"registry": stage(registered, "registry"), "path": path, "rows": rows}
-    return _bundles[*folder, version]
+        registered, trained = model.train_candidate(
+            run["rows"], MODEL_FEATURES, f"y_{version}", "d", "rid", "venue_id", empty, path, version, NOW, config=TRAINING, fits=run["fits"], known=evaluated(t, version), **members(version)
+        )
+        run["trained"] = trained | {"registry": stage(registered, "registry"), "path": path, "rows": run["rows"]}
+    return run["trained"]
 
 
 def _figures(t: Tables, names) -> DataFrame:
-    rows = [(m, float(f["log_loss"]), float(f["brier"]), int(f["n"])) for m, f in sorted(bundle(t)["report"].items()) if m in names]
+    rows = [(m, float(f["log_loss"]), float(f["brier"]), int(f["n"])) for m, f in sorted(evaluated(t)["report"].items()) if m in names]
     return t.spark.createDataFrame(rows, "member string, log_loss double, brier double, n long")
 
 
-query("l01_boosted_member")(lambda t: bundle(t)["oof"].select("rid", "fold", "boosted"))
-query("l03_linear_member")(lambda t: bundle(t)["oof"].select("rid", "fold", "linear"))
-query("l05_out_of_fold")(lambda t: bundle(t)["oof"].drop("stack"))
-query("l06_stack")(lambda t: bundle(t)["oof"].select("rid", C("y_order").alias("label"), "stack"))
+query("l01_boosted_member")(lambda t: member_scores(t, "boosted")[0].select("rid", "fold", "boosted"))
+query("l03_linear_member")(lambda t: member_scores(t, "linear")[0].select("rid", "fold", "linear"))
+query("l05_out_of_fold")(lambda t: evaluated(t)["oof"].drop("stack"))
+query("l06_stack")(lambda t: evaluated(t)["oof"].select("rid", C("y_order").alias("label"), "stack"))
 query("l07_stack_report")(lambda t: _figures(t, ("boosted", "linear", "forest", "stack", "constant")))
-query("k01_pluggable_member")(lambda t: bundle(t)["oof"].select("rid", "forest"))
+query("k01_pluggable_member")(lambda t: member_scores(t, "forest")[0].select("rid", "forest"))
 
 
 @query("l02_full_refit")
 def _(t):
     from tidemark.plans import model
 
-    b = bundle(t)
-    trees = b["members"]["boosted"].stages[-1].getNumTrees
-    return t.spark.createDataFrame([(trees, model.best_rounds(b["rounds"]["boosted"]), model.best_rounds([]))], "trees int, median_rounds int, default_rounds int")
+    _, rounds = member_scores(t, "boosted")
+    run = _run(t, "order")
+    names = model.observed(run["covered"], MODEL_FEATURES)
+    trees = model.refit(run["covered"], names, "y_order", "boosted", model.boosted_member, {"boosted": rounds}, run["fits"]).stages[-1].getNumTrees
+    return t.spark.createDataFrame([(trees, model.best_rounds(rounds), model.best_rounds([]))], "trees int, median_rounds int, default_rounds int")
 
 
 @query("l04_optional_member")
 def _(t):
-    b = bundle(t)
+    b = evaluated(t)
     return t.spark.createDataFrame([(m, float(g), m in b["kept"]) for m, g in b["ablation"].items()], "member string, gain double, kept boolean")
 
 
