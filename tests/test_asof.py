@@ -210,3 +210,36 @@ def test_stored_totals_are_not_broadcast(spark, tmp_path):
     got = state.read(rows.select("k", "d"), "k", "d")
     got.collect()
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_survey_spares_totals_that_are_zero_throughout(spark):
+    """Whole, gapless numbers need one total; fractions, huge values, gaps and infinities keep theirs, and no figure changes."""
+    from datetime import date, timedelta
+
+    inf, day = float("inf"), lambda i: date(2024, 1, 1) + timedelta(days=i % 40)
+    rows = [(i % 5, day(i), float(i % 7), None if i % 3 else i / 3, 1e18 if i == 4 else 0.1 * i, inf if i == 9 else 1.0, i, None if i % 4 else i) for i in range(400)]
+    values = ["plain", "gaps", "huge", "odd", "n", "n_gaps"]
+    h = A.History(spark.createDataFrame(rows, "k int, d date, plain double, gaps double, huge double, odd double, n int, n_gaps int"), "k", "d", values, (3, 20), True, "h_")
+    slim = h.surveyed()
+    assert len(slim.needs["plain"].parts) == 1
+    assert [slim.needs[v].missing for v in values] == [False, True, False, False, False, True]
+    assert [slim.needs[v].odd for v in values] == [False, False, False, True, False, False]
+    assert len(slim.needs["huge"].parts) > 1 and len(slim.totals()) < len(h.totals())
+    asks = spark.createDataFrame([(i, i % 6, day(i + 3)) for i in range(60)], "rid int, k int, d date")
+    got = lambda x: sorted(map(str, A.asof_many(asks, "k", "d", [x]).collect()))
+    assert got(slim) == got(h)
+    empty = A.History(h.rows.where("k > 9"), "k", "d", values, (3,), True, "h_")
+    assert got(empty.surveyed()) == got(empty)
+
+
+def test_histories_of_keys_that_nobody_asks_for_are_left_out(spark):
+    """Few keys are broadcast and prune the history, many or keys of another type do not."""
+    from datetime import date
+
+    rows = spark.createDataFrame([(i % 50, date(2024, 1, 1 + i % 20), 1.0) for i in range(500)], "k int, d date, x double")
+    asks = spark.createDataFrame([(1, 3, date(2024, 1, 30)), (2, None, date(2024, 1, 30)), (3, 7, date(2024, 1, 30))], "rid int, k int, d date")
+    assert A.few_keys(asks, "k", 1) is None
+    keys = A.few_keys(asks, "k")
+    h = A.History(rows, "k", "d", ["x"], (7,), True, "h_")
+    assert h.asked(keys).rows.count() == 20 and h.asked(keys.selectExpr("CAST(_wanted AS string) AS _wanted")).rows.count() == 500
+    assert sorted(map(str, A.asof_many(asks, "k", "d", [h.asked(keys)]).collect())) == sorted(map(str, A.asof_many(asks, "k", "d", [h]).collect()))
