@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import elias_fano, mixing, near_dedup, neighbours, packing, phrase_dedup, quality, suffix_dedup, token_counts, token_files, tokens
+from tidemark.llm import doubling, elias_fano, mixing, near_dedup, neighbours, packing, phrase_dedup, quality, suffix_dedup, token_counts, token_files, tokens
+from tidemark.llm import windows as windows_of
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import exact_dedup, keep_exact
 from tidemark.llm.queries import tokenizer_path
@@ -287,6 +288,29 @@ def test_suffix_dedup_over_blocks_and_ranges(spark, corpus):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == brute_bytes(rows)
 
 
+def test_suffix_dedup_keeps_the_segments_of_a_block(monkeypatch):
+    """op10: segments are found once, when a block is written: what a block reads back covers every window once, around one anchor."""
+    rng = np.random.default_rng(5)
+    texts = ["", "short", *[bytes(rng.integers(97, 99, n).astype(np.uint8)).decode() for n in (99, 100, 101, 700)], passage(2, 90_000) * 2, None, passage(3, 60)]
+    table = pa.table({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts, pa.large_string())})
+    symbols = suffix_dedup._bytes
+    for name, column in zip(("windows", "place"), doubling.kept_segments(*symbols(table["text"].combine_chunks()), 32, 100)):
+        table = table.append_column(name, column)
+    monkeypatch.setattr(doubling, "segments", lambda *a: pytest.fail("segments are found again"))
+    block = doubling.Block(table, symbols, 32, 100)
+    windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(block.first, block.last)])
+    want = np.concatenate([np.arange(a, max(a, b - 99)) for a, b in zip(block.starts, block.ends)])
+    assert np.array_equal(windows, want)
+    assert (block.place >= block.last).all() and (block.place + 32 <= block.first + 100).all()
+    data = bytes(block.data)
+    at = rng.permutation(np.concatenate([np.arange(3000), len(data) - 100 - np.arange(1000)]))
+    for length in (1, 3, 13, 32, 100):
+        n = windows_of.width(length)
+        for seed in (0, 1):
+            names = windows_of.named(windows_of.words(block.data, n), n, at, length, seed)
+            assert len({(int(x), data[a : a + length]) for x, a in zip(names, at)}) == len(set(names.tolist())) == len({data[a : a + length] for a in at})
+
+
 def test_near_duplicates(spark, corpus):
     rows = [r for r in corpus if r[0] is not None and r[0] != 70]
     sets = {}

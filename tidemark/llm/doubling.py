@@ -15,14 +15,16 @@ rounds, for windows of ``w`` symbols and first names of ``k`` (w = 100 and k = 3
 Past that length, rows that still meet are repeats; ``later`` ones are removed. Windows and segments are compared by two
 independent 64-bit names beside the rank.
 
-Blocks of documents are files in the shared folder and compute their names from the text in each round. A block sends
-a name once, with the first place where it holds it, so a name that a third of all documents hold is one row a block.
+Blocks of documents are files in the shared folder. Their segments are found once, when they are written, and kept beside the
+text as two small numbers each (windows, and the anchor's place); from then on names are computed only at the places that a round
+asks for. A block sends a name once, with the first place where it holds it, so a name that a third of all documents hold is one row a block.
 Rows sent and answers are linear in the text: an answer goes back for rows that stay only.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_path, partitions_for, stage
-from tidemark.llm.repeats import order_of, parts_of, read_block
+from tidemark.llm.repeats import LOWEST, parts_of, read_block
 from tidemark.llm.token_files import _filesystem
 from tidemark.llm.tokens import release
-from tidemark.llm.windows import grown, mix, pair, segments
+from tidemark.llm.windows import mix, named, pair, segments, width, words
 
 #: Bytes of text in a block: a task holds 64-bit names for each.
 BLOCK_BYTES = 4 << 20
@@ -47,10 +49,6 @@ LATER, MIXED = 1, 2
 SENT = "kind int, block long, idx int, r long, a long, b long, doc long, at long, again boolean"
 ANSWER = "kind int, block long, idx int, flag int, rank long"
 
-#: Names of single symbols, for two independent hashes.
-NAMES = mix(np.arange(1, 257, dtype=np.uint64))
-OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-
 #: Bytes of all texts and the end of each text among them.
 Symbols = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -178,17 +176,30 @@ class Answers:
 
 
 class Firsts:
-    """The first of equal (a, b) in a block by (document, place), and each entry's relation to it."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, at: np.ndarray):
-        order = np.lexsort((at, doc, b, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        self.first = order[new]
-        self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        lead = self.first[self.group] if len(order) else order
-        self.later = (doc > doc[lead]) | ((doc == doc[lead]) & (at > at[lead]))
+    """The first of equal (a, b) in a block by ``when``, and each entry's relation to it."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, when: np.ndarray):
+        self.first, self.group, self.later = np.zeros(0, np.int64), np.empty(len(a), np.int64), np.zeros(len(a), bool)
+        if not len(a):
+            return
+        order = np.argsort(a)
+        new, other = self._changes(a, order), self._changes(b, order)
+        if (other & ~new).any():  # names that differ in b only
+            order = np.lexsort((b, a))
+            new = self._changes(a, order) | self._changes(b, order)
+        number, sorted_when = np.cumsum(new) - 1, when[order]
+        leads = sorted_when == np.minimum.reduceat(sorted_when, np.flatnonzero(new))[number]
+        some = np.flatnonzero(leads)
+        self.first = order[some[self._changes(number, some)]]
+        self.group[order] = number
+        self.later[order] = ~leads
+
+    @staticmethod
+    def _changes(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """Where ``x`` in ``order`` differs from the entry before."""
+        x, out = x[order], np.ones(len(order), bool)
+        out[1:] = x[1:] != x[:-1]
+        return out
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,6 +208,21 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, times > 1, number
 
 
+def kept_segments(data: np.ndarray, ends: np.ndarray, k: int, w: int) -> tuple[pa.Array, pa.Array]:
+    """For each document, of its segments in order, the number of windows, and the anchor's place behind the first of them.
+    The segments of a document follow each other without a gap."""
+    small, n = np.min_scalar_type(w), width(k)
+    counts, sizes, places = np.zeros(len(ends), np.int64), [np.zeros(0, small)], [np.zeros(0, small)]
+    for doc, until, a, b in parts_of(ends, w):
+        local = np.minimum(ends[doc:until], b) - a
+        found = segments(mix(words(data[a:b], n)), local, k, w, n)
+        counts[doc:until] += np.bincount(np.searchsorted(local, found["first"], side="right"), minlength=until - doc)
+        sizes.append((found["last"] - found["first"] + 1).astype(small))
+        places.append((found["place"] - found["first"]).astype(small))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+    return tuple(pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (sizes, places))
+
+
 class Block:
     """What a block computes from its text, as far as the answers that it has allow."""
 
@@ -205,55 +231,48 @@ class Block:
         self.data, self.ends = symbols(table["text"].combine_chunks())
         self.starts = np.concatenate([[0], self.ends[:-1]])
         self.table = table
-
-    def scan(self) -> Iterator[tuple[int, int, dict]]:
-        """``(first symbol, symbols' end, segments)`` of each part; anchors, the smallest names of many, are mixed."""
-        for doc, until, a, b in parts_of(self.ends, self.w):
-            found = segments(NAMES[self.data[a:b]], local := np.minimum(self.ends[doc:until], b) - a, self.k, self.w)
-            found["doc"] = doc + np.searchsorted(local, found["first"], side="right")
-            found["anchor"] = mix(found["anchor"])
-            yield a, b, found
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        found = [s["anchor"] for _, _, s in self.scan()]
-        keys, times = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
-        return keys, times > 1
+        self.width = width(k)
+        self.numbers = words(self.data, self.width)
+        # all segments: their document, first and last window, and anchor's place
+        counts = pc.list_value_length(table["windows"]).to_numpy().astype(np.int64)
+        n, place = (pc.list_flatten(table[c]).to_numpy().astype(np.int64) for c in ("windows", "place"))
+        self.row = np.repeat(np.arange(len(counts)), counts)
+        before = np.cumsum(n) - n
+        heads = np.cumsum(counts) - counts
+        skipped = np.append(before, 0)[heads]  # windows of the documents before
+        self.first = self.starts[self.row] + before - skipped[self.row] if len(n) else n
+        self.last, self.place = self.first + n - 1, self.first + place
+
+    def named(self, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+        return named(self.numbers, self.width, at, length, seed)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the block's anchors, whether each is there twice, and the number of each segment's."""
+        keys, number, times = np.unique(self.named(self.place, self.k), return_inverse=True, return_counts=True)
+        return keys, times > 1, number
 
     def segments(self, known: Answers) -> None:
-        """Segments of the anchors that have stayed, with the names of their ends and halves."""
-        self.doc_of, again = order_of(self.table)
-        self.again = np.where(known.marked(TWICE, len(again)), again, 0)  # only rows that repeat an id need an order among them
-        keys, _ = self.anchors()
-        ranks = known.ranks(len(keys))
-        keys, ranks = keys[ranks >= 0], ranks[ranks >= 0]
-        out: list[list[np.ndarray]] = [[] for _ in range(8)]
-        k, w = self.k, self.w
-        for a, b, s in self.scan():
-            if not len(keys) or not len(s["anchor"]):
-                continue
-            i = np.minimum(np.searchsorted(keys, s["anchor"]), len(keys) - 1)
-            some = np.flatnonzero(keys[i] == s["anchor"])
-            if not len(some):
-                continue
-            first, last, place, rank = s["first"][some], s["last"][some], s["place"][some], ranks[i[some]]
-            one, two = grown(s["runs"], k, w), grown(OTHER[self.data[a:b]], 1, w)
-            n = (last - first).astype(np.uint64)
-            content, other = pair(pair(one[first], one[last]), n), pair(pair(two[first], two[last]), n)
-            side = lambda at: s["runs"][np.clip(at, 0, len(s["runs"]) - 1)]
-            right = pair(rank.view(np.uint64) + np.uint64(1), side(place + k))
-            left = pair(side(place - k), rank.view(np.uint64) + np.uint64(2))
-            for column, x in zip(out, (rank, place + a, first + a, last + a, s["doc"][some], np.stack([content, other]), right, left)):
-                column.append(x)
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.rank, self.place, self.first, self.last, self.row = (cat(x, np.int64) for x in out[:5])
-        both = np.concatenate(out[5], axis=1) if out[5] else np.zeros((2, 0), np.uint64)
-        self.right, self.left = cat(out[6], np.uint64), cat(out[7], np.uint64)
+        """Segments of the anchors that have stayed, with the names of their ends."""
+        self.doc_of = pc.fill_null(self.table["doc_id"], LOWEST).to_numpy()
+        self.again = np.zeros(len(self.doc_of), np.int64)
+        for i in np.flatnonzero(known.marked(TWICE, len(self.again))):  # only rows that repeat an id need an order among them
+            self.again[i] = zlib.crc32(np.ascontiguousarray(self.data[self.starts[i] : self.ends[i]])) >> 1 << 31
+        order = np.lexsort((self.again, self.doc_of))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.doc_of[order][1:] != self.doc_of[order][:-1]) | (self.again[order][1:] != self.again[order][:-1])
+        self.turn = np.empty(len(order), np.int64)  # of rows by (document, order), equal ones sharing theirs
+        self.turn[order] = np.cumsum(new) << 31
+        keys, _, number = self.anchors()
+        ranks = known.ranks(len(keys))[number]
+        some = np.flatnonzero(ranks >= 0)
+        self.rank, self.place, self.first, self.last, self.row = ranks[some], self.place[some], self.first[some], self.last[some], self.row[some]
+        n = (self.last - self.first).astype(np.uint64)
+        self.content, self.other = (pair(pair(self.named(self.first, self.w, seed), self.named(self.last, self.w, seed)), n) for seed in (0, 1))
         self.at = self.again[self.row] + self.first - self.starts[self.row]
-        self.content, self.other = both
-        self.classes = Firsts(self.content, self.other, self.doc_of[self.row], self.at)
+        self.classes = Firsts(self.content, self.other, self.turn[self.row] + self.first - self.starts[self.row])
 
     def first_round(self, block: int) -> Iterator[pa.RecordBatch]:
-        keys, again = self.anchors()
+        keys, again, _ = self.anchors()
         yield sent(ANCHOR, block, None, keys, again=again)
 
     def second_round(self, block: int) -> Iterator[pa.RecordBatch]:
@@ -269,11 +288,13 @@ class Block:
         self.open = self.classes.first[known.marked(SEGMENT, m, MIXED) & ~gone]
         right = self.open[self.last[self.open] >= self.place[self.open] + 2 * k - w]
         left = self.open[self.first[self.open] <= self.place[self.open] - k]
-        self.halves = [(kind, at, names, distinct(names[at])) for kind, at, names in ((RIGHT, right, self.right), (LEFT, left, self.left))]
+        rank = self.rank.view(np.uint64)
+        names = {RIGHT: pair(rank[right] + np.uint64(1), self.named(self.place[right] + k, k)), LEFT: pair(self.named(self.place[left] - k, k), rank[left] + np.uint64(2))}
+        self.halves = [(kind, at, names[kind], distinct(names[kind])) for kind, at in ((RIGHT, right), (LEFT, left))]
 
     def third_round(self, block: int) -> Iterator[pa.RecordBatch]:
         for kind, at, names, (first, again, _) in self.halves:
-            yield sent(kind, block, self.rank[at[first]], names[at[first]], again=again)
+            yield sent(kind, block, self.rank[at[first]], names[first], again=again)
 
     def windows(self, known: Answers) -> None:
         """Single windows of segments that are neither repeated nor alone with their anchor, if their half recurs."""
@@ -290,24 +311,13 @@ class Block:
         low = np.where(recurs[LEFT][order], self.first[order], np.maximum(self.first[order], self.place[order] - k + 1))
         high = np.where(recurs[RIGHT][order], self.last[order] + 1, np.minimum(self.last[order] + 1, self.place[order] + 2 * k - w))
         n = np.maximum(high - low, 0)
-        out: list[list[np.ndarray]] = [[] for _ in range(5)]
-        for _, _, a, b in parts_of(self.ends, w):
-            lo, hi = np.searchsorted(self.first[order], [a, b - w + 1])
-            count = n[lo:hi]
-            if not count.sum():
-                continue
-            start = np.repeat(low[lo:hi] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            which = np.repeat(order[lo:hi], count)
-            inside = start + w <= b
-            start, which = start[inside], which[inside]
-            one, two = grown(NAMES[self.data[a:b]], 1, w), grown(OTHER[self.data[a:b]], 1, w)
-            for column, x in zip(out, (self.rank[which], one[start - a], two[start - a], self.row[which], start)):
-                column.append(x)
-        kinds = (np.int64, np.uint64, np.uint64, np.int64, np.int64)
-        self.window_rank, one, two, self.window_row, self.window = (np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, kinds))
-        self.window_at = self.again[self.window_row] + self.window - self.starts[self.window_row]
-        self.one, self.two = pair(self.window_rank.view(np.uint64), one), two
-        self.singles = Firsts(self.one, two, self.doc_of[self.window_row], self.window_at)
+        which = np.repeat(order, n)
+        self.window = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        self.window_row = self.row[which]
+        offset = self.window - self.starts[self.window_row]
+        self.window_at = self.again[self.window_row] + offset
+        self.one, self.two = pair(self.rank[which].view(np.uint64), self.named(self.window, w)), self.named(self.window, w, 1)
+        self.singles = Firsts(self.one, self.two, self.turn[self.window_row] + offset)
 
     def fourth_round(self, block: int) -> Iterator[pa.RecordBatch]:
         lead = self.singles.first
@@ -347,6 +357,8 @@ def remove(
             for a, b in zip(cuts, cuts[1:]):
                 if a < b:
                     piece, file = table.slice(a, b - a).combine_chunks(), uuid.uuid4().int >> 66
+                    for name, column in zip(("windows", "place"), kept_segments(*symbols(piece["text"].combine_chunks()), k, w)):
+                        piece = piece.append_column(name, column)
                     with filesystem.open_output_stream(f"{at}/{file:016x}.arrow") as out:
                         with pa.ipc.new_file(out, piece.schema, options=options) as writer:
                             writer.write_table(piece)

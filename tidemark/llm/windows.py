@@ -45,6 +45,36 @@ def grown(names: np.ndarray, have: int, length: int) -> np.ndarray:
     return names
 
 
+def width(length: int) -> int:
+    """Bytes of the words by which runs of ``length`` bytes are read."""
+    return next(n for n in (8, 4, 2, 1) if n <= length)
+
+
+def words(data: np.ndarray, n: int) -> np.ndarray:
+    """The number of ``n`` bytes (1, 2, 4 or 8) at every place of ``data``."""
+    count = max(0, len(data) - n + 1)
+    at_all = np.ndarray(count, f"<u{n}", np.ascontiguousarray(data), strides=(1,)) if count else np.zeros(0, f"<u{n}")
+    return at_all.astype(np.uint64)
+
+
+#: Places whose names are computed at once.
+NAMED_AT_ONCE = 1 << 15
+
+
+def named(numbers: np.ndarray, n: int, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
+    """Names of the runs of ``length`` bytes that start at ``at``, from the ``numbers`` of ``n`` bytes at every place; the last one
+    overlaps where it must. Each ``seed`` gives names of its own."""
+    out = np.empty(len(at), np.uint64)
+    steps = [*range(0, length - n + 1, n), *([length - n] if length % n else [])]
+    for a in range(0, len(at), NAMED_AT_ONCE):
+        places = at[a : a + NAMED_AT_ONCE]
+        name = np.full(len(places), mix(np.array([seed + 1], np.uint64))[0])
+        for step in steps:
+            name = pair(name, numbers[places + step])
+        out[a : a + NAMED_AT_ONCE] = mix(name)
+    return out
+
+
 def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each ``w`` consecutive values."""
     n = 1
@@ -59,15 +89,15 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 PLACE = np.uint64(24)
 
 
-def segments(names: np.ndarray, ends: np.ndarray, k: int, w: int) -> dict[str, np.ndarray]:
-    """Segments of the documents that end at ``ends`` in ``names`` (at most 2**24 symbols).
+def segments(names: np.ndarray, ends: np.ndarray, k: int, w: int, have: int = 1) -> dict[str, np.ndarray]:
+    """Segments of the documents that end at ``ends`` in ``names`` of runs of ``have`` symbols (at most 2**24 symbols).
 
     Returns for each segment ``anchor`` (its name), ``place`` (where the anchor starts), ``first``
     and ``last`` (windows by their start), and the names ``runs`` of all runs of ``k`` symbols.
     Windows that would cross documents are left out.
     """
     m, none = w - k + 1, np.zeros(0, np.int64)
-    runs = grown(names, 1, k)
+    runs = grown(names, have, k)
     if len(runs) < m:
         return {"anchor": np.zeros(0, np.uint64), "place": none, "first": none, "last": none, "runs": runs}
     later = np.arange(len(runs) - 1, -1, -1, dtype=np.uint64)  # of equal names the last is least
