@@ -55,10 +55,10 @@ def _prepared(features: Sequence[str], *last) -> Pipeline:
     ])
 
 
-#: Fits that run at once.
-PARALLEL = 5
-#: Rows of a task that learns trees: each level of a tree is a job, whose tasks cost more than few rows do.
-TASK_ROWS = 50_000
+#: Fits that run at once: those of one member wait on the latency of their jobs, so that another member's fit beside them.
+PARALLEL = 10
+#: Rows of a task that learns: each level of a tree and each step of a linear fit is a job, whose tasks cost more than few rows do.
+TASK_ROWS = 200_000
 #: Most boosting rounds, and rounds without gain on held rows after which boosting ends.
 MOST_ROUNDS, PATIENCE = 1000, 50
 
@@ -87,9 +87,14 @@ def _marked(dataset: DataFrame, features: Sequence[str]) -> DataFrame:
     return dataset if "_held" in dataset.columns else dataset.withColumn("_held", F.pmod(F.xxhash64(*features), F.lit(10)) == 0)
 
 
+def tasks_for(n: int) -> int:
+    """Tasks that ``n`` rows to be learnt ask for."""
+    return max(1, -(-n // TASK_ROWS))
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
     """``rows`` in as many even partitions as their number asks for."""
-    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)))
+    return rows.repartition(tasks_for(rows.count()))
 
 
 class BoostedTrees(Estimator):
@@ -157,8 +162,9 @@ class WeightedPenalty(Estimator):
         self.logistic, self.c = logistic, c
 
     def _fit(self, dataset: DataFrame):
-        rows = settled(dataset.select(self.logistic.getFeaturesCol(), self.logistic.getLabelCol()))  # every step of the fit reads them
-        return self.logistic.copy({self.logistic.regParam: 1.0 / (self.c * max(1, rows.count()))}).fit(rows)
+        n = dataset.count()
+        rows = settled(dataset.select(self.logistic.getFeaturesCol(), self.logistic.getLabelCol()).repartition(tasks_for(n)))  # every step of the fit reads them
+        return self.logistic.copy({self.logistic.regParam: 1.0 / (self.c * max(1, n))}).fit(rows)
 
 
 def boosted_member(features: Sequence[str], label: str, rounds: int | None = None, most: int = MOST_ROUNDS) -> Estimator:
@@ -212,6 +218,7 @@ def out_of_fold(df: DataFrame, features: Sequence[str], label: str, day: str, ke
     """
     fits = {} if fits is None else fits
     placed = stage(fold_ops.positions(df.select(key, day, label, *features), day, key), "placed")
+    placed = placed.coalesce(tasks_for(placed.count()))  # all passes below, and those of the fits, read it
     table = fold_ops.fold_table(placed, day, config).orderBy("fold").collect()  # one row per fold
     if not table:
         raise ContractError("no fold has enough training rows")
@@ -289,8 +296,11 @@ def evaluate(
     oof = stage(out_of_fold(df, features, label, day, key, everyone, config, rounds, fits), "out-of-fold")
     kept = list(members)
 
+    metas: dict[tuple[str, ...], PipelineModel] = {}
+
     def loss(names: Sequence[str]) -> float:
-        scored = _scored(stack(oof, label, names), oof, [label], "p")
+        metas[tuple(names)] = stack(oof, label, names)
+        scored = _scored(metas[tuple(names)], oof, [label], "p")
         return scored.agg(F.avg(log_loss(F.col("p"), F.col(label).cast("double")))).first()[0]
 
     ablation = {}
@@ -299,7 +309,7 @@ def evaluate(
         ablation[name] = best - (new := loss([*kept, name]))
         if ablation[name] >= config.member_gain:
             kept, best = [*kept, name], new
-    meta = stack(oof, label, kept)
+    meta = metas.get(tuple(kept)) or stack(oof, label, kept)
     scores = meta.transform(oof).withColumn("stack", vector_to_array("probability")[1]).select(*oof.columns, "stack")
     rows = report(scores, label, [*everyone, "stack"]).collect()
     figures = {r["member"]: r.asDict() for r in rows}
