@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.exprs import indicator, iso_week, season, weather_missing, wind_out
 from tidemark.operators.asof import HOT_ROWS, History, LastRows, asof_many, family_missing, few_keys, observed, per_observation, ratio, top_members_means
+from tidemark.sources.scratch import at_once
 
 # Frames in days, and the rows of the last-N frame.
 ENTITY_DAYS, TEAM_DAYS, FORM_DAYS, LAST_STARTS = (7, 14, 30, 90, 365), (7, 14, 30, 365), 30, 30
@@ -81,11 +82,12 @@ def team_columns() -> dict[str, Column]:
 
 
 def _slim(sides: DataFrame, key: str, histories: Sequence[History | LastRows]) -> list[History | LastRows]:
-    """``histories`` of the keys that ``sides`` ask for, where these are few, with the totals that their values need."""
+    """``histories`` of the keys that ``sides`` ask for, where these are few, with the totals that their values need. The passes that
+    tell run beside each other."""
     keys = few_keys(sides, key)
     if keys is not None:
         histories = [x.asked(keys) for x in histories]
-    return [x.surveyed() if isinstance(x, History) else x for x in histories]
+    return at_once(sides.sparkSession, lambda x: x.surveyed() if isinstance(x, History) else x, histories)
 
 
 def _asks(wanted: Collection[str]) -> Callable[..., bool]:
@@ -148,13 +150,14 @@ def build(h: Histories, requests: DataFrame, hot_rows: int = HOT_ROWS, wanted: S
     sides = lambda c, name: side("away", c, name).unionByName(side("home", c, name))
     names = {"lineup_top3_woba": ("woba_num", "woba_den"), "lineup_top3_obp": ("times_on_base", "plate_appearances")}
     asks = lambda columns: bare is None or any(c in bare for c in columns)
-    entity, team, found = list(entity_columns()), list(team_columns()), []
+    entity, team, families_of = list(entity_columns()), list(team_columns()), []
     if asks(entity):
-        found.append(entity_family(h, sides("pitcher", "entity"), hot_rows, bare))
+        families_of.append(lambda: entity_family(h, sides("pitcher", "entity"), hot_rows, bare))
     if asks(team):
-        found.append(team_family(h, sides("team", "team"), hot_rows, bare))
+        families_of.append(lambda: team_family(h, sides("team", "team"), hot_rows, bare))
     if asks(names):
-        found.append((top_members_means(h.batter_games, sides("lineup", "members"), ["rid", "role"], "members", "d", "batter_id", "game_date", names, FORM_DAYS, hot_rows=hot_rows), list(names)))
+        families_of.append(lambda: (top_members_means(h.batter_games, sides("lineup", "members"), ["rid", "role"], "members", "d", "batter_id", "game_date", names, FORM_DAYS, hot_rows=hot_rows), list(names)))
+    found = at_once(requests.sparkSession, lambda family: family(), families_of)  # each counts keys and surveys histories first
     kept = [c for c in requests.columns if not c.endswith("_lineup")]
     # families meet their request by its id: everything is dealt by it once
     out = requests.select(*kept)

@@ -11,16 +11,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Sequence
-from functools import partial
-from multiprocessing.pool import ThreadPool
 from statistics import median
 
-from pyspark import SparkContext, inheritable_thread_target
+from pyspark import SparkContext
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, EngineConfig
@@ -33,7 +31,7 @@ from tidemark.operators.quality import require_target
 from tidemark.plans import grading
 from tidemark.plans.registry import register
 from tidemark.sources.io import ContractError, append
-from tidemark.sources.scratch import settled, shared_dir, stage
+from tidemark.sources.scratch import at_once, settled, shared_dir, stage
 
 #: ``member(features, label)``; boosted ones also take ``rounds`` for the refit on all rows.
 Member = Callable[..., Estimator]
@@ -55,22 +53,12 @@ def _prepared(features: Sequence[str], *last) -> Pipeline:
     ])
 
 
-#: Fits that run at once: those of one member wait on the latency of their jobs, so that another member's fit beside them.
-PARALLEL = 10
 #: Rows of a task that learns: each level of a tree and each step of a linear fit is a job, whose tasks cost more than few rows do.
 TASK_ROWS = 200_000
 #: Most boosting rounds, and rounds without gain on held rows after which boosting ends.
 MOST_ROUNDS, PATIENCE = 1000, 50
 
 
-def at_once(spark: SparkSession, work: Callable, tasks: Sequence) -> list:
-    """``work`` of every task, ``PARALLEL`` at once. Each call is wrapped by itself: calls that share one wrapping share their
-    local properties, in which Spark notes the running query of a thread."""
-    calls = [inheritable_thread_target(spark)(partial(work, task)) for task in tasks]
-    with ThreadPool(PARALLEL) as pool:
-        return pool.map(lambda call: call(), calls, chunksize=1)
-
-
 def best_round(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
     """Round of the smallest loss until ``patience`` rounds in turn brought no gain, and whether that ended it."""
     best = 0

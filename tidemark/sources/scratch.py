@@ -4,9 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+#: Pieces of work that run at once: each waits on the latency of its jobs, and leaves cores to those beside it.
+PARALLEL = 10
+
+
+def at_once(spark: SparkSession, work: Callable, tasks: Sequence) -> list:
+    """``work`` of every task, ``PARALLEL`` at once. Each call is wrapped by itself: calls that share one wrapping share their
+    local properties, in which Spark notes the running query of a thread."""
+    calls = [inheritable_thread_target(spark)(partial(work, task)) for task in tasks]
+    with ThreadPool(PARALLEL) as pool:
+        return pool.map(lambda call: call(), calls, chunksize=1)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Only where it is unset (tests on one machine) a temporary folder takes its
