@@ -13,12 +13,11 @@ import uuid
 from collections.abc import Callable, Sequence
 from statistics import median
 
-from pyspark import SparkContext
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, EngineConfig
@@ -26,12 +25,13 @@ from tidemark.functions.exprs import brier, log_loss
 from tidemark.operators import folds as fold_ops
 from tidemark.operators import vennabers
 from tidemark.operators.asof import coverage
+from tidemark.operators.boosting import Settings, Tree, best_round, grow
 from tidemark.operators.metrics import baseline, group_rates
 from tidemark.operators.quality import require_target
 from tidemark.plans import grading
 from tidemark.plans.registry import register
 from tidemark.sources.io import ContractError, append
-from tidemark.sources.scratch import at_once, settled, shared_dir, stage
+from tidemark.sources.scratch import at_once, new_path, settled, stage
 
 #: ``member(features, label)``; boosted ones also take ``rounds`` for the refit on all rows.
 Member = Callable[..., Estimator]
@@ -59,17 +59,6 @@ TASK_ROWS = 200_000
 MOST_ROUNDS, PATIENCE = 1000, 50
 
 
-def best_round(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
-    """Round of the smallest loss until ``patience`` rounds in turn brought no gain, and whether that ended it."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
 def _marked(dataset: DataFrame, features: Sequence[str]) -> DataFrame:
     """``dataset`` with ``_held``: as it is marked, or else a tenth of the rows by hash."""
     return dataset if "_held" in dataset.columns else dataset.withColumn("_held", F.pmod(F.xxhash64(*features), F.lit(10)) == 0)
@@ -80,18 +69,17 @@ def tasks_for(n: int) -> int:
     return max(1, -(-n // TASK_ROWS))
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` in as many even partitions as their number asks for."""
-    return rows.repartition(tasks_for(rows.count()))
+def _dealt(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """``rows`` in as many even partitions as their number ``n`` asks for."""
+    return rows.repartition(tasks_for(rows.count() if n is None else n))
 
 
 class BoostedTrees(Estimator):
     """Boosted trees for the logistic loss, as many as serve the rows marked ``_held`` best.
 
-    ``GBTClassifier`` grows the rounds in one fit, on rows that it has binned once, and one pass over the held rows gives the loss
-    after every round. Where ``patience`` rounds in turn brought no gain the ensemble is cut back to its best round; where the rounds
-    end before that, twice as many are grown, whose first ones are the same, so that a round is grown twice on average. ``rounds``
-    fixes the number of trees, and no row is held.
+    ``boosting.grow`` grows the rounds in one stage, whose tasks hold the rows that were binned once and take the loss of the held ones
+    after every round. Where ``patience`` rounds in turn brought no gain it ends, and the ensemble is cut back to its best round.
+    ``rounds`` fixes the number of trees, and no row is held.
     """
 
     #: Callers hand such a member its validation rows, marked ``_held``.
@@ -102,44 +90,42 @@ class BoostedTrees(Estimator):
         self.features, self.label, self.rounds, self.most, self.patience, self.step = list(features), label, rounds, most, patience, step
         self.losses: list[float] = []
 
-    def _trees(self, rounds: int) -> GBTClassifier:
-        return GBTClassifier(labelCol=self.label, featuresCol="_x", stepSize=self.step, maxDepth=6, maxIter=rounds, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=42)
-
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        if self.rounds:
-            return _prepared(self.features, self._trees(self.rounds)).fit(_dealt(dataset))
-        marked = _dealt(_marked(dataset, self.features))
+        marked = dataset.withColumn("_held", F.lit(False)) if self.rounds else _marked(dataset, self.features)
         ready = _prepared(self.features).fit(marked.where("NOT _held"))
-        rows = ready.transform(marked).select("_x", self.label, "_held").persist()
-        try:
-            held = rows.where("_held")
-            if held.isEmpty():
-                return BoostedTrees(self.features, self.label, min(best_rounds([]), self.most))._fit(dataset)
-            shared_dir(dataset.sparkSession)  # where checkpoints go
-            grown = min(self.most, self.patience + self.patience // 4 + 1)
-            while True:
-                model = self._trees(grown).fit(rows.where("NOT _held"))
-                losses = [loss / 2 for loss in model.evaluateEachIteration(held)]  # Spark's loss is twice the log-loss
-                best, done = best_round(losses, self.patience)
-                if done or grown == self.most:
-                    break
-                grown = min(self.most, 2 * grown)
-        finally:
-            rows.unpersist()
+        rows = ready.stages[1].transform(ready.stages[0].transform(marked))
+        known = ready.stages[1].surrogateDF.first().asDict()
+        values, flags, imputed = zip(*[(f"_i_{c}", f"_m_{c}", known[f"_d_{c}"]) for c in self.features])
+        most = self.rounds or self.most
+        trees, losses = grow(rows, values, flags, imputed, self.label, tasks_for, Settings(most, 0 if self.rounds else self.patience, self.step))
+        best, done = best_round(losses, self.patience)
+        if self.rounds:
+            best = self.rounds
+        elif not losses:  # nothing is held
+            best = min(best_rounds([]), self.most)
         self.losses = losses[: best + self.patience] if done else losses
-        return PipelineModel([*ready.stages, _ensemble(model.trees[:best], self.step)])
-
-
-def _ensemble(trees: Sequence, step: float) -> GBTClassificationModel:
-    """A model of the first tree and, at ``step``, the others."""
-    context = SparkContext.getOrCreate()
-    jvm, gateway = context._jvm, context._gateway
-    parts = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
-    weights = gateway.new_array(jvm.double, len(trees))
-    for i, tree in enumerate(trees):
-        parts[i], weights[i] = tree._java_obj, step if i else 1.0
-    model = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"GBTClassifier_{uuid.uuid4().hex[:12]}", parts, weights))
-    return model.setFeaturesCol("_x")
+        return PipelineModel([*ready.stages, _ensemble(dataset.sparkSession, trees[:best], self.step, 2 * len(self.features))])
+
+
+def _ensemble(spark: SparkSession, trees: Sequence[Tree], step: float, features: int) -> GBTClassificationModel:
+    """A model of the first tree and, at ``step``, the others. It is read from files as Spark writes them: a call of the JVM for each
+    node would take longer than growing it."""
+    kind = lambda of, uid: {"class": f"org.apache.spark.ml.{of}", "timestamp": 0, "sparkVersion": spark.version, "uid": uid, "paramMap": {"featuresCol": "_x"}, "defaultParamMap": {"impurity": "variance"}}
+    path, nodes = new_path(spark, "ensemble"), []
+    for i, t in enumerate(trees):
+        for v, (n, total, squares) in enumerate(zip(t.rows, t.total, t.squares)):
+            mean = total / n if n else 0.0
+            inner = t.feature[v] >= 0
+            split = (t.feature[v], [t.threshold[v]] if inner else [], -1)
+            nodes.append((i, (v, mean, max(0.0, squares / n - mean * mean) if n else 0.0, [n, total, squares], int(n), t.gain[v] if inner else -1.0, t.left[v], t.right[v], split)))
+    split = "struct<featureIndex int, leftCategoriesOrThreshold array<double>, numCategories int>"
+    node = f"struct<id int, prediction double, impurity double, impurityStats array<double>, rawCount long, gain double, leftChild int, rightChild int, split {split}>"
+    spark.createDataFrame(nodes, f"treeID int, nodeData {node}").coalesce(1).write.parquet(f"{path}/data")
+    single = [(i, json.dumps(kind("regression.DecisionTreeRegressionModel", f"dtr_{uuid.uuid4().hex[:12]}")), step if i else 1.0) for i in range(len(trees))]
+    spark.createDataFrame(single, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
+    whole = kind("classification.GBTClassificationModel", f"GBTClassifier_{uuid.uuid4().hex[:12]}") | {"numFeatures": features, "numTrees": len(trees)}
+    spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    return GBTClassificationModel.load(path)
 
 
 class WeightedPenalty(Estimator):
@@ -151,7 +137,7 @@ class WeightedPenalty(Estimator):
 
     def _fit(self, dataset: DataFrame):
         n = dataset.count()
-        rows = settled(dataset.select(self.logistic.getFeaturesCol(), self.logistic.getLabelCol()).repartition(tasks_for(n)))  # every step of the fit reads them
+        rows = settled(_dealt(dataset.select(self.logistic.getFeaturesCol(), self.logistic.getLabelCol()), n))  # every step of the fit reads them
         return self.logistic.copy({self.logistic.regParam: 1.0 / (self.c * max(1, n))}).fit(rows)
 
 
