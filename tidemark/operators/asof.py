@@ -147,7 +147,7 @@ class History:
 
     def asked(self, keys: DataFrame) -> History:
         """This history without keys that ``keys``, a table of few rows, lacks."""
-        return replace(self, rows=_asked_for(self.rows, self.key, keys))
+        return replace(self, rows=asked_for(self.rows, self.key, keys))
 
     def zero(self) -> str:
         """SQL of the state before the first row."""
@@ -198,7 +198,7 @@ class LastRows:
         return set()
 
     def asked(self, keys: DataFrame) -> LastRows:
-        return replace(self, rows=_asked_for(self.rows, self.key, keys))
+        return replace(self, rows=asked_for(self.rows, self.key, keys))
 
     def states(self) -> DataFrame:
         """``_k, _d`` and, packed, sums over the last rows up to the end of that day.
@@ -228,7 +228,8 @@ def few_keys(requests: DataFrame, key: str, most: int = FEW_KEYS) -> DataFrame |
     return stage(keys, "keys") if keys.limit(most + 1).count() <= most else None
 
 
-def _asked_for(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def asked_for(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` of the keys that ``keys`` holds."""
     if rows.schema[key].dataType != keys.schema["_wanted"].dataType:  # they would meet as another type
         return rows
     return rows.join(F.broadcast(keys), F.col(f"`{key}`") == F.col("_wanted"), "left_semi")

@@ -28,7 +28,8 @@ TEAM_VALUES = {"rpg": ["runs"], "avg": ["hits", "at_bats"], "slg": ["total_bases
 
 @dataclass(frozen=True)
 class Histories:
-    """Histories by the columns of ``specs.SPECS``; only first innings of the inning logs are used."""
+    """Histories by the columns of ``specs.SPECS``; only first innings of the inning logs are used. ``of_pitchers``, if given, derives
+    them from rows of the pitchers in a table of keys alone: Spark pushes no such choice below a sum whose result is filtered too."""
 
     pitcher_games: DataFrame
     pitcher_innings: DataFrame
@@ -37,6 +38,7 @@ class Histories:
     team_innings: DataFrame
     batter_games: DataFrame
     venue_factors: DataFrame
+    of_pitchers: Callable[[DataFrame], Histories] | None = None
 
 
 def entity_columns() -> dict[str, Column]:
@@ -81,10 +83,9 @@ def team_columns() -> dict[str, Column]:
     return out
 
 
-def _slim(sides: DataFrame, key: str, histories: Sequence[History | LastRows]) -> list[History | LastRows]:
-    """``histories`` of the keys that ``sides`` ask for, where these are few, with the totals that their values need. The passes that
+def _slim(sides: DataFrame, keys: DataFrame | None, histories: Sequence[History | LastRows]) -> list[History | LastRows]:
+    """``histories`` of the ``keys`` that ``sides`` ask for, where these are few, with the totals that their values need. The passes that
     tell run beside each other."""
-    keys = few_keys(sides, key)
     if keys is not None:
         histories = [x.asked(keys) for x in histories]
     return at_once(sides.sparkSession, lambda x: x.surveyed() if isinstance(x, History) else x, histories)
@@ -99,7 +100,9 @@ def entity_family(h: Histories, sides: DataFrame, hot_rows: int = HOT_ROWS, want
     """``rid, role`` of ``sides`` (rows ``rid, role, d, entity``) with the columns of the entity family, or the ``wanted`` ones by the
     histories and frames that these need, and their names."""
     columns = {n: c for n, c in entity_columns().items() if wanted is None or n in wanted}
-    asks, histories = _asks(columns), []
+    asks, histories, keys = _asks(columns), [], few_keys(sides, "entity")
+    if keys is not None and h.of_pitchers:
+        h = h.of_pitchers(keys)
     days, career = [n for n in ENTITY_DAYS if asks(f"p_{n}d_")], asks("p_career_", "p_rest_")
     if days or career:
         histories.append(History(h.pitcher_games, "pitcher_id", "game_date", ["earned_runs", "strikeouts", "walks", "hits", "innings_pitched"], days, career, "g_"))
@@ -110,7 +113,7 @@ def entity_family(h: Histories, sides: DataFrame, hot_rows: int = HOT_ROWS, want
         histories.append(History(h.statcast_daily, "pitcher_id", "game_date", ["exit_velocity_sum", "barrels", "hard_hits", "whiffs", "swings", "batted_balls"], (FORM_DAYS,), False, "s_"))
     if asks(f"p_{LAST_STARTS}gs_"):
         histories.append(LastRows(h.pitcher_games, "pitcher_id", "game_date", "game_id", ["earned_runs", "strikeouts", "innings_pitched"], LAST_STARTS))
-    rows = asof_many(sides, "entity", "d", _slim(sides, "entity", histories), hot_rows)
+    rows = asof_many(sides, "entity", "d", _slim(sides, keys, histories), hot_rows)
     return rows.select("rid", "role", *[c.alias(n) for n, c in columns.items()]), list(columns)
 
 
@@ -125,7 +128,7 @@ def team_family(h: Histories, sides: DataFrame, hot_rows: int = HOT_ROWS, wanted
     if asks("t_fi_"):
         scored = h.team_innings.where("inning = 1").withColumn("any_run", indicator(F.col("first_inning_runs"), F.col("first_inning_runs") > 0))
         histories.append(History(scored, "team", "game_date", ["first_inning_runs", "any_run"], (365,), False, "f_"))
-    rows = asof_many(sides, "team", "d", _slim(sides, "team", histories), hot_rows)
+    rows = asof_many(sides, "team", "d", _slim(sides, few_keys(sides, "team"), histories), hot_rows)
     return rows.select("rid", "role", *[c.alias(n) for n, c in columns.items()]), list(columns)
 
 

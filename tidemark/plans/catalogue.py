@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import asked_for
 from tidemark.operators.features import ENTITY_DAYS, FORM_DAYS, LAST_STARTS, TEAM_DAYS, Histories, build
 from tidemark.plans.views import Tables
 from tidemark.sources.scratch import stage
@@ -20,8 +21,10 @@ C = F.col
 STAND_INS = {"hits": 7, "at_bats": 11, "total_bases": 13, "times_on_base": 5, "plate_appearances": 17, "woba_num": 19, "woba_den": 23}
 
 
-def histories(t: Tables) -> Histories:
-    li = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", C("l_linenumber").alias("inning"), "l_quantity", F.round(C("l_discount") * 100).alias("disc"), F.round(C("l_tax") * 100).alias("tax"), C("l_shipdate").cast("date").alias("game_date"))
+def histories(t: Tables, pitchers: DataFrame | None = None) -> Histories:
+    """All histories; with ``pitchers``, a table of keys, those of entities hold theirs alone."""
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_partkey", C("l_linenumber").alias("inning"), "l_quantity", F.round(C("l_discount") * 100).alias("disc"), F.round(C("l_tax") * 100).alias("tax"), C("l_shipdate").cast("date").alias("game_date"))
+    li = lines if pitchers is None else asked_for(lines, "l_suppkey", pitchers)
     pg = li.groupBy(C("l_suppkey").alias("pitcher_id"), C("l_orderkey").alias("game_id")).agg(
         F.min("game_date").alias("game_date"), F.sum("disc").alias("earned_runs"), F.sum("tax").alias("walks"), F.sum("inning").alias("hits"), F.count(F.lit(1)).alias("strikeouts"), F.sum("l_quantity").alias("innings_pitched")
     )
@@ -30,9 +33,9 @@ def histories(t: Tables) -> Histories:
     o = t.orders.select(C("o_custkey").alias("team"), C("o_orderkey").alias("game_id"), C("o_orderdate").cast("date").alias("game_date"), F.round("o_totalprice").alias("v"), "o_orderstatus")
     tg = o.select("team", "game_id", "game_date", F.when(C("o_orderstatus") != "P", C("v") % 6).alias("runs"), *[(C("v") % w).alias(c) for c, w in STAND_INS.items()])
     ti = o.select("team", "game_id", "game_date", F.lit(1).alias("inning"), F.when(C("o_orderstatus") != "P", C("v") % 2).alias("first_inning_runs"))
-    bg = li.select(C("l_partkey").alias("batter_id"), C("l_orderkey").alias("game_id"), "game_date", C("tax").alias("woba_num"), C("l_quantity").alias("woba_den"), C("disc").alias("times_on_base"), C("l_quantity").alias("plate_appearances"))
+    bg = lines.select(C("l_partkey").alias("batter_id"), C("l_orderkey").alias("game_id"), "game_date", C("tax").alias("woba_num"), C("l_quantity").alias("woba_den"), C("disc").alias("times_on_base"), C("l_quantity").alias("plate_appearances"))
     vf = t.nation.select(C("n_nationkey").alias("venue_id"), (C("n_nationkey") / 10 + 1).alias("runs_factor"), F.lit(1.0).alias("hr_factor"), F.lit(1.0).alias("hits_factor"))
-    return Histories(pg, pi, sc, tg, ti, bg, vf)
+    return Histories(pg, pi, sc, tg, ti, bg, vf, lambda keys: histories(t, keys))
 
 
 def requests(t: Tables, lineups: bool = True) -> DataFrame:
